@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, sharding
+from . import bpe, chat, lines, minhash, sharding
 from .common import table
 
 LINE_MIN_DOCS = 10
@@ -45,11 +45,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.decode(coded, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=2, percent=80).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_format": op5_chat_format,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
+    "op9_minhash": op9_minhash,
 }
 
 LINE_DEDUP_SQL = rf"""
