@@ -25,18 +25,22 @@ def line_key(line: Column) -> Column:
     return common.lower_ascii(F.btrim(line, F.lit(common.BLANKS)))
 
 
-def key_hash(line: Column) -> Column:
-    key = line_key(line)
+def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
 
 
+def key_hash(line: Column) -> Column:
+    return _hash(line_key(line))
+
+
 def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text."""
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     one, two = common.text_key(F.col(text))
     ids = docs.select(F.col(doc_id).alias("_id"), one.alias("_t1"), two.alias("_t2"), F.col(text).alias("_text"))
-    keyed = F.filter(split_lines(F.col("_text")), lambda x: F.length(line_key(x)) >= min_chars)
-    hashes = F.explode(F.array_distinct(F.transform(keyed, key_hash))).alias("_h")
+    # keys are made once per text and then hashed; a lambda's repeated parts would be evaluated again and again
+    keys = F.transform(F.split(common.lower_ascii(F.coalesce(F.col("_text"), F.lit(""))), "\n", -1), lambda x: F.btrim(x, F.lit(common.BLANKS)))
+    hashes = F.explode(F.array_distinct(F.transform(F.filter(keys, lambda x: F.length(x) >= min_chars), _hash))).alias("_h")
     common_keys = ids.select(hashes).select("_h.a", "_h.b").groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b")
     common_keys = common.written(common_keys, "common-lines")
     hits = ids.select("_id", "_t1", "_t2", hashes).select("_id", "_t1", "_t2", "_h.a", "_h.b").join(common_keys, ["a", "b"], "left_semi")
