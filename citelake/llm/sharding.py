@@ -3,11 +3,12 @@
 Pass 1 scatters whole records uniformly into memory-sized buckets by a seeded hash (one exchange, spilled to disk by
 Spark). Pass 2 collects one bucket at a time and permutes it with Spark's shuffle(), a seeded Fisher-Yates shuffle.
 The buckets in order are then one random order of all rows; row p of it goes to shard p mod n at slot p div n, so the
-shards' counts are at most one apart (law `rows`) and slots have no gaps. Offsets come from one count per bucket.
+shards' counts are at most one apart (law `rows`) and slots have no gaps. Offsets come from counts of
+a fixed number of hash cells, taken in a scan before (one row a cell, pre-aggregated).
 
-Defined results: null texts have size 1 and CRC 0; repeated rows, null ids and ties are rows like any other (the hash
-also takes the row's place in its input split, so that copies of one row scatter too); an empty table gives no rows;
-other columns stay unless they bear the names of results.
+The hash takes the id and the whole text, so that neither copies of a text nor rows without id gather anywhere, and the
+order is the same in every run. Defined results: null texts have size 1 and CRC 0; repeated rows, null ids and ties are
+rows like any other; an empty table gives no rows; other columns stay unless they bear the names of results.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Cells of the seeded hash whose counts are kept; a bucket is a run of neighbouring cells.
+CELLS = 1 << 16
 RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -24,18 +27,20 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket
     """All columns of docs with the result columns."""
     docs = docs.drop(*RESULTS)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    drawn = F.xxhash64(F.lit(seed), F.col(doc_id), F.monotonically_increasing_id())
-    scattered = docs.withColumn("_bucket", F.pmod(drawn, F.lit(buckets)).cast("int")).repartition(int(buckets), "_bucket")
+    cell = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(CELLS))
+    cells = common.written(docs.groupBy(cell.alias("cell")).agg(F.sum(size).alias("bytes"), F.count("*").alias("count")), "shard-cells")
+    total = cells.agg(F.sum("bytes")).first()[0] or 0
+    buckets = min(CELLS, max(1, -(-total // bucket_bytes)))
+    bucket_of = lambda c: F.floor(c * buckets / CELLS).cast("int")
+    scattered = docs.withColumn("_bucket", bucket_of(cell)).repartition(buckets, "_bucket")
     # sorted first, so that a bucket's order before the draw does not depend on how blocks arrived
     ordered = scattered.sortWithinPartitions("_bucket", doc_id, F.xxhash64(text))
     bucket = ordered.groupBy("_bucket").agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_rows"))
-    drawn_rows = bucket.select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_at", "_row")).select("_bucket", "_at", "_row.*")
-    records = common.written(drawn_rows, "shuffled-buckets")
-    counts = records.groupBy("_bucket").count()
-    offsets = _offsets(counts)
-    placed = records.join(offsets, "_bucket").withColumn("_place", F.col("_first") + F.col("_at"))
+    drawn = bucket.select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_at", "_row")).select("_bucket", "_at", "_row.*")
+    counts = cells.groupBy(bucket_of(F.col("cell")).alias("_bucket")).agg(F.sum("count").alias("count"))
+    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_bucket", (F.sum("count").over(running) - F.col("count")).alias("_first"))  # one short row per bucket
+    placed = drawn.join(offsets, "_bucket").withColumn("_place", F.col("_first") + F.col("_at"))
     return placed.withColumns({
         "size": size, "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit(""))), "law": F.lit("rows"),
         "shard": (F.col("_place") % shards).cast("int"), "slot": F.floor(F.col("_place") / shards).cast("long"),
@@ -43,12 +48,6 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket
     }).drop("_bucket", "_at", "_first", "_place")
 
 
-def _offsets(counts: DataFrame) -> DataFrame:
-    """Where each bucket begins in the order of all rows: running totals over one short row per bucket."""
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select("_bucket", (F.sum("count").over(running) - F.col("count")).alias("_first"))
-
-
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder a shard, its rows by slot."""
     sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
