@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ego, lines, minhash, sharding, substrings, toxicity
+from . import bpe, chat, decontaminate, ego, licenses, lines, minhash, sharding, substrings, toxicity
 from .common import table
 
 LINE_MIN_DOCS = 10
@@ -82,15 +82,30 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, width=2, percent=80).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each license found in a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.with_licenses(docs).select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document holds, whole or edited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 LINE_DEDUP_SQL = rf"""
