@@ -99,17 +99,6 @@ def _blocks(size: int):
     return run
 
 
-def heads(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id of each vector's component in the bipartite graph links (a x b)."""
-    big = np.iinfo(np.int64).max
-    while True:
-        down = np.minimum(b, np.where(links, a[:, None], big).min(axis=0))
-        up = np.minimum(a, np.where(links, down[None, :], big).min(axis=1))
-        if (up == a).all() and (down == b).all():
-            return a, b
-        a, b = up, down
-
-
 def _compare(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +112,7 @@ def _compare(cosine: float):
                     np.fill_diagonal(links, False)
                 if not links.any():
                     continue
-                ha, hb = heads(links, ra, rb)
+                ha, hb = graph.heads(links, ra, rb)
                 na, nb = links @ cb, ca @ links
                 if same:
                     ids, n, h = ra, na, np.minimum(ha, hb)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def heads(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id of each vector's component in the bipartite graph links (a x b)."""
+    big = np.iinfo(np.int64).max
+    while True:
+        down = np.minimum(b, np.where(links, a[:, None], big).min(axis=0))
+        up = np.minimum(a, np.where(links, down[None, :], big).min(axis=1))
+        if (up == a).all() and (down == b).all():
+            return a, b
+        a, b = up, down

@@ -3,12 +3,15 @@
 1. One pass over whole texts gives each document's shingle set as sorted 64-bit hashes, 210 minima, 42 band keys of 5
    minima each and the low 4 bits of 208 minima, packed in 13 longs. Documents with equal sets are one class, known by
    its smallest id, so groups of exact copies cost one row each map task.
-2. Candidates are classes that share a band key: first each with the smallest class of its bucket (a star, so a bucket
-   of n gives n - 1 pairs). Candidates pass if the collision-corrected estimate from the packed bits, (m - c) / (1 - c)
-   with c = 1/16, is within 0.15 of the threshold (over five standard deviations), and if set sizes allow the link.
-3. What passes is confirmed on full sets. Only where a bucket then still holds more than one component are its other
-   pairs tried, between different components alone; that can lose no link, as pairs inside a component change nothing.
-   Large buckets are tried in blocks, so that no task holds a bucket.
+2. Candidates are classes that share a band key. In each bucket one class leads (the one whose buckets are largest: the
+   middle of its group), and each other member is paired with it, so a bucket of n gives n - 1 pairs. A pair goes on if
+   the collision-corrected estimate from the packed bits, (m - c) / (1 - c) with c = 1/16, is 0.3 or more.
+3. Such pairs are measured on full sets. That gives the links with leaders, and what of the leader's set a member lacks
+   and adds. Members too far from the leader to be measured form the bucket's rest, together with measured ones that may
+   still be near them (similarity is one minus a metric), and the rest gets a leader of its own, until none is left.
+4. Where the members of one leader still form several components, the links between these are found exactly from what
+   members lack and add: |X and Y| = |L| - |lacks X or Y| + |adds X and Y|. Pairs inside a component are skipped, since
+   they change nothing; large groups are compared in blocks; only a spanning forest of links is handed on.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^42 = 6e-8; more similar pairs far less.
 
@@ -23,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 from . import common, graph
 from .common import WORD
 
-BANDS, ROWS, MARGIN = 42, 5, 0.15
+BANDS, ROWS = 42, 5
+#: Least estimate for a measurement; a class estimated below is less similar than AGAIN (five standard deviations more).
+NEAR, AGAIN = 0.3, 0.5
 K = BANDS * ROWS
 PACKED = K // 16 * 16
 _A = np.random.default_rng(20240607).integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = str.maketrans(common.A_TO_Z, common.A_TO_Z.lower())
-BLOCK, SMALL = 2048, 64
+BLOCK = 2048
 
 
 def shingles(text: str | None, hashes: common.WordHashes, width: int) -> np.ndarray:
@@ -120,16 +124,15 @@ def estimate(a: Column, b: Column) -> Column:
     return (same - 1 / 16) / (1 - 1 / 16)
 
 
-def _passing(pairs: DataFrame, cls: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sizes and packed bits allow a link."""
-    x = cls.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    y = cls.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.where(estimate(F.col("xa"), F.col("xb")) >= percent / 100 - MARGIN).select("a", "b")
+def _estimated(pairs: DataFrame, cls: DataFrame) -> DataFrame:
+    """Pairs (lead, rep) of classes whose packed bits say 0.3 or more."""
+    x = cls.select(F.col("rep").alias("lead"), F.col("bits").alias("xa"))
+    y = cls.select("rep", F.col("bits").alias("xb"))
+    return pairs.join(x, "lead").join(y, "rep").where(estimate(F.col("xa"), F.col("xb")) >= NEAR).select("lead", "rep")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Pairs whose full sets are as similar as asked."""
+def _measured(pairs: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(lead, rep) -> with full sets: sizes, size of the intersection, lacks (bits over the lead's sorted set) and adds."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
@@ -139,54 +142,89 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        for big in batches:
+            for start in range(0, big.num_rows, 500):
+                b = big.slice(start, 500)
+                sizes, own, both, lacks, adds = [], [], [], [], []
+                for p, q in zip(b.column(2), b.column(3), strict=True):
+                    x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                    there = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    has = y[there] == x
+                    extra = np.ones(len(y), bool)
+                    extra[there[has]] = False
+                    sizes.append(len(x)), own.append(len(y)), both.append(int(has.sum()))
+                    lacks.append(np.packbits(~has).tobytes()), adds.append(y[extra].tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, pa.int64()) for v in (sizes, own, both)), *(pa.array(v, pa.binary()) for v in (lacks, adds))], names=["lead", "rep", "size", "n", "both", "lacks", "adds"])
+
+    wanted = pairs.select(F.col("lead").alias("id")).unionByName(pairs.select(F.col("rep").alias("id"))).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi")
     sets = texts.mapInArrow(sets_of, "id long, s binary").dropDuplicates(["id"])
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(compare, "a long, b long")
-
-
-def _near(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of packed bits x and y may be similar enough."""
-    other = np.zeros((len(x), len(y)), np.int32)
-    for i in range(x.shape[1]):
-        z = x[:, i, None] ^ y[None, :, i]
-        z |= z >> np.uint64(1)
-        z |= z >> np.uint64(2)
-        other += np.bitwise_count(z & np.uint64(0x1111111111111111))
-    return (1 - other / PACKED - 1 / 16) / (1 - 1 / 16) >= least
-
-
-def _between_blocks(percent: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("comp")
-        bits = np.stack(group["bits"].to_numpy()).view(np.uint64)
-        rep, comp, n, block = (group[c].to_numpy() for c in ("rep", "comp", "n", "block"))
-        lo, hi = np.flatnonzero(block == group["i"].iat[0]), np.flatnonzero(block == group["j"].iat[0])
-        found = []
-        for at in range(0, len(lo), 64):
-            p = lo[at : at + 64]
-            if len(set(comp[p])) == 1:  # skip what is one component on both sides
-                q = hi[comp[hi] != comp[p[0]]]
-            else:
-                q = hi
-            if not len(q):
+    left = pairs.join(sets.select(F.col("id").alias("lead"), F.col("s").alias("sa")), "lead")
+    full = left.join(sets.select(F.col("id").alias("rep"), F.col("s").alias("sb")), "rep").select("lead", "rep", "sa", "sb")
+    return full.mapInArrow(compare, "lead long, rep long, size long, n long, both long, lacks binary, adds binary")
+
+
+def _features(lacks: list[bytes], adds: list[bytes], size: int) -> np.ndarray:
+    """A 0/1 matrix: what each member lacks of the leader's set, then what at least two members add."""
+    one = np.unpackbits(np.frombuffer(b"".join(lacks), np.uint8).reshape(len(lacks), -1), axis=1, count=size).astype(np.float32)
+    owner = np.repeat(np.arange(len(adds)), [len(a) // 8 for a in adds])
+    values, column, count = np.unique(np.frombuffer(b"".join(adds), np.uint64), return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    use = (count > 1)[column]
+    two = np.zeros((len(adds), int((count > 1).sum())), np.float32)
+    two[owner[use], new[column[use]]] = 1
+    return np.concatenate([one, two], axis=1)
+
+
+def _linked(group: dict[str, list], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rep, head): a spanning forest of the links between different components of block i and block j."""
+    rep, comp, n, block = (np.array(group[c], np.int64) for c in ("rep", "comp", "n", "block"))
+    size = group["size"][0]
+    f = _features(group["lacks"], group["adds"], size)
+    missing = f[:, :size].sum(axis=1)
+    kinds, counts = np.unique(comp, return_counts=True)
+    usual = comp == kinds[counts.argmax()]
+    p, q = block == group["i"][0], block == group["j"][0]
+    out_a, out_b = [], []
+    for rows, cols in ((p & ~usual, q), (p & usual, q & ~usual)):
+        rows, cols = np.flatnonzero(rows), np.flatnonzero(cols)
+        for at in range(0, len(rows), 1024):
+            r = rows[at : at + 1024]
+            if not len(cols):
                 continue
-            ok = _near(bits[p], bits[q], percent / 100 - MARGIN) & (comp[p][:, None] != comp[q][None, :])
-            ok &= 100 * np.minimum(n[p][:, None], n[q][None, :]) >= percent * np.maximum(n[p][:, None], n[q][None, :])
-            a, b = np.nonzero(ok)
-            found.append(np.stack([np.minimum(rep[p[a]], rep[q[b]]), np.maximum(rep[p[a]], rep[q[b]])], axis=1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            both = size - missing[r][:, None] - missing[cols][None, :] + f[r] @ f[cols].T
+            links = 100 * both >= percent * (n[r][:, None] + n[cols][None, :] - both)
+            links &= comp[r][:, None] != comp[cols][None, :]
+            if links.any():
+                a, b = graph.heads(links, rep[r], rep[cols])
+                out_a += [rep[r][links.any(axis=1)], rep[cols][links.any(axis=0)]]
+                out_b += [a[links.any(axis=1)], b[links.any(axis=0)]]
+    if not out_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _between_components(percent: int):
+    names = ("lead", "i", "j", "rep", "comp", "size", "n", "block", "lacks", "adds")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (lead, i, j): one group at a time."""
+        group: dict[str, list] = {x: [] for x in names}
+
+        def done() -> pa.RecordBatch:
+            a, b = _linked(group, percent) if len(group["rep"]) > 1 else (np.empty(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(len(names))]
+            for row in zip(*cols, strict=True):
+                if group["rep"] and row[:3] != (group["lead"][0], group["i"][0], group["j"][0]):
+                    yield done()
+                    group = {x: [] for x in names}
+                for x, v in zip(names, row, strict=True):
+                    group[x].append(v)
+        if group["rep"]:
+            yield done()
 
     return run
 
@@ -195,30 +233,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     """Per row: id, n_shingles, component_id, kept."""
     sig = common.written(signatures(docs, width, doc_id, text), "signatures")
     some = sig.where("n > 0 and id is not null")
-    cls = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    cls = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     cls = common.written(cls, "set-classes")
-    slim = cls.select("rep", "n", "bits")
+    slim = cls.select("rep", "bits")
     seats = cls.select("rep", F.explode("bands").alias("key"))
-    heads = seats.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    seated = common.written(seats.join(heads, "key"), "band-buckets")
-    stars = seated.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    first = common.written(_confirmed(common.written(_passing(stars, slim, percent), "candidates"), docs, width, percent, doc_id, text), "links")
-    labels = common.written(graph.components(first), "components")
-
-    named = seated.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = common.written(named.join(open_keys, "key", "left_semi"), "open-buckets")
-    few = rest.where(F.col("size") <= SMALL).select("key", "rep", "lead", "comp")
-    other = few.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-    close = few.where("rep <> lead").join(other, "key").where("rep < b and comp <> comp_b").select(F.col("rep").alias("a"), "b").distinct()
-    close = _passing(close, slim, percent)
-    many = rest.where(F.col("size") > SMALL).join(slim, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    facing = many.withColumn("f", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "n", "bits", "block", F.least("f", "block").alias("i"), F.greatest("f", "block").alias("j"))
-    wide = facing.groupBy("key", "i", "j").applyInPandas(_between_blocks(percent), "a long, b long")
-    again = common.written(close.unionByName(wide).distinct(), "candidates")
-    second = _confirmed(again, docs, width, percent, doc_id, text)
-    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
+    sizes = seats.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    seated = common.written(seats.join(sizes, "key"), "band-buckets")
+    weights = seated.groupBy("rep").agg(F.sum("size").alias("weight"))
+    seated = common.written(seated.select("rep", "key").join(weights, "rep"), "band-buckets")
+
+    measured = None
+    while not seated.isEmpty():
+        leads = seated.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("lead"), F.count("*").alias("size")).where("size > 1")
+        met = common.written(seated.join(leads.drop("size"), "key").where("rep <> lead"), "bucket-members")
+        pairs = met.select("lead", "rep").distinct()
+        if measured is not None:
+            pairs = pairs.join(measured.select("lead", "rep"), ["lead", "rep"], "left_anti")
+        got = common.written(_measured(common.written(_estimated(pairs, slim), "candidates"), docs, width, doc_id, text), "measured")
+        measured = got if measured is None else measured.unionByName(got)
+        near = measured.select("lead", "rep", (F.col("both") / (F.col("size") + F.col("n") - F.col("both"))).alias("near"))
+        judged = met.join(near, ["lead", "rep"], "left")
+        far = judged.where("near is null").select("key").distinct()
+        rest = judged.where(F.col("near").isNull() | (F.col("near") < AGAIN + 1 - percent / 100)).join(far, "key", "left_semi")
+        seated = common.written(rest.select("rep", "key", "weight"), "band-buckets")
+
+    joined = sig.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if measured is not None:
+        stars = measured.where(100 * F.col("both") >= percent * (F.col("size") + F.col("n") - F.col("both"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+        labels = common.written(graph.components(stars), "components")
+        named = measured.select("lead", "rep", "size", "n", "lacks", "adds").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        several = named.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("lo", "hi", "members")
+        open_ = named.join(several, "lead").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        facing = open_.withColumn("f", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", F.least("f", "block").alias("i"), F.greatest("f", "block").alias("j"), "rep", "comp", "size", "n", "block", "lacks", "adds")
+        links = facing.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "rep").mapInArrow(_between_components(percent), "a long, b long")
+        joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
     final = graph.components(joined)
 
     place = cls.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
