@@ -102,3 +102,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[ord(c) for c in BLANKS]] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0 to n - 1 modulo 2^64, and their inverses."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]), 1 << 16)
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            _POWERS[i] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words (as WORD finds them), with array operations over its UTF-8 bytes only: the
+    difference of two prefix sums of byte times power, shifted back to the first byte."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_BLANK[data]
+    edge = np.diff(inside)
+    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(first):
+        return np.empty(0, np.uint64)
+    power, inverse = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    return mix((sums[end] - sums[first]) * inverse[first])

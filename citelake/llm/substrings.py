@@ -93,19 +93,20 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _grams(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = common.WordHashes(), set()
+        seen: set[int] = set()
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
                 keys, mins, owns = [], [], []
                 for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = WORD.findall(text or "")
-                    if t in seen or len(words) < size:
+                    if t in seen:
                         continue
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(t)
-                    w = hashes.array(words)
+                    w = common.word_hashes(text)
+                    if len(w) < size:
+                        continue
                     m = minimizers(w, size)
                     twice = repeated(window_hash(w, size))
                     some = np.unique(m)
@@ -122,13 +123,12 @@ def _windows(size: int):
     """(t, text, marks, batch, cid, part) -> the windows whose minimizers are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.WordHashes()
         for big in batches:
             for at in range(0, big.num_rows, 200):
                 b = big.slice(at, 200)
                 cols: list[list] = [[] for _ in range(6)]
                 for text, marks, batch, cid, part in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
-                    w = hashes.array(WORD.findall(text))
+                    w = common.word_hashes(text)
                     pos = np.flatnonzero(np.isin(minimizers(w, size), np.array(marks, np.int64).view(np.uint64)))
                     with np.errstate(over="ignore"):
                         one, two = common.mix(rolled(w, size, _P))[pos], common.mix(rolled(common.mix(w ^ _Q), size, _Q))[pos]
@@ -213,11 +213,13 @@ class FingerprintIndex:
         self.classes.append(new)
         marked = self._matches(grams)
         windows = self._windows_of(marked, [*(b for _, b in self.texts), body], firsts)
-        _, seen = common.run_table(windows, "windows", "h", self.buckets)
-        place = F.struct("batch", "cid", "part", "pos")
-        first = seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = seen.where(F.col("batch") == n).join(first, ["h", "c"]).where(place != F.col("first")).select("cid", "part", "pos")
+        name, seen = common.run_table(windows, "windows", "h", self.buckets)
+        # the first place of a fingerprint is the first row of its sorted stretch: one read of the run, no join, no buffer
+        nth = F.row_number().over(Window.partitionBy("h", "c").orderBy("batch", "cid", "part", "pos"))
+        again = seen.withColumn("nth", nth).where((F.col("nth") > 1) & (F.col("batch") == n)).select("cid", "part", "pos")
         starts = again.groupBy("cid", "part").agg(F.collect_list("pos").alias("starts")).join(new.select("cid", "part", "t"), ["cid", "part"]).select("t", "starts")
+        starts = common.written(starts, "repeats")
+        common.drop_run(self.spark, name, seen)
         mine = body.join(new.select("t"), "t", "left_semi") if known is not None else body
         results = mine.join(starts, "t", "left").select("t", "text", "starts").mapInArrow(_cut(size), "t long, n_words long, n_removed long, kept_text string")
         self.grams.append(("", grams))
@@ -241,7 +243,7 @@ class FingerprintIndex:
                 old.append(both)
             hits = reduce(DataFrame.unionByName, [mine.where("lo <> hi or own").select("m"), *old]).distinct()
             marks.append(grams.join(hits, "m", "left_semi").select("t", "m"))
-        return reduce(DataFrame.unionByName, marks).groupBy("t").agg(F.collect_set("m").alias("marks"))
+        return reduce(DataFrame.unionByName, marks).groupBy("t").agg(F.collect_list("m").alias("marks"))
 
     def _windows_of(self, marked: DataFrame, bodies: list[DataFrame], firsts: DataFrame) -> DataFrame:
         placed = common.written(marked.join(firsts.select("t", "batch", "cid", "part"), "t"), "marked-texts")
