@@ -8,7 +8,8 @@
    the collision-corrected estimate from the packed bits, (m - c) / (1 - c) with c = 1/16, is 0.3 or more.
 3. Such pairs are measured on full sets. That gives the links with leaders, and what of the leader's set a member lacks
    and adds. Members too far from the leader to be measured form the bucket's rest, together with measured ones that may
-   still be near them (similarity is one minus a metric), and the rest gets a leader of its own, until none is left.
+   still be near them (similarity is one minus a metric), and the rest gets a leader of its own. What two leaders leave is compared pair by
+   pair on packed bits, in blocks; it is chance company (documents that share a line), of which little passes.
 4. Where the members of one leader still form several components, the links between these are found exactly from what
    members lack and add: |X and Y| = |L| - |lacks X or Y| + |adds X and Y|. Pairs inside a component are skipped, since
    they change nothing; large groups are compared in blocks; only a spanning forest of links is handed on.
@@ -37,6 +38,8 @@ from .common import WORD
 BANDS, ROWS = 42, 5
 #: Least estimate for a measurement; a class estimated below is less similar than AGAIN (five standard deviations more).
 NEAR, AGAIN = 0.3, 0.5
+#: Leaders tried in a bucket, and how far below the threshold an estimate may be (five standard deviations).
+ROUNDS, MARGIN = 2, 0.15
 K = BANDS * ROWS
 PACKED = K // 16 * 16
 _A = np.random.default_rng(20240607).integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,21 +207,43 @@ def _linked(group: dict[str, list], percent: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _between_components(percent: int):
-    names = ("lead", "i", "j", "rep", "comp", "size", "n", "block", "lacks", "adds")
+def _near_pairs(group: dict[str, list], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): pairs between block i and block j whose packed bits and sizes allow a link."""
+    rep, n, block = (np.array(group[c], np.int64) for c in ("rep", "n", "block"))
+    bits = np.array(group["bits"], np.int64).view(np.uint64)
+    rows, cols = np.flatnonzero(block == group["i"][0]), np.flatnonzero(block == group["j"][0])
+    out_a, out_b = [], []
+    for at in range(0, len(rows), 64):
+        r = rows[at : at + 64]
+        other = np.zeros((len(r), len(cols)), np.int32)
+        for k in range(bits.shape[1]):
+            z = bits[r, k, None] ^ bits[None, cols, k]
+            z |= z >> np.uint64(1)
+            z |= z >> np.uint64(2)
+            other += np.bitwise_count(z & np.uint64(0x1111111111111111))
+        ok = (1 - other / PACKED - 1 / 16) / (1 - 1 / 16) >= percent / 100 - MARGIN
+        ok &= 100 * np.minimum(n[r][:, None], n[cols][None, :]) >= percent * np.maximum(n[r][:, None], n[cols][None, :])
+        x, y = np.nonzero(ok)
+        x, y = rep[r[x]], rep[cols[y]]
+        out_a.append(np.minimum(x, y)[x != y]), out_b.append(np.maximum(x, y)[x != y])
+    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1) if out_a else np.empty((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def _grouped(names: tuple[str, ...], each):
+    """Rows sorted by (first name, i, j): each(group) gives arrays (a, b) for one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (lead, i, j): one group at a time."""
         group: dict[str, list] = {x: [] for x in names}
 
         def done() -> pa.RecordBatch:
-            a, b = _linked(group, percent) if len(group["rep"]) > 1 else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = each(group) if len(group["rep"]) > 1 else (np.empty(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(len(names))]
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(len(names))]
             for row in zip(*cols, strict=True):
-                if group["rep"] and row[:3] != (group["lead"][0], group["i"][0], group["j"][0]):
+                if group["rep"] and row[:3] != (group[names[0]][0], group["i"][0], group["j"][0]):
                     yield done()
                     group = {x: [] for x in names}
                 for x, v in zip(names, row, strict=True):
@@ -229,13 +254,26 @@ def _between_components(percent: int):
     return run
 
 
+def _faced(rows: DataFrame, key: str, members: str) -> DataFrame:
+    """Each row once for every pair of blocks its own block takes part in; groups up to BLOCK rows are one block."""
+    blocks = rows.withColumn("_blocks", F.ceil(F.col(members) / BLOCK).cast("int"))
+    own = blocks.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    faced = own.withColumn("_f", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    faced = faced.withColumns({"i": F.least("_f", "block"), "j": F.greatest("_f", "block")})
+    return faced.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "rep")
+
+
+def _linked_pairs(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.where(100 * F.col("both") >= percent * (F.col("size") + F.col("n") - F.col("both"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     sig = common.written(signatures(docs, width, doc_id, text), "signatures")
     some = sig.where("n > 0 and id is not null")
-    cls = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    cls = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     cls = common.written(cls, "set-classes")
-    slim = cls.select("rep", "bits")
+    slim = cls.select("rep", "n", "bits")
     seats = cls.select("rep", F.explode("bands").alias("key"))
     sizes = seats.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     seated = common.written(seats.join(sizes, "key"), "band-buckets")
@@ -243,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     seated = common.written(seated.select("rep", "key").join(weights, "rep"), "band-buckets")
 
     measured = None
-    while not seated.isEmpty():
+    for _ in range(ROUNDS):
         leads = seated.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("lead"), F.count("*").alias("size")).where("size > 1")
         met = common.written(seated.join(leads.drop("size"), "key").where("rep <> lead"), "bucket-members")
         pairs = met.select("lead", "rep").distinct()
@@ -257,16 +295,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         rest = judged.where(F.col("near").isNull() | (F.col("near") < AGAIN + 1 - percent / 100)).join(far, "key", "left_semi")
         seated = common.written(rest.select("rep", "key", "weight"), "band-buckets")
 
-    joined = sig.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    if measured is not None:
-        stars = measured.where(100 * F.col("both") >= percent * (F.col("size") + F.col("n") - F.col("both"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        labels = common.written(graph.components(stars), "components")
-        named = measured.select("lead", "rep", "size", "n", "lacks", "adds").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        several = named.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("lo", "hi", "members")
-        open_ = named.join(several, "lead").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        facing = open_.withColumn("f", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", F.least("f", "block").alias("i"), F.greatest("f", "block").alias("j"), "rep", "comp", "size", "n", "block", "lacks", "adds")
-        links = facing.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "rep").mapInArrow(_between_components(percent), "a long, b long")
-        joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    # what two leaders have not settled is mostly chance company: few of its pairs pass the packed bits
+    crowd = seated.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    left = _faced(seated.join(crowd, "key").join(slim, "rep"), "key", "size")
+    names = ("key", "i", "j", "rep", "n", "block", "bits")
+    loose = left.select(*names).mapInArrow(_grouped(names, lambda g: _near_pairs(g, percent)), "a long, b long").distinct()
+    known = measured.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+    loose = common.written(loose.join(known, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("rep")), "candidates")
+    others = _linked_pairs(_measured(loose, docs, width, doc_id, text), percent)
+    labels = common.written(graph.components(_linked_pairs(measured, percent).unionByName(others)), "components")
+
+    named = measured.select("lead", "rep", "size", "n", "lacks", "adds").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    several = named.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").drop("lo", "hi")
+    names = ("lead", "i", "j", "rep", "comp", "size", "n", "block", "lacks", "adds")
+    links = _faced(named.join(several, "lead"), "lead", "members").select(*names).mapInArrow(_grouped(names, lambda g: _linked(g, percent)), "a long, b long")
+    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
     final = graph.components(joined)
 
     place = cls.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
