@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
                     key_of = np.arange(BANDS, dtype=np.uint64)
                     for i in range(ROWS):
                         key_of = common.mix(key_of * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
-                    d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                    d = _digest(s)
                     known[key] = (len(s), int(d[0]), int(d[1]), _signed(key_of), _signed(packed_bits(least)))
                 else:
                     known[key] = (0, 0, 0, None, None)
@@ -134,15 +134,33 @@ def _estimated(pairs: DataFrame, cls: DataFrame) -> DataFrame:
     return pairs.join(x, "lead").join(y, "rep").where(estimate(F.col("xa"), F.col("xb")) >= NEAR).select("lead", "rep")
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(lead, rep) -> with full sets: sizes, size of the intersection, lacks (bits over the lead's sorted set) and adds."""
+def _digest(s: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.WordHashes()
+def _sets(docs: DataFrame, reps: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(id, s) for the classes (rep, s1): full sets, made from the texts once. The join is a merge join at every size, so
+    that texts move once and never more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last = common.WordHashes(), None
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 b = big.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+                ids, sets = [], []
+                for i, t, s1 in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    s = shingles(t, hashes, width) if i != last else np.empty(0, np.uint64)
+                    if len(s) and int(_digest(s)[0]) == s1:  # repeated rows of a class lie side by side: the first counts
+                        last = i
+                        ids.append(i), sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    return texts.join(reps.select(F.col("rep").alias("id"), "s1").hint("merge"), "id").select("id", "t", "s1").mapInArrow(run, "id long, s binary")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, rep) -> with full sets: sizes, size of the intersection, lacks (bits over the lead's sorted set) and adds."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -159,9 +177,6 @@ def _measured(pairs: DataFrame, docs: DataFrame, width: int, doc_id: str, text:
                     lacks.append(np.packbits(~has).tobytes()), adds.append(y[extra].tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, pa.int64()) for v in (sizes, own, both)), *(pa.array(v, pa.binary()) for v in (lacks, adds))], names=["lead", "rep", "size", "n", "both", "lacks", "adds"])
 
-    wanted = pairs.select(F.col("lead").alias("id")).unionByName(pairs.select(F.col("rep").alias("id"))).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi")
-    sets = texts.mapInArrow(sets_of, "id long, s binary").dropDuplicates(["id"])
     left = pairs.join(sets.select(F.col("id").alias("lead"), F.col("s").alias("sa")), "lead")
     full = left.join(sets.select(F.col("id").alias("rep"), F.col("s").alias("sb")), "rep").select("lead", "rep", "sa", "sb")
     return full.mapInArrow(compare, "lead long, rep long, size long, n long, both long, lacks binary, adds binary")
@@ -280,6 +295,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     weights = seated.groupBy("rep").agg(F.sum("size").alias("weight"))
     seated = common.written(seated.select("rep", "key").join(weights, "rep"), "band-buckets")
 
+    reps = cls.select("rep", "s1").join(seated.select("rep").distinct(), "rep", "left_semi")
+    sets = common.written(_sets(docs, reps, width, doc_id, text), "shingle-sets")
     measured = None
     for _ in range(ROUNDS):
         leads = seated.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("lead"), F.count("*").alias("size")).where("size > 1")
@@ -287,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         pairs = met.select("lead", "rep").distinct()
         if measured is not None:
             pairs = pairs.join(measured.select("lead", "rep"), ["lead", "rep"], "left_anti")
-        got = common.written(_measured(common.written(_estimated(pairs, slim), "candidates"), docs, width, doc_id, text), "measured")
+        got = common.written(_measured(common.written(_estimated(pairs, slim), "candidates"), sets), "measured")
         measured = got if measured is None else measured.unionByName(got)
         near = measured.select("lead", "rep", (F.col("both") / (F.col("size") + F.col("n") - F.col("both"))).alias("near"))
         judged = met.join(near, ["lead", "rep"], "left")
@@ -302,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     loose = left.select(*names).mapInArrow(_grouped(names, lambda g: _near_pairs(g, percent)), "a long, b long").distinct()
     known = measured.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
     loose = common.written(loose.join(known, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("rep")), "candidates")
-    others = _linked_pairs(_measured(loose, docs, width, doc_id, text), percent)
+    others = _linked_pairs(_measured(loose, sets), percent)
     labels = common.written(graph.components(_linked_pairs(measured, percent).unionByName(others)), "components")
 
     named = measured.select("lead", "rep", "size", "n", "lacks", "adds").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
