@@ -1,4 +1,348 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators over the driver's tables, with their SQL.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+The tables hold Latin-script prose, so question terms are taken in mode `words`. Questions come from the whole
+`benchmark` table: its first five words of four letters or more.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from citelake.functions import clauses, text
+from citelake.functions.embedding import cosine
+from citelake.operators import evaluate, evidence, extract, filters, normalize, quality, registry, retrieval
+from citelake.plans import hybrid
+from citelake.sources import pages as source_pages
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(words, 1, 5).alias("terms"))
+
+
+QUESTIONS_SQL = "q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]{4,}')[1:5] AS terms FROM benchmark)"
+SCORED_SQL = f"""{QUESTIONS_SQL},
+t AS (SELECT query_id, unnest(terms) AS term FROM q),
+s AS (SELECT query_id, doc_id, sum((1 + least(length(term), 12) / 12.0) * ln(1 + (length(body) - length(replace(body, term, ''))) / length(term))) AS score
+      FROM (SELECT doc_id, lower(text) AS body FROM documents) d JOIN t ON contains(body, term) GROUP BY 1, 2)"""
+
+
+def _keyword(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    return retrieval.keyword_search(docs_of(spark, sf_dir), questions(spark, sf_dir), k, F.lower("text"), "doc_id")
+
+
+def doc_dedupe_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = docs_of(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+def quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    rows = docs_of(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("block_count"), F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(F.trim(x))).alias("text_len"))
+    score, grade = quality.grade_of(F.col("text_len"), F.col("block_count"), F.lit(0))
+    return rows.select("doc_id", "block_count", "text_len", score.cast("long").alias("score"), grade.alias("grade"))
+
+
+def readable_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", F.round(text.readable_ratio(F.col("text")), 6).alias("ratio"))
+
+
+def noisy_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", text.is_noisy(F.col("text")).alias("noisy"))
+
+
+def _line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = docs_of(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
+    return each.select("doc_id", "ordinal", "text", F.lit("text").alias("source_type"), F.lit("c").alias("chunk_id"))
+
+
+def chunk_gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gated = quality.chunk_gate(_line_chunks(spark, sf_dir), keys=("doc_id",))
+    return gated.groupBy("doc_id").agg(F.count_if(F.col("gate") == "keep").alias("kept"), F.count_if(F.col("gate") == "dup").alias("dropped_dup"), F.count_if(F.col("gate") == "noise").alias("dropped_noise"), F.count_if(F.col("gate") == "short").alias("dropped_short"))
+
+
+def repeat_line_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source are the pages of one document."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+    kept = normalize.denoised_lines(pages, ["licen[sc]e"], keys=("doc_id",))
+    return kept.groupBy(F.col("page_no").alias("doc_id")).agg(F.count("*").alias("kept"), F.sum(F.length("line").cast("long")).alias("kept_chars"))
+
+
+def page_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.excerpt(F.col("html")).alias("excerpt"))
+
+
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyword(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def like_fallback_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
+    asked = questions(spark, sf_dir).withColumn("query", F.array_join(F.slice("terms", 1, 2), " "))
+    return retrieval.like_search(pages, asked, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of all vectors for each of ten stated ones."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = retrieval.dense_search(vectors, asked, 10, "embedding", "vec_id")
+    return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and containment routes fused."""
+    pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
+    asked = questions(spark, sf_dir)
+    one = _keyword(spark, sf_dir, 20).select("query_id", "rank", F.col("doc_id").alias("id"))
+    two = retrieval.like_search(pages, asked.withColumn("query", F.lit("")), 20).select("query_id", "rank", F.col("doc_id").alias("id"))
+    return retrieval.fuse_rrf([one.withColumn("route", F.lit("keyword")), two.withColumn("route", F.lit("sparse"))], 10).select("query_id", F.col("id").alias("doc_id"), F.round("rrf", 9).alias("rrf"), "rank", "route")
+
+
+def lexical_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _keyword(spark, sf_dir, 20).join(questions(spark, sf_dir), "query_id")
+    gated = retrieval.lexical_gate(hits, F.lower("text"), ratio=0.9)
+    return gated.select("query_id", "doc_id", "rank")
+
+
+def filter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"must": [{"key": "l_quantity", "range": {"gte": 10, "lt": 25}}, {"key": "l_discount", "range": {"gt": 0.02, "lte": 0.06}}, {"key": "l_returnflag", "match": {"any": ["A", "R"]}}]}
+    return filters.apply_filter(table(spark, sf_dir, "lineitem"), spec).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity").cast("double")), 2).alias("quantity"))
+
+
+def filter_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"must": [{"key": "p_size", "match": {"any": [1, 7, 23]}}, {"key": "p_brand", "match": {"value": "Brand#7"}}]}
+    return filters.apply_filter(table(spark, sf_dir, "part"), spec).select("p_partkey", "p_size")
+
+
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is relevant for a benchmark item if it holds the item's text; the keyword route answers."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    hits = _keyword(spark, sf_dir).select("query_id", "rank", "text")
+    ranks = items.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(F.contains("text", "passage"), F.col("rank"))).alias("rank"))
+    return ranks.agg(F.count("*").alias("query_count"), F.round(F.count_if(F.col("rank") <= 5) / F.count("*"), 6).alias("hit_at_5"), F.round(F.count_if(F.col("rank") <= 10) / F.count("*"), 6).alias("hit_at_10"), F.round(F.coalesce(F.sum(1.0 / F.col("rank")), F.lit(0.0)) / F.count("*"), 6).alias("mrr"))
+
+
+def eval_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "orders").select("o_orderstatus", F.pmod(F.col("o_orderkey"), F.lit(101)).cast("double").alias("score_total"))
+    got = evaluate.trends(results, "o_orderstatus")
+    return got.select("o_orderstatus", "count", "failed", F.round("avg_score", 6).alias("avg_score"), F.round("failure_rate", 6).alias("failure_rate"))
+
+
+def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's newest order, customers without orders included."""
+    newest = registry.latest(table(spark, sf_dir, "orders"), "o_custkey", order=[F.desc("o_orderdate"), F.desc("o_orderkey")])
+    joined = table(spark, sf_dir, "customer").join(newest, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", "o_orderkey")
+
+
+def orphan_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers left once orders of status F are gone and customers without any other order with them."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("order"), F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("id"))
+    left, _ = registry.delete_version(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), orders, "F")
+    return left.select(F.col("id").alias("c_custkey"))
+
+
+def status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = registry.latest(table(spark, sf_dir, "events"), "user_id", order=[F.desc("ts"), F.desc("event_id")])
+    return newest.select("user_id", "event_id", "event_type")
+
+
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream: a micro-batch replaces the state of the users it touches."""
+    import uuid
+
+    from citelake.streaming import status
+
+    source = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    # a pattern, since a stream reads folders or patterns and the table may be one file
+    stream = spark.readStream.schema(schema).parquet(f"{source[:-1]}[t]").select("user_id", "event_id", "event_type", "ts")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="citelake-")
+    base = f"{root.rstrip('/')}/citelake/stream-{uuid.uuid4().hex}"
+    query = status.run_latest(stream, f"{base}/state", f"{base}/checkpoint", ["user_id"], ["ts", "event_id"])
+    query.awaitTermination()
+    return status.read_latest(spark, f"{base}/state", query).select("user_id", "event_id", "event_type")
+
+
+def constraint_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best row of each group, then the first sixteen groups of each supplier."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("score"))
+    best = registry.latest(rows, "l_suppkey", "l_partkey", order=[F.desc("score"), F.col("l_orderkey"), F.col("l_linenumber")])
+    return retrieval.top_k(best, 16, F.desc("score"), F.col("l_partkey"), group="l_suppkey").select("l_suppkey", "l_partkey", "l_orderkey", "rank")
+
+
+def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needle = F.substring("text", 101, 20)
+    before, after = text.window_around(F.col("text"), needle, 80)
+    rows = table(spark, sf_dir, "conversations").where(F.length("text") >= 120)
+    return rows.select("conv_id", "turn", before.alias("context_before"), after.alias("context_after"))
+
+
+def redact_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted_sha256"))
+
+
+def offset_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns are a conversation's pages; which turn holds each hundredth character?"""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+    spans = extract.page_spans(pages)
+    offsets = spans.groupBy("doc_id").agg(F.max("stop").alias("_m")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_m", F.lit(0).cast("long")), F.lit(100).cast("long"))).alias("offset"))
+    return extract.page_of_offset(offsets, spans).select(F.col("doc_id").alias("conv_id"), "offset", F.col("page_no").alias("turn"))
+
+
+def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "customer").select("c_custkey", text.name_id(F.lit("person"), F.col("c_name")).alias("entity_id"))
+    return names
+
+
+def clause_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause ids made of order numbers, through the algebra."""
+    made = F.concat_ws(".", (F.col("o_orderkey") % 40 + 1).cast("string"), (F.col("o_custkey") % 30).cast("string"), (F.col("o_orderkey") % 7).cast("string"))
+    node = F.when(F.col("o_orderkey") % 3 == 0, F.concat(made, F.lit("("), F.col("o_orderkey") % 5, F.lit(")"))).otherwise(made)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", node.alias("node"))
+    return rows.select("o_orderkey", clauses.parent(F.col("node")).alias("parent"), clauses.level(F.col("node")).cast("long").alias("level"), clauses.root(F.col("node")).alias("root"), F.array_join(clauses.article_path(F.col("node")), ">").alias("path"))
+
+
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by packed sentences (260 to 520 characters, 80 of overlap)."""
+    pieces = text.packed_sentences(F.col("text"), 520, 80)
+    return docs_of(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("chunk_no", "chunk_text"))
+
+
+def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through the whole ingest: pages, blocks, chapters, chunks, gate, index rows."""
+    return hybrid.ingest(hybrid.document_pages(table(spark, sf_dir, "documents"))).select("id", "doc_id", "chunk_id", "page_start", "page_end", "chunk_text", "clause_id", "constraint_type")
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages asked of all documents by all routes; ten citations each."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.substring_index("text", ".", 1), "\n", " ").alias("question"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("chunk_text"), F.col("doc_id").alias("ordinal"))
+    hits = hybrid.search(hybrid.plain_rows(rows), asked, 10)
+    return retrieval.citations(hits).select("query_id", "rank", "doc_id", "excerpt", "route")
+
+
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("v1").alias("version_id"), "text")
+    got = source_pages.text_to_pages(docs)
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "page_no", F.size("blocks").alias("blocks"))
+
+
+def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid hits as de-duplicated citations."""
+    hits = hybrid_search(spark, sf_dir)
+    rows = hits.withColumns({"question": F.lit(""), **{c: F.lit(None).cast(t) for c, t in {"doc_name": "string", "page_start": "int", "page_end": "int", "chunk_text": "string", "source_type": "string", "page_type": "string", "table_id": "string", "row_index": "int", "clause_id": "string", "table_repr": "string"}.items()}})
+    return evidence.dedupe_citations(rows.withColumn("rank", F.col("rank").cast("int"))).select("query_id", "rank", "doc_id", "excerpt", "merged_count")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, rrf_fusion, lexical_gate, filter_range, filter_any,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers,
+    )
+}
+
+READABLE_SQL = r"regexp_replace(text, '[\p{L}\p{N}，。！？；：、（）()\[\]【】《》“”‘’+\-*/%=._:;,\"'' \n\t]', '', 'g')"
+NOISY_SQL = rf"""(trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR contains(lower(text), '%pdf-') OR contains(lower(text), 'endstream') OR contains(lower(text), 'obj<</filter/flatedecode')
+  OR (length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 120 AND 1 - length({READABLE_SQL}) / length(text) < 0.5))"""
+LATEST_STATUS_SQL = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+LIKE_SQL = f"""{QUESTIONS_SQL},
+d AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS body FROM documents),
+l AS (SELECT query_id, doc_id, list_sum(list_transform(terms, lambda t: CASE WHEN contains(body, t) THEN round(1 + least(length(t), 8) / 8.0, 3) ELSE 0.0 END)) AS part, terms, body FROM d, q WHERE len(terms) > 0)"""
+
+GATE_SQL = rf"""
+WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM documents),
+f AS (SELECT doc_id, o, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM c),
+j AS (SELECT doc_id, o, regexp_replace(lower(flat), '[^\p{{L}}\p{{M}}\p{{Nd}}]', '', 'g') AS sig, {NOISY_SQL} AS noise,
+        length(flat) < 100 AND NOT regexp_matches(flat, '\b\d+\.\d+(?:\.\d+)?\b') AND NOT regexp_matches(flat, '(?i)\d+\s*(?:kV|千伏|MVA|万元|万|亿)')
+        AND NOT regexp_matches(flat, '(^|[^0-9])[0-9]{{1,2}}(\.[0-9]+){{1,4}}(\([0-9A-Za-z]+\))?([^0-9]|$)') AS short FROM f),
+m AS (SELECT *, min(CASE WHEN NOT noise AND NOT short THEN o END) OVER (PARTITION BY doc_id, sig) AS first FROM j),
+g AS (SELECT *, CASE WHEN first < o THEN 'dup' WHEN noise THEN 'noise' WHEN short THEN 'short' ELSE 'keep' END AS gate FROM m),
+k AS (SELECT *, count(*) FILTER (WHERE gate = 'keep') OVER (PARTITION BY doc_id) AS kept FROM g),
+e AS (SELECT doc_id, CASE WHEN kept = 0 AND o <= 8 THEN 'keep' ELSE gate END AS gate FROM k)
+SELECT doc_id, count(*) FILTER (WHERE gate = 'keep') AS kept, count(*) FILTER (WHERE gate = 'dup') AS dropped_dup, count(*) FILTER (WHERE gate = 'noise') AS dropped_noise, count(*) FILTER (WHERE gate = 'short') AS dropped_short FROM e GROUP BY doc_id
+"""
+
+ORACLE = {
+    "doc_dedupe_sha256": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "quality_grade": """
+        WITH b AS (SELECT doc_id, count(*) FILTER (WHERE trim(l) <> '') AS block_count, coalesce(sum(length(trim(l))), 0)::bigint AS text_len FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id)
+        SELECT doc_id, block_count, text_len, least(100, text_len // 40 + 4 * block_count)::bigint AS score,
+               CASE WHEN least(100, text_len // 40 + 4 * block_count) >= 75 THEN 'A' WHEN least(100, text_len // 40 + 4 * block_count) >= 45 THEN 'B' ELSE 'C' END AS grade FROM b""",
+    "readable_ratio": f"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0.0 ELSE round(1 - length({READABLE_SQL}) / length(text), 6) END AS ratio FROM documents",
+    "noisy_chunk": f"SELECT doc_id, {NOISY_SQL} AS noisy FROM documents",
+    "chunk_gate_stats": GATE_SQL,
+    "repeat_line_denoise": r"""
+        WITH l AS (SELECT source, doc_id, trim(unnest(regexp_split_to_array(text, '\r\n|[\n\r]')), ' ' || chr(9)) AS line FROM documents), k AS (SELECT * FROM l WHERE line <> '' AND NOT regexp_matches(line, '(?i)licen[sc]e')),
+        p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1), c AS (SELECT source, line, count(*) AS n FROM k WHERE length(line) <= 50 GROUP BY 1, 2),
+        d AS (SELECT c.source, line FROM c JOIN p ON p.source = c.source WHERE n >= greatest(1, floor(pages * 0.2)))
+        SELECT doc_id, count(*) AS kept, sum(length(k.line))::bigint AS kept_chars FROM k LEFT JOIN d ON d.source = k.source AND d.line = k.line WHERE d.line IS NULL GROUP BY 1""",
+    "page_excerpt": r"SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)table\s+images/\S+', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 200) AS excerpt FROM pages",
+    "keyword_topk": f"WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM r WHERE rank <= 10",
+    "like_fallback_rank": f"""WITH {LIKE_SQL},
+        s AS (SELECT query_id, doc_id, part + CASE WHEN length(array_to_string(terms[1:2], '')) BETWEEN 1 AND 40 AND contains(body, array_to_string(terms[1:2], '')) THEN 6.0 ELSE 0.0 END AS score FROM l),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6)::double AS score, rank::int AS rank FROM r WHERE rank <= 10""",
+    "dense_topk": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id < 10),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank::int AS rank FROM r WHERE rank <= 10""",
+    "rrf_fusion": f"""WITH {SCORED_SQL},
+        a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+        {LIKE_SQL.split(",", 1)[1].split("AS terms FROM benchmark),", 1)[-1].strip()},
+        b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(part, 9) DESC, doc_id) AS rank FROM l WHERE part > 0),
+        u AS (SELECT query_id, doc_id, rank, 0 AS o FROM a WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 1 FROM b WHERE rank <= 20),
+        f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf, min(o * 1000 + rank) AS seen FROM u GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seen) AS rank FROM f)
+        SELECT query_id, doc_id, round(rrf, 9)::double AS rrf, rank::int AS rank, CASE WHEN seen < 1000 THEN 'keyword' ELSE 'sparse' END AS route FROM r WHERE rank <= 10""",
+    "lexical_gate": f"""WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+        t20 AS (SELECT * FROM r WHERE rank <= 20), g AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM t20)
+        SELECT query_id, doc_id, rank::int AS rank FROM g WHERE score >= greatest(0.3, 0.9 * top)""",
+    "filter_range": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity::double), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 25 AND l_discount > 0.02 AND l_discount <= 0.06 AND l_returnflag IN ('A', 'R') GROUP BY 1",
+    "filter_any": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 23) AND p_brand = 'Brand#7'",
+    "retrieval_metrics": f"""WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+        h AS (SELECT b.item_id, min(r.rank) FILTER (WHERE contains(d.text, b.text)) AS rank FROM benchmark b LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1)
+        SELECT count(*) AS query_count, round(count(*) FILTER (WHERE rank <= 5) / count(*), 6) AS hit_at_5, round(count(*) FILTER (WHERE rank <= 10) / count(*), 6) AS hit_at_10, round(coalesce(sum(1.0 / rank), 0)::double / count(*), 6) AS mrr FROM h""",
+    "eval_trends": """
+        SELECT o_orderstatus, count(*) AS count, count(*) FILTER (WHERE o_orderkey % 101 < 60) AS failed, round(avg((o_orderkey % 101)::double), 6) AS avg_score, round(count(*) FILTER (WHERE o_orderkey % 101 < 60) / count(*), 6) AS failure_rate
+        FROM orders GROUP BY 1""",
+    "registry_latest": """
+        WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+        SELECT c_custkey, o_orderkey FROM customer LEFT JOIN n ON o_custkey = c_custkey AND n = 1""",
+    "orphan_anti_join": """
+        SELECT c_custkey FROM customer c WHERE NOT (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F'))""",
+    "status_latest": LATEST_STATUS_SQL,
+    "stream_status": LATEST_STATUS_SQL,
+    "constraint_group_best": """
+        WITH b AS (SELECT l_suppkey, l_partkey, l_orderkey, l_extendedprice::double AS score, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_extendedprice::double DESC, l_orderkey, l_linenumber) AS n FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, l_partkey) AS rank FROM b WHERE n = 1) SELECT l_suppkey, l_partkey, l_orderkey, rank::int AS rank FROM r WHERE rank <= 16""",
+    "citation_context": """
+        WITH c AS (SELECT conv_id, turn, text, substr(text, 101, 20) AS x, strpos(text, substr(text, 101, 20)) AS p FROM conversations WHERE length(text) >= 120)
+        SELECT conv_id, turn, substr(text, greatest(p - 80, 1)::bigint, (p - greatest(p - 80, 1))::bigint) AS context_before, substr(text, (p + length(x))::bigint, 80) AS context_after FROM c""",
+    "redact_prompt": """
+        SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '1[3-9][0-9]{9}', '[PHONE]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{17}[0-9Xx]', '[ID_CARD]', 'g')) AS redacted_sha256 FROM documents""".replace("\\\\", "\\"),
+    "offset_to_page": """
+        WITH p AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
+        s AS (SELECT conv_id, turn, (e - n - 1)::bigint AS start, (e - 1)::bigint AS stop FROM p), m AS (SELECT conv_id, max(stop) AS m FROM s GROUP BY 1), o AS (SELECT conv_id, unnest(range(0, m + 1, 100)) AS offset FROM m)
+        SELECT o.conv_id, o.offset, min(s.turn) AS turn FROM o JOIN s ON s.conv_id = o.conv_id AND o.offset BETWEEN s.start AND s.stop GROUP BY 1, 2""",
+    "clause_algebra": """
+        WITH n AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS sub, concat_ws('.', o_orderkey % 40 + 1, o_custkey % 30, o_orderkey % 7) AS m, o_orderkey % 5 AS s, o_orderkey % 40 + 1 AS a, o_custkey % 30 AS b, o_orderkey % 7 AS c FROM orders)
+        SELECT o_orderkey, CASE WHEN sub THEN m ELSE a || '.' || b END AS parent, CASE WHEN sub THEN 4 ELSE 3 END::bigint AS level, a || '.' || b AS root, a || '>' || a || '.' || b || '>' || m AS path FROM n""",
+    "entity_ids": r"SELECT c_custkey, 'person_' || substr(h, 1, 12) || '5' || substr(h, 14, 3) AS entity_id FROM (SELECT c_custkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('person:' || c_name)) AS h FROM customer)",
+    "text_pages": """
+        WITH l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) AS x FROM documents) WHERE trim(x, ' ' || chr(9) || chr(160)) <> '' GROUP BY 1),
+        p AS (SELECT doc_id, least(n, 4000) AS n, unnest(range(0, least(n, 4000), 120)) AS s FROM l) SELECT doc_id, (s // 120 + 1)::int AS page_no, least(120, n - s)::int AS blocks FROM p""",
+}
