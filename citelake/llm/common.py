@@ -121,17 +121,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words (as WORD finds them), with array operations over its UTF-8 bytes only: the
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, first bytes) of the words in UTF-8 bytes, as WORD finds them, by array operations only: the
     difference of two prefix sums of byte times power, shifted back to the first byte."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~_BLANK[data]
     edge = np.diff(inside)
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), first
     power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    return mix((sums[end] - sums[first]) * inverse[first])
+    return mix((sums[end] - sums[first]) * inverse[first]), first
+
+
+def text_slices(batch, column: int, most: int = 1 << 20):
+    """Slices of an Arrow batch whose texts hold at most `most` bytes (or one text), each with its texts' bytes joined by
+    line feeds and the first byte of every text."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    start = 0
+    while start < batch.num_rows:
+        total = np.cumsum(sizes[start:])
+        n = max(1, int(np.searchsorted(total, most, side="right")))
+        part = batch.slice(start, n)
+        joined = "\n".join(t or "" for t in part.column(column).to_pylist()).encode("utf-8", "surrogatepass")
+        yield part, np.frombuffer(joined, np.uint8), np.concatenate([[0], total[: n - 1]])
+        start += n

@@ -1,7 +1,7 @@
 """Substring dedup (operator 2): a log-structured index of window fingerprints.
 
 A window is `size` consecutive words. Storing the fingerprint of every window would cost many times the text, so the
-index keeps, for each text, the distinct minimizers of its windows: the least hash among a window's `size` - 4 five-word
+index keeps, for each text, the distinct minimizers of its windows: the least hash among a window's `size` - 4 eight-word
 grams. Equal windows have equal minimizers, so only windows whose minimizer occurs in two texts (or whose sequence
 repeats inside its own text) can be repeated; no other window needs a look.
 
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 from .common import WORD
 
-GRAM = 5
+GRAM = 8
 NO_ID = -(1 << 63)
+#: Text bytes a bucket of the index is made for. Text runs are written without a shuffle (files: tasks x buckets).
+BUCKET_BYTES = 64 << 20
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,27 +57,48 @@ def rolled(w: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
         power, length = power * power, length * 2
 
 
-def window_hash(w: np.ndarray, size: int) -> np.ndarray:
+def with_owner(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Values that also depend on the text they are from."""
     with np.errstate(over="ignore"):
-        return common.mix(rolled(w, size, _P))
-
-
-def minimizers(w: np.ndarray, size: int) -> np.ndarray:
-    """For every window the least gram hash in it."""
-    with np.errstate(over="ignore"):
-        least = common.mix(rolled(w, GRAM, _Q))
-    span, have = size - GRAM + 1, 1
-    while have < span:
-        step = min(have, span - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        have += step
-    return least
-
-
-def repeated(h: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
-    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    return count[inverse] > 1
+        return common.mix(values ^ common.mix(owner.astype(np.uint64) * _Q + _P))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+class Windows:
+    """The windows of several texts at once: words of all texts in one array, windows over a text's end left out."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, size: int):
+        self.words, first = common.word_hashes(data)
+        owner = np.searchsorted(starts, first, side="right") - 1
+        n = max(0, len(first) - size + 1)
+        self.at = np.flatnonzero(owner[:n] == owner[size - 1 :]) if n else np.empty(0, np.int64)
+        self.owner = owner[self.at]
+        self.pos = self.at - np.searchsorted(owner, self.owner)
+        self.size = size
+
+    def minimizers(self) -> np.ndarray:
+        """For every window the least gram hash in it."""
+        if not len(self.at):
+            return np.empty(0, np.uint64)
+        with np.errstate(over="ignore"):
+            least = common.mix(rolled(self.words, GRAM, _Q))
+        span, have = self.size - GRAM + 1, 1
+        while have < span:
+            step = min(have, span - have)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            have += step
+        return least[self.at]
+
+    def fingerprints(self, second: bool = False) -> np.ndarray:
+        if not len(self.at):
+            return np.empty(0, np.uint64)
+        with np.errstate(over="ignore"):
+            w, base = (common.mix(self.words ^ _Q), _Q) if second else (self.words, _P)
+            return common.mix(rolled(w, self.size, base))[self.at]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,28 +116,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _grams(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
-                keys, mins, owns = [], [], []
-                for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if t in seen:
-                        continue
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(t)
-                    w = common.word_hashes(text)
-                    if len(w) < size:
-                        continue
-                    m = minimizers(w, size)
-                    twice = repeated(window_hash(w, size))
-                    some = np.unique(m)
-                    keys.append(np.full(len(some), t, np.int64))
-                    mins.append(some)
-                    owns.append(np.isin(some, m[twice]) if twice.any() else np.zeros(len(some), bool))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mins).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(owns))], names=["m", "t", "own"])
+        for big in _texts(batches):
+            for b, data, starts in common.text_slices(big, 1):
+                w = Windows(data, starts, size)
+                if not len(w.at):
+                    continue
+                m, t = w.minimizers(), b.column(0).to_numpy()
+                own = with_owner(w.fingerprints(), w.owner)
+                _, inverse, count = np.unique(own, return_inverse=True, return_counts=True)
+                twice = count[inverse] > 1
+                key = with_owner(m, w.owner)
+                _, some = np.unique(key, return_index=True)
+                repeats = among(key[some], key[twice])
+                yield pa.RecordBatch.from_arrays([pa.array(m[some].view(np.int64)), pa.array(t[w.owner[some]]), pa.array(repeats)], names=["m", "t", "own"])
 
     return run
 
@@ -123,20 +137,15 @@ def _windows(size: int):
     """(t, text, marks, batch, cid, part) -> the windows whose minimizers are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 200):
-                b = big.slice(at, 200)
-                cols: list[list] = [[] for _ in range(6)]
-                for text, marks, batch, cid, part in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
-                    w = common.word_hashes(text)
-                    pos = np.flatnonzero(np.isin(minimizers(w, size), np.array(marks, np.int64).view(np.uint64)))
-                    with np.errstate(over="ignore"):
-                        one, two = common.mix(rolled(w, size, _P))[pos], common.mix(rolled(common.mix(w ^ _Q), size, _Q))[pos]
-                    n = len(pos)
-                    for col, v in zip(cols, (one.view(np.int64), two.view(np.int64), np.full(n, batch, np.int32), np.full(n, cid, np.int64), np.full(n, part, np.int32), pos.astype(np.int32)), strict=True):
-                        col.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "c", "batch", "cid", "part", "pos"])
+        for big in _texts(batches):
+            for b, data, starts in common.text_slices(big, 1):
+                w, marks = Windows(data, starts, size), b.column(2)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
+                keep = among(with_owner(w.minimizers(), w.owner), with_owner(marks.flatten().to_numpy().view(np.uint64), owner))
+                if keep.any():
+                    o = w.owner[keep]
+                    batch, cid, part = (b.column(k).to_numpy()[o] for k in (3, 4, 5))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (w.fingerprints()[keep].view(np.int64), w.fingerprints(True)[keep].view(np.int64), batch, cid, part, w.pos[keep].astype(np.int32))], names=["h", "c", "batch", "cid", "part", "pos"])
 
     return run
 
@@ -179,7 +188,7 @@ class FingerprintIndex:
         if size < GRAM:
             raise ValueError(f"windows have {GRAM} words at least")
         self.spark, self.size, self.max_runs, self.seed = spark, size, max_runs, seed
-        self.buckets = buckets or common.buckets_of(spark)
+        self.buckets = buckets  # None: from the first batch's size
         # one task reads one bucket, also where no join needs it: the copies of a text that several writers left meet there
         spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
         self.batches = 0
@@ -208,18 +217,20 @@ class FingerprintIndex:
         ids = rows.select("id", "t")
         members = ids.join(firsts.select("t", "cid", "batch"), "t").select("id", "t", ((F.col("batch") < n) | (F.coalesce("id", F.lit(NO_ID)) != F.col("cid"))).alias("copy"))
 
+        if self.buckets is None:
+            size_sum = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+            self.buckets = max(2 * self.spark.sparkContext.defaultParallelism, -(-size_sum // BUCKET_BYTES))
         _, body = common.run_table(rows.select("t", "text").mapInArrow(_texts, "t long, text string"), "texts", "t", self.buckets)
-        _, grams = common.run_table(body.mapInArrow(_grams(size), "m long, t long, own boolean"), "minimizers", "m", self.buckets)
+        fresh = body.mapInArrow(_grams(size), "m long, t long, own boolean").repartition(self.buckets, "m")  # one file a bucket
+        _, grams = common.run_table(fresh, "minimizers", "m", self.buckets)
         self.classes.append(new)
         marked = self._matches(grams)
         windows = self._windows_of(marked, [*(b for _, b in self.texts), body], firsts)
-        name, seen = common.run_table(windows, "windows", "h", self.buckets)
-        # the first place of a fingerprint is the first row of its sorted stretch: one read of the run, no join, no buffer
+        # the first place of a fingerprint is the first row of its sorted stretch: one exchange, no join, no buffer
         nth = F.row_number().over(Window.partitionBy("h", "c").orderBy("batch", "cid", "part", "pos"))
-        again = seen.withColumn("nth", nth).where((F.col("nth") > 1) & (F.col("batch") == n)).select("cid", "part", "pos")
+        again = windows.withColumn("nth", nth).where((F.col("nth") > 1) & (F.col("batch") == n)).select("cid", "part", "pos")
         starts = again.groupBy("cid", "part").agg(F.collect_list("pos").alias("starts")).join(new.select("cid", "part", "t"), ["cid", "part"]).select("t", "starts")
         starts = common.written(starts, "repeats")
-        common.drop_run(self.spark, name, seen)
         mine = body.join(new.select("t"), "t", "left_semi") if known is not None else body
         results = mine.join(starts, "t", "left").select("t", "text", "starts").mapInArrow(_cut(size), "t long, n_words long, n_removed long, kept_text string")
         self.grams.append(("", grams))
@@ -247,7 +258,7 @@ class FingerprintIndex:
 
     def _windows_of(self, marked: DataFrame, bodies: list[DataFrame], firsts: DataFrame) -> DataFrame:
         placed = common.written(marked.join(firsts.select("t", "batch", "cid", "part"), "t"), "marked-texts")
-        made = [b.join(placed, "t").select("t", "text", "marks", "batch", "cid", "part").mapInArrow(_once, "t long, text string, marks array<long>, batch int, cid long, part int").mapInArrow(_windows(self.size), "h long, c long, batch int, cid long, part int, pos int") for b in bodies]
+        made = [b.join(placed, "t").select("t", "text", "marks", "batch", "cid", "part").mapInArrow(_windows(self.size), "h long, c long, batch int, cid long, part int, pos int") for b in bodies]
         return reduce(DataFrame.unionByName, made)
 
     def compact(self) -> None:
@@ -258,11 +269,6 @@ class FingerprintIndex:
             setattr(self, kind, [common.run_table(merged, f"compacted-{kind}".replace("-", "_"), key, self.buckets)])
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one text are in one bucket: keep the first."""
-    return _texts(batches)
-
-
 def remove_repeats(docs: DataFrame, size: int = 20, batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All documents through a fresh index, in `batches` batches of ascending ids: members and results as add() gives
     them. Null ids go first."""
