@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounded Arrow batches: a Python worker and its task hold a few of them at a time, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -37,6 +43,7 @@ def stage_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, label)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,23 +85,6 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(t), F.xxhash64(F.lit(7), t)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound."""
-
-    def __init__(self, seed: int = 0, bound: int = 400_000):
-        super().__init__()
-        self.seed, self.bound = seed, bound
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
-        return got
-
-    def array(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash, so that every bit depends on all of x."""
     x = x ^ (x >> np.uint64(30))
@@ -104,6 +94,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[ord(c) for c in BLANKS]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -136,6 +128,10 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[first]) * inverse[first]), first
 
 
+def ascii_lower(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def text_slices(batch, column: int, most: int = 1 << 20):
     """Slices of an Arrow batch whose texts hold at most `most` bytes (or one text), each with its texts' bytes joined by
     line feeds and the first byte of every text."""

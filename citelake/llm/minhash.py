@@ -33,7 +33,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .common import WORD
 
 BANDS, ROWS = 42, 5
 #: Least estimate for a measurement; a class estimated below is less similar than AGAIN (five standard deviations more).
@@ -43,20 +42,19 @@ ROUNDS, MARGIN = 2, 0.15
 K = BANDS * ROWS
 PACKED = K // 16 * 16
 _A = np.random.default_rng(20240607).integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = str.maketrans(common.A_TO_Z, common.A_TO_Z.lower())
 BLOCK = 2048
 
 
-def shingles(text: str | None, hashes: common.WordHashes, width: int) -> np.ndarray:
+def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; a text of fewer words is one shingle."""
-    words = WORD.findall(text.translate(_LOWER)) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    w = hashes.array(words)
+    w, _ = common.word_hashes(common.ascii_lower(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)))
+    if not len(w):
+        return w
     n = min(width, len(w))
     out = np.full(len(w) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - n + 1 + i])
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - n + 1 + i])
     return np.unique(out)
 
 
@@ -80,14 +78,14 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
     """(id, n, s1, s2, bands, bits); s1 and s2 stand for the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = common.WordHashes(), {}
+        known: dict[bytes, tuple] = {}
 
         def one(t: str | None):
             key = xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"))
             if key not in known:
-                if len(known) >= 20_000:
+                if len(known) >= 5_000:
                     known.clear()
-                s = shingles(t, hashes, width)
+                s = shingles(t, width)
                 if len(s):
                     least = minima(s)
                     rows = least.reshape(BANDS, ROWS)
@@ -143,13 +141,13 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int, doc_id: str, text: str)
     that texts move once and never more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = common.WordHashes(), None
+        last = None
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 b = big.slice(start, 256)
                 ids, sets = [], []
                 for i, t, s1 in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    s = shingles(t, hashes, width) if i != last else np.empty(0, np.uint64)
+                    s = shingles(t, width) if i != last else np.empty(0, np.uint64)
                     if len(s) and int(_digest(s)[0]) == s1:  # repeated rows of a class lie side by side: the first counts
                         last = i
                         ids.append(i), sets.append(s.tobytes())

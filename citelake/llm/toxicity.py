@@ -56,7 +56,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int =
     empty = Machine(float(np.log((pos + 0.5) / (n - pos + 0.5))), np.empty(0, np.int64), np.empty(0), np.empty((0, rank)))
     if not pos or pos == n:
         return empty
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     slots, place = np.unique(flat, return_inverse=True)
     have = np.bincount(place, minlength=len(slots)).astype(float)
     hit = np.bincount(place, weights=labels[owner].astype(float), minlength=len(slots))
@@ -114,7 +114,7 @@ def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def distinct(rows: list[np.ndarray]) -> np.ndarray:
     """Places of rows without the later ones of those that share two minima of their slots: (near) copies of one text
     would otherwise lend their other words weight."""
-    pair = [(int((r * 2654435761 % (1 << 32)).min()), int((r * 2246822519 % (1 << 32)).min())) if len(r) else (-1, i) for i, r in enumerate(rows)]
+    pair = [(int((r.astype(np.int64) * 2654435761 % (1 << 32)).min()), int((r.astype(np.int64) * 2246822519 % (1 << 32)).min())) if len(r) else (-1, i) for i, r in enumerate(rows)]
     return np.sort(np.unique(np.array(pair, np.int64).reshape(-1, 2), axis=0, return_index=True)[1])
 
 
@@ -123,10 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, doc_id: st
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y is not null and id is not null").where(~held_out(F.col("id")))
     sample = known.dropDuplicates(["id"]).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(max_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id").select("id", "t", "y")  # max_rows bounds it
-    got = texts.mapInArrow(_slots_of, "id long, y int, slots array<int>").dropDuplicates(["id"]).toPandas().sort_values("id")
-    rows = [np.asarray(s, np.int64) for s in got["slots"]]
+    got = texts.mapInArrow(_slots_of, "id long, y int, slots array<int>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    slots = got["slots"].combine_chunks() if got.num_rows else None
+    rows = np.split(slots.flatten().to_numpy(), slots.offsets.to_numpy()[1:-1] - slots.offsets[0].as_py()) if got.num_rows else []
     keep = distinct(rows)
-    return fit([rows[i] for i in keep], got["y"].to_numpy(np.int64)[keep]) if len(got) else Machine(0.0, np.empty(0, np.int64), np.empty(0), np.empty((0, 1)))
+    return fit([rows[i] for i in keep], got["y"].to_numpy().astype(np.int64)[keep]) if got.num_rows else Machine(0.0, np.empty(0, np.int64), np.empty(0), np.empty((0, 1)))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
@@ -143,7 +144,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
         def place(term: str) -> int:
             got = known.get(term)
             if got is None:
-                if len(known) >= 500_000:
+                if len(known) >= 200_000:
                     known.clear()
                 got = known[term] = where.get(slot(term), -1)
             return got
