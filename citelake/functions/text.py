@@ -169,9 +169,9 @@ def packed_sentences(c: Column, max_chars: int, overlap: int) -> Column:
 
 def redact(c: Column) -> Column:
     """Phone numbers, e-mail addresses and identity-card numbers masked."""
-    t = F.regexp_replace(c, r"1[3-9][0-9]{9}", "[PHONE]")
+    t = F.regexp_replace(c, r"(?<!\d)1[3-9]\d{9}(?!\d)", "[PHONE]")
     t = F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    return F.regexp_replace(t, r"[0-9]{17}[0-9Xx]", "[ID_CARD]")
+    return F.regexp_replace(t, r"(?U)\b\d{17}[\dXx]\b", "[IDCARD]")
 
 
 def occurrences(text: Column, term: Column) -> Column:

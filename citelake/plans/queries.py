@@ -332,8 +332,10 @@ ORACLE = {
     "citation_context": """
         WITH c AS (SELECT conv_id, turn, text, substr(text, 101, 20) AS x, strpos(text, substr(text, 101, 20)) AS p FROM conversations WHERE length(text) >= 120)
         SELECT conv_id, turn, substr(text, greatest(p - 80, 1)::bigint, (p - greatest(p - 80, 1))::bigint) AS context_before, substr(text, (p + length(x))::bigint, 80) AS context_after FROM c""",
-    "redact_prompt": """
-        SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '1[3-9][0-9]{9}', '[PHONE]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{17}[0-9Xx]', '[ID_CARD]', 'g')) AS redacted_sha256 FROM documents""".replace("\\\\", "\\"),
+    "redact_prompt": r"""
+        WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[PHONE]\2', 'g'), '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[PHONE]\2', 'g') AS t FROM documents),
+        e AS (SELECT doc_id, regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS t FROM p)
+        SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{N}_])[0-9]{17}[0-9Xx]($|[^\p{L}\p{N}_])', '\1[IDCARD]\2', 'g'), '(^|[^\p{L}\p{N}_])[0-9]{17}[0-9Xx]($|[^\p{L}\p{N}_])', '\1[IDCARD]\2', 'g')) AS redacted_sha256 FROM e""",
     "offset_to_page": """
         WITH p AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
         s AS (SELECT conv_id, turn, (e - n - 1)::bigint AS start, (e - 1)::bigint AS stop FROM p), m AS (SELECT conv_id, max(stop) AS m FROM s GROUP BY 1), o AS (SELECT conv_id, unnest(range(0, m + 1, 100)) AS offset FROM m)
