@@ -21,10 +21,10 @@ def within(page: Column) -> Column:
     return F.coalesce(page.between(F.coalesce("page_start", F.lit(0)), F.coalesce("page_end", "page_start", F.lit(0))), F.lit(False))
 
 
-def matches_spec(spec: Column, fields: tuple[str, ...] = SPEC_TEXT) -> Column:
+def matches_spec(spec: Column) -> Column:
     """Whether a hit satisfies every given part of a spec (struct of SPEC_TEXT fields, is_mandatory, page)."""
     ok = F.lit(True)
-    for f in fields:
+    for f in SPEC_TEXT:
         ok = ok & _same(f, spec[f])
     must, page = spec["is_mandatory"], spec["page"]
     return ok & (must.isNull() | (F.coalesce("is_mandatory", F.lit(False)) == must)) & (page.isNull() | within(page))
