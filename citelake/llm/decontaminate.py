@@ -4,7 +4,7 @@ Test items are read in blocks of bounded size (`block_words`), each broadcast. A
 three-word gram of the items occurs in the corpus (all documents, summed on the map side; one row a gram). Of every two
 consecutive grams of an item the rarer becomes a seed, so no frequent phrase is a seed while a rarer neighbour can stand
 in, yet an edited copy in which at most every fifth word is changed, left out or put in always keeps a seed. The second
-pass aligns the item with the text around each seed's diagonal (match +1, mismatch -1, gap -1, local); similarity is the
+pass aligns the item with the text around each seed's diagonal (match +2, mismatch -1, gap -1, local); similarity is the
 share of the item's words that the best alignment matches.
 
 Defined results: null and empty texts have no hits, nor do null items or items of fewer than three words; repeated rows
@@ -36,7 +36,7 @@ def smith_waterman(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, i
     h = np.zeros((n + 1, m + 1), np.int32)
     ramp = np.arange(m + 1)
     for i in range(1, n + 1):
-        step = np.where(part == item[i - 1], 1, -1)
+        step = np.where(part == item[i - 1], 2, -1)
         row = np.zeros(m + 1, np.int32)
         np.maximum(h[i - 1, :-1] + step, h[i - 1, 1:] - 1, out=row[1:])
         np.maximum(row, 0, out=row)
@@ -45,7 +45,7 @@ def smith_waterman(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, i
     score, last, matches = int(h[i, j]), int(j) - 1, 0
     while h[i, j] > 0:
         same = item[i - 1] == part[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (1 if same else -1):
+        if h[i, j] == h[i - 1, j - 1] + (2 if same else -1):
             matches += int(same)
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] - 1:
