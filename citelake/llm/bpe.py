@@ -35,7 +35,7 @@ def read_ranks(path: str) -> bytes:
 
 
 class Vocabulary:
-    def __init__(self, lines: bytes, pattern: str, remember: int = 300_000):
+    def __init__(self, lines: bytes, pattern: str, remember: int = 100_000):
         self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         self.token = {b: a for a, b in self.rank.items()}
         self.split = regex.compile(pattern).findall
@@ -45,7 +45,7 @@ class Vocabulary:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.shorter: dict[int, int | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -64,10 +64,10 @@ class Vocabulary:
         return [rank[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 2_000_000:
+            if len(self.fits) >= 400_000:
                 self.fits.clear()
             known = self.fits[key] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return known
@@ -127,6 +127,13 @@ class Vocabulary:
             out.append(got)
         return b"".join(out)
 
+
+class Tokens:
+    """What decoding needs: the bytes of each id."""
+
+    def __init__(self, lines: bytes):
+        self.token = {int(b): base64.b64decode(a) for a, b in (x.split() for x in lines.splitlines() if x)}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
@@ -136,9 +143,9 @@ def vocabulary(lines: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(lines, pattern)
 
 
-def with_column(batch: pa.RecordBatch, name: str, values: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
-    columns = [values if f.name == name else batch.column(batch.schema.get_field_index(f.name)) for f in schema]
-    return pa.RecordBatch.from_arrays(columns, names=schema.names)
+@lru_cache(maxsize=2)
+def tokens(lines: bytes) -> Tokens:
+    return Tokens(lines)
 
 
 def _mapped(df: DataFrame, column: str, make, out: str) -> DataFrame:
@@ -174,12 +181,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
     return got.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
     """df with decoded (binary), the bytes that token_ids stand for."""
     sent = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def make():
-        v = vocabulary(sent.value, pattern)
+        v = tokens(sent.value)
         return lambda x: v.decode(x) if x else b""
 
     return _mapped(df, ids, make, "decoded")

@@ -74,7 +74,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "token_ids")
-    return bpe.decode(coded, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(coded, path).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
