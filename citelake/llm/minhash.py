@@ -42,7 +42,7 @@ ROUNDS, MARGIN = 2, 0.15
 K = BANDS * ROWS
 PACKED = K // 16 * 16
 _A = np.random.default_rng(20240607).integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BLOCK = 2048
+BLOCK = 512
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
     named = measured.select("lead", "rep", "size", "n", "lacks", "adds").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     several = named.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").drop("lo", "hi")
+    several = common.written(several, "open-leaders")  # apart, so that the join below may split a hot leader
     names = ("lead", "i", "j", "rep", "comp", "size", "n", "block", "lacks", "adds")
     links = _faced(named.join(several, "lead"), "lead", "members").select(*names).mapInArrow(_grouped(names, lambda g: _linked(g, percent)), "a long, b long")
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)

@@ -101,14 +101,15 @@ class Windows:
             return common.mix(rolled(w, self.size, base))[self.at]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, text), each text once in a task: copies meet here before anything is written."""
+def _texts(batches: Iterator[pa.RecordBatch], remember: int | None = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """(t, text, ...), each text once in a task: copies meet here before anything is written. remember None: without bound,
+    for tasks that read one bucket and must see each of its texts once."""
     seen: set[int] = set()
     for b in batches:
         fresh = []
         for t in b.column(0).to_pylist():
             fresh.append(t not in seen)
-            if len(seen) >= 1_000_000:
+            if remember and len(seen) >= remember:
                 seen.clear()
             seen.add(t)
         yield b.filter(pa.array(fresh, pa.bool_()))
@@ -134,18 +135,26 @@ def _grams(size: int):
 
 
 def _windows(size: int):
-    """(t, text, marks, batch, cid, part) -> the windows whose minimizers are marked."""
+    """(t, text, marks, batch, cid, part) -> the windows whose minimizers are marked. Of equal fingerprints in one slice
+    of texts only the first place may be the first of all; the others are repeats for certain (`again`) and need not meet
+    anywhere, so a passage that very many documents share sends one row a slice to its fingerprint's task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in _texts(batches):
+        for big in _texts(batches, None):
             for b, data, starts in common.text_slices(big, 1):
                 w, marks = Windows(data, starts, size), b.column(2)
                 owner = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
                 keep = among(with_owner(w.minimizers(), w.owner), with_owner(marks.flatten().to_numpy().view(np.uint64), owner))
                 if keep.any():
                     o = w.owner[keep]
+                    h, c = w.fingerprints()[keep].view(np.int64), w.fingerprints(True)[keep].view(np.int64)
                     batch, cid, part = (b.column(k).to_numpy()[o] for k in (3, 4, 5))
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (w.fingerprints()[keep].view(np.int64), w.fingerprints(True)[keep].view(np.int64), batch, cid, part, w.pos[keep].astype(np.int32))], names=["h", "c", "batch", "cid", "part", "pos"])
+                    pos = w.pos[keep].astype(np.int32)
+                    order = np.lexsort((pos, part, cid, batch, c, h))
+                    h, c, batch, cid, part, pos = (v[order] for v in (h, c, batch, cid, part, pos))
+                    again = np.zeros(len(h), bool)
+                    again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, c, batch, cid, part, pos, again)], names=["h", "c", "batch", "cid", "part", "pos", "again"])
 
     return run
 
@@ -226,11 +235,14 @@ class FingerprintIndex:
         self.classes.append(new)
         marked = self._matches(grams)
         windows = self._windows_of(marked, [*(b for _, b in self.texts), body], firsts)
+        windows = common.written(windows, "windows")
         # the first place of a fingerprint is the first row of its sorted stretch: one exchange, no join, no buffer
         nth = F.row_number().over(Window.partitionBy("h", "c").orderBy("batch", "cid", "part", "pos"))
-        again = windows.withColumn("nth", nth).where((F.col("nth") > 1) & (F.col("batch") == n)).select("cid", "part", "pos")
+        later = windows.where("not again").withColumn("nth", nth).where(F.col("nth") > 1)
+        again = windows.where("again").unionByName(later.drop("nth")).where(F.col("batch") == n).select("cid", "part", "pos")
         starts = again.groupBy("cid", "part").agg(F.collect_list("pos").alias("starts")).join(new.select("cid", "part", "t"), ["cid", "part"]).select("t", "starts")
         starts = common.written(starts, "repeats")
+        common.discard(self.spark, windows)
         mine = body.join(new.select("t"), "t", "left_semi") if known is not None else body
         results = mine.join(starts, "t", "left").select("t", "text", "starts").mapInArrow(_cut(size), "t long, n_words long, n_removed long, kept_text string")
         self.grams.append(("", grams))
@@ -258,7 +270,7 @@ class FingerprintIndex:
 
     def _windows_of(self, marked: DataFrame, bodies: list[DataFrame], firsts: DataFrame) -> DataFrame:
         placed = common.written(marked.join(firsts.select("t", "batch", "cid", "part"), "t"), "marked-texts")
-        made = [b.join(placed, "t").select("t", "text", "marks", "batch", "cid", "part").mapInArrow(_windows(self.size), "h long, c long, batch int, cid long, part int, pos int") for b in bodies]
+        made = [b.join(placed, "t").select("t", "text", "marks", "batch", "cid", "part").mapInArrow(_windows(self.size), "h long, c long, batch int, cid long, part int, pos int, again boolean") for b in bodies]
         return reduce(DataFrame.unionByName, made)
 
     def compact(self) -> None:
