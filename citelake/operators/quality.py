@@ -65,13 +65,26 @@ def low_quality(versions: DataFrame) -> DataFrame:
     return versions.where(bad).select("doc_id", "version_id")
 
 
+def noise_line_ratio(body: Column) -> Column:
+    """Share of lines that are site marks, unreadable, or short without Chinese; 1 without lines."""
+    rows = text.lines(body)
+    bare = lambda x: text.without_space(x)
+    noisy = F.filter(rows, lambda x: text.contains_any(F.lower(x), ("www.", ".com", "bzfxw")) | (text.readable_ratio(x) < 0.45) | ((bare(x) != "") & (text.cjk_ratio(bare(x)) < 0.05) & (F.length(bare(x)) <= 48)))
+    return F.when(F.size(rows) > 0, F.size(noisy) / F.size(rows)).otherwise(1.0)
+
+
 def needs_ocr(page_text: Column) -> Column:
     """A page whose text layer is too short, unreadable, mostly noise lines, or short without Chinese."""
     t = text.strip(page_text)
-    rows = text.lines(t)
-    noisy = F.filter(rows, lambda x: F.lower(x).rlike(r"www\.|\.com|bzfxw") | (text.readable_ratio(x) < 0.55) | ((F.length(x) <= 4) & (text.cjk_ratio(x) == 0)))
-    ratio = F.when(F.size(rows) > 0, F.size(noisy) / F.size(rows)).otherwise(1.0)
-    return (F.length(t) < 48) | (text.readable_ratio(t) < 0.55) | (ratio >= 0.4) | ((text.cjk_ratio(t) == 0) & (F.length(t) <= 160))
+    return (F.length(t) < 48) | (text.readable_ratio(t) < 0.55) | (noise_line_ratio(t) >= 0.4) | ((text.cjk_ratio(t) == 0) & (F.length(t) <= 160))
+
+
+def needs_full_ocr(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "version_id")) -> DataFrame:
+    """(keys, bad_pages, full): whether so many pages are bad that the whole document is read again."""
+    per = pages.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(needs_ocr(F.col("text"))).alias("bad_pages"), F.avg(F.length(F.coalesce("text", F.lit("")))).alias("_chars"))
+    share = F.col("bad_pages") / F.col("_n")
+    full = (F.col("bad_pages") > 0) & ((F.col("bad_pages") >= 24) | (share >= 0.3) | ((F.col("_chars") <= 180) & (share >= 0.15)))
+    return per.select(*keys, "bad_pages", full.alias("full"))
 
 
 def field_errors(voltage_kv: Column, amount_wan: Column) -> Column:

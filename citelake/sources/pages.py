@@ -42,7 +42,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
 
 def page_rows(pages: DataFrame) -> DataFrame:
     """Pages as rows for search: block texts, then table texts."""
-    parts = F.concat(F.transform(F.coalesce("blocks", F.array().cast("array<struct<type:string,text:string>>")), lambda b: text.strip(text.printable(b["text"]))), F.transform(F.coalesce("tables", F.array().cast("array<struct<raw_text:string>>")), lambda t: text.strip(text.printable(t["raw_text"]))))
+    none = F.array().cast("array<string>")
+    said = lambda c, field: F.coalesce(F.transform(c, lambda x: text.strip(text.printable(x[field]))), none)
+    parts = F.concat(said("blocks", "text"), said("tables", "raw_text"))
     body = F.array_join(F.filter(parts, lambda x: x != ""), "\n")
     return pages.select("doc_id", "version_id", "page_no", body.alias("text"), F.format_string("%s/page_%03d.txt", "doc_id", "page_no").alias("source_path")).where("text <> ''")
 
