@@ -205,8 +205,8 @@ def focus_terms(question: str, most: int = 3) -> list[str]:
     return out[:most]
 
 
-def match_text(c: dict, most: int = 1000) -> str:
-    return full_text(c, most)
+def match_text(c: dict, most: int = 600) -> str:
+    return best_text(c, most).lower()
 
 
 def relevance(question: str, c: dict) -> float:
