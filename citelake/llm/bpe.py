@@ -34,19 +34,40 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+class Recent(dict):
+    """A memory of two generations: when the young one is full it becomes the old one, from which what is used again
+    comes back."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def recall(self, key):
+        """The value of a key that the young generation lacks, else None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Vocabulary:
-    def __init__(self, lines: bytes, pattern: str, remember: int = 100_000):
+    def __init__(self, lines: bytes, pattern: str, pieces: int = 100_000, pairs: int = 200_000):
         self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         self.token = {b: a for a, b in self.rank.items()}
+        self.length = {b: len(a) for a, b in self.rank.items()}
         self.split = regex.compile(pattern).findall
-        self.remember = remember
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.rank.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
         self.shorter: dict[int, int | None] = {}
-        self.fits: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.fits, self.pieces = Recent(pairs), Recent(pieces)
 
     def merge(self, data: bytes) -> list[int]:
         """BPE by its definition; used on the bytes of two tokens only."""
@@ -64,12 +85,12 @@ class Vocabulary:
         return [rank[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the two tokens' joined bytes gives just these two."""
         key = left << 32 | right
-        known = self.fits.get(key)
+        known = self.fits.recall(key)
         if known is None:
-            if len(self.fits) >= 400_000:
-                self.fits.clear()
-            known = self.fits[key] = self.merge(self.token[left] + self.token[right]) == [left, right]
+            known = self.merge(self.token[left] + self.token[right]) == [left, right]
+            self.fits.keep(key, known)
         return known
 
     def prefix(self, token: int) -> int | None:
@@ -83,48 +104,49 @@ class Vocabulary:
         whole = self.rank.get(data)
         if whole is not None:
             return [whole]
-        size = len(data)
+        size, length, fits = len(data), self.length, self.fits.get
         longest = [-1] * size
-        for end, rank in self.automaton.iter(data.decode("latin-1")):
-            # matches at one end come longest first; a later end beats an earlier one at the same start
-            longest[end + 1 - len(self.token[rank])] = rank
-        open_at = bytearray(b"\x01" * (size + 1))  # whether a way through this byte is still worth trying
+        for end, (rank, back) in self.automaton.iter(data.decode("latin-1")):
+            longest[end - back] = rank  # a later end beats an earlier one at the same start
+        closed: set[int] = set()  # places from which there is no way on
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, before = 0, longest[0], None
         while at < size:
-            before = out[-1] if out else None
-            found = False
             while token is not None:
-                end = at + len(self.token[token])
-                if open_at[end] and (before is None or self.compatible(before, token)):
-                    out.append(token)
-                    at = end
-                    token = longest[at] if at < size else None
-                    found = True
-                    break
+                end = at + length[token]
+                if end not in closed:
+                    if before is None:
+                        break
+                    ok = fits(before << 32 | token)
+                    if self.compatible(before, token) if ok is None else ok:
+                        break
                 token = self.prefix(token)
-            if not found:
-                open_at[at] = 0
+            if token is None:
                 if not out:
                     raise ValueError("the vocabulary lacks a single byte")
+                closed.add(at)
                 last = out.pop()
-                at -= len(self.token[last])
+                at -= length[last]
+                before = out[-1] if out else None
                 token = self.prefix(last)
+            else:
+                out.append(token)
+                before, at = token, end
+                token = longest[at] if at < size else None
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         pieces, out = self.pieces, []
+        known, add = pieces.get, out.append
         for piece in self.split(text):
-            got = pieces.get(piece)
+            got = known(piece) or pieces.recall(piece)
             if got is None:
                 ids = self.encode_piece(piece.encode("utf-8"))
                 got = struct.pack(f"<{len(ids)}I", *ids)
                 if len(piece) <= 64:
-                    if len(pieces) >= self.remember:
-                        pieces.clear()
-                    pieces[piece] = got
-            out.append(got)
+                    pieces.keep(piece, got)
+            add(got)
         return b"".join(out)
 
 
