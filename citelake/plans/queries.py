@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import clauses, text
 from citelake.functions.embedding import cosine
-from citelake.operators import evaluate, evidence, extract, filters, normalize, quality, registry, retrieval
+from citelake.operators import evaluate, evidence, extract, filters, jobs, normalize, quality, registry, retrieval, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
 
@@ -92,9 +92,9 @@ def like_fallback_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest of all vectors for each of ten stated ones."""
+    """Ten nearest of all vectors for each whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     got = retrieval.dense_search(vectors, asked, 10, "embedding", "vec_id")
     return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
@@ -249,11 +249,81 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.dedupe_citations(rows.withColumn("rank", F.col("rank").cast("int"))).select("query_id", "rank", "doc_id", "excerpt", "merged_count")
 
 
+def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold all of a question's first three words, by the inverted index."""
+    pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
+    asked = questions(spark, sf_dir).select("query_id", F.slice("terms", 1, 3).alias("terms"))
+    return retrieval.fts_search(retrieval.inverted_index(pages), asked, 1_000_000_000).select("query_id", "doc_id")
+
+
+def sidecar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
+    asked = questions(spark, sf_dir).select("query_id", F.array_join(F.slice("terms", 1, 2), " ").alias("query"), F.slice("terms", 1, 3).alias("tokens"))
+    return retrieval.sidecar_search(pages, asked, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four score formulas, on metrics made of line items."""
+    share = lambda c, n: (F.col(c).cast("long") % n) / float(n)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", share("l_partkey", 10).alias("a"), share("l_suppkey", 7).alias("b"), share("l_orderkey", 9).alias("c"), (F.col("l_linenumber") * 3).cast("double").alias("d"))
+    x = [F.col(c) for c in "abcd"]
+    return rows.select("l_orderkey", "l_linenumber", F.round(evaluate.score_ie(x[0], x[1], x[2], x[0], x[3], x[3]), 6).alias("ie"), F.round(evaluate.score_table(*x), 6).alias("tab"), F.round(evaluate.score_qa(*x), 6).alias("qa"), F.round(evaluate.score_retrieval(*x), 6).alias("retr"), evaluate.amount_close(x[0], x[1], 0.05).alias("close"))
+
+
+def key_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tenth order replaced and as many new ones added."""
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    tenth = base.where("o_orderkey % 10 = 0")
+    new = tenth.select("o_orderkey", F.lit("X").alias("o_orderstatus")).unionByName(tenth.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.lit("N").alias("o_orderstatus")))
+    return registry.upsert(base, new, "o_orderkey")
+
+
+def question_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of orders, compiled to filters: the voltage bound and the clause."""
+    kv, op = (F.col("o_orderkey") % 900 + 10).cast("string"), F.element_at(F.array(F.lit("不低于"), F.lit("不超过"), F.lit("高于"), F.lit("低于"), F.lit("电压为")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    clause = F.concat_ws(".", (F.col("o_custkey") % 30 + 1).cast("string"), (F.col("o_orderkey") % 8).cast("string"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat(op, kv, F.lit("kV的设备按第"), clause, F.lit("条执行")).alias("question"))
+    parsed = filters.parse_questions(asked)
+    volt, named = F.element_at("must", 1), F.element_at("must", 2)
+    return parsed.select("query_id", volt["gte"].alias("gte"), volt["lte"].alias("lte"), volt["gt"].alias("gt"), volt["lt"].alias("lt"), named["key"].alias("key"), F.element_at(named["any_of"], 1).alias("clause"))
+
+
+def table_row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables made of orders: a header and a row a line item."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.col("l_partkey").cast("string")))), "\n").alias("body"))
+    made = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("v").alias("version_id"), F.lit("t1").alias("table_id"), F.lit(1).alias("page_no"), F.lit(1).alias("page_start"), F.when(F.col("l_orderkey") % 2 == 0, 2).otherwise(1).alias("page_end"), F.concat(F.lit("no|part\n"), "body").alias("raw_text"))
+    return tables.row_chunks(made).select(F.col("doc_id").cast("long").alias("l_orderkey"), "chunk_id", "text", "source_type", "row_index")
+
+
+def stable_hit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", text.stable_hit_id(F.lit("sparse"), F.col("doc_id").cast("string"), F.lit(1), F.substring("text", 1, 50)).alias("hit_id"))
+
+
+def low_quality_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades and counts made of orders."""
+    o = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(o.alias("doc_id"), o.alias("version_id"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("c"), F.lit("D")), (o % 4 + 1).cast("int")).alias("grade"), (F.col("o_custkey") % 50).alias("score"), (o % 400).alias("text_len"), (o % 9).alias("chunks"), (F.col("o_custkey") % 6).alias("dropped_short"))
+    return quality.low_quality(rows).select("doc_id")
+
+
+def eval_dataset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer with the truth written last (its newest order's status)."""
+    truths = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderstatus").alias("answer"), F.col("o_orderkey").alias("ordinal"))
+    return evaluate.dataset_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id")), truths)
+
+
+def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval runs scored by their task's formula, as reports would hold them."""
+    metrics = F.create_map(F.lit("hit5"), (F.col("o_orderkey") % 2).cast("double"), F.lit("hit10"), F.lit(1.0), F.lit("mrr"), (F.col("o_custkey") % 10) / 10.0, F.lit("latency_score"), F.lit(0.5))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit("RETR").alias("task_type"), metrics.alias("metrics"))
+    return jobs.scored(rows).select("sample_id", F.round("score_total", 6).alias("score_total"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, rrf_fusion, lexical_gate, filter_range, filter_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, sidecar_topk, eval_scores, key_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
 
@@ -298,7 +368,7 @@ ORACLE = {
         s AS (SELECT query_id, doc_id, part + CASE WHEN length(array_to_string(terms[1:2], '')) BETWEEN 1 AND 40 AND contains(body, array_to_string(terms[1:2], '')) THEN 6.0 ELSE 0.0 END AS score FROM l),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6)::double AS score, rank::int AS rank FROM r WHERE rank <= 10""",
     "dense_topk": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id < 10),
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank::int AS rank FROM r WHERE rank <= 10""",
     "rrf_fusion": f"""WITH {SCORED_SQL},
         a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
@@ -347,4 +417,30 @@ ORACLE = {
     "text_pages": """
         WITH l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) AS x FROM documents) WHERE trim(x, ' ' || chr(9) || chr(160)) <> '' GROUP BY 1),
         p AS (SELECT doc_id, least(n, 4000) AS n, unnest(range(0, least(n, 4000), 120)) AS s FROM l) SELECT doc_id, (s // 120 + 1)::int AS page_no, least(120, n - s)::int AS blocks FROM p""",
+    "fts_match": r"""
+        WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')[1:3]) AS t FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}_]+') AS w FROM documents)
+        SELECT query_id, doc_id FROM q JOIN d ON len(t) > 0 AND list_has_all(w, t)""",
+    "sidecar_topk": """
+        WITH q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]{4,}')[1:3] AS t FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS b, lower(regexp_replace(text, '\\s+', '', 'g')) AS c FROM documents),
+        s AS (SELECT query_id, doc_id, CASE WHEN array_to_string(t[1:2], ' ') <> '' AND contains(b, array_to_string(t[1:2], ' ')) THEN 20.0 ELSE 0 END + CASE WHEN array_to_string(t[1:2], '') <> '' AND contains(c, array_to_string(t[1:2], '')) THEN 28.0 ELSE 0 END
+              + coalesce(list_sum(list_transform(t, lambda x: ((length(b) - length(replace(b, x, ''))) / length(x) + (length(c) - length(replace(c, x, ''))) / length(x)) * (1 + least(length(x), 10) / 10.0))), 0) AS score FROM q, d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6)::double AS score, rank::int AS rank FROM r WHERE rank <= 10""".replace("\\\\", "\\"),
+    "eval_scores": """
+        WITH m AS (SELECT l_orderkey, l_linenumber, (l_partkey % 10) / 10.0::double AS a, (l_suppkey % 7) / 7.0::double AS b, (l_orderkey % 9) / 9.0::double AS c, (l_linenumber * 3)::double AS d FROM lineitem)
+        SELECT l_orderkey, l_linenumber, round(greatest(0, least(100, 40 * a + 20 * b + 20 * c + 10 * a)), 6)::double AS ie, round(greatest(0, least(100, 25 * a + 25 * b + 35 * c + 15 * d)), 6)::double AS tab,
+               round(greatest(0, least(100, 20 * a + 30 * b + 30 * c + 20 * d)), 6)::double AS qa, round(greatest(0, least(100, 40 * a + 30 * b + 20 * c + 10 * d)), 6)::double AS retr, CASE WHEN b = 0 THEN a = 0 ELSE abs(a - b) <= abs(b) * 0.05 END AS close FROM m""",
+    "key_upsert": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey - 1, 'N' FROM orders WHERE o_orderkey % 10 = 0""",
+    "question_bounds": """
+        WITH o AS (SELECT o_orderkey AS query_id, (o_orderkey % 900 + 10)::double AS kv, o_orderkey % 5 AS op, (o_custkey % 30 + 1) || '.' || (o_orderkey % 8) AS clause FROM orders)
+        SELECT query_id, CASE WHEN op IN (0, 4) THEN kv END AS gte, CASE WHEN op IN (1, 4) THEN kv END AS lte, CASE WHEN op = 2 THEN kv END AS gt, CASE WHEN op = 3 THEN kv END AS lt, 'clause_no' AS key, clause FROM o""",
+    "table_row_chunks": """
+        SELECT l_orderkey, 'tbl_t1_' || n AS chunk_id, 'no|part | ' || line AS text, CASE WHEN l_orderkey % 2 = 0 THEN 'cross_page_table_row' ELSE 'table_row' END AS source_type, n::int AS row_index
+        FROM (SELECT l_orderkey, lpad(l_linenumber::varchar, 2, '0') || '|' || l_partkey AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY lpad(l_linenumber::varchar, 2, '0') || '|' || l_partkey) AS n FROM lineitem)""",
+    "stable_hit_ids": "SELECT doc_id, 'sparse:' || doc_id || ':1:' || substr(sha256('sparse|' || doc_id || '|1|' || substr(text, 1, 50)), 1, 12) AS hit_id FROM documents",
+    "low_quality_versions": """
+        WITH v AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS g, o_custkey % 50 AS score, o_orderkey % 400 AS text_len, o_orderkey % 9 AS chunks, o_custkey % 6 AS short FROM orders)
+        SELECT doc_id FROM v WHERE g = 3 OR (g = 2 AND (text_len <= 200 OR chunks <= 3 OR short >= greatest(chunks, 2))) OR (score > 0 AND score < 20 AND chunks <= 4)""",
+    "eval_dataset_join": "SELECT c_custkey AS sample_id, a.answer FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS answer FROM orders GROUP BY 1) a ON o_custkey = c_custkey",
+    "scored_runs": "SELECT o_orderkey AS sample_id, round(40 * (o_orderkey % 2) + 30 + 20 * ((o_custkey % 10) / 10.0) + 5, 6)::double AS score_total FROM orders",
 }
