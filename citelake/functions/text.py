@@ -60,10 +60,10 @@ def lines(c: Column) -> Column:
 
 def without_latex(c: Column) -> Column:
     """Formula residue removed: commands with an argument leave the argument (its unit-like pieces closed up), known
-    symbols become characters, and numbers are set apart from units."""
+    symbols become characters, and numbers are set apart from units. Texts without a backslash skip the command rules."""
     unit = r"A-Za-z0-9%°Ωμµ./:+\-~"
-    t = F.replace(F.coalesce(c, F.lit("")), F.lit("$"), F.lit(" "))
-    t = F.regexp_replace(t, r"\\{2,}(?=[A-Za-z])", r"\\")
+    plain = F.replace(F.coalesce(c, F.lit("")), F.lit("$"), F.lit(" "))
+    t = F.regexp_replace(plain, r"\\{2,}(?=[A-Za-z])", r"\\")
     opened = r"(?<=\\[A-Za-z]{1,40}\s{0,4}\{[" + unit + r"\s]{0,120})"
     t = F.regexp_replace(t, opened + r"\s+(?=[" + unit + r"\s]{0,120}\})", "")
     for name, sign in fixed.LATEX_SYMBOLS.items():
@@ -71,7 +71,8 @@ def without_latex(c: Column) -> Column:
     t = F.regexp_replace(t, r"\\[A-Za-z]+\s*\{\s*([^{}]{0,120}?)\s*\}", "$1")
     for name, sign in fixed.LATEX_SYMBOLS.items():
         t = F.regexp_replace(t, rf"\\{name}\b", f" {sign} ")
-    t = F.regexp_replace(t, r"\\[A-Za-z]+|[{}]", " ")
+    t = F.regexp_replace(t, r"\\[A-Za-z]+", " ")
+    t = F.translate(F.when(F.contains(plain, F.lit("\\")), t).otherwise(plain), "{}", "  ")
     return F.regexp_replace(t, r"(?<=\d)(?=[A-Za-zμµΩ%°])", " ")
 
 
