@@ -84,9 +84,9 @@ def clean_table(c: Column) -> Column:
     return F.array_join(F.transform(lines(printable(without_latex(c))), squeeze), "\n")
 
 
-def repeat_signature(c: Column) -> Column:
+def repeat_signature(c: Column, cleaned: bool = False) -> Column:
     """What stays the same when a header is repeated: lower case, no digits, word characters only."""
-    return F.regexp_replace(F.regexp_replace(F.lower(clean_block(c)), r"(?U)\d+", ""), r"(?U)[\s\W_]+", "")
+    return F.regexp_replace(F.lower(c if cleaned else clean_block(c)), r"(?U)[\d\s\W_]+", "")
 
 
 def is_toc_like(c: Column) -> Column:
@@ -101,9 +101,9 @@ def is_toc_like(c: Column) -> Column:
     )
 
 
-def is_low_quality(c: Column) -> Column:
-    """Nothing, file residue, or mostly symbols; rows of tables are spared."""
-    s = clean_block(c)
+def is_low_quality(c: Column, cleaned: bool = False) -> Column:
+    """Nothing, file residue, or mostly symbols; rows of tables are spared. cleaned: c is clean_block() of something."""
+    s = c if cleaned else clean_block(c)
     low = F.lower(s)
     bad = contains_any(low, ("%pdf-", "endstream")) | ((F.length(s) > 80) & (char_share(s, r"^\p{L}\p{N}\s\x85\xa0\u2000-\u200a\u3000") > 0.45))
     return (s == "") | (~(F.contains(s, F.lit("|")) & s.rlike("[A-Za-z0-9一-鿿]")) & bad)

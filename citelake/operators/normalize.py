@@ -22,9 +22,10 @@ EDGE = 2
 
 def blocks(pages: DataFrame) -> DataFrame:
     """Clean blocks, without contents lines and residue; order_in_page keeps the place before filtering."""
-    each = pages.select(*DOC, "page_no", F.posexplode("blocks").alias("pos", "b"))
-    clean = each.select(*DOC, "page_no", (F.col("pos") + 1).alias("order_in_page"), F.coalesce("b.type", F.lit("paragraph")).alias("block_type"), text.clean_block(F.col("b.text")).alias("text"))
-    kept = clean.where(~text.is_toc_like(F.col("text")) & ~text.is_low_quality(F.col("text")))
+    # cleaned inside the array, so that the filters below read a finished column instead of repeating the cleaning
+    clean = F.transform("blocks", lambda b: F.struct(F.coalesce(b["type"], F.lit("paragraph")).alias("block_type"), text.clean_block(b["text"]).alias("text")))
+    each = pages.select(*DOC, "page_no", F.posexplode(clean).alias("pos", "b")).select(*DOC, "page_no", (F.col("pos") + 1).alias("order_in_page"), "b.block_type", "b.text")
+    kept = each.where(~text.is_toc_like(F.col("text")) & ~text.is_low_quality(F.col("text"), True))
     return kept.select(*DOC, F.format_string("b_%d_%d", "page_no", "order_in_page").alias("block_id"), "page_no", "block_type", "text", "order_in_page")
 
 
@@ -35,7 +36,7 @@ def without_repeated_edges(rows: DataFrame, share: float = 0.35, least: int = 3)
     80 characters counted max(least, share of pages) times is dropped wherever it stands at an edge."""
     page = Window.partitionBy(*DOC, "page_no")
     order = page.orderBy("order_in_page")
-    rows = rows.withColumns({"_sig": text.repeat_signature(F.col("text")), "_up": F.row_number().over(order), "_n": F.count("*").over(page)})
+    rows = rows.withColumns({"_sig": text.repeat_signature(F.col("text"), True), "_up": F.row_number().over(order), "_n": F.count("*").over(page)})
     top, bottom = F.col("_up") <= EDGE, F.col("_up") > F.col("_n") - EDGE
     votes = rows.where((top | bottom) & F.length("_sig").between(6, 80)).groupBy(*DOC, "_sig").agg(F.sum(top.cast("int") + bottom.cast("int")).alias("_votes"))
     pages = rows.groupBy(*DOC).agg(F.count_distinct("page_no").alias("_pages")).where(F.col("_pages") >= 3)
@@ -46,8 +47,9 @@ def without_repeated_edges(rows: DataFrame, share: float = 0.35, least: int = 3)
 
 
 def tables(pages: DataFrame) -> DataFrame:
-    each = pages.select(*DOC, "page_no", F.posexplode("tables").alias("pos", "t"))
-    clean = each.select(*DOC, "page_no", (F.col("pos") + 1).alias("order_in_page"), text.clean_table(F.col("t.raw_text")).alias("raw_text")).where(~text.is_low_quality(F.col("raw_text")))
+    raw = F.transform("tables", lambda t: text.clean_table(t["raw_text"]))
+    each = pages.select(*DOC, "page_no", F.posexplode(raw).alias("pos", "raw_text")).select(*DOC, "page_no", (F.col("pos") + 1).alias("order_in_page"), "raw_text")
+    clean = each.where(~text.is_low_quality(F.col("raw_text"), True))
     return clean.withColumn("table_id", F.format_string("t_%d_%d", "page_no", "order_in_page"))
 
 
