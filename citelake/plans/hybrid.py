@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFra
     vectors) dense routes; then overlap rerank and boost. One plan for all questions; a question answered by an earlier
     way is left out of the later ones by an anti-join on its id."""
     depth = {"dense": 48, "keyword": 24, "sparse": 24, "fused": max(3 * k, 80), "clause": max(4 * k, 48), "chapter": max(8 * k, 96)} | (routes or {})
-    asked = prepared(questions, entities)
+    asked = prepared(questions, entities).persist()  # a few rows that every route reads
+    named = asked.agg(F.coalesce(F.max(F.size("prefixes")), F.lit(0)), F.coalesce(F.max(F.size("clauses")), F.lit(0))).first()
     body = retrieval.search_text("chunk_text", "excerpt", "doc_name", "chapter_id")
     flags = asked.select("query_id", *FLAGS)
     fields = ["query_id", "rank", "score", "id", "route", *ROW_FIELDS]
@@ -63,16 +66,20 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFra
     def shaped(hits: DataFrame) -> DataFrame:
         return hits.select(*[c for c in fields])
 
-    by_prefix = retrieval.keyword_search(rows, asked.where(F.size("prefixes") > 0).select("query_id", F.array_distinct(F.concat("terms", "prefixes")).alias("terms")), depth["chapter"], body)
-    chapter = retrieval.clause_prefix_hits(by_prefix.join(asked.select("query_id", "prefixes"), "query_id")).withColumn("route", F.lit("chapter_prefix"))
-    chapter = shaped(chapter)
-    wanted = asked.where(F.size("clauses") > 0).select("query_id", F.explode("clauses").alias("clause_id"))
-    exact = rows.join(wanted, "clause_id").withColumn("score", F.lit(0.0))
-    some = Window.partitionBy("query_id")
-    exact = exact.withColumn("_body", F.max((F.coalesce("source_type", F.lit("")) != "explanation")).over(some)).where(~F.col("_body") | (F.coalesce("source_type", F.lit("")) != "explanation"))
-    exact = shaped(retrieval.top_k(exact, depth["clause"], F.col("ordinal")).withColumn("route", F.lit("clause_exact"))).join(chapter.select("query_id").distinct(), "query_id", "left_anti")
-    taken = chapter.select("query_id").unionByName(exact.select("query_id")).distinct()
-    open_ = asked.join(taken, "query_id", "left_anti")
+    early, open_ = [], asked
+    if named[0]:
+        by_prefix = retrieval.keyword_search(rows, asked.where(F.size("prefixes") > 0).select("query_id", F.array_distinct(F.concat("terms", "prefixes")).alias("terms")), depth["chapter"], body)
+        chapter = retrieval.clause_prefix_hits(by_prefix.join(asked.select("query_id", "prefixes"), "query_id")).withColumn("route", F.lit("chapter_prefix"))
+        early.append(shaped(chapter).persist())
+        open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
+    if named[1]:
+        wanted = open_.where(F.size("clauses") > 0).select("query_id", F.explode("clauses").alias("clause_id"))
+        exact = rows.join(wanted, "clause_id").withColumn("score", F.lit(0.0))
+        told = F.coalesce("source_type", F.lit("")) != "explanation"
+        exact = exact.withColumn("_told", F.max(told).over(Window.partitionBy("query_id"))).where(~F.col("_told") | told)
+        early.append(shaped(retrieval.top_k(exact, depth["clause"], F.col("ordinal")).withColumn("route", F.lit("clause_exact"))).persist())
+        open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
+    open_ = open_.persist()
 
     gated = lambda hits: shaped(retrieval.route_gate(hits.join(flags, "query_id"), body).drop(*FLAGS))
     fused = [gated(retrieval.keyword_search(rows, open_.select("query_id", "terms"), depth["keyword"], body))]
@@ -86,7 +93,7 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFra
     if "vector" in rows.columns and "query_vector" in questions.columns:
         fused.insert(0, shaped(retrieval.dense_search(rows, open_.select("query_id", "query_vector"), depth["dense"])))
     joint = retrieval.fuse_rrf(fused, depth["fused"])
-    hits = shaped(chapter).unionByName(exact).unionByName(shaped(joint)).join(flags, "query_id")
+    hits = reduce(DataFrame.unionByName, [*early, shaped(joint)]).join(flags, "query_id")
     hits = retrieval.rerank(hits)
     if low is not None:
         bad = low.select("doc_id").distinct().withColumn("low_quality", F.lit(True))
