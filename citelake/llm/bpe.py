@@ -57,7 +57,7 @@ class Recent(dict):
 
 
 class Vocabulary:
-    def __init__(self, lines: bytes, pattern: str, pieces: int = 100_000, pairs: int = 200_000):
+    def __init__(self, lines: bytes, pattern: str, pieces: int = 60_000, pairs: int = 100_000):
         self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         self.token = {b: a for a, b in self.rank.items()}
         self.length = {b: len(a) for a, b in self.rank.items()}
