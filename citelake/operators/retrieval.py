@@ -6,8 +6,11 @@ row_number() <= k per query, which Spark prunes inside each partition before the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +46,46 @@ def search_text(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
 
 
+def term_hits(rows: DataFrame, keys: list[str], body: Column, wanted: DataFrame) -> DataFrame:
+    """(keys, term, n): non-overlapping occurrences in each row's body of every term of wanted (query_id, term, ...), by
+    one automaton over all terms, so that a row is read once however many questions there are. Questions are few; their
+    distinct terms are collected and broadcast."""
+    terms = sorted(r[0] for r in wanted.select("term").where("term <> ''").distinct().collect())
+    sent = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(sent.value):
+            automaton.add_word(t, (i, len(t)))
+        if sent.value:
+            automaton.make_automaton()
+        for b in batches:
+            at, term, count = [], [], []
+            for k, text_ in enumerate(b.column(len(keys)).to_pylist() if sent.value else []):
+                free: dict[int, int] = {}
+                found: dict[int, int] = {}
+                for end, (i, size) in automaton.iter(text_ or ""):
+                    if end - size >= free.get(i, -1):
+                        free[i] = end
+                        found[i] = found.get(i, 0) + 1
+                at += [k] * len(found)
+                term += [sent.value[i] for i in found]
+                count += found.values()
+            kept = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(keys)], pa.array(term, pa.string()), pa.array(count, pa.int64())], names=[*keys, "term", "n"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    slim = rows.select(*keys, body.alias("_body"))
+    return slim.mapInArrow(run, f"{kinds}, term string, n long")
+
+
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
-    """queries (query_id, terms) -> hits by keyword score; ties by ordinal."""
-    q = queries.select("query_id", "terms").where(F.size("terms") > 0)
-    held = rows.withColumn("_body", body)
-    hit = F.exists("terms", lambda t: F.contains(F.col("_body"), t))
-    scored = against_all(q, held, hit).withColumn("score", keyword_score(F.col("_body"), F.col("terms"))).where("score > 0").drop("_body", "terms")
-    return top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal)).withColumn("route", F.lit("keyword"))
+    """queries (query_id, terms) -> hits by keyword_score(); ties by ordinal, which names a row."""
+    wanted = queries.select("query_id", F.explode("terms").alias("term"))
+    weight = (1 + F.least(F.length("term"), F.lit(12)) / 12.0) * F.log1p("n")
+    scored = term_hits(rows, [ordinal], body, wanted).join(wanted, "term").groupBy("query_id", ordinal).agg(F.sum(weight).alias("score"))
+    best = top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal))
+    return rows.drop("query_id", "score", "rank").join(best, ordinal).withColumn("route", F.lit("keyword"))
 
 
 def filter_keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
@@ -61,13 +97,16 @@ def filter_keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Col
 def like_search(pages: DataFrame, queries: DataFrame, k: int, excerpt_chars: int = 800) -> DataFrame:
     """Containment scores over white-space-free text without regard to case: 6 for the whole query (up to 40
     characters), 1 + min(length, 8) / 8 for each term. queries: (query_id, query, terms); pages: (doc_id, page_no, text)."""
-    q = queries.select("query_id", F.lower(text.without_space(F.col("query"))).alias("_phrase"), F.transform("terms", F.lower).alias("_terms")).where(F.size("_terms") > 0)
-    held = pages.withColumn("_body", F.lower(text.without_space(F.col("text"))))
-    whole = (F.col("_phrase") != "") & (F.length("_phrase") <= 40) & F.contains("_body", "_phrase")
-    part = F.aggregate("_terms", F.lit(0.0), lambda s, t: s + F.when(F.contains(F.col("_body"), t), F.round(1 + F.least(F.length(t), F.lit(8)) / 8.0, 3)).otherwise(0.0))
-    scored = against_all(q, held).withColumn("score", F.when(whole, 6.0).otherwise(0.0) + part).where("score > 0")
-    out = scored.select("query_id", "doc_id", "page_no", F.substring("text", 1, excerpt_chars).alias("excerpt"), "score")
-    return top_k(out, k, F.desc(F.round("score", 9)), F.col("page_no"), F.col("doc_id")).withColumn("route", F.lit("sparse"))
+    terms = F.filter(F.transform("terms", F.lower), lambda t: t != "")
+    phrase = F.lower(text.without_space(F.col("query")))
+    part = F.transform(terms, lambda t: F.struct(t.alias("term"), F.round(1 + F.least(F.length(t), F.lit(8)) / 8.0, 3).alias("w")))
+    whole = F.filter(F.array(F.struct(phrase.alias("term"), F.lit(6.0).alias("w"))), lambda x: F.length(x["term"]).between(1, 40))
+    wanted = queries.where(F.size("terms") > 0).select("query_id", F.explode(F.concat(whole, part)).alias("x")).select("query_id", "x.term", "x.w")
+    found = term_hits(pages, ["doc_id", "page_no"], F.lower(text.without_space(F.col("text"))), wanted)
+    scored = found.join(wanted, "term").groupBy("query_id", "doc_id", "page_no").agg(F.sum("w").alias("score"))
+    best = top_k(scored, k, F.desc(F.round("score", 9)), F.col("page_no"), F.col("doc_id"))
+    shown = pages.select("doc_id", "page_no", F.substring("text", 1, excerpt_chars).alias("excerpt"))
+    return best.join(shown, ["doc_id", "page_no"]).select("query_id", "doc_id", "page_no", "excerpt", "score", "rank").withColumn("route", F.lit("sparse"))
 
 
 def inverted_index(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
