@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 OUT_ROWS = 256
 
 
@@ -55,6 +57,10 @@ class Recent(dict):
             self.clear()
         self[key] = value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Vocabulary:
     def __init__(self, lines: bytes, pattern: str, pieces: int = 60_000, pairs: int = 100_000):
@@ -177,12 +183,14 @@ def _mapped(df: DataFrame, column: str, make, out: str) -> DataFrame:
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
+        each, done = make()
         for big in batches:
             for start in range(0, big.num_rows, OUT_ROWS):
                 batch = big.slice(start, OUT_ROWS)
                 values = pa.array([each(x) for x in batch.column(names.index(column)).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, values], names=names)
+        done()
+        common.give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -197,7 +205,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
 
     def make():
         v = vocabulary(sent.value, pattern)
-        return lambda t: v.encode(t) if t else b""
+        return (lambda t: v.encode(t) if t else b""), v.pieces.forget
 
     got = _mapped(df.drop("n_tokens"), text, make, "token_ids")
     return got.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
@@ -209,6 +217,6 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
 
     def make():
         v = tokens(sent.value)
-        return lambda x: v.decode(x) if x else b""
+        return (lambda x: v.decode(x) if x else b""), list
 
     return _mapped(df, ids, make, "decoded")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -71,6 +73,15 @@ def drop_run(spark: SparkSession, name: str, df: DataFrame) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def give_back() -> None:
+    """At a task's end: memory that Python has freed goes back to the system, since idle workers keep what they hold."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def buckets_of(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

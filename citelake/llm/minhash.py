@@ -106,6 +106,8 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
                     [b.column(0), *(pa.array([g[i] for g in got], pa.int64()) for i in range(3)), *(pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in (3, 4))],
                     names=["id", "n", "s1", "s2", "bands", "bits"],
                 )
+        known.clear()
+        common.give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>")
 
