@@ -130,12 +130,16 @@ def fts_search(index: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ..
 def sidecar_search(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Phrase and token counts: 20 for the phrase, 28 for it without spaces, each token (plain and without spaces) by
     occurrences times 1 + min(length, 10) / 10. queries: (query_id, query, tokens)."""
-    q = queries.select("query_id", F.lower(text.squeeze(F.col("query"))).alias("_q"), F.lower(text.without_space(F.col("query"))).alias("_qc"), F.transform("tokens", F.lower).alias("_t"))
-    held = pages.withColumns({"_b": F.lower(text.squeeze(F.col("text"))), "_bc": F.lower(text.without_space(F.col("text")))})
-    count = F.aggregate("_t", F.lit(0.0), lambda s, t: s + (text.occurrences(F.col("_b"), t) + text.occurrences(F.col("_bc"), t)) * (1 + F.least(F.length(t), F.lit(10)) / 10.0))
-    phrase = F.when((F.col("_q") != "") & F.contains("_b", "_q"), 20.0).otherwise(0.0) + F.when((F.col("_qc") != "") & F.contains("_bc", "_qc"), 28.0).otherwise(0.0)
-    scored = against_all(q, held).withColumn("score", phrase + count).where("score > 0").select("query_id", *pages.columns, "score")
-    return top_k(scored, k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no")).withColumn("route", F.lit("sirchmunk"))
+    key = [c for c in pages.columns if c != "text"]
+    token = F.transform("tokens", lambda t: F.struct(F.lower(t).alias("term"), (1 + F.least(F.length(t), F.lit(10)) / 10.0).alias("w"), F.lit(True).alias("each")))
+    scored = None
+    for body, phrase, weight in ((text.squeeze, text.squeeze, 20.0), (text.without_space, text.without_space, 28.0)):
+        whole = F.filter(F.array(F.struct(F.lower(phrase(F.col("query"))).alias("term"), F.lit(weight).alias("w"), F.lit(False).alias("each"))), lambda x: x["term"] != "")
+        wanted = queries.select("query_id", F.explode(F.concat(whole, token)).alias("x")).select("query_id", "x.term", "x.w", "x.each")
+        hits = term_hits(pages, key, F.lower(body(F.col("text"))), wanted).join(wanted, "term").select("query_id", *key, F.when(F.col("each"), F.col("n") * F.col("w")).otherwise(F.col("w")).alias("w"))
+        scored = hits if scored is None else scored.unionByName(hits)
+    best = top_k(scored.groupBy("query_id", *key).agg(F.sum("w").alias("score")), k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no"))
+    return best.withColumn("route", F.lit("sirchmunk"))
 
 
 def structured_search(assets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
