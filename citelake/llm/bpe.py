@@ -63,7 +63,7 @@ class Recent(dict):
 
 
 class Vocabulary:
-    def __init__(self, lines: bytes, pattern: str, pieces: int = 60_000, pairs: int = 100_000):
+    def __init__(self, lines: bytes, pattern: str, pieces: int = 100_000, pairs: int = 200_000):
         self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         self.token = {b: a for a, b in self.rank.items()}
         self.length = {b: len(a) for a, b in self.rank.items()}
@@ -167,8 +167,8 @@ class Tokens:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(lines: bytes, pattern: str) -> Vocabulary:
-    return Vocabulary(lines, pattern)
+def vocabulary(lines: bytes, pattern: str, pieces: int = 100_000, pairs: int = 200_000) -> Vocabulary:
+    return Vocabulary(lines, pattern, pieces, pairs)
 
 
 @lru_cache(maxsize=2)
@@ -195,16 +195,17 @@ def _mapped(df: DataFrame, column: str, make, out: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", pieces: int = 100_000, pairs: int = 200_000) -> DataFrame:
     """df with token_ids (binary, little-endian unsigned 32-bit) and n_tokens. The vocabulary file is read once, on
-    the driver; its bytes (under 1 MB for 50,000 tokens, refused over 64 MB) go to the executors by broadcast."""
+    the driver; its bytes (under 1 MB for 50,000 tokens, refused over 64 MB) go to the executors by broadcast. pieces and pairs bound a worker's two memories (each holds twice as
+    many at most): larger is faster."""
     lines = read_ranks(ranks_path)
     if len(lines) > 64 << 20:
         raise ValueError("vocabulary file over 64 MB")
     sent = df.sparkSession.sparkContext.broadcast(lines)
 
     def make():
-        v = vocabulary(sent.value, pattern)
+        v = vocabulary(sent.value, pattern, pieces, pairs)
         return (lambda t: v.encode(t) if t else b""), v.pieces.forget
 
     got = _mapped(df.drop("n_tokens"), text, make, "token_ids")
