@@ -3,6 +3,7 @@ compiled to filters."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -94,6 +95,37 @@ def doc_scope(spec: dict | None) -> tuple[set[str], set[str]]:
     return found["doc_id"], found["version_id"]
 
 
+def _one_holds(c: Column, name: str, schema: T.StructType) -> Column:
+    """compile_condition() for a condition that is a column."""
+    kinds = {f.name: f.dataType for f in schema}
+    names = [n for n in (name, STAND_IN.get(name)) if n in kinds]
+    if not names:
+        return F.lit(False)
+    value, kind = F.coalesce(*names), kinds[names[0]]
+    if isinstance(kind, T.ArrayType):
+        among, number = lambda xs: F.arrays_overlap(value, F.transform(xs, lambda x: x.try_cast(kind.elementType))), F.lit(None).cast("double")
+    else:
+        among, number = lambda xs: F.array_contains(F.transform(xs, lambda x: x.try_cast(kind)), value), value.try_cast("double")
+    tests = [c["any_of"].isNull() | among(c["any_of"]), c["value"].isNull() | among(F.array(c["value"]))]
+    return F.coalesce(reduce(Column.__and__, tests + [c[op].isNull() | test(number, c[op]) for op, test in COMPARE.items()]), F.lit(False))
+
+
+def passes(specs: list[str], schema: T.StructType) -> Column:
+    """array<boolean>: which of the filters (JSON texts of SPEC) a row passes, as compile_filter() has it. One expression
+    however many filters there are."""
+    every = [json.loads(s) for s in specs]
+    keys = sorted({c["key"] for s in every for c in s})
+    one = lambda c: reduce(Column.__or__, [(c["key"] == k) & _one_holds(c, k, schema) for k in keys], F.lit(False))
+    return F.transform(F.from_json(F.lit(json.dumps(every)), f"array<{SPEC}>"), lambda must: F.forall(must, one))
+
+
+def spec_column(spec: dict | None) -> Column:
+    """A filter as a SPEC column."""
+    says = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    made = [_condition(c.key, None if c.value is None else F.lit(says(c.value)), None if c.any_of is None else F.array(*[F.lit(says(v)) for v in c.any_of]).cast("array<string>"), {op: F.lit(v) for op, v in c.bounds.items()}) for c in conditions(spec)]
+    return F.array(*made).cast(SPEC)
+
+
 TABLES_ONLY = {"must": [{"key": "source_type", "match": {"any": list(fixed.TABLE_ROW_TYPES)}}]}
 SPEC = "array<struct<key:string,value:string,any_of:array<string>,gte:double,lte:double,gt:double,lt:double>>"
 
@@ -121,6 +153,11 @@ def _condition(key: str, value: Column | None = None, any_of: Column | None = No
     return F.struct(*[v.alias(k) for k, v in parts.items()])
 
 
+def of_type(doc_type: Column) -> Column:
+    """The filter for documents of a type."""
+    return F.array(_condition("doc_type", value=doc_type)).cast(SPEC)
+
+
 def parse_questions(questions: DataFrame, entities: DataFrame | None = None, strict_standard: bool = True) -> DataFrame:
     """(query_id, question) with must (SPEC), sparse_query and dense_text.
 

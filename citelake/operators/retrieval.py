@@ -79,12 +79,26 @@ def term_hits(rows: DataFrame, keys: list[str], body: Column, wanted: DataFrame)
     return slim.mapInArrow(run, f"{kinds}, term string, n long")
 
 
+def _passed(queries: DataFrame) -> tuple[list[str], list[str], Column]:
+    """For queries with a column spec (the place of their filter in the rows' array _pass, or null): what to carry of the
+    queries and of the rows, and the test that a row passes the query's filter."""
+    if "spec" not in queries.columns:
+        return [], [], F.lit(True)
+    return ["spec"], ["_pass"], F.col("spec").isNull() | F.get("_pass", F.col("spec"))
+
+
+def keyword_best(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
+    """(query_id, ordinal, score, rank) of keyword_search()."""
+    spec, has, ok = _passed(queries)
+    wanted = queries.select("query_id", *spec, F.explode("terms").alias("term"))
+    weight = (1 + F.least(F.length("term"), F.lit(12)) / 12.0) * F.log1p("n")
+    scored = term_hits(rows, [ordinal, *has], body, wanted).join(wanted, "term").where(ok).groupBy("query_id", ordinal).agg(F.sum(weight).alias("score"))
+    return top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal))
+
+
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
     """queries (query_id, terms) -> hits by keyword_score(); ties by ordinal, which names a row."""
-    wanted = queries.select("query_id", F.explode("terms").alias("term"))
-    weight = (1 + F.least(F.length("term"), F.lit(12)) / 12.0) * F.log1p("n")
-    scored = term_hits(rows, [ordinal], body, wanted).join(wanted, "term").groupBy("query_id", ordinal).agg(F.sum(weight).alias("score"))
-    best = top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal))
+    best = keyword_best(rows, queries, k, body, ordinal)
     return rows.drop("query_id", "score", "rank").join(best, ordinal).withColumn("route", F.lit("keyword"))
 
 
@@ -94,17 +108,23 @@ def filter_keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Col
     return hits.withColumns({"score": F.col("score") * 5.0, "route": F.lit("filter_keyword")})
 
 
-def like_search(pages: DataFrame, queries: DataFrame, k: int, excerpt_chars: int = 800) -> DataFrame:
-    """Containment scores over white-space-free text without regard to case: 6 for the whole query (up to 40
-    characters), 1 + min(length, 8) / 8 for each term. queries: (query_id, query, terms); pages: (doc_id, page_no, text)."""
+def like_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, page_no, score, rank) of like_search()."""
+    spec, has, ok = _passed(queries)
     terms = F.filter(F.transform("terms", F.lower), lambda t: t != "")
     phrase = F.lower(text.without_space(F.col("query")))
     part = F.transform(terms, lambda t: F.struct(t.alias("term"), F.round(1 + F.least(F.length(t), F.lit(8)) / 8.0, 3).alias("w")))
     whole = F.filter(F.array(F.struct(phrase.alias("term"), F.lit(6.0).alias("w"))), lambda x: F.length(x["term"]).between(1, 40))
-    wanted = queries.where(F.size("terms") > 0).select("query_id", F.explode(F.concat(whole, part)).alias("x")).select("query_id", "x.term", "x.w")
-    found = term_hits(pages, ["doc_id", "page_no"], F.lower(text.without_space(F.col("text"))), wanted)
-    scored = found.join(wanted, "term").groupBy("query_id", "doc_id", "page_no").agg(F.sum("w").alias("score"))
-    best = top_k(scored, k, F.desc(F.round("score", 9)), F.col("page_no"), F.col("doc_id"))
+    wanted = queries.where(F.size("terms") > 0).select("query_id", *spec, F.explode(F.concat(whole, part)).alias("x")).select("query_id", *spec, "x.term", "x.w")
+    found = term_hits(pages, ["doc_id", "page_no", *has], F.lower(text.without_space(F.col("text"))), wanted)
+    scored = found.join(wanted, "term").where(ok).groupBy("query_id", "doc_id", "page_no").agg(F.sum("w").alias("score"))
+    return top_k(scored, k, F.desc(F.round("score", 9)), F.col("page_no"), F.col("doc_id"))
+
+
+def like_search(pages: DataFrame, queries: DataFrame, k: int, excerpt_chars: int = 800) -> DataFrame:
+    """Containment scores over white-space-free text without regard to case: 6 for the whole query (up to 40
+    characters), 1 + min(length, 8) / 8 for each term. queries: (query_id, query, terms); pages: (doc_id, page_no, text)."""
+    best = like_best(pages, queries, k)
     shown = pages.select("doc_id", "page_no", F.substring("text", 1, excerpt_chars).alias("excerpt"))
     return best.join(shown, ["doc_id", "page_no"]).select("query_id", "doc_id", "page_no", "excerpt", "score", "rank").withColumn("route", F.lit("sparse"))
 
@@ -153,8 +173,9 @@ def structured_search(assets: DataFrame, queries: DataFrame, k: int) -> DataFram
 
 def dense_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ordinal: str = "ordinal") -> DataFrame:
     """Exact cosine top-k. queries: (query_id, query_vector)."""
-    q = queries.select("query_id", "query_vector")
-    scored = against_all(q, rows).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).where("score is not null").drop("query_vector")
+    spec, _, ok = _passed(queries)
+    q = queries.select("query_id", "query_vector", *spec)
+    scored = against_all(q, rows).where(ok).drop(*spec).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).where("score is not null").drop("query_vector")
     return top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal)).withColumn("route", F.lit("dense"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -40,60 +41,94 @@ def plain_rows(rows: DataFrame) -> DataFrame:
     return full if "id" in full.columns else full.withColumn("id", F.col("doc_id"))
 
 
-def prepared(questions: DataFrame, entities: DataFrame | None = None, mode: str = "words", dim: int | None = None) -> DataFrame:
-    """(query_id, question) with terms, identifiers, filter and route flags."""
+def prepared(questions: DataFrame, entities: DataFrame | None = None, mode: str = "words", dim: int | None = None, search_filter: dict | None = None) -> DataFrame:
+    """(query_id, question) with terms, identifiers, filter and route flags. The filter (must) is the question's own, the
+    caller's, and the type of document that the question speaks of unless documents or versions are named."""
     parsed = filters.parse_questions(questions, entities)
-    scope = F.exists("must", lambda c: c["key"].isin("doc_id", "version_id"))
-    asked = parsed.withColumns({"terms": terms.query_terms_col(F.col("question"), mode), "standards": terms.standard_tokens_col(F.col("question")), "doc_scoped": scope})
-    asked = asked.withColumn("clauses", F.coalesce(F.flatten(F.transform(F.filter("must", lambda c: c["key"] == "clause_no"), lambda c: c["any_of"])), F.array().cast("array<string>")))
-    return retrieval.plan_questions(asked)
+    own = F.coalesce(F.flatten(F.transform(F.filter("must", lambda c: c["key"] == "clause_no"), lambda c: c["any_of"])), F.array().cast("array<string>"))
+    asked = parsed.withColumns({"terms": terms.query_terms_col(F.col("question"), mode), "standards": terms.standard_tokens_col(F.col("question")), "clauses": own, "must": F.concat("must", filters.spec_column(search_filter))})
+    scope = F.exists("must", lambda c: c["key"].isin("doc_id", "version_id") & (c["value"].isNotNull() | F.coalesce(F.size(c["any_of"]) > 0, F.lit(False))))
+    flagged = retrieval.plan_questions(asked.withColumn("doc_scoped", scope))
+    typed = F.concat("must", filters.of_type(F.col("query_doc_type")))
+    return flagged.withColumn("must", F.when(F.col("query_doc_type").isNotNull() & ~F.col("doc_scoped"), typed).otherwise(F.col("must")))
+
+
+def with_filters(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with _pass, which of the questions' filters they pass, and questions with the places therein of their whole
+    filter, of it without clauses (chapter route) and of its documents and versions alone (sparse route, whose pages bear
+    no other field in the reference); null where nothing is asked. Questions are few; their filters are collected."""
+    kept = {"spec_all": F.col("must"), "spec_chapter": F.filter("must", lambda c: ~c["key"].isin(*filters.STAND_IN)), "spec_scope": F.filter("must", lambda c: c["key"].isin("doc_id", "version_id"))}
+    said = asked.withColumns({k: F.when(F.size(v) > 0, F.to_json(v)) for k, v in kept.items()})
+    specs = sorted({x for r in said.select(*kept).distinct().collect() for x in r if x})
+    place = lambda c: F.nullif(F.array_position(F.from_json(F.lit(json.dumps(specs)), "array<string>"), F.col(c)), F.lit(0)).cast("int") - 1
+    return rows.withColumn("_pass", filters.passes(specs, rows.schema)), said.withColumns({k: place(k) for k in kept})
 
 
 FLAGS = ["question", "terms", "standards", "clauses", "precision", "table_query", "listing_query", "query_doc_type", "doc_scoped"]
 
 
-def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFrame | None = None, low: DataFrame | None = None, routes: dict[str, int] | None = None) -> DataFrame:
+def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFrame | None = None, low: DataFrame | None = None, routes: dict[str, int] | None = None, search_filter: dict | None = None) -> DataFrame:
     """Questions against rows: chapter prefix, else exact clause, else fused keyword, containment and (where rows bear
-    vectors) dense routes; then overlap rerank and boost. One plan for all questions; a question answered by an earlier
-    way is left out of the later ones by an anti-join on its id."""
+    vectors) dense routes; then overlap rerank and boost. Each route keeps to its questions' filters, before its top-k.
+    One plan for all questions; a question answered by an earlier way is left out of the later ones by an anti-join on
+    its id. Routes name rows by ordinal; their text is fetched for the hits alone."""
     depth = {"dense": 48, "keyword": 24, "sparse": 24, "fused": max(3 * k, 80), "clause": max(4 * k, 48), "chapter": max(8 * k, 96)} | (routes or {})
-    asked = prepared(questions, entities).persist()  # a few rows that every route reads
-    named = asked.agg(F.coalesce(F.max(F.size("prefixes")), F.lit(0)), F.coalesce(F.max(F.size("clauses")), F.lit(0))).first()
+    rows, asked = with_filters(rows, prepared(questions, entities, search_filter=search_filter).persist())
+    asked = asked.persist()  # a few rows that every route reads
+    named = asked.agg(*[F.coalesce(F.max(c), F.lit(0)) for c in (F.size("prefixes"), F.size("clauses"), F.col("doc_scoped").cast("int"))]).first()
     body = retrieval.search_text("chunk_text", "excerpt", "doc_name", "chapter_id")
     flags = asked.select("query_id", *FLAGS)
-    fields = ["query_id", "rank", "score", "id", "route", *ROW_FIELDS]
+    place = ["query_id", "rank", "score", "route", "ordinal"]
+    whole = rows.select("ordinal", "id", *ROW_FIELDS)
+    fields = [*place, "id", *ROW_FIELDS]
+
+    def routed(hits: DataFrame, route: str) -> DataFrame:
+        return hits.withColumn("route", F.lit(route)).select(*place)
 
-    def shaped(hits: DataFrame) -> DataFrame:
-        return hits.select(*[c for c in fields])
+    def fetched(hits: DataFrame) -> DataFrame:
+        """Hits (a bounded number for each question) with their rows."""
+        return whole.join(F.broadcast(hits), "ordinal").select(*fields)
+
+    def wanting(df: DataFrame, spec: str, *columns) -> DataFrame:
+        return df.select("query_id", *columns, F.col(spec).alias("spec"))
 
     early, open_ = [], asked
     if named[0]:
-        by_prefix = retrieval.keyword_search(rows, asked.where(F.size("prefixes") > 0).select("query_id", F.array_distinct(F.concat("terms", "prefixes")).alias("terms")), depth["chapter"], body)
-        chapter = retrieval.clause_prefix_hits(by_prefix.join(asked.select("query_id", "prefixes"), "query_id")).withColumn("route", F.lit("chapter_prefix"))
-        early.append(shaped(chapter).persist())
+        by_prefix = retrieval.keyword_best(rows, wanting(asked.where(F.size("prefixes") > 0), "spec_chapter", F.array_distinct(F.concat("terms", "prefixes")).alias("terms")), depth["chapter"], body)
+        chapter = retrieval.clause_prefix_hits(fetched(routed(by_prefix, "chapter_prefix")).join(asked.select("query_id", "prefixes"), "query_id"))
+        early.append(chapter.select(*fields).persist())
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
     if named[1]:
-        wanted = open_.where(F.size("clauses") > 0).select("query_id", F.explode("clauses").alias("clause_id"))
-        exact = rows.join(wanted, "clause_id").withColumn("score", F.lit(0.0))
+        wanted = wanting(open_.where(F.size("clauses") > 0), "spec_all", F.explode("clauses").alias("clause_id"))
+        exact = rows.join(wanted, "clause_id").where(F.col("spec").isNull() | F.get("_pass", F.col("spec"))).withColumn("score", F.lit(0.0))
         told = F.coalesce("source_type", F.lit("")) != "explanation"
         exact = exact.withColumn("_told", F.max(told).over(Window.partitionBy("query_id"))).where(~F.col("_told") | told)
-        early.append(shaped(retrieval.top_k(exact, depth["clause"], F.col("ordinal")).withColumn("route", F.lit("clause_exact"))).persist())
+        early.append(retrieval.top_k(exact, depth["clause"], F.col("ordinal")).withColumn("route", F.lit("clause_exact")).select(*fields).persist())
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
     open_ = open_.persist()
 
-    gated = lambda hits: shaped(retrieval.route_gate(hits.join(flags, "query_id"), body).drop(*FLAGS))
-    fused = [gated(retrieval.keyword_search(rows, open_.select("query_id", "terms"), depth["keyword"], body))]
-    spread = rows.select("id", "ordinal", *ROW_FIELDS)
-    pages = spread.select(F.col("id").alias("doc_id"), F.coalesce("page_start", F.lit(0)).alias("page_no"), F.col("chunk_text").alias("text"))
-    like = retrieval.like_search(pages, open_.where("use_sparse").select("query_id", F.col("question").alias("query"), "terms"), depth["sparse"])
-    like = like.select("query_id", "rank", "score", F.col("doc_id").alias("id"), "route").join(spread, "id")
-    if low is not None:
-        like = retrieval.without_low_quality(like.join(flags.select("query_id", "doc_scoped"), "query_id"), low).drop("doc_scoped")
-    fused.append(gated(like))
+    found = {"keyword": retrieval.keyword_best(rows, wanting(open_, "spec_all", "terms"), depth["keyword"], body)}
+    pages = rows.select(F.col("ordinal").alias("doc_id"), F.coalesce("page_start", F.lit(0)).alias("page_no"), F.col("chunk_text").alias("text"), "_pass")
+    found["sparse"] = retrieval.like_best(pages, wanting(open_.where("use_sparse"), "spec_scope", F.col("question").alias("query"), "terms"), depth["sparse"]).withColumnRenamed("doc_id", "ordinal")
     if "vector" in rows.columns and "query_vector" in questions.columns:
-        fused.insert(0, shaped(retrieval.dense_search(rows, open_.select("query_id", "query_vector"), depth["dense"])))
-    joint = retrieval.fuse_rrf(fused, depth["fused"])
-    hits = reduce(DataFrame.unionByName, [*early, shaped(joint)]).join(flags, "query_id")
+        found = {"dense": retrieval.dense_search(rows, wanting(open_, "spec_all", "query_vector"), depth["dense"]), **found}
+    if named[2]:
+        lost = open_.where("doc_scoped")
+        if "dense" in found:
+            lost = lost.join(found["dense"].select("query_id").distinct(), "query_id", "left_anti")
+        found["filter_keyword"] = retrieval.keyword_best(rows, wanting(lost, "spec_all", "terms"), max(depth["keyword"], k), body).withColumn("score", F.col("score") * 5.0)
+    met = fetched(reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])).persist()
+
+    def gated(route: str) -> DataFrame:
+        hits = met.where(F.col("route") == route)
+        if route == "sparse" and low is not None:
+            hits = retrieval.without_low_quality(hits.join(flags.select("query_id", "doc_scoped"), "query_id"), low).drop("doc_scoped")
+        return (hits if route == "dense" else retrieval.route_gate(hits.join(flags, "query_id"), body)).select(*place, "id")
+
+    order = [r for r in ("dense", "filter_keyword", "keyword", "sparse") if r in found]
+    joint = retrieval.fuse_rrf([gated(r) for r in order], depth["fused"]).select(*place, "id")
+    texts = met.select("query_id", "ordinal", *ROW_FIELDS).dropDuplicates(["query_id", "ordinal"])
+    hits = reduce(DataFrame.unionByName, [*early, joint.join(texts, ["query_id", "ordinal"]).select(*fields)]).join(flags, "query_id")
     hits = retrieval.rerank(hits)
     if low is not None:
         bad = low.select("doc_id").distinct().withColumn("low_quality", F.lit(True))

@@ -173,3 +173,43 @@ def test_stable_hit_id(spark):
     import hashlib
 
     assert got == "sparse:d:3:" + hashlib.sha256("sparse|d|3|x".encode()).hexdigest()[:12]
+
+
+FILTERED = [("a", "d1", 110, "GB 50149-2010", "变压器运输保管 变压器运输保管", 0), ("b", "d2", 10, "GB 50149-2010", "变压器运输", 1), ("c", "d3", 220, "GB 50150-2016", "变压器", 2)]
+
+
+def filtered(spark, question, k=5, **how):
+    rows = spark.createDataFrame(FILTERED, "id string, doc_id string, val_voltage_kv int, standard_no string, chunk_text string, ordinal int")
+    q = spark.createDataFrame([(1, question), (2, "变压器运输")], "query_id int, question string")
+    got = hybrid.search(hybrid.plain_rows(rows), q, k, routes={"keyword": 1, "sparse": 1, "dense": 1}, **how).collect()
+    return {(r.query_id, r.id, r.route) for r in got}
+
+
+def test_a_questions_filter_holds_before_the_keyword_cut(spark):
+    got = filtered(spark, "不超过35kV的变压器运输")
+    assert {i for q, i, r in got if q == 1 and r == "keyword"} == {"b"}  # "a" has the best score, but 110 kV
+    assert {i for q, i, r in got if q == 2 and r == "keyword"} == {"a"}  # the other question has no bound
+
+
+def test_a_standard_is_a_filter(spark):
+    assert {i for q, i, _ in filtered(spark, "GB 50150-2016 变压器") if q == 1} == {"c"}
+
+
+def test_a_callers_filter_holds_on_every_route(spark):
+    for spec in ({"key": "doc_id", "match": {"value": "d2"}}, {"key": "doc_id", "match": {"any": ["d2", "d9"]}}):
+        assert {i for _, i, _ in filtered(spark, "变压器运输保管", search_filter={"must": [spec]})} == {"b"}
+
+
+def test_filters_as_columns_equal_compiled_filters(spark):
+    import json
+
+    rows = [(1, "3.0.6", None, 110, ["a", "b"], True), (2, None, "3.0.6", 35, [], False), (3, "4.1", "4.1", None, None, None)]
+    df = spark.createDataFrame(rows, "id int, clause_id string, clause_no string, kv int, ids array<string>, must boolean")
+    specs = [
+        [{"key": "clause_no", "match": {"any": ["3.0.6"]}}], [{"key": "clause_id", "match": {"value": "4.1"}}], [{"key": "kv", "range": {"gte": 35, "lt": 110}}], [{"key": "kv", "range": {"gt": 35}}, {"key": "ids", "match": {"value": "b"}}],
+        [{"key": "must", "match": {"value": True}}], [{"key": "ids", "match": {"any": []}}], [{"key": "absent", "match": {"value": "x"}}], [{"key": "ids", "range": {"gte": 1}}],
+    ]
+    said = [json.dumps([{k: v for k, v in c.asDict().items() if v is not None} for c in spark.range(1).select(filters.spec_column({"must": s})).first()[0]]) for s in specs]
+    got = df.select("id", filters.passes(said, df.schema).alias("ok")).collect()
+    for i, s in enumerate(specs):
+        assert {r.id for r in got if r.ok[i]} == {r.id for r in filters.apply_filter(df, {"must": s}).collect()}, s
