@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +45,31 @@ def cosine(a: Column, b: Column) -> Column:
     """Null where lengths differ or a vector is zero."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
+
+
+_FOUND = [re.compile(p) for p in (r"\d+(?:\.\d+)+", r"[a-z0-9]+", "[一-鿿]")]
+_WEIGHTS = np.array([s * (1 + n / 8.0) for s in (1.0, -1.0) for n in range(1, 9)])
+
+
+class Hasher(dict):
+    """hash_vector() of many texts in lower case: token -> 16 * place + 8 * (sign is minus) + min(length, 8) - 1."""
+
+    def __init__(self, dim: int = 1024, most: int = 200_000) -> None:
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
+        code = int.from_bytes(digest[:4], "big") % self.dim * 16 + (digest[4] & 1) * 8 + min(len(token), 8) - 1
+        if len(self) < self.most:  # a cache, not a limit on tokens
+            self[token] = code
+        return code
+
+    def vectors(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        for i, t in enumerate(texts):
+            found = [x for p in _FOUND for x in p.findall(t or "")] or ["__empty__"]
+            codes, counts = np.unique(np.fromiter(map(self.__getitem__, found), np.int64, len(found)), return_counts=True)
+            np.add.at(out[i], codes >> 4, _WEIGHTS[codes & 15] * counts)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norm, out=out, where=norm > 0)

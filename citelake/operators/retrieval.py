@@ -6,16 +6,18 @@ row_number() <= k per query, which Spark prunes inside each partition before the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelake.functions import clauses, fixed, text
-from citelake.functions.embedding import cosine
+from citelake.functions.embedding import Hasher, cosine
 
 MAX_QUERIES = 1024
 
@@ -136,6 +138,58 @@ def inverted_index(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no
     return each.groupBy("term", *keys).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+#: Signs that a full-text query takes for operators; they part words.
+_OPERATORS = re.compile(r"[/\-&|!():*<>]+")
+_WORD = re.compile(r"\w+")
+
+
+def fts_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """fts_search() of queries (query_id, query) without an index of every word: one reading of the pages (doc_id, page_no,
+    text) finds those with all words of a query and scores them by the words' places. Queries are few and collected."""
+    spec, has, ok = _passed(queries)
+    keys = ["doc_id", "page_no", *has]
+    asked = [(*r[:-1], list(dict.fromkeys(_WORD.findall(_OPERATORS.sub(" ", (r[-1] or "").lower()))))) for r in queries.select("query_id", *spec, "query").collect()]
+    said = sorted({tuple(r[-1]) for r in asked if r[-1]})
+    sent = pages.sparkSession.sparkContext.broadcast(said)
+
+    def cover(places: list[np.ndarray]) -> float:
+        far = np.zeros(len(places[0]), np.int64)
+        for p in places[1:]:
+            i = np.searchsorted(p, places[0])
+            far = np.maximum(far, np.minimum(np.abs(p[np.minimum(i, len(p) - 1)] - places[0]), np.abs(p[np.maximum(i - 1, 0)] - places[0])))
+        return float((1.0 / (1.0 + np.maximum(far - len(places) + 1, 0))).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_word: dict[str, list[tuple[int, tuple]]] = {}
+        for i, words in enumerate(sent.value):
+            by_word.setdefault(max(words, key=len), []).append((i, words))
+        every = {w for q in sent.value for w in q}
+        for b in batches:
+            at, query, score = [], [], []
+            for row, text_ in enumerate(b.column(len(keys)).to_pylist()):
+                words = _WORD.findall(text_ or "")
+                held = every.intersection(words)
+                met = [(i, q) for w in by_word.keys() & held for i, q in by_word[w] if held.issuperset(q)]
+                if met:
+                    places: dict[str, list[int]] = {w: [] for _, q in met for w in q}
+                    for pos, w in enumerate(words):
+                        if w in places:
+                            places[w].append(pos)
+                    arrays = {w: np.array(p) for w, p in places.items()}
+                    at += [row] * len(met)
+                    query += [i for i, _ in met]
+                    score += [cover([arrays[w] for w in q]) for _, q in met]
+            kept = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), *kept.columns[: len(keys)], pa.array(score, pa.float64())], names=["_q", *keys, "score"])
+
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keys)
+    found = pages.select(*keys, F.lower("text").alias("_body")).mapInArrow(run, f"_q int, {kinds}, score double")
+    place, kind = {q: i for i, q in enumerate(said)}, {f.name: f.dataType.simpleString() for f in queries.schema}
+    names = pages.sparkSession.createDataFrame([(place[tuple(r[-1])], *r[:-1]) for r in asked if r[-1]], "_q int, " + ", ".join(f"{c} {kind[c]}" for c in ("query_id", *spec)))
+    hits = found.join(F.broadcast(names), "_q").where(ok).select("query_id", "doc_id", "page_no", "score")
+    return top_k(hits, k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no")).withColumn("route", F.lit("sparse"))
+
+
 def fts_search(index: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
     """Pages that hold all of a query's words, by cover density (simplified: 1 / (1 + slack) for the tightest span that
     starts at an occurrence of the first word, summed over such occurrences). queries: (query_id, terms)."""
@@ -179,6 +233,50 @@ def dense_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec
     return top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal)).withColumn("route", F.lit("dense"))
 
 
+def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal", dim: int = 1024) -> DataFrame:
+    """dense_search() over hash vectors of rows' bodies and queries (query_id, query), as (query_id, ordinal, score, rank):
+    the vectors are made and compared where the rows are read, and each task keeps its k best of every query."""
+    spec, has, _ = _passed(queries)
+    asked = queries.select("query_id", *spec, F.lower(F.coalesce("query", F.lit(""))).alias("query")).collect()
+    sent = rows.sparkSession.sparkContext.broadcast([(r["query"], r["spec"] if spec else None) for r in asked])
+    kind = rows.schema[ordinal].dataType.simpleString()
+
+    def best(parts: list[tuple], at: np.ndarray, score: np.ndarray, j: int) -> None:
+        if parts[j]:
+            at, score = np.concatenate([parts[j][0], at]), np.concatenate([parts[j][1], score])
+        if len(at) > k:
+            least = -np.partition(-score, k - 1)[k - 1]
+            near = score >= least
+            at, score = at[near], score[near]
+            first = np.lexsort((at, -score))[:k]
+            at, score = at[first], score[first]
+        parts[j] = (at, score)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, questions = Hasher(dim), sent.value
+        wanted = hasher.vectors([q for q, _ in questions]).T
+        parts: list[tuple] = [()] * len(questions)
+        for whole in batches:
+            for start in range(0, whole.num_rows if questions else 0, 512):
+                b = whole.slice(start, 512)
+                at = b.column(0).to_numpy(zero_copy_only=False)
+                scores = np.round(hasher.vectors(b.column(len(has) + 1).to_pylist()) @ wanted, 9)
+                passed = np.array(b.column(1).to_pylist(), bool).reshape(len(at), -1) if has else None
+                for j, (_, place) in enumerate(questions):
+                    mine = slice(None) if place is None else passed[:, place]
+                    best(parts, at[mine], scores[mine, j], j)
+        got = [(j, *p) for j, p in enumerate(parts) if p]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(a), j, np.int32) for j, a, _ in got])), pa.array(np.concatenate([a for _, a, _ in got]).tolist(), out), pa.array(np.concatenate([s for _, _, s in got]))], names=["_q", ordinal, "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out = to_arrow_type(rows.schema[ordinal].dataType)
+    found = rows.select(ordinal, *has, F.lower(F.coalesce(body, F.lit(""))).alias("_body")).mapInArrow(run, f"_q int, `{ordinal}` {kind}, score double")
+    names = rows.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], f"_q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+    return top_k(found.join(F.broadcast(names), "_q").drop("_q"), k, F.desc(F.round("score", 9)), F.col(ordinal))
+
+
 def fuse_rrf(routes: list[DataFrame], k: int, constant: int = 60, key: str = "id") -> DataFrame:
     """Reciprocal rank fusion: each hit's sum of 1 / (constant + rank); the row (and its own score) of the first route
     that has it; order by the sum, then by first appearance."""
@@ -293,15 +391,22 @@ def clause_prefix_hits(hits: DataFrame) -> DataFrame:
 
 
 def attach_explanations(anchors: DataFrame, rows: DataFrame, per_clause: int = 1) -> DataFrame:
-    """Anchors with up to per_clause explanation rows of each of their clauses (an equi-join), first copies only."""
+    """Anchors with up to per_clause explanation rows of each of their clauses (an equi-join) behind the first anchor of
+    the clause, first copies only. Anchors with a column spec take rows that pass their question's filter."""
+    spec, has, ok = _passed(anchors)
+    named = anchors.where("clause_id is not null and clause_id <> ''")
+    told = F.coalesce(F.lower("source_type"), F.lit("")) != "explanation"
+    clause = named.groupBy("query_id", *spec, "clause_id").agg(F.min("rank").alias("_after"), F.max(told).alias("_told"))
     notes = rows.where("source_type = 'explanation' and clause_id is not null")
-    clause = anchors.where("clause_id is not null and source_type <> 'explanation'").groupBy("query_id", "clause_id").agg(F.max("rank").alias("_after"))
     nth = F.row_number().over(Window.partitionBy("query_id", "clause_id").orderBy("page_start", "chunk_text"))
-    added = clause.join(notes.select(*[c for c in CITATION if c in notes.columns]), "clause_id").withColumn("_nth", nth).where(F.col("_nth") <= per_clause)
-    added = added.withColumn("rank", F.col("_after")).drop("_after", "_nth")
-    every = anchors.withColumn("_o", F.lit(0)).unionByName(added.withColumn("_o", F.lit(1)), allowMissingColumns=True)
+    added = clause.join(notes.select(*has, *[c for c in CITATION if c in notes.columns and c != "route"]), "clause_id").where(ok).withColumn("_nth", nth).where(F.col("_nth") <= per_clause)
+    added = added.withColumns({"rank": F.col("_after"), "route": F.lit("explanation_sibling")}).drop("_after", "_nth", "_told", *has, *spec)
+    own = anchors.drop(*spec).join(clause.select("query_id", "clause_id", "_told"), ["query_id", "clause_id"], "left")
+    own = own.withColumn("route", F.when(F.col("_told") & (F.lower("source_type") == "explanation"), F.lit("explanation_sibling")).otherwise(F.col("route"))).drop("_told")
+    every = own.withColumn("_o", F.lit(0)).unionByName(added.withColumn("_o", F.lit(1)), allowMissingColumns=True)
     same = Window.partitionBy("query_id", "doc_id", "page_start", "page_end", "source_type", "clause_id").orderBy("_o", "rank")
-    return every.withColumn("_c", F.row_number().over(same)).where("_c = 1 or _o = 0").drop("_c", "_o")
+    kept = every.withColumn("_c", F.row_number().over(same)).where("_c = 1 or _o = 0")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "_o", "clause_id", "page_start", "chunk_text"))).drop("_c", "_o")
 
 
 def plan_questions(questions: DataFrame, precision_chars: int = 48) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +69,35 @@ FLAGS = ["question", "terms", "standards", "clauses", "precision", "table_query"
 
 
 def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFrame | None = None, low: DataFrame | None = None, routes: dict[str, int] | None = None, search_filter: dict | None = None) -> DataFrame:
-    """Questions against rows: chapter prefix, else exact clause, else fused keyword, containment and (where rows bear
-    vectors) dense routes; then overlap rerank and boost. Each route keeps to its questions' filters, before its top-k.
+    """The hits of _search()."""
+    return _search(rows, questions, k, entities, low, routes, search_filter)[0]
+
+
+def cited(rows: DataFrame, questions: DataFrame, k: int = 16, explanations: int = 1, **how) -> DataFrame:
+    """Citations of the hits with up to `explanations` explanation siblings of each clause cited (0: none, which is the
+    reference's default)."""
+    hits, rows, asked = _search(rows, questions, k, **how)
+    shown = retrieval.citations(hits)
+    if not explanations:
+        return shown
+    spec = F.when(F.col("route") == "chapter_prefix", F.col("spec_chapter")).otherwise(F.col("spec_all"))
+    anchors = shown.join(asked.select("query_id", "spec_all", "spec_chapter"), "query_id").withColumn("spec", spec).drop("spec_all", "spec_chapter")
+    return retrieval.attach_explanations(anchors, rows, explanations)
+
+
+def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFrame | None = None, low: DataFrame | None = None, routes: dict[str, int] | None = None, search_filter: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions against rows: chapter prefix, else exact clause, else fused dense (by the rows' and questions' vectors, or
+    by hash vectors where they bear none), keyword and sparse routes (full text; for Chinese questions without full-text
+    hits, containment); then overlap rerank and boost. (hits, rows with their filters, questions). Each route keeps to its questions' filters, before its top-k.
     One plan for all questions; a question answered by an earlier way is left out of the later ones by an anti-join on
     its id. Routes name rows by ordinal; their text is fetched for the hits alone."""
     depth = {"dense": 48, "keyword": 24, "sparse": 24, "fused": max(3 * k, 80), "clause": max(4 * k, 48), "chapter": max(8 * k, 96)} | (routes or {})
+    session = rows.sparkSession  # long texts go to Python in small batches
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     rows, asked = with_filters(rows, prepared(questions, entities, search_filter=search_filter).persist())
     asked = asked.persist()  # a few rows that every route reads
-    named = asked.agg(*[F.coalesce(F.max(c), F.lit(0)) for c in (F.size("prefixes"), F.size("clauses"), F.col("doc_scoped").cast("int"))]).first()
+    named = asked.agg(*[F.coalesce(F.max(c), F.lit(0)) for c in (F.size("prefixes"), F.size("clauses"), F.col("doc_scoped").cast("int"), F.col("question").rlike("[一-鿿]").cast("int"))]).first()
     body = retrieval.search_text("chunk_text", "excerpt", "doc_name", "chapter_id")
     flags = asked.select("query_id", *FLAGS)
     place = ["query_id", "rank", "score", "route", "ordinal"]
@@ -109,15 +131,21 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFra
 
     found = {"keyword": retrieval.keyword_best(rows, wanting(open_, "spec_all", "terms"), depth["keyword"], body)}
     pages = rows.select(F.col("ordinal").alias("doc_id"), F.coalesce("page_start", F.lit(0)).alias("page_no"), F.col("chunk_text").alias("text"), "_pass")
-    found["sparse"] = retrieval.like_best(pages, wanting(open_.where("use_sparse"), "spec_scope", F.col("question").alias("query"), "terms"), depth["sparse"]).withColumnRenamed("doc_id", "ordinal")
+    sparse = wanting(open_.where("use_sparse"), "spec_scope", F.regexp_replace("sparse_query", r"[/\-&|!():*<>]+", " ").alias("query"), "terms")
+    words = retrieval.fts_best(pages, sparse, depth["sparse"]).select("query_id", "doc_id", "score", "rank").persist()
+    if named[3]:
+        rest = sparse.where(F.col("query").rlike("[一-鿿]")).join(words.select("query_id").distinct(), "query_id", "left_anti")
+        words = words.unionByName(retrieval.like_best(pages, rest, depth["sparse"]).select("query_id", "doc_id", "score", "rank"))
+    found["sparse"] = words.withColumnRenamed("doc_id", "ordinal")
     if "vector" in rows.columns and "query_vector" in questions.columns:
-        found = {"dense": retrieval.dense_search(rows, wanting(open_, "spec_all", "query_vector"), depth["dense"]), **found}
+        dense = retrieval.dense_search(rows, wanting(open_, "spec_all", "query_vector"), depth["dense"])
+    else:
+        dense = retrieval.hash_search(rows, wanting(open_, "spec_all", F.col("dense_text").alias("query")), depth["dense"], F.col("chunk_text"))
+    found = {"dense": dense, **found}
     if named[2]:
-        lost = open_.where("doc_scoped")
-        if "dense" in found:
-            lost = lost.join(found["dense"].select("query_id").distinct(), "query_id", "left_anti")
+        lost = open_.where("doc_scoped").join(dense.select("query_id").distinct(), "query_id", "left_anti")
         found["filter_keyword"] = retrieval.keyword_best(rows, wanting(lost, "spec_all", "terms"), max(depth["keyword"], k), body).withColumn("score", F.col("score") * 5.0)
-    met = fetched(reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])).persist()
+    met = fetched(reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])).persist(StorageLevel.DISK_ONLY)
 
     def gated(route: str) -> DataFrame:
         hits = met.where(F.col("route") == route)
@@ -135,4 +163,4 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFra
         hits = hits.join(bad, "doc_id", "left").withColumn("low_quality", F.coalesce("low_quality", F.lit(False)))
     else:
         hits = hits.withColumn("low_quality", F.lit(False))
-    return retrieval.boost(hits, k)
+    return retrieval.boost(hits, k), rows, asked

@@ -229,11 +229,11 @@ def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages asked of all documents by all routes; ten citations each."""
+    """Benchmark passages asked of all documents by the dense (hash vectors), keyword and full-text routes (containment for
+    Chinese ones without full-text hits); ten citations each, and explanation siblings where rows bear clauses."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.substring_index("text", ".", 1), "\n", " ").alias("question"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("chunk_text"), F.col("doc_id").alias("ordinal"))
-    hits = hybrid.search(hybrid.plain_rows(rows), asked, 10)
-    return retrieval.citations(hits).select("query_id", "rank", "doc_id", "excerpt", "route")
+    return hybrid.cited(hybrid.plain_rows(rows), asked, 10).select("query_id", "rank", "doc_id", "excerpt", "route")
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
