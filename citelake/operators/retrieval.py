@@ -7,7 +7,7 @@ row_number() <= k per query, which Spark prunes inside each partition before the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -90,17 +90,45 @@ def _passed(queries: DataFrame) -> tuple[list[str], list[str], Column]:
 
 
 def keyword_best(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
-    """(query_id, ordinal, score, rank) of keyword_search()."""
-    spec, has, ok = _passed(queries)
-    wanted = queries.select("query_id", *spec, F.explode("terms").alias("term"))
-    weight = (1 + F.least(F.length("term"), F.lit(12)) / 12.0) * F.log1p("n")
-    scored = term_hits(rows, [ordinal, *has], body, wanted).join(wanted, "term").where(ok).groupBy("query_id", ordinal).agg(F.sum(weight).alias("score"))
-    return top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal))
+    """(query_id, ordinal, score, rank) of keyword_search(), with pairs of questions and rows added up in the tasks."""
+    asked = queries.select("query_id", *_passed(queries)[0], "terms").collect()
+    sent = rows.sparkSession.sparkContext.broadcast([list(r["terms"] or []) for r in asked])
+
+    def scorer() -> Callable[[list], np.ndarray]:
+        place = {t: i for i, t in enumerate(sorted({t for q in sent.value for t in q if t}))}
+        weight = np.zeros((len(place), len(sent.value)))
+        automaton = ahocorasick.Automaton()
+        for t, i in place.items():
+            automaton.add_word(t, (i, len(t)))
+        if place:
+            automaton.make_automaton()
+        for j, q in enumerate(sent.value):
+            for t in filter(None, q):
+                weight[place[t], j] += 1 + min(len(t), 12) / 12.0
+
+        def score(texts: list) -> np.ndarray:
+            counts = np.zeros((len(texts), len(place)))
+            for n, text_ in enumerate(texts if place else []):
+                free, found = [-1] * len(place), [0] * len(place)
+                for end, (i, size) in automaton.iter(text_):
+                    if end - size >= free[i]:
+                        free[i] = end
+                        found[i] += 1
+                counts[n] = found
+            got = np.log1p(counts) @ weight
+            return np.where(got > 0, got, -np.inf)
+
+        return score
+
+    return best_in_tasks(rows, queries, asked, k, body, ordinal, scorer)
 
 
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
     """queries (query_id, terms) -> hits by keyword_score(); ties by ordinal, which names a row."""
-    best = keyword_best(rows, queries, k, body, ordinal)
+    wanted = queries.select("query_id", F.explode("terms").alias("term"))
+    weight = (1 + F.least(F.length("term"), F.lit(12)) / 12.0) * F.log1p("n")
+    scored = term_hits(rows, [ordinal], body, wanted).join(wanted, "term").groupBy("query_id", ordinal).agg(F.sum(weight).alias("score"))
+    best = top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal))
     return rows.drop("query_id", "score", "rank").join(best, ordinal).withColumn("route", F.lit("keyword"))
 
 
@@ -233,50 +261,61 @@ def dense_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec
     return top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal)).withColumn("route", F.lit("dense"))
 
 
-def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal", dim: int = 1024) -> DataFrame:
-    """dense_search() over hash vectors of rows' bodies and queries (query_id, query), as (query_id, ordinal, score, rank):
-    the vectors are made and compared where the rows are read, and each task keeps its k best of every query."""
-    spec, has, _ = _passed(queries)
-    asked = queries.select("query_id", *spec, F.lower(F.coalesce("query", F.lit(""))).alias("query")).collect()
-    sent = rows.sparkSession.sparkContext.broadcast([(r["query"], r["spec"] if spec else None) for r in asked])
-    kind = rows.schema[ordinal].dataType.simpleString()
+def best_in_tasks(rows: DataFrame, queries: DataFrame, asked: list, k: int, body: Column, ordinal: str, scorer: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """(query_id, ordinal, score, rank): the first k rows of each query (asked: collected queries with query_id and perhaps
+    spec) by score and ordinal. A scorer turns bodies to scores, a column a query in order, -inf where a row is no hit; each
+    task keeps its k best of every query, so that no pair of a question and a row leaves it that can't be among them."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def best(parts: list[tuple], at: np.ndarray, score: np.ndarray, j: int) -> None:
-        if parts[j]:
-            at, score = np.concatenate([parts[j][0], at]), np.concatenate([parts[j][1], score])
+    spec, has, _ = _passed(queries)
+    places = [r["spec"] if spec else None for r in asked]
+    kind, out = rows.schema[ordinal].dataType.simpleString(), to_arrow_type(rows.schema[ordinal].dataType)
+
+    def best(old: tuple, at: np.ndarray, score: np.ndarray) -> tuple:
+        hit = np.isfinite(score)
+        at, score = at[hit], score[hit]
+        if old:
+            at, score = np.concatenate([old[0], at]), np.concatenate([old[1], score])
         if len(at) > k:
-            least = -np.partition(-score, k - 1)[k - 1]
-            near = score >= least
+            near = score >= -np.partition(-score, k - 1)[k - 1]
             at, score = at[near], score[near]
             first = np.lexsort((at, -score))[:k]
             at, score = at[first], score[first]
-        parts[j] = (at, score)
+        return at, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, questions = Hasher(dim), sent.value
-        wanted = hasher.vectors([q for q, _ in questions]).T
-        parts: list[tuple] = [()] * len(questions)
+        score_of, parts = scorer() if places else None, [()] * len(places)
         for whole in batches:
-            for start in range(0, whole.num_rows if questions else 0, 512):
+            for start in range(0, whole.num_rows if places else 0, 512):
                 b = whole.slice(start, 512)
                 at = b.column(0).to_numpy(zero_copy_only=False)
-                scores = np.round(hasher.vectors(b.column(len(has) + 1).to_pylist()) @ wanted, 9)
+                scores = np.round(score_of(b.column(len(has) + 1).to_pylist()), 9)
                 passed = np.array(b.column(1).to_pylist(), bool).reshape(len(at), -1) if has else None
-                for j, (_, place) in enumerate(questions):
+                for j, place in enumerate(places):
                     mine = slice(None) if place is None else passed[:, place]
-                    best(parts, at[mine], scores[mine, j], j)
-        got = [(j, *p) for j, p in enumerate(parts) if p]
+                    parts[j] = best(parts[j], at[mine], scores[mine, j])
+        got = [(j, *p) for j, p in enumerate(parts) if p and len(p[0])]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(a), j, np.int32) for j, a, _ in got])), pa.array(np.concatenate([a for _, a, _ in got]).tolist(), out), pa.array(np.concatenate([s for _, _, s in got]))], names=["_q", ordinal, "score"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out = to_arrow_type(rows.schema[ordinal].dataType)
-    found = rows.select(ordinal, *has, F.lower(F.coalesce(body, F.lit(""))).alias("_body")).mapInArrow(run, f"_q int, `{ordinal}` {kind}, score double")
+    found = rows.select(ordinal, *has, F.coalesce(body, F.lit("")).alias("_body")).mapInArrow(run, f"_q int, `{ordinal}` {kind}, score double")
     names = rows.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], f"_q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
     return top_k(found.join(F.broadcast(names), "_q").drop("_q"), k, F.desc(F.round("score", 9)), F.col(ordinal))
 
 
+def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal", dim: int = 1024) -> DataFrame:
+    """dense_search() over hash vectors of rows' bodies and queries (query_id, query), as (query_id, ordinal, score, rank)."""
+    asked = queries.select("query_id", *_passed(queries)[0], F.lower(F.coalesce("query", F.lit(""))).alias("query")).collect()
+    sent = rows.sparkSession.sparkContext.broadcast([r["query"] for r in asked])
+
+    def scorer() -> Callable[[list], np.ndarray]:
+        hasher = Hasher(dim)
+        wanted = hasher.vectors(sent.value).T
+        return lambda texts: hasher.vectors(texts) @ wanted
+
+    return best_in_tasks(rows, queries, asked, k, F.lower(body), ordinal, scorer)
+
+
 def fuse_rrf(routes: list[DataFrame], k: int, constant: int = 60, key: str = "id") -> DataFrame:
     """Reciprocal rank fusion: each hit's sum of 1 / (constant + rank); the row (and its own score) of the first route
     that has it; order by the sum, then by first appearance."""
@@ -293,11 +332,11 @@ def first_of_each(hits: DataFrame, key: str = "id") -> DataFrame:
     return hits.withColumn("_nth", nth).where(F.col(key).isNull() | (F.col(key) == "") | (F.col("_nth") == 1)).drop("_nth")
 
 
-def lexical_gate(hits: DataFrame, body: Column, terms: str = "terms", ratio: float = 0.25, least: float = 0.3, keep: int = 3) -> DataFrame:
+def lexical_gate(hits: DataFrame, body: Column, terms: str = "terms", ratio: float = 0.25, least: float = 0.3, keep: int = 3, lex: Column | None = None) -> DataFrame:
     """Hits whose keyword score is at least max(least, ratio of the best); where none is, the first `keep`. Single hits
-    and questions without terms pass."""
+    and questions without terms pass. lex: the keyword score, where the hits bear it."""
     query = Window.partitionBy("query_id")
-    scored = hits.withColumn("_lex", keyword_score(body, F.coalesce(terms, F.array().cast("array<string>"))))
+    scored = hits.withColumn("_lex", keyword_score(body, F.coalesce(terms, F.array().cast("array<string>"))) if lex is None else lex)
     scored = scored.withColumns({"_top": F.max("_lex").over(query), "_n": F.count("*").over(query)})
     good = (F.col("_lex") > 0) & (F.col("_lex") >= F.greatest(F.lit(least), F.col("_top") * ratio))
     scored = scored.withColumn("_good", good).withColumn("_any", F.max("_good").over(query))
@@ -315,13 +354,13 @@ def matches_precision(standards: Column, wanted: Column) -> Column:
     return ((F.size(standards) == 0) | standard) & ((F.size(wanted) == 0) | clause)
 
 
-def route_gate(hits: DataFrame, body: Column) -> DataFrame:
+def route_gate(hits: DataFrame, body: Column, ok: Column | None = None, lex: Column | None = None) -> DataFrame:
     """Precision questions keep hits that match (all, where none does); then the lexical gate. hits carry precision,
-    standards, clauses and terms of their question."""
+    standards, clauses and terms of their question. ok, lex: the match and the keyword score, where the hits bear them."""
     query = Window.partitionBy("query_id")
-    marked = hits.withColumn("_ok", matches_precision(F.col("standards"), F.col("clauses"))).withColumns({"_some": F.max("_ok").over(query), "_n": F.count("*").over(query)})
+    marked = hits.withColumn("_ok", matches_precision(F.col("standards"), F.col("clauses")) if ok is None else ok).withColumns({"_some": F.max("_ok").over(query), "_n": F.count("*").over(query)})
     kept = marked.where(~(F.col("precision") & F.col("_some") & (F.col("_n") > 1)) | F.col("_ok"))
-    return lexical_gate(kept.drop("_ok", "_some", "_n"), body)
+    return lexical_gate(kept.drop("_ok", "_some", "_n"), body, lex=lex)
 
 
 def without_low_quality(hits: DataFrame, low: DataFrame) -> DataFrame:

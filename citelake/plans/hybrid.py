@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +90,8 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     hits, containment); then overlap rerank and boost. (hits, rows with their filters, questions). Each route keeps to its questions' filters, before its top-k.
     One plan for all questions; a question answered by an earlier way is left out of the later ones by an anti-join on
     its id. Routes name rows by ordinal; their text is fetched for the hits alone."""
-    depth = {"dense": 48, "keyword": 24, "sparse": 24, "fused": max(3 * k, 80), "clause": max(4 * k, 48), "chapter": max(8 * k, 96)} | (routes or {})
+    depth = {"dense": max(k, 48), "keyword": 24, "sparse": max(k, 24), "fused": max(3 * k, 80), "clause": max(4 * k, 48), "chapter": max(8 * k, 96)} | (routes or {})
+    depth = {"listing": max(depth["keyword"], 64)} | depth  # keyword hits of questions that ask for a list
     session = rows.sparkSession  # long texts go to Python in small batches
     session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -116,8 +116,12 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
 
     early, open_ = [], asked
     if named[0]:
-        by_prefix = retrieval.keyword_best(rows, wanting(asked.where(F.size("prefixes") > 0), "spec_chapter", F.array_distinct(F.concat("terms", "prefixes")).alias("terms")), depth["chapter"], body)
-        chapter = retrieval.clause_prefix_hits(fetched(routed(by_prefix, "chapter_prefix")).join(asked.select("query_id", "prefixes"), "query_id"))
+        asked_of = asked.where(F.size("prefixes") > 0)
+        passes = [F.array_distinct(F.concat("terms", "prefixes")), F.col("prefixes")]  # the loose pass: continuations that share no word
+        found = [retrieval.keyword_best(rows, wanting(asked_of, "spec_chapter", t.alias("terms")), depth["chapter"], body).withColumn("_pass_no", F.lit(i)) for i, t in enumerate(passes)]
+        both = found[0].unionByName(found[1]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_pass_no", "rank")))
+        both = both.groupBy("query_id", "ordinal").agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias("rank"))
+        chapter = retrieval.clause_prefix_hits(fetched(routed(both, "chapter_prefix")).join(asked.select("query_id", "prefixes"), "query_id"))
         early.append(chapter.select(*fields).persist())
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
     if named[1]:
@@ -129,7 +133,13 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
     open_ = open_.persist()
 
-    found = {"keyword": retrieval.keyword_best(rows, wanting(open_, "spec_all", "terms"), depth["keyword"], body)}
+    listed = F.when(F.col("listing_query"), depth["listing"]).otherwise(depth["keyword"]).alias("_most")
+
+    def by_keyword(df: DataFrame, least: int = 0) -> DataFrame:
+        hits = retrieval.keyword_best(rows, wanting(df, "spec_all", "terms"), max(depth["listing"], depth["keyword"], least), body)
+        return hits.join(F.broadcast(df.select("query_id", listed)), "query_id").where(F.col("rank") <= F.greatest("_most", F.lit(least))).drop("_most")
+
+    found = {"keyword": by_keyword(open_)}
     pages = rows.select(F.col("ordinal").alias("doc_id"), F.coalesce("page_start", F.lit(0)).alias("page_no"), F.col("chunk_text").alias("text"), "_pass")
     sparse = wanting(open_.where("use_sparse"), "spec_scope", F.regexp_replace("sparse_query", r"[/\-&|!():*<>]+", " ").alias("query"), "terms")
     words = retrieval.fts_best(pages, sparse, depth["sparse"]).select("query_id", "doc_id", "score", "rank").persist()
@@ -144,19 +154,21 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     found = {"dense": dense, **found}
     if named[2]:
         lost = open_.where("doc_scoped").join(dense.select("query_id").distinct(), "query_id", "left_anti")
-        found["filter_keyword"] = retrieval.keyword_best(rows, wanting(lost, "spec_all", "terms"), max(depth["keyword"], k), body).withColumn("score", F.col("score") * 5.0)
-    met = fetched(reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])).persist(StorageLevel.DISK_ONLY)
+        found["filter_keyword"] = by_keyword(lost, k).withColumn("score", F.col("score") * 5.0)
+    # gates read the texts, but only their verdicts go on; texts are fetched again for what is fused
+    judged = fetched(reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])).join(F.broadcast(flags), "query_id")
+    judged = judged.withColumns({"_fits": retrieval.matches_precision(F.col("standards"), F.col("clauses")), "_says": retrieval.keyword_score(body, F.col("terms"))})
+    met = judged.select(*place, "id", "doc_id", "version_id", "_fits", "_says", "terms", "precision", "doc_scoped").persist()
 
     def gated(route: str) -> DataFrame:
         hits = met.where(F.col("route") == route)
         if route == "sparse" and low is not None:
-            hits = retrieval.without_low_quality(hits.join(flags.select("query_id", "doc_scoped"), "query_id"), low).drop("doc_scoped")
-        return (hits if route == "dense" else retrieval.route_gate(hits.join(flags, "query_id"), body)).select(*place, "id")
+            hits = retrieval.without_low_quality(hits, low)
+        return (hits if route == "dense" else retrieval.route_gate(hits, body, F.col("_fits"), F.col("_says"))).select(*place, "id")
 
     order = [r for r in ("dense", "filter_keyword", "keyword", "sparse") if r in found]
-    joint = retrieval.fuse_rrf([gated(r) for r in order], depth["fused"]).select(*place, "id")
-    texts = met.select("query_id", "ordinal", *ROW_FIELDS).dropDuplicates(["query_id", "ordinal"])
-    hits = reduce(DataFrame.unionByName, [*early, joint.join(texts, ["query_id", "ordinal"]).select(*fields)]).join(flags, "query_id")
+    joint = retrieval.fuse_rrf([gated(r) for r in order], depth["fused"]).select(*place)
+    hits = reduce(DataFrame.unionByName, [*early, fetched(joint)]).join(F.broadcast(flags), "query_id")
     hits = retrieval.rerank(hits)
     if low is not None:
         bad = low.select("doc_id").distinct().withColumn("low_quality", F.lit(True))
