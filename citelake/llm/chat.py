@@ -54,7 +54,7 @@ def segments(nodes: DataFrame) -> DataFrame:
         doubled = state.join(higher, ["tree", "head"]).select("tree", "node", F.col("next").alias("head"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
         after = common.written(doubled, "reply-runs")
         left = after.where("moved").count()
-        common.discard(state.sparkSession, state)
+        common.discard(state)
         state = after.drop("moved")
         if left == moving:  # only cycles still move
             break

@@ -7,8 +7,10 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,29 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bounded Arrow batches: a Python worker and its task hold a few of them at a time, whatever the texts' lengths.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounded Arrow batches: a Python worker and its task hold a few of them at a time, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bounds Arrow batches for the session, where its owner has not set them. The registered queries call it, since their
+    last step runs after they return; operators leave the session as it is."""
+    for key, value in ARROW.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """The same bounds for the time of one action."""
+    before = {key: spark.conf.get(key, None) for key in ARROW}
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where unset (tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Unset, a local session (tests) gets a temporary one and
+    a cluster an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="citelake-")
         shared_dir.own = root
     return root.rstrip("/")
@@ -45,32 +69,43 @@ def stage_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, label)
-    small_batches(spark)
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a table that written() made and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that written() made and nothing reads any more."""
+    for df in tables:
+        for parent in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            remove(df.sparkSession, parent)
 
 
-def run_table(df: DataFrame, label: str, key: str, buckets: int) -> tuple[str, DataFrame]:
-    """Write df as an immutable run: hash-bucketed by key and sorted in each bucket, so that later joins
-    and aggregations on key need no exchange. Returns the table's name and its rows."""
+def run_table(df: DataFrame, label: str, keys: tuple[str, ...], buckets: int) -> tuple[str, str, DataFrame]:
+    """Write df as an immutable run: hash-bucketed by keys and sorted in each bucket, so that later joins and aggregations
+    on them need no exchange. Returns the table's name, its folder and its rows."""
     spark = df.sparkSession
-    name = f"citelake_{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", stage_path(spark, label)).saveAsTable(name)
-    return name, spark.table(name)
+    name, path = f"citelake_{label}_{uuid.uuid4().hex}", stage_path(spark, label)
+    with bounded_batches(spark):
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return name, path, spark.table(name)
+
+
+def open_run(spark: SparkSession, label: str, path: str, columns: str, keys: tuple[str, ...], buckets: int) -> tuple[str, str, DataFrame]:
+    """A run that another session wrote, known to this session's catalog again."""
+    name, by = f"citelake_{label}_{uuid.uuid4().hex}", ", ".join(keys)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name, path, spark.table(name)
 
 
-def drop_run(spark: SparkSession, name: str, df: DataFrame) -> None:
-    discard(spark, df)
+def drop_run(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove(spark, path)
 
 
 def give_back() -> None:
@@ -109,34 +144,39 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[ord(c) for c in BLANKS]] = True
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0 to n - 1 modulo 2^64, and their inverses."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]), 1 << 16)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[i] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes, first bytes) of the words in UTF-8 bytes, as WORD finds them, by array operations only: the
-    difference of two prefix sums of byte times power, shifted back to the first byte."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[data]
-    edge = np.diff(inside)
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(first):
-        return np.empty(0, np.uint64), first
-    power, inverse = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    return mix((sums[end] - sums[first]) * inverse[first]), first
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one at a time.
+_WORD_BYTES = 64
+_CHAINS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+
+
+class Words:
+    """The words of UTF-8 bytes as WORD finds them: first and end are their places, hashes() their 64-bit hashes."""
+
+    def __init__(self, data: np.ndarray):
+        edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
+        self.data, self.first, self.end = data, edge[::2], edge[1::2]
+
+    def hashes(self, chain: int = 0) -> np.ndarray:
+        """Eight bytes at a time, all words at once, go through an invertible mix, so words of one length up to eight bytes
+        never share a hash. The two chains are independent; both together make 128 bits."""
+        start, step = _CHAINS[chain]
+        first, size = self.first, self.end - self.first
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        with np.errstate(over="ignore"):
+            out = mix(size.astype(np.uint64) * step + start)
+            who, at = np.flatnonzero(size <= _WORD_BYTES), 0
+            while len(who):
+                some = eight[first[who] + at] & _FIRST[np.minimum(size[who] - at, 8)]
+                out[who] = mix((out[who] ^ some) * step)
+                at += 8
+                who = who[size[who] > at]
+            for i in np.flatnonzero(size > _WORD_BYTES).tolist():
+                out[i] = xxhash.xxh3_64_intdigest(self.data[first[i] : self.end[i]], int(start))
+        return out
 
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:

@@ -26,9 +26,9 @@ WINDOW = 20
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     members, results = substrings.remove_repeats(docs, WINDOW)
-    short = results.select("t", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    short = results.select("t", "u", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
     lost = F.col("copy") & (F.col("n_words") >= WINDOW)
-    return members.join(short, "t").select(
+    return members.join(short, ["t", "u"]).select(
         F.col("id").alias("doc_id"), "n_words", F.when(lost, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(lost, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )

@@ -1,28 +1,32 @@
 """Substring dedup (operator 2): a log-structured index of window fingerprints.
 
 A window is `size` consecutive words. Storing the fingerprint of every window would cost many times the text, so the
-index keeps, for each text, the distinct minimizers of its windows: the least hash among a window's `size` - 4 eight-word
+index keeps, for each text, the distinct minimizers of its windows: the least hash among a window's `size` - 7 eight-word
 grams. Equal windows have equal minimizers, so only windows whose minimizer occurs in two texts (or whose sequence
 repeats inside its own text) can be repeated; no other window needs a look.
 
-Each batch of documents becomes immutable runs, hash-bucketed and sorted: (minimizer, text) rows and the texts
-themselves. A new batch is merge-joined with itself and with every older run (sort-merge joins over the buckets, no
-exchange). What matches is verified: the windows in question are taken from the texts, fingerprinted by two independent
-64-bit hashes of their words, and in each fingerprint the first place by (batch, doc_id, start) wins; every other place
-is a repeat. When there are more than `max_runs` runs they are merged into one (compaction).
+Each batch of documents becomes immutable runs, hash-bucketed and sorted: minimizer rows and the texts themselves. A new
+batch is merge-joined with itself and with every older run (sort-merge joins over the buckets, no exchange). What matches
+is verified: the windows in question are taken from the texts and fingerprinted by 128 bits (two polynomials over two
+independent word hashes, each an injective or xxh3 hash of the word's bytes); in each fingerprint the first place by
+(batch, doc_id, start) wins and every other place is a repeat. More than `max_runs` runs of a kind are merged into one
+(compaction). A manifest in the index's folder names the runs, so `FingerprintIndex.open` goes on in another session; a
+batch that fails leaves the manifest, and so the index, as it was. Runs that a compaction has replaced stay until
+`vacuum`, since results of earlier batches may not have been read yet.
 
-Groups of exact copies are one text: a later copy's windows all start earlier in the first, so a copy of at least `size`
-words loses all of them. A text is known by a 64-bit hash; should two texts of the index ever share it, the batch is
-refused with an error that names the remedy (another seed).
+Groups of exact copies are one text, known by 128 bits (t, u): a later copy's windows all start earlier in the first, so a
+copy of at least `size` words loses all of them.
 
 Defined results: null and empty texts have no words; rows with a null id come before all others; repeated rows (same id,
 same text) are one document and get the same result; different texts with one id are separate texts in the order of
-their hashes; an empty batch adds nothing; other columns pass through unless they bear the names of results.
+their hashes; an empty batch adds nothing; the results have columns of their own and name no other column.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -37,6 +41,8 @@ GRAM = 8
 NO_ID = -(1 << 63)
 #: Text bytes a bucket of the index is made for. Text runs are written without a shuffle (files: tasks x buckets).
 BUCKET_BYTES = 64 << 20
+#: Texts that a writer knows as written; beyond them it starts anew.
+REMEMBERED = 1_000_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -72,9 +78,10 @@ class Windows:
     """The windows of several texts at once: words of all texts in one array, windows over a text's end left out."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, size: int):
-        self.words, first = common.word_hashes(data)
-        owner = np.searchsorted(starts, first, side="right") - 1
-        n = max(0, len(first) - size + 1)
+        self.found = common.Words(data)
+        self.words = self.found.hashes()
+        owner = np.searchsorted(starts, self.found.first, side="right") - 1
+        n = max(0, len(owner) - size + 1)
         self.at = np.flatnonzero(owner[:n] == owner[size - 1 :]) if n else np.empty(0, np.int64)
         self.owner = owner[self.at]
         self.pos = self.at - np.searchsorted(owner, self.owner)
@@ -97,83 +104,88 @@ class Windows:
         if not len(self.at):
             return np.empty(0, np.uint64)
         with np.errstate(over="ignore"):
-            w, base = (common.mix(self.words ^ _Q), _Q) if second else (self.words, _P)
+            w, base = (self.found.hashes(1), _Q) if second else (self.words, _P)
             return common.mix(rolled(w, self.size, base))[self.at]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], remember: int | None = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """(t, text, ...), each text once in a task: copies meet here before anything is written. remember None: without bound,
-    for tasks that read one bucket and must see each of its texts once."""
-    seen: set[int] = set()
+def _fresh(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows of a batch (t, u, ...) whose text was not seen."""
+    keep = []
+    for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        keep.append(key not in seen)
+        seen.add(key)
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, u, text), each text mostly once in a task: copies meet here before anything is written."""
+    seen: set = set()
     for b in batches:
-        fresh = []
-        for t in b.column(0).to_pylist():
-            fresh.append(t not in seen)
-            if remember and len(seen) >= remember:
-                seen.clear()
-            seen.add(t)
-        yield b.filter(pa.array(fresh, pa.bool_()))
+        if len(seen) >= REMEMBERED:
+            seen.clear()
+        yield _fresh(b, seen)
+    common.give_back()
 
 
 def _grams(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in _texts(batches):
-            for b, data, starts in common.text_slices(big, 1):
+            for b, data, starts in common.text_slices(big, 2):
                 w = Windows(data, starts, size)
                 if not len(w.at):
                     continue
-                m, t = w.minimizers(), b.column(0).to_numpy()
+                m, t, u = w.minimizers(), b.column(0).to_numpy(), b.column(1).to_numpy()
                 own = with_owner(w.fingerprints(), w.owner)
                 _, inverse, count = np.unique(own, return_inverse=True, return_counts=True)
                 twice = count[inverse] > 1
                 key = with_owner(m, w.owner)
                 _, some = np.unique(key, return_index=True)
                 repeats = among(key[some], key[twice])
-                yield pa.RecordBatch.from_arrays([pa.array(m[some].view(np.int64)), pa.array(t[w.owner[some]]), pa.array(repeats)], names=["m", "t", "own"])
+                o = w.owner[some]
+                yield pa.RecordBatch.from_arrays([pa.array(m[some].view(np.int64)), pa.array(t[o]), pa.array(u[o]), pa.array(repeats)], names=["m", "t", "u", "own"])
 
     return run
 
 
 def _windows(size: int):
-    """(t, text, marks, batch, cid, part) -> the windows whose minimizers are marked. Of equal fingerprints in one slice
-    of texts only the first place may be the first of all; the others are repeats for certain (`again`) and need not meet
-    anywhere, so a passage that very many documents share sends one row a slice to its fingerprint's task."""
+    """(t, u, text, marks, batch, cid), each text in one task -> the windows whose minimizers are marked. Of equal
+    fingerprints in one slice of texts only the first place may be the first of all; the others are repeats for certain
+    (`again`) and need not meet anywhere, so a passage that very many documents share sends one row a slice to its
+    fingerprint's task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in _texts(batches, None):
-            for b, data, starts in common.text_slices(big, 1):
-                w, marks = Windows(data, starts, size), b.column(2)
+        seen: set = set()
+        for big in batches:
+            for b, data, starts in common.text_slices(_fresh(big, seen), 2):
+                w, marks = Windows(data, starts, size), b.column(3)
                 owner = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
                 keep = among(with_owner(w.minimizers(), w.owner), with_owner(marks.flatten().to_numpy().view(np.uint64), owner))
                 if keep.any():
-                    o = w.owner[keep]
                     h, c = w.fingerprints()[keep].view(np.int64), w.fingerprints(True)[keep].view(np.int64)
-                    batch, cid, part = (b.column(k).to_numpy()[o] for k in (3, 4, 5))
-                    pos = w.pos[keep].astype(np.int32)
-                    order = np.lexsort((pos, part, cid, batch, c, h))
-                    h, c, batch, cid, part, pos = (v[order] for v in (h, c, batch, cid, part, pos))
+                    pos, o = w.pos[keep].astype(np.int32), w.owner[keep]
+                    place = [b.column(k).to_numpy()[o] for k in (4, 5, 0, 1)]
+                    order = np.lexsort((pos, *place[::-1], c, h))
+                    h, c, pos, place = h[order], c[order], pos[order], [v[order] for v in place]
                     again = np.zeros(len(h), bool)
                     again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, c, batch, cid, part, pos, again)], names=["h", "c", "batch", "cid", "part", "pos", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, c, *place, pos, again)], names=["h", "c", "batch", "cid", "t", "u", "pos", "again"])
+        seen.clear()
+        common.give_back()
 
     return run
 
 
 def _cut(size: int):
-    """(t, text, starts of repeated windows) -> (t, n_words, n_removed, kept_text), once for each t of a bucket."""
+    """(t, u, text, starts of repeated windows) -> (t, u, n_words, n_removed, kept_text), once for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set = set()
         for big in batches:
-            fresh = []
-            for t in big.column(0).to_pylist():
-                fresh.append(t not in seen)
-                seen.add(t)
-            big = big.filter(pa.array(fresh, pa.bool_()))
-            for at in range(0, big.num_rows, 200):
-                b = big.slice(at, 200)
+            fresh = _fresh(big, seen)
+            for at in range(0, fresh.num_rows, 200):
+                b = fresh.slice(at, 200)
                 total, gone, kept = [], [], []
-                for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for text, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     words = WORD.findall(text or "")
                     total.append(len(words))
                     if starts:
@@ -185,100 +197,144 @@ def _cut(size: int):
                         words = [x for x, ok in zip(words, stay.tolist(), strict=True) if ok]
                     gone.append(total[-1] - len(words))
                     kept.append(" ".join(words))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["t", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["t", "u", "n_words", "n_removed", "kept_text"])
+        seen.clear()
+        common.give_back()
 
     return run
 
 
+@dataclass
+class Run:
+    """An immutable run: a bucketed table and its folder."""
+
+    name: str
+    path: str
+    rows: DataFrame
+
+
+#: Kinds of runs: columns, and the columns they are bucketed and sorted by.
+KINDS = {
+    "grams": ("m long, t long, u long, own boolean", ("m",)),
+    "texts": ("t long, u long, text string", ("t", "u")),
+    "classes": ("t long, u long, cid long, batch int", ("t", "u")),
+}
+TEXT = ["t", "u"]
+
+
 class FingerprintIndex:
     """The index of all batches so far. add() takes the next batch of documents."""
 
-    def __init__(self, spark: SparkSession, size: int = 20, max_runs: int = 4, seed: int = 11, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, size: int = 20, max_runs: int = 4, buckets: int | None = None, path: str | None = None):
         if size < GRAM:
             raise ValueError(f"windows have {GRAM} words at least")
-        self.spark, self.size, self.max_runs, self.seed = spark, size, max_runs, seed
+        self.spark, self.size, self.max_runs = spark, size, max_runs
         self.buckets = buckets  # None: from the first batch's size
-        # one task reads one bucket, also where no join needs it: the copies of a text that several writers left meet there
-        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-        self.batches = 0
-        self.grams: list[tuple[str, DataFrame]] = []
-        self.texts: list[tuple[str, DataFrame]] = []
-        self.classes: list[DataFrame] = []
+        self.path = path or common.stage_path(spark, "fingerprint-index")
+        self.batches = self.version = 0
+        self.runs: dict[str, list[Run]] = {kind: [] for kind in KINDS}
+        self.replaced: list[Run] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index in a folder, as its newest manifest says."""
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        pattern = fs.Path(f"{path}/manifest-*/_SUCCESS")
+        found = [x.getPath().getParent().toString() for x in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)]
+        if not found:
+            raise FileNotFoundError(f"no fingerprint index in {path}")
+        state = json.loads(spark.read.text(max(found)).first()["value"])
+        index = cls(spark, state["size"], state["max_runs"], state["buckets"], path)
+        index.batches, index.version = state["batches"], state["version"]
+        for kind, paths in state["runs"].items():
+            columns, keys = KINDS[kind]
+            index.runs[kind] = [Run(*common.open_run(spark, kind, p, columns, keys, index.buckets)) for p in paths]
+        return index
+
+    def _save(self) -> None:
+        self.version += 1
+        state = {"size": self.size, "max_runs": self.max_runs, "buckets": self.buckets, "batches": self.batches, "version": self.version, "runs": {k: [r.path for r in v] for k, v in self.runs.items()}}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:08d}")
+
+    def _write(self, kind: str, rows: DataFrame) -> Run:
+        return Run(*common.run_table(rows, kind, KINDS[kind][1], self.buckets))
+
+    def _known(self, kind: str) -> list[DataFrame]:
+        return [run.rows for run in self.runs[kind]]
 
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-        """(members, results): members has a row per row of docs (id, t, copy: whether the text was there before);
-        results has a row per new text (t, n_words, n_removed, kept_text)."""
+        """(members, results): members has a row per row of docs (id, t, u, copy: whether the text was there before);
+        results has a row per new text (t, u, n_words, n_removed, kept_text)."""
         size, n = self.size, self.batches
         whole = F.coalesce(F.col(text), F.lit(""))
-        rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.lit(self.seed), whole).alias("t"), F.xxhash64(whole, F.lit(self.seed)).alias("t2"), whole.alias("text"))
-        order = F.coalesce("id", F.lit(NO_ID))
-        found = rows.groupBy("t").agg(F.min(order).alias("cid"), F.min("t2").alias("t2"), F.max("t2").alias("t3"))
-        part = (F.row_number().over(Window.partitionBy("cid").orderBy("t")) - 1).cast("int")
-        found = common.written(found.withColumn("part", part), "texts-found")
-        known = reduce(DataFrame.unionByName, self.classes) if self.classes else None
-        if found.where("t2 <> t3").limit(1).count() or (known is not None and found.join(known.select("t", F.col("t2").alias("t4")), "t").where("t2 <> t4").limit(1).count()):
-            raise ValueError("two texts share a 64-bit hash: build the index with another seed")
-        new = found.drop("t3").withColumn("batch", F.lit(n))
-        if known is not None:
-            new = new.join(known.select("t"), "t", "left_anti")
-        new = common.written(new, "texts-new")
-        firsts = new if known is None else known.unionByName(new)
-        ids = rows.select("id", "t")
-        members = ids.join(firsts.select("t", "cid", "batch"), "t").select("id", "t", ((F.col("batch") < n) | (F.coalesce("id", F.lit(NO_ID)) != F.col("cid"))).alias("copy"))
-
+        t, u = common.text_key(F.col(text))
+        rows = docs.select(F.col(doc_id).cast("long").alias("id"), t.alias("t"), u.alias("u"), whole.alias("text"))
         if self.buckets is None:
             size_sum = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
             self.buckets = max(2 * self.spark.sparkContext.defaultParallelism, -(-size_sum // BUCKET_BYTES))
-        _, body = common.run_table(rows.select("t", "text").mapInArrow(_texts, "t long, text string"), "texts", "t", self.buckets)
-        fresh = body.mapInArrow(_grams(size), "m long, t long, own boolean").repartition(self.buckets, "m")  # one file a bucket
-        _, grams = common.run_table(fresh, "minimizers", "m", self.buckets)
-        self.classes.append(new)
-        marked = self._matches(grams)
-        windows = self._windows_of(marked, [*(b for _, b in self.texts), body], firsts)
-        windows = common.written(windows, "windows")
+        order = F.coalesce("id", F.lit(NO_ID))
+        found = rows.groupBy(*TEXT).agg(F.min(order).alias("cid")).withColumn("batch", F.lit(n))
+        known = reduce(DataFrame.unionByName, self._known("classes")) if n else None
+        if known is not None:
+            found = found.join(known.select(*TEXT), TEXT, "left_anti")
+        new = self._write("classes", found.repartition(self.buckets, *TEXT))
+        firsts = new.rows if known is None else known.unionByName(new.rows)
+        members = rows.select("id", *TEXT).join(firsts, TEXT).select("id", *TEXT, ((F.col("batch") < n) | (F.coalesce("id", F.lit(NO_ID)) != F.col("cid"))).alias("copy"))
+
+        body = self._write("texts", rows.select(*TEXT, "text").mapInArrow(_texts, KINDS["texts"][0]))
+        grams = self._write("grams", body.rows.mapInArrow(_grams(size), KINDS["grams"][0]).repartition(self.buckets, "m"))  # one file a bucket
+        marked = self._matches(grams.rows)
+        placed = common.written(marked.join(firsts, TEXT), "marked-texts")
+        # the hint keeps the bucketed scan, so that the copies of a text that several writers left meet in one task
+        schema = "h long, c long, batch int, cid long, t long, u long, pos int, again boolean"
+        made = [b.join(placed.hint("merge"), TEXT).select(*TEXT, "text", "marks", "batch", "cid").mapInArrow(_windows(size), schema) for b in [*self._known("texts"), body.rows]]
+        windows = common.written(reduce(DataFrame.unionByName, made), "windows")
         # the first place of a fingerprint is the first row of its sorted stretch: one exchange, no join, no buffer
-        nth = F.row_number().over(Window.partitionBy("h", "c").orderBy("batch", "cid", "part", "pos"))
+        nth = F.row_number().over(Window.partitionBy("h", "c").orderBy("batch", "cid", "t", "u", "pos"))
         later = windows.where("not again").withColumn("nth", nth).where(F.col("nth") > 1)
-        again = windows.where("again").unionByName(later.drop("nth")).where(F.col("batch") == n).select("cid", "part", "pos")
-        starts = again.groupBy("cid", "part").agg(F.collect_list("pos").alias("starts")).join(new.select("cid", "part", "t"), ["cid", "part"]).select("t", "starts")
-        starts = common.written(starts, "repeats")
-        common.discard(self.spark, windows)
-        mine = body.join(new.select("t"), "t", "left_semi") if known is not None else body
-        results = mine.join(starts, "t", "left").select("t", "text", "starts").mapInArrow(_cut(size), "t long, n_words long, n_removed long, kept_text string")
-        self.grams.append(("", grams))
-        self.texts.append(("", body))
+        again = windows.where("again").unionByName(later.drop("nth")).where(F.col("batch") == n)
+        starts = common.written(again.groupBy(*TEXT).agg(F.collect_list("pos").alias("starts")), "repeats")
+        common.discard(windows, placed)
+        mine = body.rows.join(new.rows.select(*TEXT).hint("merge"), TEXT, "left_semi")
+        results = mine.join(starts.hint("merge"), TEXT, "left").select(*TEXT, "text", "starts").mapInArrow(_cut(size), "t long, u long, n_words long, n_removed long, kept_text string")
+        for kind, run in (("classes", new), ("texts", body), ("grams", grams)):
+            self.runs[kind].append(run)
         self.batches += 1
-        if len(self.grams) > self.max_runs:
+        if len(self.runs["grams"]) > self.max_runs:
             self.compact()
+        else:
+            self._save()
         return members, results
 
     def _matches(self, grams: DataFrame) -> DataFrame:
-        """(t, marks) of all texts, new or old, that share a minimizer with a new text, or repeat a window themselves."""
-        mine = grams.groupBy("m").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("own").alias("own"))
-        if not self.grams:
-            marks = [grams.join(mine.where("lo <> hi or own").select("m"), "m", "left_semi").select("t", "m")]
-        else:
-            marks, old = [], []
-            for _, run in self.grams:
-                theirs = run.groupBy("m").agg(F.min("t").alias("old_lo"), F.max("t").alias("old_hi"))
-                both = mine.join(theirs, "m").where("old_lo <> lo or old_hi <> hi").select("m")
-                marks.append(run.join(both, "m", "left_semi").select("t", "m"))
-                old.append(both)
-            hits = reduce(DataFrame.unionByName, [mine.where("lo <> hi or own").select("m"), *old]).distinct()
-            marks.append(grams.join(hits, "m", "left_semi").select("t", "m"))
-        return reduce(DataFrame.unionByName, marks).groupBy("t").agg(F.collect_list("m").alias("marks"))
-
-    def _windows_of(self, marked: DataFrame, bodies: list[DataFrame], firsts: DataFrame) -> DataFrame:
-        placed = common.written(marked.join(firsts.select("t", "batch", "cid", "part"), "t"), "marked-texts")
-        made = [b.join(placed, "t").select("t", "text", "marks", "batch", "cid", "part").mapInArrow(_windows(self.size), "h long, c long, batch int, cid long, part int, pos int, again boolean") for b in bodies]
-        return reduce(DataFrame.unionByName, made)
+        """(t, u, marks) of all texts, new or old, that share a minimizer with a new text, or repeat a window themselves."""
+        spread = [f(c).alias(f"{side}_{c}") for c in TEXT for side, f in (("lo", F.min), ("hi", F.max))]
+        shared = "lo_t <> hi_t or lo_u <> hi_u"
+        mine = grams.groupBy("m").agg(*spread, F.max("own").alias("own"))
+        hits, marks = [mine.where(f"{shared} or own").select("m")], []
+        for run in self._known("grams"):
+            theirs = run.groupBy("m").agg(*[x.alias(f"old_{i}") for i, x in enumerate(spread)])
+            # all but a gram that one text alone holds, new and old
+            both = mine.join(theirs, "m").where(f"{shared} or old_0 <> lo_t or old_1 <> lo_t or old_2 <> lo_u or old_3 <> lo_u").select("m")
+            marks.append(run.join(both, "m", "left_semi").select(*TEXT, "m"))
+            hits.append(both)
+        all_hits = hits[0] if len(hits) == 1 else reduce(DataFrame.unionByName, hits).distinct()
+        marks.append(grams.join(all_hits, "m", "left_semi").select(*TEXT, "m"))
+        return reduce(DataFrame.unionByName, marks).groupBy(*TEXT).agg(F.collect_list("m").alias("marks"))
 
     def compact(self) -> None:
-        """Merge all runs into one of each kind."""
-        for kind, key in (("grams", "m"), ("texts", "t")):
-            runs = [run for _, run in getattr(self, kind)]
-            merged = reduce(DataFrame.unionByName, runs).repartition(self.buckets, key)
-            setattr(self, kind, [common.run_table(merged, f"compacted-{kind}".replace("-", "_"), key, self.buckets)])
+        """Merge all runs of each kind into one and write the manifest that names them."""
+        for kind, (_, keys) in KINDS.items():
+            merged = reduce(DataFrame.unionByName, self._known(kind)).repartition(self.buckets, *keys)
+            self.replaced += self.runs[kind]
+            self.runs[kind] = [self._write(kind, merged)]
+        self._save()
+
+    def vacuum(self) -> None:
+        """Remove the runs that compactions have replaced; results of earlier batches must have been read."""
+        for run in self.replaced:
+            common.drop_run(self.spark, run.name, run.path)
+        self.replaced = []
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

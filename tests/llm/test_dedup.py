@@ -102,9 +102,9 @@ def removed(docs, size):
 def rebuilt(members, results, size, by=None):
     """by: results of earlier batches, which a copy of an old text needs; grows."""
     by = {} if by is None else by
-    by.update({r.t: r for r in results.collect()})
+    by.update({(r.t, r.u): r for r in results.collect()})
     for m in members.collect():
-        r = by[m.t]
+        r = by[m.t, m.u]
         lost = m.copy and r.n_words >= size
         yield m.id, (r.n_words, r.n_words if lost else r.n_removed, "" if lost else r.kept_text)
 
@@ -125,7 +125,7 @@ def test_index_over_batches_with_compaction(spark):
         got |= dict(rebuilt(*index.add(some), 10, by))
     rest = spark.createDataFrame(docs[150:], "doc_id long, text string")
     got |= dict(rebuilt(*index.add(rest), 10, by))
-    assert got == removed(docs, 10) and len(index.grams) <= 2
+    assert got == removed(docs, 10) and all(len(runs) <= 2 for runs in index.runs.values())
 
 
 def test_repeats_edges(spark):
@@ -143,7 +143,7 @@ def test_word_hashes_follow_the_words():
     texts = ["", " ", "a", " a  b\n", "é x y\x0bz\x1cq", "".join(rng.choice("ab \t\n\réß") for _ in range(5000))]
     known = {}
     for t in texts:
-        h, first = common.word_hashes(np.frombuffer(t.encode(), np.uint8))
+        h = common.Words(np.frombuffer(t.encode(), np.uint8)).hashes()
         words = WORD.findall(t)
         assert len(h) == len(words)
         for w, x in zip(words, h.tolist(), strict=True):
