@@ -92,7 +92,7 @@ def run_table(df: DataFrame, label: str, keys: tuple[str, ...], buckets: int) ->
     spark = df.sparkSession
     name, path = f"citelake_{label}_{uuid.uuid4().hex}", stage_path(spark, label)
     with bounded_batches(spark):
-        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(name)
     return name, path, spark.table(name)
 
 

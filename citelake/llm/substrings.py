@@ -5,10 +5,10 @@ index keeps, for each text, the distinct minimizers of its windows: the least ha
 grams. Equal windows have equal minimizers, so only windows whose minimizer occurs in two texts (or whose sequence
 repeats inside its own text) can be repeated; no other window needs a look.
 
-Each batch of documents becomes immutable runs, hash-bucketed and sorted: minimizer rows and the texts themselves. A new
-batch is merge-joined with itself and with every older run (sort-merge joins over the buckets, no exchange). What matches
-is verified: the windows in question are taken from the texts and fingerprinted by 128 bits (two polynomials over two
-independent word hashes, each an injective or xxh3 hash of the word's bytes); in each fingerprint the first place by
+Each batch of documents becomes immutable runs, hash-bucketed and sorted: minimizer rows and the new texts, each once. A
+new batch is merge-joined with itself and with every older run (sort-merge joins over the buckets, no exchange). What
+matches is verified: the windows in question are taken from the texts and fingerprinted by 128 bits (two polynomials over
+two independent word hashes, each an injective or xxh3 hash of the word's bytes); in each fingerprint the first place by
 (batch, doc_id, start) wins and every other place is a repeat. More than `max_runs` runs of a kind are merged into one
 (compaction). A manifest in the index's folder names the runs, so `FingerprintIndex.open` goes on in another session; a
 batch that fails leaves the manifest, and so the index, as it was. Runs that a compaction has replaced stay until
@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ from .common import WORD
 
 GRAM = 8
 NO_ID = -(1 << 63)
-#: Text bytes a bucket of the index is made for. Text runs are written without a shuffle (files: tasks x buckets).
+#: Text bytes a bucket of the index is made for.
 BUCKET_BYTES = 64 << 20
-#: Texts that a writer knows as written; beyond them it starts anew.
+#: Texts that a task remembers on the way to their buckets; beyond them it starts anew.
 REMEMBERED = 1_000_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -108,28 +109,37 @@ class Windows:
             return common.mix(rolled(w, self.size, base))[self.at]
 
 
-def _fresh(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
-    """The rows of a batch (t, u, ...) whose text was not seen."""
-    keep = []
-    for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        keep.append(key not in seen)
-        seen.add(key)
-    return batch.filter(pa.array(keep, pa.bool_()))
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, u, text), each text mostly once in a task: copies meet here before anything is written."""
+def _some_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, u, text) without most repeats inside a task: copies meet here before anything moves."""
     seen: set = set()
     for b in batches:
         if len(seen) >= REMEMBERED:
             seen.clear()
-        yield _fresh(b, seen)
+        keep = []
+        for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield b.filter(pa.array(keep, pa.bool_()))
+    common.give_back()
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, u, text) sorted by all three, nulls first -> each text once; none where the first row is null (a known text)."""
+    last = None
+    for b in batches:
+        keep = []
+        for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keep.append(key != last)
+            last = key
+        yield b.filter(pc.and_(pa.array(keep, pa.bool_()), pc.is_valid(b.column(2))))
     common.give_back()
 
 
 def _grams(size: int):
+    """(t, u, text) -> (m, t, u, own): distinct minimizers; own: a window of that minimizer repeats inside the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in _texts(batches):
+        for big in batches:
             for b, data, starts in common.text_slices(big, 2):
                 w = Windows(data, starts, size)
                 if not len(w.at):
@@ -143,47 +153,46 @@ def _grams(size: int):
                 repeats = among(key[some], key[twice])
                 o = w.owner[some]
                 yield pa.RecordBatch.from_arrays([pa.array(m[some].view(np.int64)), pa.array(t[o]), pa.array(u[o]), pa.array(repeats)], names=["m", "t", "u", "own"])
+        common.give_back()
 
     return run
 
 
-def _windows(size: int):
-    """(t, u, text, marks, batch, cid), each text in one task -> the windows whose minimizers are marked. Of equal
-    fingerprints in one slice of texts only the first place may be the first of all; the others are repeats for certain
-    (`again`) and need not meet anywhere, so a passage that very many documents share sends one row a slice to its
-    fingerprint's task."""
+def _windows(size: int, newest: int):
+    """(t, u, text, marks, batch, cid) -> the windows whose minimizers are marked. Of equal fingerprints in one slice of
+    texts only the first place may be the first of all; the others are repeats for certain (`again`) and need not meet
+    anywhere: they get keys of their own (those of older batches, whose fate is settled, are left out), so a passage that
+    very many documents share sends one row a slice to its fingerprint's task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for big in batches:
-            for b, data, starts in common.text_slices(_fresh(big, seen), 2):
+            for b, data, starts in common.text_slices(big, 2):
                 w, marks = Windows(data, starts, size), b.column(3)
                 owner = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
                 keep = among(with_owner(w.minimizers(), w.owner), with_owner(marks.flatten().to_numpy().view(np.uint64), owner))
                 if keep.any():
-                    h, c = w.fingerprints()[keep].view(np.int64), w.fingerprints(True)[keep].view(np.int64)
+                    h, c = w.fingerprints()[keep], w.fingerprints(True)[keep]
                     pos, o = w.pos[keep].astype(np.int32), w.owner[keep]
                     place = [b.column(k).to_numpy()[o] for k in (4, 5, 0, 1)]
                     order = np.lexsort((pos, *place[::-1], c, h))
                     h, c, pos, place = h[order], c[order], pos[order], [v[order] for v in place]
                     again = np.zeros(len(h), bool)
                     again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, c, *place, pos, again)], names=["h", "c", "batch", "cid", "t", "u", "pos", "again"])
-        seen.clear()
+                    h[again] = common.mix(place[2][again].view(np.uint64) ^ common.mix(pos[again].astype(np.uint64)))
+                    stay = ~again | (place[0] == newest)
+                    yield pa.RecordBatch.from_arrays([pa.array(v[stay]) for v in (h.view(np.int64), c.view(np.int64), *place, pos, again)], names=["h", "c", "batch", "cid", "t", "u", "pos", "again"])
         common.give_back()
 
     return run
 
 
 def _cut(size: int):
-    """(t, u, text, starts of repeated windows) -> (t, u, n_words, n_removed, kept_text), once for each text."""
+    """(t, u, text, starts of repeated windows) -> (t, u, n_words, n_removed, kept_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for big in batches:
-            fresh = _fresh(big, seen)
-            for at in range(0, fresh.num_rows, 200):
-                b = fresh.slice(at, 200)
+            for at in range(0, big.num_rows, 200):
+                b = big.slice(at, 200)
                 total, gone, kept = [], [], []
                 for text, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     words = WORD.findall(text or "")
@@ -198,7 +207,6 @@ def _cut(size: int):
                     gone.append(total[-1] - len(words))
                     kept.append(" ".join(words))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["t", "u", "n_words", "n_removed", "kept_text"])
-        seen.clear()
         common.give_back()
 
     return run
@@ -281,22 +289,21 @@ class FingerprintIndex:
         firsts = new.rows if known is None else known.unionByName(new.rows)
         members = rows.select("id", *TEXT).join(firsts, TEXT).select("id", *TEXT, ((F.col("batch") < n) | (F.coalesce("id", F.lit(NO_ID)) != F.col("cid"))).alias("copy"))
 
-        body = self._write("texts", rows.select(*TEXT, "text").mapInArrow(_texts, KINDS["texts"][0]))
-        grams = self._write("grams", body.rows.mapInArrow(_grams(size), KINDS["grams"][0]).repartition(self.buckets, "m"))  # one file a bucket
-        marked = self._matches(grams.rows)
-        placed = common.written(marked.join(firsts, TEXT), "marked-texts")
-        # the hint keeps the bucketed scan, so that the copies of a text that several writers left meet in one task
+        whole_texts = rows.select(*TEXT, "text").mapInArrow(_some_copies, KINDS["texts"][0])
+        if known is not None:
+            whole_texts = whole_texts.unionByName(known.select(*TEXT, F.lit(None).cast("string").alias("text")))
+        dealt = whole_texts.repartition(self.buckets, *TEXT).sortWithinPartitions(*TEXT, F.col("text").isNotNull())
+        body = self._write("texts", dealt.mapInArrow(_once, KINDS["texts"][0]))
+        grams = self._write("grams", body.rows.mapInArrow(_grams(size), KINDS["grams"][0]).repartition(self.buckets, "m"))
+        placed = common.written(self._matches(grams.rows).join(firsts, TEXT), "marked-texts")
         schema = "h long, c long, batch int, cid long, t long, u long, pos int, again boolean"
-        made = [b.join(placed.hint("merge"), TEXT).select(*TEXT, "text", "marks", "batch", "cid").mapInArrow(_windows(size), schema) for b in [*self._known("texts"), body.rows]]
-        windows = common.written(reduce(DataFrame.unionByName, made), "windows")
+        made = [b.join(placed, TEXT).select(*TEXT, "text", "marks", "batch", "cid").mapInArrow(_windows(size, n), schema) for b in [*self._known("texts"), body.rows]]
         # the first place of a fingerprint is the first row of its sorted stretch: one exchange, no join, no buffer
-        nth = F.row_number().over(Window.partitionBy("h", "c").orderBy("batch", "cid", "t", "u", "pos"))
-        later = windows.where("not again").withColumn("nth", nth).where(F.col("nth") > 1)
-        again = windows.where("again").unionByName(later.drop("nth")).where(F.col("batch") == n)
-        starts = common.written(again.groupBy(*TEXT).agg(F.collect_list("pos").alias("starts")), "repeats")
-        common.discard(windows, placed)
-        mine = body.rows.join(new.rows.select(*TEXT).hint("merge"), TEXT, "left_semi")
-        results = mine.join(starts.hint("merge"), TEXT, "left").select(*TEXT, "text", "starts").mapInArrow(_cut(size), "t long, u long, n_words long, n_removed long, kept_text string")
+        nth = F.row_number().over(Window.partitionBy("h", "c").orderBy("again", "batch", "cid", "t", "u", "pos"))
+        later = reduce(DataFrame.unionByName, made).withColumn("nth", nth).where((F.col("again") | (F.col("nth") > 1)) & (F.col("batch") == n))
+        starts = common.written(later.groupBy(*TEXT).agg(F.collect_list("pos").alias("starts")), "repeats")
+        common.discard(placed)
+        results = body.rows.join(starts, TEXT, "left").select(*TEXT, "text", "starts").mapInArrow(_cut(size), "t long, u long, n_words long, n_removed long, kept_text string")
         for kind, run in (("classes", new), ("texts", body), ("grams", grams)):
             self.runs[kind].append(run)
         self.batches += 1
@@ -309,15 +316,12 @@ class FingerprintIndex:
     def _matches(self, grams: DataFrame) -> DataFrame:
         """(t, u, marks) of all texts, new or old, that share a minimizer with a new text, or repeat a window themselves."""
         spread = [f(c).alias(f"{side}_{c}") for c in TEXT for side, f in (("lo", F.min), ("hi", F.max))]
-        shared = "lo_t <> hi_t or lo_u <> hi_u"
         mine = grams.groupBy("m").agg(*spread, F.max("own").alias("own"))
-        hits, marks = [mine.where(f"{shared} or own").select("m")], []
+        hits, marks = [mine.where("lo_t <> hi_t or lo_u <> hi_u or own").select("m")], []
         for run in self._known("grams"):
-            theirs = run.groupBy("m").agg(*[x.alias(f"old_{i}") for i, x in enumerate(spread)])
-            # all but a gram that one text alone holds, new and old
-            both = mine.join(theirs, "m").where(f"{shared} or old_0 <> lo_t or old_1 <> lo_t or old_2 <> lo_u or old_3 <> lo_u").select("m")
-            marks.append(run.join(both, "m", "left_semi").select(*TEXT, "m"))
-            hits.append(both)
+            both = run.join(mine.select("m"), "m", "left_semi")
+            marks.append(both.select(*TEXT, "m"))
+            hits.append(both.select("m"))
         all_hits = hits[0] if len(hits) == 1 else reduce(DataFrame.unionByName, hits).distinct()
         marks.append(grams.join(all_hits, "m", "left_semi").select(*TEXT, "m"))
         return reduce(DataFrame.unionByName, marks).groupBy(*TEXT).agg(F.collect_list("m").alias("marks"))
