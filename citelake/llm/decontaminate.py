@@ -1,15 +1,18 @@
 """Benchmark decontamination (operator 10): rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items are read in blocks of bounded size (`block_words`), each broadcast. A first pass counts how often each
-three-word gram of the items occurs in the corpus (all documents, summed on the map side; one row a gram). Of every two
-consecutive grams of an item the rarer becomes a seed, so no frequent phrase is a seed while a rarer neighbour can stand
-in, yet an edited copy in which at most every fifth word is changed, left out or put in always keeps a seed. The second
-pass aligns the item with the text around each seed's diagonal (match +2, mismatch -1, gap -1, local); similarity is the
-share of the item's words that the best alignment matches.
-
-Defined results: null and empty texts have no hits, nor do null items or items of fewer than three words; repeated rows
-and ties are each reported (an item once a row, at its first best place); an empty table on either side gives no hits;
-other columns pass through unless they bear the name of the result.
+three-word gram of the items occurs in the corpus (all documents, summed on the map side; one row a gram). A copy in which
+at most every fifth word is changed, left out or put in keeps a stretch of at least seeds.intact() words; of as many
+consecutive grams as fit in it, the rarest that occurs becomes a seed, so every such copy holds a seed, and no frequent
+phrase is one while a rarer neighbour can stand in. Items under `short` words take all grams that occur, which finds most
+copies with more insertions than that; items too short to keep three words use grams of two, or one. The second pass
+aligns the item with the text around each seed's diagonal (match +2, mismatch -1, gap -1, local; rows between checkpoints
+are made again on the way back, so that memory grows with the square root of an item's length); similarity is the share of
+the item's words that the best alignment matches.
+
+Defined results: null and empty texts have no hits, nor do null items or items without words; repeated rows and ties are
+each reported (an item once a row, at its first best place); an empty table on either side gives no hits; other columns
+pass through, whatever their names, unless they bear the name of the result.
 """
 
 from __future__ import annotations
@@ -25,34 +28,51 @@ from pyspark.sql import types as T
 
 from .seeds import SeedIndex, terms
 
-GRAM, STRIDE, SLACK = 3, 2, 0.25
+GRAM, SHORT, SLACK = 3, 30, 0.25
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("score", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())])
 HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("score", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
 
+def _row(above: np.ndarray, word: int, part: np.ndarray, ramp: np.ndarray) -> np.ndarray:
+    """The next row of the alignment's scores."""
+    row = np.zeros(len(above), np.int32)
+    np.maximum(above[:-1] + np.where(part == word, 2, -1), above[1:] - 1, out=row[1:])
+    np.maximum(row, 0, out=row)
+    return np.maximum.accumulate(row + ramp) - ramp  # gaps along the row
+
+
 def smith_waterman(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int]:
     """(score, matches, first, last) of the best local alignment; first and last are places in part."""
     n, m = len(item), len(part)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1)
-    for i in range(1, n + 1):
-        step = np.where(part == item[i - 1], 2, -1)
-        row = np.zeros(m + 1, np.int32)
-        np.maximum(h[i - 1, :-1] + step, h[i - 1, 1:] - 1, out=row[1:])
-        np.maximum(row, 0, out=row)
-        h[i] = np.maximum.accumulate(row + ramp) - ramp  # gaps along the row
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, last, matches = int(h[i, j]), int(j) - 1, 0
-    while h[i, j] > 0:
+    ramp, step = np.arange(m + 1, dtype=np.int32), max(16, int(n**0.5))
+    row, kept = np.zeros(m + 1, np.int32), []
+    score, i, j = 0, 0, 0
+    for k in range(n):
+        if k % step == 0:
+            kept.append(row)
+        row = _row(row, item[k], part, ramp)
+        top = int(row.argmax())
+        if row[top] > score:
+            score, i, j = int(row[top]), k + 1, top
+    last, matches, start, rows = j - 1, 0, n + 1, []
+    while i and j:
+        if i - 1 < start:  # rows start .. i
+            start = (i - 1) // step * step
+            rows = [kept[start // step]]
+            for k in range(start, i):
+                rows.append(_row(rows[-1], item[k], part, ramp))
+        here, above = rows[i - start], rows[i - start - 1]
+        if here[j] <= 0:
+            break
         same = item[i - 1] == part[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (2 if same else -1):
+        if here[j] == above[j - 1] + (2 if same else -1):
             matches += int(same)
             i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - 1:
+        elif here[j] == above[j] - 1:
             i -= 1
         else:
             j -= 1
-    return score, matches, int(j), last
+    return score, matches, j, last
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -70,10 +90,10 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_w
     out, found = docs.drop("hits"), None
     at = out.columns.index(text)
     sc = docs.sparkSession.sparkContext
-    result = out
+    result, taken = out, {c.lower() for c in out.columns}
     for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
-        items = [(i, w) for i, w in block if len(w) >= GRAM]
-        index = SeedIndex([w for _, w in items], GRAM)
+        items = [(i, w) for i, w in block if w]
+        index = SeedIndex([w for _, w in items], GRAM, least)
         sent = sc.broadcast(([i for i, _ in items], index))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -85,9 +105,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_w
             yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
 
         counts = docs.select(text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        rare = index.rare({r["code"]: r["n"] for r in counts.collect()}, STRIDE)  # at most one row a gram of this block
+        rare = index.rare({r["code"]: r["n"] for r in counts.collect()}, SHORT)  # at most one row a gram of this block
         chosen = sc.broadcast(rare)
-        name = f"_hits{number}"
+        name = next(x for x in (f"hits_{number}" + "_" * k for k in range(len(taken) + 1)) if x not in taken)
 
         def align(batches: Iterator[pa.RecordBatch], sent=sent, chosen=chosen) -> Iterator[pa.RecordBatch]:
             (names, index), among = sent.value, chosen.value

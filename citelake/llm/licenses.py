@@ -1,6 +1,7 @@
 """License scans (operator 6): patience alignment of whole texts with license templates.
 
-Templates are indexed by their three-word grams; a text without any such gram is passed in one sweep. Around each
+Templates are indexed by their three-word grams (shorter ones for templates so short that a copy with every fifth word
+changed may keep no three words together); a text without any such gram is passed in one sweep. Around each
 diagonal with a gram the stretch of text is aligned: words that occur once in the text's stretch and once in the template
 are anchors, the longest increasing subsequence of anchors is kept, and the gaps between kept anchors are aligned the
 same way, down to gaps without anchors, where equal words at both ends are matched. Coverage is the share of the
@@ -82,7 +83,7 @@ def with_licenses(docs: DataFrame, least: float = 0.8, text: str = "text", templ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(chosen)
-        index = SeedIndex([terms(chosen[x]) for x in names], GRAM)
+        index = SeedIndex([terms(chosen[x]) for x in names], GRAM, least)
         for big in batches:
             for start in range(0, big.num_rows, 500):
                 b = big.slice(start, 500)

@@ -1,12 +1,14 @@
 """Line dedup (operator 4): drop lines whose key occurs in many documents and put the rest together again.
 
 Every row is one document. Keys are compared by two independent 64-bit hashes. The count of documents per key is
-pre-aggregated on the map side, so a line that all documents share sends one row a task; the join that finds each
-document's lines to drop is a plain equi-join whose hot keys Spark may split (or broadcast, by its own size check,
-when the table of common keys is small). Documents are met again by (id, hash of the text), null ids included.
+pre-aggregated on the map side, so a line that all documents share sends one row a task; the join that finds the places of
+each document's lines to drop is a plain equi-join whose hot keys Spark may split (or broadcast, by its own size check,
+when the table of common keys is small). Documents are met again by (id, hash of the text), null ids included, and the
+places that stay are read from the split text, so work is linear in a text's lines.
 
 Defined results: a null or empty text is one empty line, which has no key and stays; repeated rows each count as a
-document and get the same result; other columns pass through unless their names are those of the results.
+document and get the same result; an empty table gives no rows; other columns pass through, whatever their names, unless
+these are the names of results.
 """
 
 from __future__ import annotations
@@ -17,42 +19,35 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+RESULTS = ("n_lines", "n_dropped", "kept_text")
 
 
-def line_key(line: Column) -> Column:
-    return common.lower_ascii(F.btrim(line, F.lit(common.BLANKS)))
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
 
 
-def key_hash(line: Column) -> Column:
-    return _hash(line_key(line))
-
-
 def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text."""
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    docs = docs.drop(*RESULTS)
     one, two = common.text_key(F.col(text))
-    ids = docs.select(F.col(doc_id).alias("_id"), one.alias("_t1"), two.alias("_t2"), F.col(text).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), one.alias("t1"), two.alias("t2"), F.col(text).alias("text"))
     # keys are made once per text and then hashed; a lambda's repeated parts would be evaluated again and again
-    keys = F.transform(F.split(common.lower_ascii(F.coalesce(F.col("_text"), F.lit(""))), "\n", -1), lambda x: F.btrim(x, F.lit(common.BLANKS)))
-    hashes = F.explode(F.array_distinct(F.transform(F.filter(keys, lambda x: F.length(x) >= min_chars), _hash))).alias("_h")
-    common_keys = ids.select(hashes).select("_h.a", "_h.b").groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b")
+    keys = F.transform(split_lines(common.lower_ascii(F.col("text"))), lambda x: F.btrim(x, F.lit(common.BLANKS)))
+    hashes = F.transform(keys, lambda x: F.when(F.length(x) >= min_chars, _hash(x)))
+    common_keys = rows.select(F.explode(F.array_distinct(hashes)).alias("h")).select("h.a", "h.b").where("a is not null").groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b")
     common_keys = common.written(common_keys, "common-lines")
-    hits = ids.select("_id", "_t1", "_t2", hashes).select("_id", "_t1", "_t2", "_h.a", "_h.b").join(common_keys, ["a", "b"], "left_semi")
-    drops = hits.groupBy("_id", "_t1", "_t2").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
-    keyed_docs = docs.withColumns({"_t1": one, "_t2": two})
-    joined = keyed_docs.join(
-        drops.select(F.col("_id").alias("_d"), F.col("_t1").alias("_u1"), F.col("_t2").alias("_u2"), "_drop"),
-        F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_t1") == F.col("_u1")) & (F.col("_t2") == F.col("_u2")),
-        "left",
-    )
-    lines = split_lines(F.col(text))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(F.array_contains(F.col("_drop"), key_hash(x)) & (F.length(line_key(x)) >= min_chars))))
-    done = joined.withColumns({"n_lines": F.size(lines).cast("long"), "_kept": kept})
-    done = done.withColumns({"n_dropped": F.col("n_lines") - F.size("_kept"), "kept_text": F.array_join("_kept", "\n")})
-    return done.drop("_t1", "_t2", "_d", "_u1", "_u2", "_drop", "_kept")
+    places = rows.select("id", "t1", "t2", F.posexplode(hashes).alias("at", "h")).select("id", "t1", "t2", "at", "h.a", "h.b").where("a is not null")
+    drops = places.join(common_keys, ["a", "b"], "left_semi").groupBy("id", "t1", "t2").agg(F.collect_set("at").alias("gone"))
+    drops = drops.select(F.col("id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "gone")
+    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
+    # a generator, so that the split is a value of its own and is not made anew for every place that is read from it
+    split = joined.select("row", "text", "gone", F.explode(F.array(split_lines(F.col("text")))).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n"))
+    dropped = F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long")
+    done = split.select("row", F.struct(F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("kept_text")).alias("result"))
+    return done.select("row.*", "result.*")

@@ -6,10 +6,12 @@ pairwise part lets two terms together (an insult with a group's name) weigh more
 Training takes a bounded sample of labelled rows (`max_rows`, those of the least hash of their id; 12,000 by default):
 their distinct slots are made on the executors and fitted on the driver with Adagrad, for a fixed seed, so that the model
 depends on the labelled rows only. Terms enter the model if they tell the classes apart in the sample (chi-square of
-presence against the label over `screen`), at most `max_terms` of them. The model is some kilobytes and is
+presence against the label over `screen`, in `min_rows` sampled rows at least), at most `max_terms` of them: a term in
+fewer rows tells nothing that chance does not, so very small sets of labels leave the model with its bias alone. The model is some kilobytes and is
 broadcast. Scoring covers every row and whole texts.
 
-Defined results: null and empty texts get the score of a text without terms; labels that are null are not trained on;
+Defined results: null and empty texts get the score of a text without terms; labels that are null are not trained on; a
+document with several labels is toxic if one says so; of several texts under one id the one of the least hash is trained on;
 repeated rows are scored alike; without labelled rows of both classes every score is the smoothed share of toxic rows (0.5
 without any); an empty table gives no rows; other columns pass through unless they bear the names of results.
 """
@@ -50,7 +52,7 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 60, rate: float = 0.4, decay: float = 5e-5, screen: float = 20.0, max_terms: int = 4096, seed: int = 3) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 60, rate: float = 0.4, decay: float = 5e-5, screen: float = 20.0, min_rows: int = 5, max_terms: int = 4096, seed: int = 3) -> Machine:
     """rows: distinct slots of each labelled text."""
     n, pos = len(rows), int(labels.sum())
     empty = Machine(float(np.log((pos + 0.5) / (n - pos + 0.5))), np.empty(0, np.int64), np.empty(0), np.empty((0, rank)))
@@ -62,7 +64,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int =
     hit = np.bincount(place, weights=labels[owner].astype(float), minlength=len(slots))
     expected = have * pos / n
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - pos / n) * (1 - have / n), 1e-9)
-    good = np.flatnonzero((chi >= screen) & (have >= 5))
+    good = np.flatnonzero((chi >= screen) & (have >= min_rows))
     good = np.sort(good[np.argsort(-chi[good], kind="stable")[:max_terms]])
     if not len(good):
         return empty
@@ -121,9 +123,10 @@ def distinct(rows: list[np.ndarray]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """Fitted on labelled rows outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y is not null and id is not null").where(~held_out(F.col("id")))
-    sample = known.dropDuplicates(["id"]).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(max_rows)
+    sample = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(max_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id").select("id", "t", "y")  # max_rows bounds it
-    got = texts.mapInArrow(_slots_of, "id long, y int, slots array<int>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    one = texts.groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.max("y").alias("y"))
+    got = one.select("id", "t", "y").mapInArrow(_slots_of, "id long, y int, slots array<int>").toArrow().sort_by("id")
     slots = got["slots"].combine_chunks() if got.num_rows else None
     rows = np.split(slots.flatten().to_numpy(), slots.offsets.to_numpy()[1:-1] - slots.offsets[0].as_py()) if got.num_rows else []
     keep = distinct(rows)
