@@ -46,6 +46,18 @@ def query_terms(question: str | None, mode: str = "compact", stop_chars: str = f
     return distinct(found)
 
 
+def page_tokens(query: str | None) -> list[str]:
+    """Tokens of a query to page files: Latin words and numbers; Chinese runs by eight characters, each as its two-character
+    pieces and whole."""
+    closed = re.sub(f"(?<=[{_HAN}A-Za-z0-9])\\s+(?=[{_HAN}A-Za-z0-9])", "", query or "").lower()
+    found: list[str] = []
+    for token in re.findall(f"[0-9a-z]+|[{_HAN}]{{1,8}}", closed):
+        if len(token) > 2 and re.match(f"[{_HAN}]", token):
+            found += [token[i : i + 2] for i in range(len(token) - 1)]
+        found.append(token)
+    return distinct(found)
+
+
 def standard_tokens(question: str | None) -> list[str]:
     """Standard numbers, upper case, each also without white space."""
     raw = [m.group(1).strip().upper() for m in _STANDARD.finditer(question or "")]
@@ -68,5 +80,9 @@ def query_terms_col(question: Column, mode: str = "compact") -> Column:
     return _column(query_terms, mode)(question)
 
 
+def page_tokens_col(question: Column) -> Column:
+    return _column(page_tokens)(question)
+
+
 def standard_tokens_col(question: Column) -> Column:
     return _column(standard_tokens)(question)

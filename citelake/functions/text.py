@@ -24,6 +24,19 @@ def without_space(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
 
 
+def closed_up(c: Column) -> Column:
+    """White space between letters or digits goes, as recognised Chinese wants; what is left of it is squeezed."""
+    word = "[\u4e00-\u9fffA-Za-z0-9]"
+    return squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U)(?<={word})\s+(?={word})", ""))
+
+
+def excerpt_at(c: Column, query: Column, limit: int = 220) -> Column:
+    """limit characters of a closed-up text, opening a third of that before the first place of the query, else at its start."""
+    body, asked = closed_up(c), closed_up(query)
+    at = F.when(asked != "", F.position(F.lower(asked), F.lower(body))).otherwise(0)
+    return F.substring(body, F.greatest(at - limit // 3, F.lit(1)), F.lit(limit))
+
+
 def quoted_class(chars: str) -> str:
     """A regex class body for these very characters."""
     return "".join("\\" + c if c in "\\]-[^&" else c for c in chars)

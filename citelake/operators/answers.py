@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from citelake.functions.terms import clause_tokens
 
@@ -259,6 +260,42 @@ def answers(citations: DataFrame) -> DataFrame:
     return _per_query(citations, "query_id long, answer string, citations int", lambda q, rows: [{"answer": answer(q, rows), "citations": len(output_citations(q, rows))}])
 
 
+#: Rows of an index that may stand beside a clause, and how many.
+FAMILY_TYPES, FAMILY_ROWS, FAMILY_ROWS_LISTED = ("text", "explanation", "section_summary"), 12, 16
+
+
+def family_targets(citations: DataFrame) -> DataFrame:
+    """Citations with their question -> (query_id, target, root, family, doc, most): the clauses or roots whose other rows
+    belong beside them, in the first cited document; nothing for questions that do not ask for clauses."""
+
+    def each(question: str, rows: list[dict]) -> list[dict]:
+        if not is_clause_question(question, rows):
+            return []
+        found, family = target_clauses(question, rows)
+        doc = next((word(c, "doc_id") for c in rows if word(c, "doc_id")), None)
+        most = FAMILY_ROWS_LISTED if is_listing(question) else FAMILY_ROWS
+        return [{"target": t, "root": root_of(t), "family": family, "doc": doc, "most": max(3 * most, 36) if family else most} for t in found]
+
+    return _per_query(citations, "query_id long, target string, root string, family boolean, doc string, most int", each)
+
+
+def with_family(citations: DataFrame, rows: DataFrame) -> DataFrame:
+    """Citations with the rows of their target clauses from the whole index (an equi-join on the clause's root): of a clause
+    named, its own and what is below it; of a root, its whole section. Each place once, by clause, page and kind."""
+    names = [c for c in citations.columns if c in rows.columns and c != "route"]
+    root = F.array_join(F.slice(F.filter(F.split(F.regexp_replace(F.trim("clause_id"), r"\(.*$", ""), r"\."), lambda x: x != ""), 1, 2), ".")
+    targets = family_targets(citations)
+    met = rows.where(F.col("source_type").isin(*FAMILY_TYPES)).withColumn("root", root).join(targets, "root").where(F.col("doc").isNull() | (F.col("doc_id") == F.col("doc")))
+    met = met.where((F.col("clause_id") == F.col("target")) | F.startswith("clause_id", F.concat("target", F.lit("."))) | F.startswith("clause_id", F.concat("target", F.lit("("))))
+    nth = F.row_number().over(Window.partitionBy("query_id", "target").orderBy("page_start", "clause_id", "source_type", "chunk_text"))
+    added = met.withColumn("nth", nth).where(F.col("nth") <= F.col("most")).select("query_id", *names, F.lit("clause_family").alias("route"))
+    every = citations.withColumn("added", F.lit(0)).unionByName(added.withColumn("added", F.lit(1)), allowMissingColumns=True)
+    place = Window.partitionBy("query_id", "doc_id", "page_start", "page_end", "source_type", "clause_id").orderBy("added", "rank", "chunk_text")
+    kept = every.withColumns({"nth": F.row_number().over(place), "question": F.coalesce("question", F.first("question", ignorenulls=True).over(Window.partitionBy("query_id")))}).where("nth = 1 or added = 0")
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("clause_id", F.lit("")), F.coalesce("page_start", F.lit(0)), F.coalesce("source_type", F.lit("")), "added", "rank")
+    return kept.withColumn("rank", F.row_number().over(order)).drop("nth", "added")
+
+
 def search_depth(question: str, mode: str = "qa", scoped: bool = False) -> int:
     """How many hits a chat asks for."""
     k = 48 if is_listing(question) else 16

@@ -1,25 +1,31 @@
 """Routes, fusion, gates and boosts over (query_id, ...) hits.
 
-Questions are few and stated; each route takes them all against all rows. The side with the questions is joined with
-broadcast only up to MAX_QUERIES rows; more are taken in blocks, so that no plan multiplies two large tables. Top-k is
-row_number() <= k per query, which Spark prunes inside each partition before the exchange (WindowGroupLimit)."""
+Questions are few and stated; each route takes them all against all rows. A route scores in the tasks that read the rows:
+a task keeps its k best of every question, so that only those leave it. Questions go out in blocks of a bounded size
+(BLOCK_BYTES, MAX_QUERIES), each against one reading of the rows, so that no plan multiplies two large tables."""
 
 from __future__ import annotations
 
+import heapq
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelake.functions import clauses, fixed, text
-from citelake.functions.embedding import Hasher, cosine
+from citelake.functions.embedding import Hasher
 
 MAX_QUERIES = 1024
+#: Bytes of question vectors, and terms, that are sent out at a time.
+BLOCK_BYTES, MAX_TERMS = 64 << 20, 100_000
 
 
 def query_blocks(queries: DataFrame, size: int = MAX_QUERIES) -> list[DataFrame]:
@@ -48,37 +54,65 @@ def search_text(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
 
 
+class Terms:
+    """One automaton over distinct terms: counts() gives each term's non-overlapping occurrences in a text."""
+
+    def __init__(self, terms: Iterable[str]):
+        self.names = sorted({t for t in terms if t})
+        self.place = {t: i for i, t in enumerate(self.names)}
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.place.items():
+            self.automaton.add_word(t, (i, len(t)))
+        if self.names:
+            self.automaton.make_automaton()
+
+    def counts(self, body: str | None) -> dict[int, int]:
+        free: dict[int, int] = {}
+        found: dict[int, int] = {}
+        for end, (i, size) in self.automaton.iter(body) if self.names and body else ():
+            if end - size >= free.get(i, -1):
+                free[i] = end
+                found[i] = found.get(i, 0) + 1
+        return found
+
+    def matrix(self, bodies: list) -> np.ndarray:
+        """Counts, a row a text and a column a term."""
+        out = np.zeros((len(bodies), len(self.names)))
+        for n, body in enumerate(bodies):
+            got = self.counts(body)
+            out[n, list(got)] = list(got.values())
+        return out
+
+    def weights(self, wanted: list[list[tuple[str, float]]]) -> np.ndarray:
+        """Each question's weights of its terms, a row a term and a column a question."""
+        out = np.zeros((len(self.names), len(wanted)))
+        for j, question in enumerate(wanted):
+            for term, w in question:
+                if term:
+                    out[self.place[term], j] += w
+        return out
+
+
 def term_hits(rows: DataFrame, keys: list[str], body: Column, wanted: DataFrame) -> DataFrame:
     """(keys, term, n): non-overlapping occurrences in each row's body of every term of wanted (query_id, term, ...), by
-    one automaton over all terms, so that a row is read once however many questions there are. Questions are few; their
-    distinct terms are collected and broadcast."""
-    terms = sorted(r[0] for r in wanted.select("term").where("term <> ''").distinct().collect())
-    sent = rows.sparkSession.sparkContext.broadcast(terms)
+    one automaton over all terms (MAX_TERMS at a time), so that a row is read once however many questions there are."""
+    distinct = wanted.select("term").where("term <> ''").distinct()
+    parts = max(1, -(-distinct.count() // MAX_TERMS))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    slim, found = rows.select(*keys, body.alias("_body")), []
+    for part in range(parts):
+        some = distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
+        sent = rows.sparkSession.sparkContext.broadcast([r[0] for r in some.collect()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(sent.value):
-            automaton.add_word(t, (i, len(t)))
-        if sent.value:
-            automaton.make_automaton()
-        for b in batches:
-            at, term, count = [], [], []
-            for k, text_ in enumerate(b.column(len(keys)).to_pylist() if sent.value else []):
-                free: dict[int, int] = {}
-                found: dict[int, int] = {}
-                for end, (i, size) in automaton.iter(text_ or ""):
-                    if end - size >= free.get(i, -1):
-                        free[i] = end
-                        found[i] = found.get(i, 0) + 1
-                at += [k] * len(found)
-                term += [sent.value[i] for i in found]
-                count += found.values()
-            kept = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[: len(keys)], pa.array(term, pa.string()), pa.array(count, pa.int64())], names=[*keys, "term", "n"])
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            terms = Terms(sent.value)
+            for b in batches:
+                each = [terms.counts(t) for t in b.column(len(keys)).to_pylist()]
+                kept = b.take(pa.array([k for k, x in enumerate(each) for _ in x], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns[: len(keys)], pa.array([terms.names[i] for x in each for i in x], pa.string()), pa.array([n for x in each for n in x.values()], pa.int64())], names=[*keys, "term", "n"])
 
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    slim = rows.select(*keys, body.alias("_body"))
-    return slim.mapInArrow(run, f"{kinds}, term string, n long")
+        found.append(slim.mapInArrow(run, f"{kinds}, term string, n long"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _passed(queries: DataFrame) -> tuple[list[str], list[str], Column]:
@@ -90,45 +124,22 @@ def _passed(queries: DataFrame) -> tuple[list[str], list[str], Column]:
 
 
 def keyword_best(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
-    """(query_id, ordinal, score, rank) of keyword_search(), with pairs of questions and rows added up in the tasks."""
+    """(query_id, ordinal, score, rank) of keyword_search()."""
     asked = queries.select("query_id", *_passed(queries)[0], "terms").collect()
     sent = rows.sparkSession.sparkContext.broadcast([list(r["terms"] or []) for r in asked])
 
-    def scorer() -> Callable[[list], np.ndarray]:
-        place = {t: i for i, t in enumerate(sorted({t for q in sent.value for t in q if t}))}
-        weight = np.zeros((len(place), len(sent.value)))
-        automaton = ahocorasick.Automaton()
-        for t, i in place.items():
-            automaton.add_word(t, (i, len(t)))
-        if place:
-            automaton.make_automaton()
-        for j, q in enumerate(sent.value):
-            for t in filter(None, q):
-                weight[place[t], j] += 1 + min(len(t), 12) / 12.0
-
-        def score(texts: list) -> np.ndarray:
-            counts = np.zeros((len(texts), len(place)))
-            for n, text_ in enumerate(texts if place else []):
-                free, found = [-1] * len(place), [0] * len(place)
-                for end, (i, size) in automaton.iter(text_):
-                    if end - size >= free[i]:
-                        free[i] = end
-                        found[i] += 1
-                counts[n] = found
-            got = np.log1p(counts) @ weight
-            return np.where(got > 0, got, -np.inf)
-
-        return score
+    def scorer() -> Scorer:
+        wanted = [[(t, 1 + min(len(t), 12) / 12.0) for t in q] for q in sent.value]
+        terms = Terms(t for q in wanted for t, _ in q)
+        weights = terms.weights(wanted)
+        return lambda bodies: positive(np.log1p(terms.matrix(bodies.to_pylist())) @ weights)
 
-    return best_in_tasks(rows, queries, asked, k, body, ordinal, scorer)
+    return best_in_tasks(rows, queries, asked, k, F.coalesce(body, F.lit("")), [ordinal], scorer)
 
 
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
     """queries (query_id, terms) -> hits by keyword_score(); ties by ordinal, which names a row."""
-    wanted = queries.select("query_id", F.explode("terms").alias("term"))
-    weight = (1 + F.least(F.length("term"), F.lit(12)) / 12.0) * F.log1p("n")
-    scored = term_hits(rows, [ordinal], body, wanted).join(wanted, "term").groupBy("query_id", ordinal).agg(F.sum(weight).alias("score"))
-    best = top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal))
+    best = keyword_best(rows, queries, k, body, ordinal)
     return rows.drop("query_id", "score", "rank").join(best, ordinal).withColumn("route", F.lit("keyword"))
 
 
@@ -140,15 +151,18 @@ def filter_keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Col
 
 def like_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, page_no, score, rank) of like_search()."""
-    spec, has, ok = _passed(queries)
+    spec = _passed(queries)[0]
     terms = F.filter(F.transform("terms", F.lower), lambda t: t != "")
-    phrase = F.lower(text.without_space(F.col("query")))
-    part = F.transform(terms, lambda t: F.struct(t.alias("term"), F.round(1 + F.least(F.length(t), F.lit(8)) / 8.0, 3).alias("w")))
-    whole = F.filter(F.array(F.struct(phrase.alias("term"), F.lit(6.0).alias("w"))), lambda x: F.length(x["term"]).between(1, 40))
-    wanted = queries.where(F.size("terms") > 0).select("query_id", *spec, F.explode(F.concat(whole, part)).alias("x")).select("query_id", *spec, "x.term", "x.w")
-    found = term_hits(pages, ["doc_id", "page_no", *has], F.lower(text.without_space(F.col("text"))), wanted)
-    scored = found.join(wanted, "term").where(ok).groupBy("query_id", "doc_id", "page_no").agg(F.sum("w").alias("score"))
-    return top_k(scored, k, F.desc(F.round("score", 9)), F.col("page_no"), F.col("doc_id"))
+    asked = queries.where(F.size("terms") > 0).select("query_id", *spec, F.lower(text.without_space(F.col("query"))).alias("phrase"), terms.alias("terms")).collect()
+    sent = pages.sparkSession.sparkContext.broadcast([(r["phrase"] or "", list(r["terms"])) for r in asked])
+
+    def scorer() -> Scorer:
+        wanted = [[(phrase, 6.0)] * (1 <= len(phrase) <= 40) + [(t, round(1 + min(len(t), 8) / 8.0, 3)) for t in q] for phrase, q in sent.value]
+        terms = Terms(t for q in wanted for t, _ in q)
+        weights = terms.weights(wanted)
+        return lambda bodies: positive((terms.matrix(bodies.to_pylist()) > 0) @ weights)
+
+    return best_in_tasks(pages, queries, asked, k, F.lower(text.without_space(F.coalesce("text", F.lit("")))), ["page_no", "doc_id"], scorer)
 
 
 def like_search(pages: DataFrame, queries: DataFrame, k: int, excerpt_chars: int = 800) -> DataFrame:
@@ -166,82 +180,131 @@ def inverted_index(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no
     return each.groupBy("term", *keys).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-#: Signs that a full-text query takes for operators; they part words.
+#: Signs that full-text queries lose before they are read; they part words.
 _OPERATORS = re.compile(r"[/\-&|!():*<>]+")
 _WORD = re.compile(r"\w+")
+_PIECE = re.compile(r'"([^"]*)"?|([^\s"]+)')
+
+
+def websearch(query: str | None) -> list[list[tuple[str, ...]]]:
+    """A full-text question as alternatives, each a list of phrases that must all occur (a word is a phrase of one): text in
+    quotation marks is a phrase, `or` between two operands parts alternatives, all else must occur."""
+    pieces = [(_WORD.findall(quoted), False) if not bare else (_WORD.findall(bare), bare == "or") for quoted, bare in _PIECE.findall(_OPERATORS.sub(" ", (query or "").lower()))]
+    pieces = [p for p in pieces if p[0]]
+    out: list[list[tuple[str, ...]]] = [[]]
+    quoted = [bool(q) for q, bare in _PIECE.findall(_OPERATORS.sub(" ", (query or "").lower())) if _WORD.findall(q or bare)]
+    for i, (words, is_or) in enumerate(pieces):
+        if is_or and out[-1] and i + 1 < len(pieces):
+            out.append([])
+        else:
+            out[-1] += [tuple(words)] if quoted[i] else [(w,) for w in words]
+    return [list(dict.fromkeys(x)) for x in out if x]
+
+
+def cover_density(alternatives: list[list[tuple[str, ...]]], places: dict[str, np.ndarray]) -> float:
+    """0.1 / (1 + other words inside) for each smallest stretch that satisfies the question, summed; places: the sorted
+    positions of the question's words. 0 where nothing satisfies it."""
+    units = list(dict.fromkeys(u for x in alternatives for u in x))
+    found: list[tuple[int, int, int]] = []  # end, start, unit
+    none = np.empty(0, np.int64)
+    for i, unit in enumerate(units):
+        start = places.get(unit[0], none)
+        for k, word in enumerate(unit[1:], 1):
+            start = start[np.isin(start + k, places.get(word, none))]
+        found += [(int(p) + len(unit) - 1, int(p), i) for p in start]
+    found.sort()
+    wanted = [[units.index(u) for u in x] for x in alternatives]
+    every = np.unique(np.concatenate([places.get(w, none) for u in units for w in u])) if units else none
+    inside, held, score = [0] * len(units), [], 0.0
+    satisfied = lambda: any(all(inside[u] for u in x) for x in wanted)
+    for end, start, unit in found:
+        inside[unit] += 1
+        heapq.heappush(held, (start, unit))
+        left = None
+        while held and satisfied():
+            left, first = heapq.heappop(held)
+            inside[first] -= 1
+        if left is not None:
+            words = int(np.searchsorted(every, end, side="right") - np.searchsorted(every, left))
+            score += 0.1 / (1 + max(0, end - left - (words - 1)))
+    return score
 
 
 def fts_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """fts_search() of queries (query_id, query) without an index of every word: one reading of the pages (doc_id, page_no,
-    text) finds those with all words of a query and scores them by the words' places. Queries are few and collected."""
-    spec, has, ok = _passed(queries)
-    keys = ["doc_id", "page_no", *has]
-    asked = [(*r[:-1], list(dict.fromkeys(_WORD.findall(_OPERATORS.sub(" ", (r[-1] or "").lower()))))) for r in queries.select("query_id", *spec, "query").collect()]
-    said = sorted({tuple(r[-1]) for r in asked if r[-1]})
-    sent = pages.sparkSession.sparkContext.broadcast(said)
-
-    def cover(places: list[np.ndarray]) -> float:
-        far = np.zeros(len(places[0]), np.int64)
-        for p in places[1:]:
-            i = np.searchsorted(p, places[0])
-            far = np.maximum(far, np.minimum(np.abs(p[np.minimum(i, len(p) - 1)] - places[0]), np.abs(p[np.maximum(i - 1, 0)] - places[0])))
-        return float((1.0 / (1.0 + np.maximum(far - len(places) + 1, 0))).sum())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_word: dict[str, list[tuple[int, tuple]]] = {}
-        for i, words in enumerate(sent.value):
-            by_word.setdefault(max(words, key=len), []).append((i, words))
-        every = {w for q in sent.value for w in q}
-        for b in batches:
-            at, query, score = [], [], []
-            for row, text_ in enumerate(b.column(len(keys)).to_pylist()):
-                words = _WORD.findall(text_ or "")
+    """Full-text search of queries (query_id, query: see websearch()) in pages (doc_id, page_no, text) by cover_density(),
+    without an index of every word: one reading of the pages."""
+    spec = _passed(queries)[0]
+    asked = [r for r in queries.select("query_id", *spec, "query").collect() if websearch(r["query"])]
+    sent = pages.sparkSession.sparkContext.broadcast([websearch(r["query"]) for r in asked])
+
+    def scorer() -> Scorer:
+        by_word: dict[str, list[tuple[int, set]]] = {}
+        for j, question in enumerate(sent.value):
+            for alternative in question:
+                words = {w for unit in alternative for w in unit}
+                by_word.setdefault(max(words, key=lambda w: (len(w), w)), []).append((j, words))
+        every = {w for x in by_word.values() for _, words in x for w in words}
+
+        def score(bodies: pa.Array) -> np.ndarray:
+            out = np.zeros((len(bodies), len(sent.value)))
+            for row, body in enumerate(bodies.to_pylist()):
+                words = _WORD.findall(body)
                 held = every.intersection(words)
-                met = [(i, q) for w in by_word.keys() & held for i, q in by_word[w] if held.issuperset(q)]
+                met = {j for w in by_word.keys() & held for j, wanted in by_word[w] if held >= wanted}
                 if met:
-                    places: dict[str, list[int]] = {w: [] for _, q in met for w in q}
+                    places: dict[str, list[int]] = {w: [] for j in met for x in sent.value[j] for u in x for w in u}
                     for pos, w in enumerate(words):
                         if w in places:
                             places[w].append(pos)
-                    arrays = {w: np.array(p) for w, p in places.items()}
-                    at += [row] * len(met)
-                    query += [i for i, _ in met]
-                    score += [cover([arrays[w] for w in q]) for _, q in met]
-            kept = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), *kept.columns[: len(keys)], pa.array(score, pa.float64())], names=["_q", *keys, "score"])
+                    arrays = {w: np.array(p, np.int64) for w, p in places.items()}
+                    for j in met:
+                        out[row, j] = cover_density(sent.value[j], arrays)
+            return positive(out)
+
+        return score
 
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keys)
-    found = pages.select(*keys, F.lower("text").alias("_body")).mapInArrow(run, f"_q int, {kinds}, score double")
-    place, kind = {q: i for i, q in enumerate(said)}, {f.name: f.dataType.simpleString() for f in queries.schema}
-    names = pages.sparkSession.createDataFrame([(place[tuple(r[-1])], *r[:-1]) for r in asked if r[-1]], "_q int, " + ", ".join(f"{c} {kind[c]}" for c in ("query_id", *spec)))
-    hits = found.join(F.broadcast(names), "_q").where(ok).select("query_id", "doc_id", "page_no", "score")
-    return top_k(hits, k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no")).withColumn("route", F.lit("sparse"))
+    return best_in_tasks(pages, queries, asked, k, F.lower(F.coalesce("text", F.lit(""))), ["doc_id", "page_no"], scorer).withColumn("route", F.lit("sparse"))
 
 
 def fts_search(index: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
-    """Pages that hold all of a query's words, by cover density (simplified: 1 / (1 + slack) for the tightest span that
-    starts at an occurrence of the first word, summed over such occurrences). queries: (query_id, terms)."""
-    wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("_n"), F.posexplode(F.array_distinct("terms")).alias("_i", "term"))
-    met = index.join(wanted, "term")  # an equi-join on the word
-    page = met.groupBy("query_id", "_n", *keys).agg(F.array_sort(F.collect_list(F.struct("_i", "positions"))).alias("_p")).where(F.size("_p") == F.col("_n"))
-    gap = lambda at, p: F.array_min(F.transform(p["positions"], lambda x: F.abs(x - at)))
-    cover = F.aggregate(F.element_at("_p", 1)["positions"], F.lit(0.0), lambda s, at: s + 1.0 / (1.0 + F.greatest(F.aggregate("_p", F.lit(0), lambda m, p: F.greatest(m, gap(at, p))) - F.col("_n") + 1, F.lit(0))))
-    return top_k(page.select("query_id", *keys, cover.alias("score")), k, F.desc(F.round("score", 9)), *[F.col(c) for c in keys]).withColumn("route", F.lit("sparse"))
+    """Pages that hold all of a query's words by an inverted index: an equi-join on the word, scored by cover_density().
+    queries: (query_id, terms)."""
+    wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("_n"), F.explode(F.array_distinct("terms")).alias("term"))
+    met = index.join(wanted, "term").groupBy("query_id", "_n", *keys)
+    page = met.agg(F.collect_list(F.struct("term", "positions")).alias("_p")).where(F.size("_p") == F.col("_n"))
+
+    @F.pandas_udf("double")
+    def cover(found: pd.Series) -> pd.Series:
+        def one(words) -> float:
+            return cover_density([[(w["term"],) for w in words]], {w["term"]: np.asarray(w["positions"], np.int64) for w in words})
+
+        return found.map(one).astype("float64")
+
+    return top_k(page.select("query_id", *keys, cover("_p").alias("score")), k, F.desc(F.round("score", 9)), *[F.col(c) for c in keys]).withColumn("route", F.lit("sparse"))
 
 
 def sidecar_search(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Phrase and token counts: 20 for the phrase, 28 for it without spaces, each token (plain and without spaces) by
-    occurrences times 1 + min(length, 10) / 10. queries: (query_id, query, tokens)."""
-    key = [c for c in pages.columns if c != "text"]
-    token = F.transform("tokens", lambda t: F.struct(F.lower(t).alias("term"), (1 + F.least(F.length(t), F.lit(10)) / 10.0).alias("w"), F.lit(True).alias("each")))
-    scored = None
-    for body, phrase, weight in ((text.squeeze, text.squeeze, 20.0), (text.without_space, text.without_space, 28.0)):
-        whole = F.filter(F.array(F.struct(F.lower(phrase(F.col("query"))).alias("term"), F.lit(weight).alias("w"), F.lit(False).alias("each"))), lambda x: x["term"] != "")
-        wanted = queries.select("query_id", F.explode(F.concat(whole, token)).alias("x")).select("query_id", "x.term", "x.w", "x.each")
-        hits = term_hits(pages, key, F.lower(body(F.col("text"))), wanted).join(wanted, "term").select("query_id", *key, F.when(F.col("each"), F.col("n") * F.col("w")).otherwise(F.col("w")).alias("w"))
-        scored = hits if scored is None else scored.unionByName(hits)
-    best = top_k(scored.groupBy("query_id", *key).agg(F.sum("w").alias("score")), k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no"))
-    return best.withColumn("route", F.lit("sirchmunk"))
+    occurrences times 1 + min(length, 10) / 10. queries: (query_id, query, tokens); pages: (doc_id, page_no, text)."""
+    forms = {"squeezed": text.squeeze, "bare": text.without_space}
+    asked = queries.select("query_id", *[F.lower(f(F.col("query"))).alias(n) for n, f in forms.items()], F.transform("tokens", F.lower).alias("tokens")).collect()
+    sent = pages.sparkSession.sparkContext.broadcast([(r["squeezed"] or "", r["bare"] or "", list(r["tokens"] or [])) for r in asked])
+    both = F.concat_ws("\0", *[F.lower(f(F.coalesce("text", F.lit("")))) for f in forms.values()])
+
+    def scorer() -> Scorer:
+        tokens = [[(t, 1 + min(len(t), 10) / 10.0) for t in q] for *_, q in sent.value]
+        phrases = [[[(x[side], worth)] for x in sent.value] for side, worth in ((0, 20.0), (1, 28.0))]
+        terms = Terms(t for group in (tokens, *phrases) for q in group for t, _ in q)
+        each, whole = terms.weights(tokens), [terms.weights(p) for p in phrases]
+
+        def score(bodies: pa.Array) -> np.ndarray:
+            halves = zip(*(b.split("\0", 1) for b in bodies.to_pylist()), strict=True)
+            counts = [terms.matrix(list(h)) for h in halves]
+            return positive(sum(c @ each + (c > 0) @ w for c, w in zip(counts, whole, strict=True)))
+
+        return score
+
+    return best_in_tasks(pages, queries, asked, k, both, ["doc_id", "page_no"], scorer).withColumn("route", F.lit("sirchmunk"))
 
 
 def structured_search(assets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -253,54 +316,110 @@ def structured_search(assets: DataFrame, queries: DataFrame, k: int) -> DataFram
     return top_k(scored, k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no")).withColumn("route", F.lit("structured"))
 
 
-def dense_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ordinal: str = "ordinal") -> DataFrame:
-    """Exact cosine top-k. queries: (query_id, query_vector)."""
-    spec, _, ok = _passed(queries)
-    q = queries.select("query_id", "query_vector", *spec)
-    scored = against_all(q, rows).where(ok).drop(*spec).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).where("score is not null").drop("query_vector")
-    return top_k(scored, k, F.desc(F.round("score", 9)), F.col(ordinal)).withColumn("route", F.lit("dense"))
+Scorer = Callable[[pa.Array], np.ndarray]
+
 
+def positive(score: np.ndarray) -> np.ndarray:
+    """Scores above 0; all else is no hit."""
+    return np.where(score > 0, score, -np.inf)
 
-def best_in_tasks(rows: DataFrame, queries: DataFrame, asked: list, k: int, body: Column, ordinal: str, scorer: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
-    """(query_id, ordinal, score, rank): the first k rows of each query (asked: collected queries with query_id and perhaps
-    spec) by score and ordinal. A scorer turns bodies to scores, a column a query in order, -inf where a row is no hit; each
-    task keeps its k best of every query, so that no pair of a question and a row leaves it that can't be among them."""
-    from pyspark.sql.pandas.types import to_arrow_type
 
+def best_in_tasks(rows: DataFrame, queries: DataFrame, asked: list, k: int, body: Column, keys: list[str], scorer: Callable[[], Scorer]) -> DataFrame:
+    """(query_id, keys, score, rank): the first k rows of each query (asked: collected queries with query_id and perhaps
+    spec) by score, then keys, which name a row. A scorer turns an Arrow array of bodies to scores, a column a query in
+    order, -inf where a row is no hit; each task keeps its k best of every query, so that no pair of a question and a row
+    leaves it that can't be among them."""
     spec, has, _ = _passed(queries)
     places = [r["spec"] if spec else None for r in asked]
-    kind, out = rows.schema[ordinal].dataType.simpleString(), to_arrow_type(rows.schema[ordinal].dataType)
-
-    def best(old: tuple, at: np.ndarray, score: np.ndarray) -> tuple:
-        hit = np.isfinite(score)
-        at, score = at[hit], score[hit]
-        if old:
-            at, score = np.concatenate([old[0], at]), np.concatenate([old[1], score])
-        if len(at) > k:
-            near = score >= -np.partition(-score, k - 1)[k - 1]
-            at, score = at[near], score[near]
-            first = np.lexsort((at, -score))[:k]
-            at, score = at[first], score[first]
-        return at, score
+    fields = [rows.schema[c] for c in keys]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def order(entry: tuple) -> tuple:
+        return (-entry[0], *((x is not None, x) for x in entry[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of, parts = scorer() if places else None, [()] * len(places)
+        if not places:
+            return
+        score_of, kept, floor, kind = scorer(), [[] for _ in places], np.full(len(places), -np.inf), None
         for whole in batches:
-            for start in range(0, whole.num_rows if places else 0, 512):
+            for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                at = b.column(0).to_numpy(zero_copy_only=False)
-                scores = np.round(score_of(b.column(len(has) + 1).to_pylist()), 9)
-                passed = np.array(b.column(1).to_pylist(), bool).reshape(len(at), -1) if has else None
-                for j, place in enumerate(places):
-                    mine = slice(None) if place is None else passed[:, place]
-                    parts[j] = best(parts[j], at[mine], scores[mine, j])
-        got = [(j, *p) for j, p in enumerate(parts) if p and len(p[0])]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(a), j, np.int32) for j, a, _ in got])), pa.array(np.concatenate([a for _, a, _ in got]).tolist(), out), pa.array(np.concatenate([s for _, _, s in got]))], names=["_q", ordinal, "score"])
+                kind = b.schema
+                scores = np.round(score_of(b.column(len(keys) + len(has))), 9)
+                if has:
+                    passed = np.array(b.column(len(keys)).to_pylist(), bool).reshape(b.num_rows, -1)
+                    for j, place in enumerate(places):
+                        if place is not None:
+                            scores[~passed[:, place], j] = -np.inf
+                may = np.isfinite(scores) & (scores >= floor)
+                names = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)) if may.any() else []
+                for j in np.flatnonzero(may.any(axis=0)).tolist():
+                    kept[j] = sorted(kept[j] + [(float(scores[i, j]), *names[i]) for i in np.flatnonzero(may[:, j]).tolist()], key=order)[:k]
+                    if len(kept[j]) == k:
+                        floor[j] = kept[j][-1][0]
+        got = [(j, *x) for j, some in enumerate(kept) for x in some]
+        for start in range(0, len(got), 10_000):
+            columns = list(zip(*got[start : start + 10_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, kind.field(i).type) for i, c in enumerate(columns[2:])), pa.array(columns[1], pa.float64())], names=["_q", *keys, "score"])
+
+    found = rows.select(*keys, *has, body.alias("_body")).mapInArrow(run, f"_q int, {kinds}, score double")
+    named = rows.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], f"_q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+    return top_k(found.join(F.broadcast(named), "_q").drop("_q"), k, F.desc(F.round("score", 9)), *[F.col(c) for c in keys])
+
+
+def dense_best(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ordinal: str = "ordinal") -> DataFrame:
+    """(query_id, ordinal, score, rank): exact cosine top-k by matrix products, for questions in blocks of BLOCK_BYTES of
+    vectors, each against one reading of the rows. queries: (query_id, query_vector)."""
+    spec = _passed(queries)[0]
+    size = queries.agg(F.sum(F.size("query_vector").cast("long") * 8)).first()[0] or 0
+    parts = max(1, -(-size // BLOCK_BYTES))
+
+    def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of length 1, and which rows are vectors."""
+        m = np.array(vectors, np.float64)
+        length = np.sqrt(np.einsum("ij,ij->i", m, m))
+        return np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0), length > 0
+
+    found = []
+    for part in range(parts):
+        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        asked = some.select("query_id", *spec, "query_vector").collect()
+        sent = rows.sparkSession.sparkContext.broadcast([r["query_vector"] for r in asked])
+
+        def scorer(sent=sent) -> Scorer:
+            by_size: dict[int, list[int]] = {}
+            for j, v in enumerate(sent.value):
+                if v and None not in v:
+                    by_size.setdefault(len(v), []).append(j)
+            wanted = {n: (js, *unit([sent.value[j] for j in js])) for n, js in by_size.items()}
+
+            def score(vectors: pa.Array) -> np.ndarray:
+                out = np.full((len(vectors), len(sent.value)), -np.inf)
+                sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+                for n, (js, matrix, real) in wanted.items():
+                    at = [i for i in np.flatnonzero(sizes == n).tolist() if vectors[i].values.null_count == 0]
+                    if at:
+                        mine, there = unit(vectors.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n))
+                        out[np.ix_(at, js)] = np.where(there[:, None] & real[None, :], mine @ matrix.T, -np.inf)
+                return out
+
+            return score
+
+        found.append(best_in_tasks(rows, queries, asked, k, F.col(vector), [ordinal], scorer))
+    return reduce(DataFrame.unionByName, found)
+
 
-    found = rows.select(ordinal, *has, F.coalesce(body, F.lit("")).alias("_body")).mapInArrow(run, f"_q int, `{ordinal}` {kind}, score double")
-    names = rows.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], f"_q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return top_k(found.join(F.broadcast(names), "_q").drop("_q"), k, F.desc(F.round("score", 9)), F.col(ordinal))
+def dense_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ordinal: str = "ordinal") -> DataFrame:
+    """Rows of dense_best()."""
+    best = dense_best(rows, queries, k, vector, ordinal)
+    return rows.drop("query_id", "score", "rank").join(best, ordinal).withColumn("route", F.lit("dense"))
+
+
+def first_rows(rows: DataFrame, queries: DataFrame, k: int, ordinal: str = "ordinal") -> DataFrame:
+    """What a store without vectors answers to dense search: the first k rows in order that pass a query's filter."""
+    spec, _, ok = _passed(queries)
+    met = against_all(queries.select("query_id", *spec), rows).where(ok).drop(*spec).withColumn("score", F.lit(0.0))
+    return top_k(met, k, F.col(ordinal)).withColumn("route", F.lit("dense"))
 
 
 def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal", dim: int = 1024) -> DataFrame:
@@ -308,12 +427,12 @@ def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordin
     asked = queries.select("query_id", *_passed(queries)[0], F.lower(F.coalesce("query", F.lit(""))).alias("query")).collect()
     sent = rows.sparkSession.sparkContext.broadcast([r["query"] for r in asked])
 
-    def scorer() -> Callable[[list], np.ndarray]:
+    def scorer() -> Scorer:
         hasher = Hasher(dim)
         wanted = hasher.vectors(sent.value).T
-        return lambda texts: hasher.vectors(texts) @ wanted
+        return lambda bodies: hasher.vectors(bodies.to_pylist()) @ wanted
 
-    return best_in_tasks(rows, queries, asked, k, F.lower(body), ordinal, scorer)
+    return best_in_tasks(rows, queries, asked, k, F.lower(F.coalesce(body, F.lit(""))), [ordinal], scorer)
 
 
 def fuse_rrf(routes: list[DataFrame], k: int, constant: int = 60, key: str = "id") -> DataFrame:
@@ -383,6 +502,65 @@ def rerank(hits: DataFrame, question: str = "question") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.when(F.size(tokens) > 0, value)), "rank")))
 
 
+def ranked_indices(answer: str | None, size: int) -> list[int]:
+    """Places that a model's answer lists (a JSON list, or one under `indices` or `ranked_indices`), each once."""
+    try:
+        parsed = json.loads(answer or "")
+    except ValueError:
+        return []
+    if isinstance(parsed, dict):
+        parsed = parsed.get("indices") or parsed.get("ranked_indices")
+    return _places(parsed if isinstance(parsed, list) else [], size)
+
+
+def reranked_indices(body: str | None, size: int) -> list[int]:
+    """Places in the order of a rerank service's answer: records (under `results`, `data` or `output`) with a place
+    (`index`, `document_index` or `id`) and a score (`relevance_score`, `score` or `relevance`; absent or odd: 0), best
+    first, ties as they come."""
+    try:
+        parsed = json.loads(body or "")
+    except ValueError:
+        return []
+    lists = [x for name in ("results", "data", "output") if isinstance(x := parsed.get(name), list)] if isinstance(parsed, dict) else []
+    first = lambda item, names: next((item[n] for n in names if item.get(n) is not None), None)
+    scored = []
+    for item in lists[0] if lists else []:
+        if isinstance(item, dict):
+            try:
+                score = float(first(item, ("relevance_score", "score", "relevance")) or 0.0)
+            except (TypeError, ValueError):
+                score = 0.0
+            scored.append((score, first(item, ("index", "document_index", "id"))))
+    return _places([place for _, place in sorted(scored, key=lambda x: -x[0])], size)
+
+
+def _places(items: list, size: int) -> list[int]:
+    out: dict[int, None] = {}
+    for item in items:
+        try:
+            place = int(item)
+        except (TypeError, ValueError):
+            continue
+        if 0 <= place < size:
+            out[place] = None
+    return list(out)
+
+
+def with_ranking(hits: DataFrame, answers: DataFrame, parse: Callable[[str | None, int], list[int]] = reranked_indices) -> DataFrame:
+    """Hits in the order of a rerank answer (answers: query_id, answer; places count from 0 by rank), those it leaves out
+    behind; questions without a usable answer keep their order."""
+
+    @F.pandas_udf("array<int>")
+    def places(answer: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([parse(a, int(n)) for a, n in zip(answer, size, strict=True)], dtype=object)
+
+    sizes = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    order = sizes.join(answers, "query_id").select("query_id", places("answer", "n").alias("order"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    placed = hits.withColumn("nth", nth).join(order, "query_id", "left").withColumn("place", F.nullif(F.array_position("order", F.col("nth") - 1), F.lit(0)))
+    return placed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("place").asc_nulls_last(), "nth"))).drop("nth", "order", "place")
+
+
 def boost(hits: DataFrame, k: int | None = None) -> DataFrame:
     """Final order: 5 * keyword score + exact rules + 0.03 * score - 0.0001 * place. hits carry question, terms,
     standards, clauses, table_query, listing_query, query_doc_type and low_quality; single hits keep their place."""
@@ -448,6 +626,20 @@ def attach_explanations(anchors: DataFrame, rows: DataFrame, per_clause: int = 1
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "_o", "clause_id", "page_start", "chunk_text"))).drop("_c", "_o")
 
 
+def pair_explanations(hits: DataFrame, rows: DataFrame, most: int = 5) -> DataFrame:
+    """Hits (query_id, rank, chunk_id, clause_id, doc_type, ...) with, for each of the first `most` that are a clause or an
+    explanation, the first row of its clause that is of the other kind; clauses come first, each chunk once."""
+    other = F.when(F.col("doc_type") == "clause", "explanation").when(F.col("doc_type") == "explanation", "clause")
+    asked = hits.where((F.col("rank") <= most) & (F.col("clause_id") != "")).select("query_id", F.col("rank").alias("after"), "clause_id", other.alias("doc_type")).where("doc_type is not null")
+    firsts = rows.where("clause_id <> ''").groupBy("clause_id", "doc_type").agg(F.min_by(F.struct(*[c for c in hits.columns if c in rows.columns and c not in ("clause_id", "doc_type")]), "chunk_id").alias("row"))
+    added = asked.join(firsts, ["clause_id", "doc_type"]).select("query_id", "after", "clause_id", "doc_type", "row.*").withColumn("added", F.lit(1))
+    every = hits.withColumns({"after": F.col("rank"), "added": F.lit(0)}).unionByName(added, allowMissingColumns=True)
+    nth = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("added", "after"))
+    kept = every.withColumn("nth", nth).where((F.col("added") == 0) | ((F.col("nth") == 1) & F.col("chunk_id").isNotNull()))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(F.col("doc_type") == "clause", 0).otherwise(1), "added", "after", "chunk_id"))
+    return kept.withColumn("rank", place).drop("after", "added", "nth")
+
+
 def plan_questions(questions: DataFrame, precision_chars: int = 48) -> DataFrame:
     """(query_id, question, clauses, standards, doc_scoped) with the flags that choose routes."""
     q = F.lower(text.strip(F.col("question")))

@@ -162,6 +162,40 @@ def split_row(line: Column) -> Column:
     return F.filter(F.transform(cells, text.strip), lambda x: x != "")
 
 
+def rows_of_text(c: Column) -> Column:
+    """A recognised table's text as struct(header, rows); both empty for fewer than two lines."""
+    seen, none = text.lines(c), F.array().cast("array<string>")
+    rows = F.filter(F.transform(F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0))), split_row), lambda r: F.size(r) > 0)
+    table = F.size(seen) >= 2
+    return F.struct(F.when(table, split_row(F.element_at(seen, 1))).otherwise(none).alias("header"), F.when(table, rows).otherwise(F.array().cast("array<array<string>>")).alias("rows"))
+
+
+def recognised_pack(title: Column, rows: Column) -> Column:
+    """Rows that a vision model gave (array of JSON texts) as struct(table_summary, row_facts, n): title, mark, first six."""
+    summary = F.array_join(F.concat(F.array(title, F.lit("（VL 兜底识别）")), F.slice(rows, 1, 6)), "\n")
+    return F.struct(summary.alias("table_summary"), rows.alias("row_facts"), F.size(rows).alias("n"))
+
+
+#: Where explanations begin, and a clause's line.
+EXPLANATION_STARTS = (r"^\s*条\s*文\s*说\s*明\s*$", r"^\s*条文说明\s*$")
+EXPLAINED_CLAUSE = r"\s*(\d+(?:\.\d+)+)(?:\(([0-9A-Za-z]+)\))?\s*(.*)$"
+
+
+def configured_explanation_chunks(blocks: DataFrame, start: tuple[str, ...] = EXPLANATION_STARTS, clause_pattern: str = EXPLAINED_CLAUSE) -> DataFrame:
+    """Blocks (doc_id, version_id, page_no, order_in_page, text) -> one chunk per explained clause, as explanations() finds
+    them by configured patterns."""
+    key = F.to_json(F.struct(*DOC))
+    lines = blocks.where((F.col("page_no") > 0) & (text.strip(F.col("text")) != "")).groupBy(key.alias("doc_id"), "page_no").agg(F.array_sort(F.collect_list(F.struct("order_in_page", text.strip(F.col("text")).alias("t")))).alias("b"))
+    pages = lines.select("doc_id", "page_no", F.array_join(F.transform("b", lambda x: x["t"]), "\n").alias("text"))
+    said = explanations(pages, list(start), clause_pattern).withColumn("text", text.strip(F.concat_ws("\n", F.nullif(text.strip(F.col("title")), F.lit("")), F.nullif(text.strip(F.col("body")), F.lit("")))))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_start", "clause_id"))
+    doc = F.from_json("doc_id", "doc_id string, version_id string")
+    return said.withColumn("n", nth).where("text <> ''").select(
+        doc["doc_id"].alias("doc_id"), doc["version_id"].alias("version_id"), F.concat_ws("_", F.lit("expcfg"), "clause_id", F.col("n").cast("string")).alias("chunk_id"), F.lit("explanation").alias("chapter_id"),
+        "page_start", "page_end", "text", F.array().cast("array<string>").alias("block_ids"), F.lit("explanation").alias("source_type"), F.lit("explanation").alias("doc_type"), "clause_id",
+    )
+
+
 def table_struct(tables: DataFrame, repairs: DataFrame | None = None, least_confidence: float = 0.45) -> DataFrame:
     """Tables as header and rows by kind (power_param_table, device_inventory_table, qualification_table; a table may be
     of several). Broken tables take the repair's rows where it is confident (repairs: table_id, recognized_text,

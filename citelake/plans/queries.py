@@ -1,7 +1,7 @@
 """Registered queries of the engine's own operators over the driver's tables, with their SQL.
 
-The tables hold Latin-script prose, so question terms are taken in mode `words`. Questions come from the whole
-`benchmark` table: its first five words of four letters or more.
+The tables hold Latin-script prose, so question terms are words. Questions are the whole texts of the whole `benchmark`
+table; their terms are their distinct words of four letters or more.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import clauses, text
 from citelake.functions.embedding import cosine
-from citelake.operators import evaluate, evidence, extract, filters, jobs, normalize, quality, registry, retrieval, tables
+from citelake.operators import evaluate, evidence, extract, filters, jobs, normalize, quality, registry, retrieval, stores, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
 
@@ -26,10 +26,10 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(words, 1, 5).alias("terms"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(words).alias("terms"))
 
 
-QUESTIONS_SQL = "q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]{4,}')[1:5] AS terms FROM benchmark)"
+QUESTIONS_SQL = "q AS (SELECT item_id AS query_id, text AS query, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS terms FROM benchmark)"
 SCORED_SQL = f"""{QUESTIONS_SQL},
 t AS (SELECT query_id, unnest(terms) AS term FROM q),
 s AS (SELECT query_id, doc_id, sum((1 + least(length(term), 12) / 12.0) * ln(1 + (length(body) - length(replace(body, term, ''))) / length(term))) AS score
@@ -41,8 +41,11 @@ def _keyword(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 def doc_dedupe_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = docs_of(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    return hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Odd documents as uploads against the even ones, which are registered: the first version of the same content."""
+    docs = docs_of(spark, sf_dir)
+    stored = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("processed").alias("status"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("created_at"))
+    found = registry.content_duplicates(docs.where("doc_id % 2 = 1").withColumnRenamed("text", "content"), stored)
+    return found.select("doc_id", "content_hash", F.coalesce("existing_version_id", F.lit(-1)).alias("existing_version_id"))
 
 
 def quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,24 +81,27 @@ def repeat_line_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.excerpt(F.col("html")).alias("excerpt"))
+    """Snippets of web pages and documents."""
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("body"))
+    docs = docs_of(spark, sf_dir).select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return pages.unionByName(docs).select("source", "id", text.excerpt(F.col("body")).alias("excerpt"))
 
 
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyword(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    best = retrieval.keyword_best(docs_of(spark, sf_dir), questions(spark, sf_dir), 10, F.lower("text"), "doc_id")
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def like_fallback_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
-    asked = questions(spark, sf_dir).withColumn("query", F.array_join(F.slice("terms", 1, 2), " "))
-    return retrieval.like_search(pages, asked, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.like_best(pages, questions(spark, sf_dir), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of all vectors for each whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    got = retrieval.dense_search(vectors, asked, 10, "embedding", "vec_id")
+    got = retrieval.dense_best(vectors, asked, 10, "embedding", "vec_id")
     return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -103,14 +109,15 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and containment routes fused."""
     pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
     asked = questions(spark, sf_dir)
-    one = _keyword(spark, sf_dir, 20).select("query_id", "rank", F.col("doc_id").alias("id"))
-    two = retrieval.like_search(pages, asked.withColumn("query", F.lit("")), 20).select("query_id", "rank", F.col("doc_id").alias("id"))
+    one = retrieval.keyword_best(pages, asked, 20, F.lower("text"), "doc_id").select("query_id", "rank", F.col("doc_id").alias("id"))
+    two = retrieval.like_best(pages, asked.withColumn("query", F.lit("")), 20).select("query_id", "rank", F.col("doc_id").alias("id"))
     return retrieval.fuse_rrf([one.withColumn("route", F.lit("keyword")), two.withColumn("route", F.lit("sparse"))], 10).select("query_id", F.col("id").alias("doc_id"), F.round("rrf", 9).alias("rrf"), "rank", "route")
 
 
 def lexical_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _keyword(spark, sf_dir, 20).join(questions(spark, sf_dir), "query_id")
-    gated = retrieval.lexical_gate(hits, F.lower("text"), ratio=0.9)
+    asked = questions(spark, sf_dir)
+    hits = retrieval.keyword_best(docs_of(spark, sf_dir), asked, 20, F.lower("text"), "doc_id").join(asked, "query_id")
+    gated = retrieval.lexical_gate(hits, F.lit(""), ratio=0.9, lex=F.col("score"))  # the route has scored already
     return gated.select("query_id", "doc_id", "rank")
 
 
@@ -186,14 +193,18 @@ def constraint_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needle = F.substring("text", 101, 20)
+    """What stands around the middle twenty characters of each turn, at their first place."""
+    needle = F.substring("text", (F.length("text") / 2).cast("int") + 1, F.lit(20))
     before, after = text.window_around(F.col("text"), needle, 80)
-    rows = table(spark, sf_dir, "conversations").where(F.length("text") >= 120)
+    rows = table(spark, sf_dir, "conversations").where("text <> ''")
     return rows.select("conv_id", "turn", before.alias("context_before"), after.alias("context_after"))
 
 
 def redact_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_of(spark, sf_dir).select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted_sha256"))
+    """Documents and conversations without personal data."""
+    docs = docs_of(spark, sf_dir).select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    said = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"), "turn", "text")
+    return docs.unionByName(said).select("source", "id", "turn", F.sha2(text.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
 def offset_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +242,7 @@ def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages asked of all documents by the dense (hash vectors), keyword and full-text routes (containment for
     Chinese ones without full-text hits); ten citations each, and explanation siblings where rows bear clauses."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.substring_index("text", ".", 1), "\n", " ").alias("question"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("chunk_text"), F.col("doc_id").alias("ordinal"))
     return hybrid.cited(hybrid.plain_rows(rows), asked, 10).select("query_id", "rank", "doc_id", "excerpt", "route")
 
@@ -250,18 +261,64 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold all of a question's first three words, by the inverted index."""
+    """Documents that hold all of an item's words (four letters or more), by the inverted index."""
     pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
-    asked = questions(spark, sf_dir).select("query_id", F.slice("terms", 1, 3).alias("terms"))
+    asked = questions(spark, sf_dir).select("query_id", "terms")
     return retrieval.fts_search(retrieval.inverted_index(pages), asked, 1_000_000_000).select("query_id", "doc_id")
 
 
+def fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of these by cover density, by one reading of the documents."""
+    pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
+    asked = questions(spark, sf_dir).select("query_id", F.array_join("terms", " ").alias("query"))
+    return retrieval.fts_best(pages, asked, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def sidecar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
-    asked = questions(spark, sf_dir).select("query_id", F.array_join(F.slice("terms", 1, 2), " ").alias("query"), F.slice("terms", 1, 3).alias("tokens"))
+    asked = questions(spark, sf_dir).select("query_id", "query", F.col("terms").alias("tokens"))
     return retrieval.sidecar_search(pages, asked, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def sidecar_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of each turn around its middle twenty characters."""
+    rows = table(spark, sf_dir, "conversations").where("text <> ''")
+    middle = F.substring("text", (F.length("text") / 2).cast("int") + 1, F.lit(20))
+    return rows.select("conv_id", "turn", text.excerpt_at(F.col("text"), middle, 90).alias("excerpt"))
+
+
+def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits in the order of a rerank service's answer, made here: best are the smallest ids of even ranks; odd ranks
+    are not answered for and come behind."""
+    hits = retrieval.keyword_best(docs_of(spark, sf_dir), questions(spark, sf_dir), 10, F.lower("text"), "doc_id").select("query_id", "doc_id", "rank")
+    said = F.to_json(F.struct(F.collect_list(F.when(F.col("rank") % 2 == 0, F.struct((F.col("rank") - 1).alias("index"), (-F.col("doc_id")).cast("double").alias("relevance_score")))).alias("results")))
+    return retrieval.with_ranking(hits, hits.groupBy("query_id").agg(said.alias("answer")))
+
+
+def explanation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as clauses (odd suppliers) and explanations (even ones) of their parts: the three dearest of an order, each
+    with the first row of the other kind of its part."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.format_string("%010d-%02d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("chunk_id"), F.col("l_partkey").cast("string").alias("clause_id"), F.when(F.col("l_suppkey") % 2 == 1, "clause").otherwise("explanation").alias("doc_type"), F.col("l_extendedprice").cast("double").alias("price"))
+    hits = retrieval.top_k(rows, 3, F.desc("price"), F.col("chunk_id")).drop("price")
+    return retrieval.pair_explanations(hits, rows.drop("query_id", "price")).select("query_id", "chunk_id", "rank")
+
+
+def entity_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers (kinds by their nation, some odd ones) against a dictionary that holds every other one with ids of
+    its own."""
+    kind = F.element_at(F.array(F.lit(" Person "), F.lit("project"), F.lit("")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    names = table(spark, sf_dir, "customer").select(kind.alias("kind"), F.concat(F.lit(" "), "c_name").alias("name"), "c_custkey")
+    known = stores.entities(names.where("c_custkey % 2 = 0")).withColumn("id", F.concat(F.lit("old_"), "entity_name"))
+    added, ids = stores.get_or_create(known, names)
+    return ids.join(added.select("entity_kind", "entity_name", F.lit(True).alias("added")), ["entity_kind", "entity_name"], "left").withColumn("added", F.coalesce("added", F.lit(False)))
+
+
+def result_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of runs (an order each, its line items the samples) as rows of the result table."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").cast("string").alias("sample_id"), F.col("l_quantity").cast("double").alias("score_total"), F.when(F.col("l_partkey") % 2 == 0, "openai").alias("provider"))
+    return stores.result_rows(rows).select("id", "run_id", "sample_id", "provider", "model", "score_total")
+
+
 def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four score formulas, on metrics made of line items."""
     share = lambda c, n: (F.col(c).cast("long") % n) / float(n)
@@ -296,7 +353,7 @@ def table_row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stable_hit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_of(spark, sf_dir).select("doc_id", text.stable_hit_id(F.lit("sparse"), F.col("doc_id").cast("string"), F.lit(1), F.substring("text", 1, 50)).alias("hit_id"))
+    return docs_of(spark, sf_dir).select("doc_id", text.stable_hit_id(F.lit("sparse"), F.col("doc_id").cast("string"), F.lit(1), F.col("text")).alias("hit_id"))
 
 
 def low_quality_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +380,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, rrf_fusion, lexical_gate, filter_range, filter_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, sidecar_topk, eval_scores, key_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
 
@@ -333,7 +390,7 @@ NOISY_SQL = rf"""(trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR contai
 LATEST_STATUS_SQL = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
 LIKE_SQL = f"""{QUESTIONS_SQL},
 d AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS body FROM documents),
-l AS (SELECT query_id, doc_id, list_sum(list_transform(terms, lambda t: CASE WHEN contains(body, t) THEN round(1 + least(length(t), 8) / 8.0, 3) ELSE 0.0 END)) AS part, terms, body FROM d, q WHERE len(terms) > 0)"""
+l AS (SELECT query_id, doc_id, list_sum(list_transform(terms, lambda t: CASE WHEN contains(body, t) THEN round(1 + least(length(t), 8) / 8.0, 3) ELSE 0.0 END)) AS part, lower(regexp_replace(query, '\\s+', '', 'g')) AS phrase, body FROM d, q WHERE len(terms) > 0)"""
 
 GATE_SQL = rf"""
 WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM documents),
@@ -349,7 +406,7 @@ SELECT doc_id, count(*) FILTER (WHERE gate = 'keep') AS kept, count(*) FILTER (W
 """
 
 ORACLE = {
-    "doc_dedupe_sha256": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "doc_dedupe_sha256": "SELECT d.doc_id, sha256(text) AS content_hash, coalesce(e.id, -1) AS existing_version_id FROM documents d LEFT JOIN (SELECT sha256(text) AS h, min(doc_id) AS id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) e ON e.h = sha256(text) WHERE doc_id % 2 = 1",
     "quality_grade": """
         WITH b AS (SELECT doc_id, count(*) FILTER (WHERE trim(l) <> '') AS block_count, coalesce(sum(length(trim(l))), 0)::bigint AS text_len FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id)
         SELECT doc_id, block_count, text_len, least(100, text_len // 40 + 4 * block_count)::bigint AS score,
@@ -362,17 +419,18 @@ ORACLE = {
         p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1), c AS (SELECT source, line, count(*) AS n FROM k WHERE length(line) <= 50 GROUP BY 1, 2),
         d AS (SELECT c.source, line FROM c JOIN p ON p.source = c.source WHERE n >= greatest(1, floor(pages * 0.2)))
         SELECT doc_id, count(*) AS kept, sum(length(k.line))::bigint AS kept_chars FROM k LEFT JOIN d ON d.source = k.source AND d.line = k.line WHERE d.line IS NULL GROUP BY 1""",
-    "page_excerpt": r"SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)table\s+images/\S+', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 200) AS excerpt FROM pages",
+    "page_excerpt": r"""SELECT source, id, left(trim(regexp_replace(regexp_replace(regexp_replace(body, '(?i)table\s+images/\S+', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 200) AS excerpt
+        FROM (SELECT 'pages' AS source, page_id AS id, html AS body FROM pages UNION ALL SELECT 'documents', doc_id, text FROM documents)""",
     "keyword_topk": f"WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM r WHERE rank <= 10",
     "like_fallback_rank": f"""WITH {LIKE_SQL},
-        s AS (SELECT query_id, doc_id, part + CASE WHEN length(array_to_string(terms[1:2], '')) BETWEEN 1 AND 40 AND contains(body, array_to_string(terms[1:2], '')) THEN 6.0 ELSE 0.0 END AS score FROM l),
+        s AS (SELECT query_id, doc_id, part + CASE WHEN length(phrase) BETWEEN 1 AND 40 AND contains(body, phrase) THEN 6.0 ELSE 0.0 END AS score FROM l),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6)::double AS score, rank::int AS rank FROM r WHERE rank <= 10""",
     "dense_topk": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank::int AS rank FROM r WHERE rank <= 10""",
     "rrf_fusion": f"""WITH {SCORED_SQL},
         a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
-        {LIKE_SQL.split(",", 1)[1].split("AS terms FROM benchmark),", 1)[-1].strip()},
+        {LIKE_SQL.split("FROM benchmark),", 1)[-1].strip()},
         b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(part, 9) DESC, doc_id) AS rank FROM l WHERE part > 0),
         u AS (SELECT query_id, doc_id, rank, 0 AS o FROM a WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 1 FROM b WHERE rank <= 20),
         f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf, min(o * 1000 + rank) AS seen FROM u GROUP BY 1, 2),
@@ -400,12 +458,13 @@ ORACLE = {
         WITH b AS (SELECT l_suppkey, l_partkey, l_orderkey, l_extendedprice::double AS score, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_extendedprice::double DESC, l_orderkey, l_linenumber) AS n FROM lineitem),
         r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, l_partkey) AS rank FROM b WHERE n = 1) SELECT l_suppkey, l_partkey, l_orderkey, rank::int AS rank FROM r WHERE rank <= 16""",
     "citation_context": """
-        WITH c AS (SELECT conv_id, turn, text, substr(text, 101, 20) AS x, strpos(text, substr(text, 101, 20)) AS p FROM conversations WHERE length(text) >= 120)
+        WITH c AS (SELECT conv_id, turn, text, substr(text, length(text) // 2 + 1, 20) AS x, strpos(text, substr(text, length(text) // 2 + 1, 20)) AS p FROM conversations WHERE text <> '')
         SELECT conv_id, turn, substr(text, greatest(p - 80, 1)::bigint, (p - greatest(p - 80, 1))::bigint) AS context_before, substr(text, (p + length(x))::bigint, 80) AS context_after FROM c""",
     "redact_prompt": r"""
-        WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[PHONE]\2', 'g'), '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[PHONE]\2', 'g') AS t FROM documents),
-        e AS (SELECT doc_id, regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS t FROM p)
-        SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{N}_])[0-9]{17}[0-9Xx]($|[^\p{L}\p{N}_])', '\1[IDCARD]\2', 'g'), '(^|[^\p{L}\p{N}_])[0-9]{17}[0-9Xx]($|[^\p{L}\p{N}_])', '\1[IDCARD]\2', 'g')) AS redacted_sha256 FROM e""",
+        WITH a AS (SELECT 'documents' AS source, doc_id AS id, 0::bigint AS turn, text FROM documents UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations),
+        p AS (SELECT source, id, turn, regexp_replace(regexp_replace(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[PHONE]\2', 'g'), '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[PHONE]\2', 'g') AS t FROM a),
+        e AS (SELECT source, id, turn, regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS t FROM p)
+        SELECT source, id, turn, sha256(regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{N}_])[0-9]{17}[0-9Xx]($|[^\p{L}\p{N}_])', '\1[IDCARD]\2', 'g'), '(^|[^\p{L}\p{N}_])[0-9]{17}[0-9Xx]($|[^\p{L}\p{N}_])', '\1[IDCARD]\2', 'g')) AS redacted_sha256 FROM e""",
     "offset_to_page": """
         WITH p AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
         s AS (SELECT conv_id, turn, (e - n - 1)::bigint AS start, (e - 1)::bigint AS stop FROM p), m AS (SELECT conv_id, max(stop) AS m FROM s GROUP BY 1), o AS (SELECT conv_id, unnest(range(0, m + 1, 100)) AS offset FROM m)
@@ -416,15 +475,58 @@ ORACLE = {
     "entity_ids": r"SELECT c_custkey, 'person_' || substr(h, 1, 12) || '5' || substr(h, 14, 3) AS entity_id FROM (SELECT c_custkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('person:' || c_name)) AS h FROM customer)",
     "text_pages": """
         WITH l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) AS x FROM documents) WHERE trim(x, ' ' || chr(9) || chr(160)) <> '' GROUP BY 1),
-        p AS (SELECT doc_id, least(n, 4000) AS n, unnest(range(0, least(n, 4000), 120)) AS s FROM l) SELECT doc_id, (s // 120 + 1)::int AS page_no, least(120, n - s)::int AS blocks FROM p""",
-    "fts_match": r"""
-        WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')[1:3]) AS t FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}_]+') AS w FROM documents)
-        SELECT query_id, doc_id FROM q JOIN d ON len(t) > 0 AND list_has_all(w, t)""",
-    "sidecar_topk": """
-        WITH q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]{4,}')[1:3] AS t FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS b, lower(regexp_replace(text, '\\s+', '', 'g')) AS c FROM documents),
-        s AS (SELECT query_id, doc_id, CASE WHEN array_to_string(t[1:2], ' ') <> '' AND contains(b, array_to_string(t[1:2], ' ')) THEN 20.0 ELSE 0 END + CASE WHEN array_to_string(t[1:2], '') <> '' AND contains(c, array_to_string(t[1:2], '')) THEN 28.0 ELSE 0 END
-              + coalesce(list_sum(list_transform(t, lambda x: ((length(b) - length(replace(b, x, ''))) / length(x) + (length(c) - length(replace(c, x, ''))) / length(x)) * (1 + least(length(x), 10) / 10.0))), 0) AS score FROM q, d),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6)::double AS score, rank::int AS rank FROM r WHERE rank <= 10""".replace("\\\\", "\\"),
+        p AS (SELECT doc_id, n, unnest(range(0, n, 120)) AS s FROM l) SELECT doc_id, (s // 120 + 1)::int AS page_no, least(120, n - s)::int AS blocks FROM p""",
+    "fts_match": rf"""
+        WITH {QUESTIONS_SQL}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}_]+') AS w FROM documents)
+        SELECT query_id, doc_id FROM q JOIN d ON len(terms) > 0 AND list_has_all(w, terms)""",
+    "fts_rank": rf"""
+        WITH {QUESTIONS_SQL}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}_]+') AS w FROM documents),
+        m AS (SELECT query_id, doc_id, terms, w FROM q JOIN d ON len(terms) > 0 AND list_has_all(w, terms)),
+        e AS (SELECT * FROM (SELECT query_id, doc_id, terms, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM m) WHERE list_contains(terms, word)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS n FROM e),
+        t AS (SELECT query_id, doc_id, pos, n, unnest(terms) AS term, word FROM o),
+        l AS (SELECT query_id, doc_id, pos, n, max(CASE WHEN term = word THEN pos END) OVER (PARTITION BY query_id, doc_id, term ORDER BY pos) AS last FROM t),
+        c AS (SELECT query_id, doc_id, pos, n, CASE WHEN count(last) = count(*) THEN min(last) END AS start FROM l GROUP BY 1, 2, 3, 4),
+        v AS (SELECT *, lag(start) OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS before FROM c),
+        x AS (SELECT v.query_id, v.doc_id, (v.pos - v.start) - (v.n - s.n) AS noise FROM v JOIN c s ON s.query_id = v.query_id AND s.doc_id = v.doc_id AND s.pos = v.start WHERE v.start IS NOT NULL AND (before IS NULL OR v.start > before)),
+        r AS (SELECT query_id, doc_id, sum(0.1::double / (1 + noise)) AS score FROM x GROUP BY 1, 2),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
+        SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM k WHERE rank <= 10""",
+    "sidecar_topk": rf"""
+        WITH {QUESTIONS_SQL}, d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS b, lower(regexp_replace(text, '\s+', '', 'g')) AS c FROM documents),
+        p AS (SELECT query_id, terms AS t, lower(trim(regexp_replace(query, '\s+', ' ', 'g'))) AS one, lower(regexp_replace(query, '\s+', '', 'g')) AS two FROM q),
+        s AS (SELECT query_id, doc_id, CASE WHEN one <> '' AND contains(b, one) THEN 20.0 ELSE 0 END + CASE WHEN two <> '' AND contains(c, two) THEN 28.0 ELSE 0 END
+              + coalesce(list_sum(list_transform(t, lambda x: ((length(b) - length(replace(b, x, ''))) / length(x) + (length(c) - length(replace(c, x, ''))) / length(x)) * (1 + least(length(x), 10) / 10.0))), 0) AS score FROM p, d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6)::double AS score, rank::int AS rank FROM r WHERE rank <= 10""",
+    "sidecar_excerpts": r"""
+        WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z0-9])\s+([A-Za-z0-9])', '\1\2', 'g'), '([A-Za-z0-9])\s+([A-Za-z0-9])', '\1\2', 'g'), '\s+', ' ', 'g')) AS body,
+          trim(regexp_replace(regexp_replace(regexp_replace(substr(text, length(text) // 2 + 1, 20), '([A-Za-z0-9])\s+([A-Za-z0-9])', '\1\2', 'g'), '([A-Za-z0-9])\s+([A-Za-z0-9])', '\1\2', 'g'), '\s+', ' ', 'g')) AS x FROM conversations WHERE text <> ''),
+        p AS (SELECT *, CASE WHEN x <> '' THEN strpos(lower(body), lower(x)) ELSE 0 END AS pos FROM c)
+        SELECT conv_id, turn, substr(body, greatest(pos - 30, 1)::bigint, 90) AS excerpt FROM p""",
+    "reranked_hits": f"""WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+        SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank % 2, CASE WHEN rank % 2 = 0 THEN doc_id ELSE rank END))::int AS rank FROM r WHERE rank <= 10""",
+    "explanation_pairs": """
+        WITH l AS (SELECT l_orderkey AS q, printf('%010d-%02d-%d-%d', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS c, l_partkey AS k, l_suppkey % 2 = 1 AS clause, l_extendedprice::double AS price FROM lineitem),
+        h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY price DESC, c) AS rank FROM l) WHERE rank <= 3),
+        f AS (SELECT k, clause, min(c) AS c FROM l GROUP BY 1, 2),
+        a AS (SELECT h.q, f.c, f.clause, min(h.rank) AS rank FROM h JOIN f ON f.k = h.k AND f.clause <> h.clause WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.q = h.q AND o.c = f.c) GROUP BY 1, 2, 3),
+        u AS (SELECT q, c, clause, 0 AS added, rank FROM h UNION ALL SELECT q, c, clause, 1, rank FROM a)
+        SELECT q AS query_id, c AS chunk_id, (row_number() OVER (PARTITION BY q ORDER BY NOT clause, added, rank, c))::int AS rank FROM u""",
+    "entity_dictionary": r"""
+        WITH n AS (SELECT DISTINCT CASE c_nationkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'project' ELSE 'unknown' END AS entity_kind, trim(c_name) AS entity_name, c_custkey % 2 = 0 AS known FROM customer),
+        h AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(entity_kind || ':' || entity_name)) AS h FROM n)
+        SELECT entity_kind, entity_name, CASE WHEN known THEN 'old_' || entity_name ELSE entity_kind || '_' || substr(h, 1, 12) || '5' || substr(h, 14, 3) END AS id, NOT known AS added FROM h""",
+    "result_appends": r"""
+        WITH r AS (SELECT l_orderkey::varchar AS run_id, l_linenumber::varchar AS sample_id, CASE WHEN l_partkey % 2 = 0 THEN 'openai' ELSE 'stub' END AS provider, l_quantity::double AS score_total FROM lineitem)
+        SELECT 'res_' || substr(sha256(concat_ws(chr(31), run_id, sample_id, provider, 'stub-mvp', score_total::varchar, '{}', '', '')), 1, 12) AS id, run_id, sample_id, provider, 'stub-mvp' AS model, score_total FROM r""",
+    "sentence_chunks": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\p{Z}\x0B\x{85}]+|[\s\p{Z}\x0B\x{85}]+$', '', 'g') AS t FROM documents),
+        s AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(t, '[^。！？；;!?\n]*[。！？；;!?\n]|[^。！？；;!?\n]+'), lambda x: regexp_replace(x, '^[\s\p{Z}\x0B\x{85}]+|[\s\p{Z}\x0B\x{85}]+$', '', 'g')), lambda x: x <> '') AS ss FROM d WHERE t <> ''),
+        r AS (
+          SELECT doc_id, ss, 1 AS i, 0 AS no, ss[1] AS open FROM s WHERE length(t) > 520
+          UNION ALL SELECT doc_id, ss, i + 1, no + CASE WHEN length(open) + length(ss[i + 1]) <= 520 THEN 0 ELSE 1 END,
+            CASE WHEN length(open) + length(ss[i + 1]) <= 520 THEN open ELSE right(open, 80) END || ss[i + 1] FROM r WHERE i < len(ss))
+        SELECT doc_id, no::int AS chunk_no, arg_max(open, i) AS chunk_text FROM r GROUP BY doc_id, no UNION ALL SELECT doc_id, 0, t FROM s WHERE length(t) <= 520""",
     "eval_scores": """
         WITH m AS (SELECT l_orderkey, l_linenumber, (l_partkey % 10) / 10.0::double AS a, (l_suppkey % 7) / 7.0::double AS b, (l_orderkey % 9) / 9.0::double AS c, (l_linenumber * 3)::double AS d FROM lineitem)
         SELECT l_orderkey, l_linenumber, round(greatest(0, least(100, 40 * a + 20 * b + 20 * c + 10 * a)), 6)::double AS ie, round(greatest(0, least(100, 25 * a + 25 * b + 35 * c + 15 * d)), 6)::double AS tab,
@@ -437,7 +539,7 @@ ORACLE = {
     "table_row_chunks": """
         SELECT l_orderkey, 'tbl_t1_' || n AS chunk_id, 'no|part | ' || line AS text, CASE WHEN l_orderkey % 2 = 0 THEN 'cross_page_table_row' ELSE 'table_row' END AS source_type, n::int AS row_index
         FROM (SELECT l_orderkey, lpad(l_linenumber::varchar, 2, '0') || '|' || l_partkey AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY lpad(l_linenumber::varchar, 2, '0') || '|' || l_partkey) AS n FROM lineitem)""",
-    "stable_hit_ids": "SELECT doc_id, 'sparse:' || doc_id || ':1:' || substr(sha256('sparse|' || doc_id || '|1|' || substr(text, 1, 50)), 1, 12) AS hit_id FROM documents",
+    "stable_hit_ids": "SELECT doc_id, 'sparse:' || doc_id || ':1:' || substr(sha256('sparse|' || doc_id || '|1|' || text), 1, 12) AS hit_id FROM documents",
     "low_quality_versions": """
         WITH v AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS g, o_custkey % 50 AS score, o_orderkey % 400 AS text_len, o_orderkey % 9 AS chunks, o_custkey % 6 AS short FROM orders)
         SELECT doc_id FROM v WHERE g = 3 OR (g = 2 AND (text_len <= 200 OR chunks <= 3 OR short >= greatest(chunks, 2))) OR (score > 0 AND score < 20 AND chunks <= 4)""",

@@ -10,9 +10,11 @@ from citelake.functions import text
 PARSED = "pages array<struct<page_no:int,blocks:array<struct<type:string,text:string>>,tables:array<struct<raw_text:string,image_url:string>>,images:array<struct<url:string,caption:string>>>>"
 
 
-def text_to_pages(docs: DataFrame, lines_per_page: int = 120, most_lines: int = 4000, body: str = "text") -> DataFrame:
-    """Plain texts (doc_id, version_id, text) as pages of stripped lines; a first line of up to 70 characters is a title."""
-    rows = F.slice(text.lines(F.col(body)), 1, most_lines)
+def text_to_pages(docs: DataFrame, lines_per_page: int = 120, most_lines: int | None = None, body: str = "text") -> DataFrame:
+    """Plain texts (doc_id, version_id, text) as pages of stripped lines; a first line of up to 70 characters is a title.
+    most_lines cuts a text after so many lines (the reference's default is 4,000)."""
+    rows = text.lines(F.col(body))
+    rows = rows if most_lines is None else F.slice(rows, 1, most_lines)
     each = docs.select("doc_id", "version_id", F.posexplode(rows).alias("i", "line"))
     kind = F.when((F.col("i") == 0) & (F.length("line") <= 70), "title").otherwise("paragraph")
     paged = each.select("doc_id", "version_id", (F.floor(F.col("i") / lines_per_page) + 1).cast("int").alias("page_no"), F.struct("i", F.struct(kind.alias("type"), F.col("line").alias("text")).alias("b")).alias("x"))

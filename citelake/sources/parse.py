@@ -177,7 +177,7 @@ def pages_of(parsed: Any) -> list[dict] | None:
     return [page_of(p, i) for i, p in enumerate(found, start=1)] if found else None
 
 
-def plain_pages(body: str, per_page: int = 120, most: int = 4000) -> list[dict]:
+def plain_pages(body: str, per_page: int = 120, most: int | None = None) -> list[dict]:
     rows = [x for x in map(str.strip, body.splitlines()) if x][:most]
     kinds = [{"type": "title" if i == 0 and len(x) <= 70 else "paragraph", "text": x} for i, x in enumerate(rows)]
     return [{"page_no": n + 1, "blocks": kinds[at : at + per_page], "tables": [], "images": []} for n, at in enumerate(range(0, len(kinds), per_page))]
