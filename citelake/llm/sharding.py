@@ -15,7 +15,7 @@ columns pass through, whatever their names, unless these are the names of result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,12 @@ def row_bytes(docs: DataFrame) -> Column:
     return sum(parts, F.lit(16)).cast("long")
 
 
+def _labels(spark: SparkSession, buckets: int) -> DataFrame:
+    """(bucket, label): a number that Spark's hash partitioning sends to the partition of the bucket's number, so that each
+    task has one bucket. Of 32 numbers tried a bucket one fits but for a chance of e^-32."""
+    return spark.range(32 * buckets).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).cast("long").alias("bucket")).agg(F.min("id").alias("label"))
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = 32 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs with the result columns."""
     docs = docs.drop(*RESULTS)
@@ -39,13 +45,15 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), *plain), F.lit(buckets))
     counts = common.written(docs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("count")), "shard-buckets")
-    scattered = docs.select(bucket.alias("bucket"), F.struct(*columns).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text), *plain).alias("hash"))
-    # sorted first, so that a bucket's order before the draw does not depend on how blocks arrived
-    ordered = scattered.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "id", "hash")
-    drawn = ordered.groupBy("bucket").agg(F.collect_list("row").alias("rows")).select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "row"))
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select("bucket", (F.sum("count").over(running) - F.col("count")).alias("first"))  # one short row per bucket
-    placed = drawn.join(offsets, "bucket").select("row", (F.col("first") + F.col("at")).alias("place"))
+    places = common.written(offsets.join(_labels(docs.sparkSession, buckets), "bucket", "left").select("bucket", "first", F.coalesce("label", -1 - F.col("bucket")).alias("label")), "shard-places")
+    rows = docs.select(bucket.alias("bucket"), F.struct(*columns).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text), *plain).alias("hash"))
+    labelled = rows.join(F.broadcast(places), "bucket").drop("bucket")  # 24 bytes for each bucket_bytes of rows
+    # sorted first, so that a bucket's order before the draw does not depend on how blocks arrived
+    ordered = labelled.repartition(buckets, "label").sortWithinPartitions("label", "id", "hash")
+    drawn = ordered.groupBy("label").agg(F.min("first").alias("first"), F.collect_list("row").alias("rows")).select("first", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "row"))
+    placed = drawn.select("row", (F.col("first") + F.col("at")).alias("place"))
     body = F.col(f"row.`{text}`")
     result = F.struct(
         (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(body, F.lit(""))).alias("text_crc32"),

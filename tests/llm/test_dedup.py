@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citelake.llm import common, ego, graph, minhash, substrings
 
@@ -151,6 +152,103 @@ def test_word_hashes_follow_the_words():
     assert len(set(known.values())) == len(known)
 
 
+def thue_morse(n):
+    """Two words that share every polynomial hash modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_words_made_to_collide_are_told_apart(spark, letters):
+    a, b = thue_morse(letters)
+    one, two = common.Words(np.frombuffer(f"{a} {b}".encode(), np.uint8)).hashes().tolist()
+    assert one != two
+    texts = [(1, " ".join([a] * 20)), (2, " ".join([b] * 20)), (3, f"x {a}"), (4, f"x {b}"), (5, " ".join([a] * 20) + " end")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = dict(rebuilt(*substrings.remove_repeats(df, 20, 2), 20))
+    assert got == removed(texts, 20) and got[2][1] == 0 and got[5][1] == 20
+    near = {r.id: r.component_id for r in minhash.near_duplicates(df.where("doc_id in (3, 4)"), 2).collect()}
+    assert near == {3: 3, 4: 4}
+
+
+def test_texts_that_share_half_of_their_key(spark, monkeypatch):
+    """Keys of which one half is the same for all texts, and the other for many."""
+    monkeypatch.setattr(common, "text_key", lambda text: (F.lit(5).cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))))
+    docs = corpus(13)[:60]
+    index, got, by = substrings.FingerprintIndex(spark, 10, buckets=2), {}, {}
+    for some in (docs[:30], docs[30:]):
+        got |= dict(rebuilt(*index.add(spark.createDataFrame(some, "doc_id long, text string")), 10, by))
+    assert got == removed(docs, 10)
+
+
+def test_index_goes_on_after_being_opened_again(spark):
+    docs = corpus(17)[:90]
+    first = substrings.FingerprintIndex(spark, 10, max_runs=2, buckets=2)
+    got, by = {}, {}
+    for k in range(3):
+        batch = spark.createDataFrame(docs[k * 30 : k * 30 + 30], "doc_id long, text string")
+        index = substrings.FingerprintIndex.open(spark, first.path) if k else first
+        got |= dict(rebuilt(*index.add(batch), 10, by))
+        gone = [run.name for run in index.replaced]
+        index.vacuum()
+        assert not any(spark.catalog.tableExists(n) for n in gone)
+    assert got == removed(docs, 10) and substrings.FingerprintIndex.open(spark, first.path).batches == 3
+    with pytest.raises(FileNotFoundError):
+        substrings.FingerprintIndex.open(spark, first.path + "-none")
+
+
+def test_a_text_of_half_a_million_words(spark):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(500_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[100_000:100_040])), (3, " ".join(words + ["end"])), (4, "x " * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dict(rebuilt(*substrings.remove_repeats(df, 20, 1), 20))
+    assert [got[i][:2] for i in (1, 2, 3, 4)] == [(500_000, 0), (40, 40), (500_001, 500_000), (30, 10 + 19)] and got[3][2] == "end"
+    near = {r.id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 5).collect()}
+    assert near[3] == (near[1][0] + 1, 1) and near[2][1] == 2
+
+
+def test_large_sets_are_compared_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(minhash, "COLUMNS", 64)
+    lead = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))
+    group = {k: [] for k in ("lead", "i", "j", "rep", "comp", "size", "n", "block", "both", "lacks", "adds")}
+    sets = []
+    for rep in range(40):
+        has = rng.random(len(lead)) > 0.15
+        extra = np.sort(rng.choice(np.arange(10**6, 10**6 + 200, dtype=np.uint64), 60, replace=False))
+        sets.append(set(lead[has].tolist()) | set(extra.tolist()))
+        row = {"lead": 1, "i": 0, "j": 0, "rep": rep, "comp": rep, "size": len(lead), "n": len(sets[-1]), "block": 0, "both": int(has.sum()), "lacks": np.packbits(~has).tobytes(), "adds": extra.tobytes()}
+        for k, v in row.items():
+            group[k].append(v)
+    a, b = minhash._linked(group, 70)
+    links = [(x, y) for x in range(40) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 70 * len(sets[x] | sets[y])]
+    assert links and components(range(40), zip(a.tolist(), b.tolist(), strict=True)) == components(range(40), links)
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NEIGHBOURS", 20)
+    rng = random.Random(4)
+    links = [(9000, i) for i in range(300)] + [(0, 2000 + i) for i in range(100)] + [(rng.randrange(5000), rng.randrange(5000)) for _ in range(900)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.component for r in graph.components(df).collect()}
+    nodes = {x for pair in links if pair[0] != pair[1] for x in pair}
+    assert got == components(nodes, links)
+
+
+def test_recall_above_the_threshold(spark):
+    """Queries (ids divisible by 100) against all rows by brute force: every link at 0.8 or more lies in one class."""
+    rng = random.Random(30)
+    docs = []
+    for i in range(600):
+        base = prose(rng, rng.randint(20, 80), 3000) if i % 6 == 0 else base
+        docs.append((i * 10, " ".join(f"z{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)))
+    sets = {i: shingle_set(t, 5) for i, t in docs}
+    got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5).collect()}
+    pairs = [(q, i) for q in sets if q % 100 == 0 for i in sets if i != q and 100 * len(sets[q] & sets[i]) >= 80 * len(sets[q] | sets[i])]
+    assert len(pairs) > 50 and all(got[q] == got[i] for q, i in pairs)
+
+
 def vectors(seed=5, n=400, dim=24):
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(12, dim))
@@ -181,6 +279,20 @@ def test_grid_join_of_one_hot_cell_and_two_lengths(spark):
     assert all(got[i] == (1499, 0) for i in range(1500)) and got[5000] == (0, 5000) and got[None] == (0, None)
 
 
+def test_grid_join_in_many_groups(spark, monkeypatch):
+    """Groups of two small blocks each: owners, partners that stream past, components over several groups."""
+    monkeypatch.setattr(ego, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ego, "GROUP_BYTES", 2 * 20 * 8 * 24)
+    x = vectors(11, 700).astype(np.float32)
+    x[650:] = x[0] + np.random.default_rng(1).normal(size=(50, 24)).astype(np.float32) * 0.01
+    unit = x.astype(np.float64) / np.where((n := np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)) > 0, n, 1)
+    link = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    want = components(range(len(x)), [(int(a), int(b)) for a, b in np.argwhere(np.triu(link))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.id: (r.n_links, r.component_id) for r in ego.near_vectors(df).collect()}
+    assert got == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(7, 7), (5, 6), (6, 5)]
     df = spark.createDataFrame(links, "a long, b long")

@@ -82,6 +82,20 @@ def test_shards(spark):
     assert sharding.shuffle_into_shards(df.limit(0)).count() == 0
 
 
+def test_order_follows_from_rows_seed_and_buckets(spark):
+    rows = [(i, f"text {i % 40}") for i in range(400)]
+    made = [sharding.shuffle_into_shards(spark.createDataFrame(r, "doc_id long, text string").repartition(n), 8, bucket_bytes=4000).collect() for r, n in ((rows, 1), (rows[::-1], 7))]
+    one, two = ({r.doc_id: (r.shard, r.slot) for r in x} for x in made)
+    assert one == two
+    # brute force: a bucket's rows hold neighbouring places, and buckets follow each other
+    other = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8, seed=18, bucket_bytes=4000).collect()}
+    assert other != one and sorted(s * 8 + h for h, s in other.values()) == list(range(400)) == sorted(s * 8 + h for h, s in one.values())
+    copies = {}
+    for i, t in rows:
+        copies.setdefault(t, []).append(one[i][0])
+    assert all(len(set(x)) > 3 for x in copies.values())  # copies of a text are spread over the shards
+
+
 def test_shards_are_written(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
     sharding.write_shards(sharding.shuffle_into_shards(df, 4), str(tmp_path / "s"))
@@ -121,6 +135,19 @@ def test_pairs_are_learnt_and_held_out_rows_are_never_used(spark):
     assert (other.weights == machine.weights).all() and other.bias == machine.bias
 
 
+def test_scores_equal_the_formula(spark):
+    """sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) of a text's distinct terms, pair by pair."""
+    rows, labels = toxic_corpus(300)
+    docs = spark.createDataFrame(rows + [(900, "scum GNOME scum"), (901, None)], "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    place = {int(s): i for i, s in enumerate(m.slots)}
+    assert len(place) > 2
+    for r in toxicity.score(docs, m).collect():
+        own = sorted({place[s] for t in seeds.TERM.findall((r.text or "").lower()) if (s := zlib.crc32(t.encode()) % toxicity.SLOTS) in place})
+        z = m.bias + sum(m.weights[i] for i in own) + sum(float(m.factors[i] @ m.factors[j]) for k, i in enumerate(own) for j in own[k + 1 :])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
