@@ -64,3 +64,25 @@ CONTINUATION_WORDS = ("续表", "continued", "cont.")
 # Statuses, categories and sources.
 TABLE_ROW_TYPES = ("table_row", "cross_page_table_row")
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+
+# Evidence and answers.
+GUARDS = ("必须", "应当", "应", "不得", "严禁", "禁止", "方可", "只允许")
+CONDITIONS = ("在", "当", "若", "如果", "前", "后", "时")
+ARTIFACTS = ("标准分享网", "免费下载", "www.bzfxw.com", "bzfxw.com", "value of the article", "value of the product", "value of the power system")
+LISTING_NOISE = ("统一书号", "定价", "印张", "印刷", "前言", "公告", "住房和城乡建设部")
+VACUUM = ("真空", "注油", "抽真空", "氮气")
+VACUUM_TEXT = ("真空", "注油", "抽真空", "氮气", "储油柜")
+GENERIC_FOCUS = ("安装", "规定", "要求", "条文", "内容", "清单", "规范", "标准", "工程", "设备", "电器", "高压电器")
+FOCUS_SUFFIXES = ("安装", "规定", "要求", "条文", "内容", "清单", "相关", "有关")
+#: Cleaning steps for evidence, in order: pattern and replacement.
+CLEANING = (
+    (r"(?i)table\s+images/\S+", " "), (r"(?is)<table[^>]*>.*?</table>", " "), (r"<[^>]+>", " "), (r"\$[^$]{0,200}\$", " "), (r"\\[a-zA-Z]+\s*\{[^}]*\}", " "), (r"\\[a-zA-Z]+", " "), (r"[{}]", " "),
+    (r"·\s*\d+\s*·", " "), (r"[：:]\s*\d+\s*·", " "), (r"(?i):\s*\d{1,3}\.\s*text\s*\d+", " "), (r"(?i)\btext\s+\d+\b", " "), (r"(?i)\btext\b", " "),
+    (r"\b\d{1,2}\.\d{1,2}(?:\.\d+)?\s*[A-Za-z][^；。]{0,100}\(\d{1,3}\)", " "), (r"[.…]{2,}\s*\(?\d{1,3}\)?", " "), (r"(.{24,140}?)\s+\1", r"\1"), (r"[\x00-\x08\x0b-\x1f]", ""),
+)
+LISTING = ("有哪些", "包括哪些", "包含哪些", "列出", "清单", "哪些要求", "哪些规定")
+DOUBTS = ("没查询到", "没有查询到", "回复", "还是", "但是", "却")
+CLAUSE_WORDS = ("条文", "规定", "服从", "应符合")
+#: Parts of a standard in questions about installing: first number, weight of a clause, weight of a root, whether its roots
+#: hold rules.
+INSTALL_PARTS = ((0, -3.0, -2.0, "never"), (3, 0.0, 1.5, "always"), (5, 0.0, 0.0, "always"), (10, -0.8, -1.0, "if told"))

@@ -9,15 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelake.functions.fixed import CLAUSE_WORDS, DOUBTS, LISTING
 from citelake.functions.terms import clause_tokens
 
-from .evidence import VACUUM, _per_query, _SUB, best_text, clause_line, clause_weight, focus_terms, is_noise, match_text, number, rank_clauses, rank_roots, stub_answer, text_of, word
-
-# Fixed values.
-LISTING = ("有哪些", "包括哪些", "包含哪些", "列出", "清单", "哪些要求", "哪些规定")
-DOUBTS = ("没查询到", "没有查询到", "回复", "还是", "但是", "却")
-CLAUSE_WORDS = ("条文", "规定", "服从", "应符合")
-
+from .evidence import VACUUM, _per_query, _SUB, best_text, clause_line, clause_weight, focus_terms, is_noise, match_text, number, part_rule, rank_clauses, rank_roots, stub_answer, text_of, word
 
 @dataclass(frozen=True)
 class Subject:
@@ -77,16 +72,13 @@ def _on_subject(question: str, s: Subject = INSTALLING) -> tuple[bool, bool]:
 
 
 def _fits_subject(root: str, said: str, s: Subject = INSTALLING) -> bool:
-    """Whether a root can hold the subject's rules: chapters 3 to 9 can, later ones only if their text says so."""
-    major = root.split(".")[0]
-    if root in s.roots:
-        return True
-    if not major.isdigit() or int(major) < 3:
-        return False
-    if int(major) <= 9:
-        return True
-    hinted = any(w in said for w in (*s.hints[0], *s.hints[1], *s.before))
-    return not is_noise(said) and (hinted or (any(w in said for w in s.signals) and any(w in said for w in s.rules)))
+    """Whether a root can hold the subject's rules, by its part of the standard and what it says."""
+    told = (
+        lambda: any(w in said for w in (*s.hints[0], *s.hints[1], *s.before)),
+        lambda: any(w in said for w in s.signals) and any(w in said for w in s.rules),
+    )
+    holds = {"always": lambda: True, "never": lambda: False, "if told": lambda: not is_noise(said) and any(t() for t in told)}
+    return root in s.roots or holds[part_rule(root).holds]()
 
 
 def target_clauses(question: str, rows: list[dict], most: int = 3, s: Subject = INSTALLING) -> tuple[list[str], bool]:

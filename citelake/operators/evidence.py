@@ -8,29 +8,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from citelake.functions import fixed
+from citelake.functions.fixed import ARTIFACTS, CLEANING, CONDITIONS, FOCUS_SUFFIXES, GENERIC_FOCUS, GUARDS, LISTING_NOISE, VACUUM, VACUUM_TEXT
 from citelake.functions.terms import query_terms
 
-# Fixed values.
 MARKS = set(fixed.READABLE_MARKS) - {"\n", "\t"}
-GUARDS = ("必须", "应当", "应", "不得", "严禁", "禁止", "方可", "只允许")
-CONDITIONS = ("在", "当", "若", "如果", "前", "后", "时")
-ARTIFACTS = ("标准分享网", "免费下载", "www.bzfxw.com", "bzfxw.com", "value of the article", "value of the product", "value of the power system")
-LISTING_NOISE = ("统一书号", "定价", "印张", "印刷", "前言", "公告", "住房和城乡建设部")
-VACUUM = ("真空", "注油", "抽真空", "氮气")
-VACUUM_TEXT = ("真空", "注油", "抽真空", "氮气", "储油柜")
-GENERIC_FOCUS = ("安装", "规定", "要求", "条文", "内容", "清单", "规范", "标准", "工程", "设备", "电器", "高压电器")
-FOCUS_SUFFIXES = ("安装", "规定", "要求", "条文", "内容", "清单", "相关", "有关")
-#: Cleaning steps for evidence, in order: pattern and replacement.
-CLEANING = (
-    (r"(?i)table\s+images/\S+", " "), (r"(?is)<table[^>]*>.*?</table>", " "), (r"<[^>]+>", " "), (r"\$[^$]{0,200}\$", " "), (r"\\[a-zA-Z]+\s*\{[^}]*\}", " "), (r"\\[a-zA-Z]+", " "), (r"[{}]", " "),
-    (r"·\s*\d+\s*·", " "), (r"[：:]\s*\d+\s*·", " "), (r"(?i):\s*\d{1,3}\.\s*text\s*\d+", " "), (r"(?i)\btext\s+\d+\b", " "), (r"(?i)\btext\b", " "),
-    (r"\b\d{1,2}\.\d{1,2}(?:\.\d+)?\s*[A-Za-z][^；。]{0,100}\(\d{1,3}\)", " "), (r"[.…]{2,}\s*\(?\d{1,3}\)?", " "), (r"(.{24,140}?)\s+\1", r"\1"), (r"[\x00-\x08\x0b-\x1f]", ""),
-)
 _CLEANING = [(re.compile(p), r) for p, r in CLEANING]
 _END = re.compile(r"(?<=[。！？；;])\s*")
 _SUB = re.compile(r"\([0-9A-Za-z]+\)$")
@@ -324,6 +311,27 @@ def constraint_item(c: dict, short_most: int = 260, full_most: int = 4000) -> di
     return {"doc_name": word(c, "doc_name"), "page_start": number(c, "page_start"), "page_end": number(c, "page_end"), "clause_id": word(c, "clause_id"), "is_mandatory": mandatory(c), "risk_level": risk(c), "evidence_short": short, "evidence_full": full, "guard_lines": guard_lines(full)}
 
 
+class PartRule(NamedTuple):
+    """How a standard's part stands to questions about installing: its first number, what it adds to a clause and to a root,
+    and whether its roots hold rules (always, never, or where their text says so)."""
+
+    first: int
+    clause: float
+    root: float
+    holds: str
+
+
+PART_RULES = [PartRule(*r) for r in fixed.INSTALL_PARTS]
+
+
+def part_rule(clause: str) -> PartRule:
+    """The rule of a clause's part: of the last row of the table that does not begin behind it."""
+    part = clause.split(".")[0]
+    if not part.isdigit():
+        return PartRule(0, 0.0, 0.0, "never")
+    return [r for r in PART_RULES if r.first <= int(part)][-1]
+
+
 def clause_weight(question: str, c: dict, listing: bool = False) -> float:
     clause, kind = word(c, "clause_id"), word(c, "source_type").lower()
     explained = kind == "explanation" or word(c, "route").lower() == "explanation_sibling"
@@ -331,8 +339,8 @@ def clause_weight(question: str, c: dict, listing: bool = False) -> float:
     if kind == "section_summary":
         weight -= 1.4 - (listing and depth(clause) <= 2)
     if listing and "安装" in question and not any(v in question for v in VACUUM):
-        major, said = clause.split(".")[0], match_text(c)
-        weight -= (3.0 if int(major) < 3 else 0.8 if int(major) >= 10 else 0.0) if major.isdigit() else 0.0
+        said = match_text(c)
+        weight += part_rule(clause).clause
         weight -= 1.8 * any(v in said for v in VACUUM_TEXT) + 6.0 * is_noise(said)
     return weight
 
@@ -362,9 +370,9 @@ def rank_roots(question: str, rows: list[dict]) -> list[tuple[str, float]]:
         scores[root] = top[0] + 0.35 * sum(top[1:2]) + min(1.6, 0.18 * len(members[root]))
         if install:
             whole = "\n".join(said[root])
-            hits, major = whole.count("安装"), root.split(".")[0]
+            hits = whole.count("安装")
             scores[root] += min(7.0, hits * 0.3) + min(5.0, hits * 40.0 / max(1, len(whole))) - min(8.0, 0.2 * sum(whole.count(v) for v in VACUUM_TEXT))
-            scores[root] += (1.5 if int(major) in (3, 4) else -2.0 if int(major) < 3 else -1.0 if int(major) >= 10 else 0.0) if major.isdigit() else 0.0
+            scores[root] += part_rule(root).root
     if not install and scores:
         majors: dict[str, float] = defaultdict(float)
         for root, s in scores.items():

@@ -176,13 +176,11 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{source[:-1]}[t]").select("user_id", "event_id", "event_type", "ts")
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="citelake-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = f"{root.rstrip('/')}/citelake/stream-{uuid.uuid4().hex}"
-    query = status.run_latest(stream, f"{base}/state", f"{base}/checkpoint", ["user_id"], ["ts", "event_id"])
-    query.awaitTermination()
-    return status.read_latest(spark, f"{base}/state", query).select("user_id", "event_id", "event_type")
+    keys, order = ["user_id"], ["ts", "event_id"]
+    status.run_latest(stream, f"{base}/state", f"{base}/checkpoint", keys, order).awaitTermination()
+    return status.read_latest(spark, f"{base}/state", stream.schema.toDDL(), keys, order).select("user_id", "event_id", "event_type")
 
 
 def constraint_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,12 +116,27 @@ def test_upload_checks(spark):
 
 
 def test_stream_keeps_the_newest(spark, tmp_path):
-    schema = "user_id int, ts int, s string"
-    q = None
-    for i, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 3, "c"), (1, 2, "x")]]):
+    schema, state = "user_id int, ts int, s string", str(tmp_path / "state")
+    assert status.read_latest(spark, state, schema, ["user_id"], ["ts"]).count() == 0
+    for rows in [[(1, 1, "a"), (2, 1, "b")], [(1, 3, "c"), (1, 2, "x")]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        q = status.run_latest(stream, str(tmp_path / "state"), str(tmp_path / "ck"), ["user_id"], ["ts"])
-        q.awaitTermination()
-    got = {(r.user_id, r.s) for r in status.read_latest(spark, str(tmp_path / "state"), q).collect()}
+        status.run_latest(stream, state, str(tmp_path / "ck"), ["user_id"], ["ts"]).awaitTermination()
+    got = {(r.user_id, r.s) for r in status.read_latest(spark, state, schema, ["user_id"], ["ts"]).collect()}
     assert got == {(1, "c"), (2, "b")}
+
+
+def test_state_is_compacted_and_batches_can_be_repeated(spark, tmp_path):
+    schema, state = "k int, ts int", str(tmp_path / "state")
+    sink = status.fold_latest(spark, state, ["k"], ["ts"], every=3)
+    for number in (0, 1, 1, 2, 2, 3):
+        sink(spark.createDataFrame([(1, number), (10 + number, number)], schema), number)
+    assert {tuple(r) for r in status.read_latest(spark, state, schema, ["k"], ["ts"]).collect()} == {(1, 3), (10, 0), (11, 1), (12, 2), (13, 3)}
+
+
+def test_breaker(spark):
+    rows = [("a", f"2026-01-01 00:00:{i:02d}", False) for i in range(6)] + [("b", f"2026-01-01 00:00:{i:02d}", i == 3) for i in range(6)] + [("c", "2026-01-01 00:00:00", False)]
+    calls = spark.createDataFrame(rows, "provider string, ts string, ok boolean").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.provider: r.open for r in status.breaker_open(calls, "2026-01-01 00:01:00").collect()}
+    assert got == {"a": True, "b": False, "c": False}
+    assert not any(r.open for r in status.breaker_open(calls, "2026-01-01 01:00:00").collect())
