@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -19,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citelake.functions import clauses, fixed, text
 from citelake.functions.embedding import Hasher
@@ -49,6 +51,24 @@ def keyword_score(body: Column, terms: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, t: s + (1 + F.least(F.length(t), F.lit(12)) / 12.0) * F.log1p(text.occurrences(body, t)))
 
 
+@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("long_terms", T.IntegerType())]))
+def keyword_measure(body: pd.Series, terms: pd.Series) -> pd.DataFrame:
+    """keyword_score() of each body and how many of its terms of three letters or more it holds; a text is scanned once a
+    term, whatever its length, where an expression would make it anew for each."""
+
+    def one(said: str | None, wanted) -> tuple[float, int]:
+        found = [(t, said.count(t)) for t in wanted if t] if said and wanted is not None else []
+        return sum((1 + min(len(t), 12) / 12.0) * math.log1p(n) for t, n in found), sum(n > 0 and len(t) >= 3 for t, n in found)
+
+    return pd.DataFrame([one(b, w) for b, w in zip(body, terms, strict=True)], columns=["score", "long_terms"])
+
+
+@F.pandas_udf(T.IntegerType())
+def held_tokens(body: pd.Series, tokens: pd.Series) -> pd.Series:
+    """How many of the tokens each body holds."""
+    return pd.Series([sum(t in b for t in w) if b and w is not None else 0 for b, w in zip(body, tokens, strict=True)], dtype="int32")
+
+
 def search_text(*columns: str) -> Column:
     """What keyword routes read: some fields in lower case."""
     return F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
@@ -438,7 +458,13 @@ def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordin
 def fuse_rrf(routes: list[DataFrame], k: int, constant: int = 60, key: str = "id") -> DataFrame:
     """Reciprocal rank fusion: each hit's sum of 1 / (constant + rank); the row (and its own score) of the first route
     that has it; order by the sum, then by first appearance."""
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.withColumn("_route", F.lit(i)) for i, r in enumerate(routes)]).where(F.col(key).isNotNull())
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.withColumn("_route", F.lit(i)) for i, r in enumerate(routes)])
+    return fuse(every, k, constant, key)
+
+
+def fuse(every: DataFrame, k: int, constant: int = 60, key: str = "id") -> DataFrame:
+    """fuse_rrf() of hits that bear their route's place (_route)."""
+    every = every.where(F.col(key).isNotNull())
     rest = [c for c in every.columns if c not in ("query_id", key, "_route", "rank")]
     seen = F.struct("_route", "rank")
     both = every.groupBy("query_id", key).agg(F.sum(1.0 / (constant + F.col("rank"))).alias("rrf"), F.min(seen).alias("_seen"), F.min_by(F.struct(*rest), seen).alias("_hit"))
@@ -451,10 +477,10 @@ def first_of_each(hits: DataFrame, key: str = "id") -> DataFrame:
     return hits.withColumn("_nth", nth).where(F.col(key).isNull() | (F.col(key) == "") | (F.col("_nth") == 1)).drop("_nth")
 
 
-def lexical_gate(hits: DataFrame, body: Column, terms: str = "terms", ratio: float = 0.25, least: float = 0.3, keep: int = 3, lex: Column | None = None) -> DataFrame:
+def lexical_gate(hits: DataFrame, body: Column, terms: str = "terms", ratio: float = 0.25, least: float = 0.3, keep: int = 3, lex: Column | None = None, group: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Hits whose keyword score is at least max(least, ratio of the best); where none is, the first `keep`. Single hits
     and questions without terms pass. lex: the keyword score, where the hits bear it."""
-    query = Window.partitionBy("query_id")
+    query = Window.partitionBy(*group)
     scored = hits.withColumn("_lex", keyword_score(body, F.coalesce(terms, F.array().cast("array<string>"))) if lex is None else lex)
     scored = scored.withColumns({"_top": F.max("_lex").over(query), "_n": F.count("*").over(query)})
     good = (F.col("_lex") > 0) & (F.col("_lex") >= F.greatest(F.lit(least), F.col("_top") * ratio))
@@ -473,13 +499,13 @@ def matches_precision(standards: Column, wanted: Column) -> Column:
     return ((F.size(standards) == 0) | standard) & ((F.size(wanted) == 0) | clause)
 
 
-def route_gate(hits: DataFrame, body: Column, ok: Column | None = None, lex: Column | None = None) -> DataFrame:
+def route_gate(hits: DataFrame, body: Column, ok: Column | None = None, lex: Column | None = None, group: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Precision questions keep hits that match (all, where none does); then the lexical gate. hits carry precision,
     standards, clauses and terms of their question. ok, lex: the match and the keyword score, where the hits bear them."""
-    query = Window.partitionBy("query_id")
+    query = Window.partitionBy(*group)
     marked = hits.withColumn("_ok", matches_precision(F.col("standards"), F.col("clauses")) if ok is None else ok).withColumns({"_some": F.max("_ok").over(query), "_n": F.count("*").over(query)})
     kept = marked.where(~(F.col("precision") & F.col("_some") & (F.col("_n") > 1)) | F.col("_ok"))
-    return lexical_gate(kept.drop("_ok", "_some", "_n"), body, lex=lex)
+    return lexical_gate(kept.drop("_ok", "_some", "_n"), body, lex=lex, group=group)
 
 
 def without_low_quality(hits: DataFrame, low: DataFrame) -> DataFrame:
@@ -498,7 +524,7 @@ def rerank(hits: DataFrame, question: str = "question") -> DataFrame:
     body = F.coalesce(F.nullif(F.col("chunk_text"), F.lit("")), F.col("excerpt"), F.lit(""))
     seen = F.lower(F.when(line == "", body).when(body == "", F.concat(F.lit("["), line, F.lit("]"))).otherwise(F.concat(F.lit("["), line, F.lit("]\n"), body)))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(question)), F.lit("[A-Za-z0-9一-龥]+"), F.lit(0)))
-    value = F.size(F.filter(tokens, lambda t: F.contains(seen, t))) * 100.0 + F.coalesce("score", F.lit(0.0))
+    value = held_tokens(seen, tokens) * 100.0 + F.coalesce("score", F.lit(0.0))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.when(F.size(tokens) > 0, value)), "rank")))
 
 
@@ -583,10 +609,11 @@ def boost(hits: DataFrame, k: int | None = None) -> DataFrame:
         (F.col("listing_query") & (kind == "section_summary"), -1.2),
     ]
     exact = reduce(Column.__add__, [F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0) for c, v in rules])
-    exact = exact + F.size(F.filter("terms", lambda t: (F.length(t) >= 3) & F.contains(body, t))) * 0.3 + by_standard + by_clause
-    final = 5.0 * keyword_score(body, F.col("terms")) + exact + 0.03 * F.coalesce("score", F.lit(0.0)) - 1e-4 * (F.col("rank") - 1)
+    exact = exact + F.col("_measure.long_terms") * 0.3 + by_standard + by_clause
+    final = 5.0 * F.col("_measure.score") + exact + 0.03 * F.coalesce("score", F.lit(0.0)) - 1e-4 * (F.col("rank") - 1)
     nothing = (F.size("terms") == 0) & (F.size("standards") == 0) & (F.size("clauses") == 0)
-    scored = hits.withColumn("boost", F.when(nothing, -F.col("rank").cast("double")).otherwise(F.round(final, 9)))
+    measured = hits.withColumn("_measure", keyword_measure(body, F.col("terms")))
+    scored = measured.withColumn("boost", F.when(nothing, -F.col("rank").cast("double")).otherwise(F.round(final, 9))).drop("_measure")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("boost"), "rank")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from citelake.functions import terms, text
 from citelake.operators import chapters, chunking, filters, normalize, payload, quality, retrieval, tables
 from citelake.sources import pages as source_pages
+from citelake.stages import written
 
 ROW_FIELDS = {"doc_name": "string", "doc_id": "string", "version_id": "string", "page_start": "int", "page_end": "int", "excerpt": "string", "chunk_text": "string", "source_type": "string", "page_type": "string", "table_id": "string", "row_index": "int", "clause_id": "string", "table_repr": "string", "standard_no": "string", "doc_type": "string", "chapter_id": "string"}
 
@@ -23,8 +24,8 @@ def document_pages(documents: DataFrame) -> DataFrame:
 def ingest(pages: DataFrame, assets: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
     """Index rows of parsed pages: text, table, summary and explanation chunks that pass the gate."""
     blocks, found = normalize.normalize(pages)
-    parts = chapters.chapters(blocks)
-    chunks = chunking.chunk_chapters(parts, 260, 520, 80)
+    parts = written(chapters.chapters(blocks), "chapters")  # three kinds of chunks are made from them
+    chunks = written(chunking.chunk_chapters(parts, 260, 520, 80), "chunks")
     kind = lambda df: df.withColumns({k: F.lit(None).cast(t) for k, t in payload.OPTIONAL.items() if k not in df.columns})
     every = kind(chunks.drop("chunk_no").withColumn("source_type", F.lit("text")))
     for more in (tables.row_chunks(found), tables.section_summaries(parts), tables.explanation_chunks(chunks, "chunk_no")):
@@ -84,6 +85,11 @@ def cited(rows: DataFrame, questions: DataFrame, k: int = 16, explanations: int
     return retrieval.attach_explanations(anchors, rows, explanations)
 
 
+def _local(questions: DataFrame) -> DataFrame:
+    """Questions, which are few and stated, as rows of the plan itself: every route reads them, none makes them again."""
+    return questions.sparkSession.createDataFrame(questions.collect(), questions.schema)
+
+
 def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFrame | None = None, low: DataFrame | None = None, routes: dict[str, int] | None = None, search_filter: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions against rows: chapter prefix, else exact clause, else fused dense (by the rows' and questions' vectors, or
     by hash vectors where they bear none), keyword and sparse routes (full text; for Chinese questions without full-text
@@ -92,11 +98,8 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     its id. Routes name rows by ordinal; their text is fetched for the hits alone."""
     depth = {"dense": max(k, 48), "keyword": 24, "sparse": max(k, 24), "fused": max(3 * k, 80), "clause": max(4 * k, 48), "chapter": max(8 * k, 96)} | (routes or {})
     depth = {"listing": max(depth["keyword"], 64)} | depth  # keyword hits of questions that ask for a list
-    session = rows.sparkSession  # long texts go to Python in small batches
-    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    rows, asked = with_filters(rows, prepared(questions, entities, search_filter=search_filter).persist())
-    asked = asked.persist()  # a few rows that every route reads
+    rows, asked = with_filters(rows, _local(prepared(questions, entities, search_filter=search_filter)))
+    asked = _local(asked)
     named = asked.agg(*[F.coalesce(F.max(c), F.lit(0)) for c in (F.size("prefixes"), F.size("clauses"), F.col("doc_scoped").cast("int"), F.col("question").rlike("[一-鿿]").cast("int"))]).first()
     body = retrieval.search_text("chunk_text", "excerpt", "doc_name", "chapter_id")
     flags = asked.select("query_id", *FLAGS)
@@ -131,7 +134,7 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
         exact = exact.withColumn("_told", F.max(told).over(Window.partitionBy("query_id"))).where(~F.col("_told") | told)
         early.append(retrieval.top_k(exact, depth["clause"], F.col("ordinal")).withColumn("route", F.lit("clause_exact")).select(*fields).persist())
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
-    open_ = open_.persist()
+    open_ = _local(open_)
 
     listed = F.when(F.col("listing_query"), depth["listing"]).otherwise(depth["keyword"]).alias("_most")
 
@@ -142,13 +145,13 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     found = {"keyword": by_keyword(open_)}
     pages = rows.select(F.col("ordinal").alias("doc_id"), F.coalesce("page_start", F.lit(0)).alias("page_no"), F.col("chunk_text").alias("text"), "_pass")
     sparse = wanting(open_.where("use_sparse"), "spec_scope", F.regexp_replace("sparse_query", r"[/\-&|!():*<>]+", " ").alias("query"), "terms")
-    words = retrieval.fts_best(pages, sparse, depth["sparse"]).select("query_id", "doc_id", "score", "rank").persist()
+    words = retrieval.fts_best(pages, sparse, depth["sparse"]).select("query_id", "doc_id", "score", "rank")
     if named[3]:
         rest = sparse.where(F.col("query").rlike("[一-鿿]")).join(words.select("query_id").distinct(), "query_id", "left_anti")
         words = words.unionByName(retrieval.like_best(pages, rest, depth["sparse"]).select("query_id", "doc_id", "score", "rank"))
     found["sparse"] = words.withColumnRenamed("doc_id", "ordinal")
     if "vector" in rows.columns and "query_vector" in questions.columns:
-        dense = retrieval.dense_search(rows, wanting(open_, "spec_all", "query_vector"), depth["dense"])
+        dense = retrieval.dense_best(rows, wanting(open_, "spec_all", "query_vector"), depth["dense"])
     else:
         dense = retrieval.hash_search(rows, wanting(open_, "spec_all", F.col("dense_text").alias("query")), depth["dense"], F.col("chunk_text"))
     found = {"dense": dense, **found}
@@ -157,17 +160,14 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
         found["filter_keyword"] = by_keyword(lost, k).withColumn("score", F.col("score") * 5.0)
     # gates read the texts, but only their verdicts go on; texts are fetched again for what is fused
     judged = fetched(reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])).join(F.broadcast(flags), "query_id")
-    judged = judged.withColumns({"_fits": retrieval.matches_precision(F.col("standards"), F.col("clauses")), "_says": retrieval.keyword_score(body, F.col("terms"))})
-    met = judged.select(*place, "id", "doc_id", "version_id", "_fits", "_says", "terms", "precision", "doc_scoped").persist()
-
-    def gated(route: str) -> DataFrame:
-        hits = met.where(F.col("route") == route)
-        if route == "sparse" and low is not None:
-            hits = retrieval.without_low_quality(hits, low)
-        return (hits if route == "dense" else retrieval.route_gate(hits, body, F.col("_fits"), F.col("_says"))).select(*place, "id")
-
+    judged = judged.withColumns({"_fits": retrieval.matches_precision(F.col("standards"), F.col("clauses")), "_says": retrieval.keyword_measure(body, F.col("terms"))["score"]})
+    dense_hit = F.col("route") == "dense"  # passes every gate, and only sparse hits of unfit documents go
+    met = judged.select(*place, "id", "doc_id", "version_id", "_fits", "_says", F.when(~dense_hit, F.col("terms")).alias("terms"), (F.col("precision") & ~dense_hit).alias("precision"), (F.col("doc_scoped") | (F.col("route") != "sparse")).alias("doc_scoped"))
+    met = met if low is None else retrieval.without_low_quality(met, low)
+    gated = retrieval.route_gate(met, body, F.col("_fits"), F.col("_says"), ("query_id", "route"))
     order = [r for r in ("dense", "filter_keyword", "keyword", "sparse") if r in found]
-    joint = retrieval.fuse_rrf([gated(r) for r in order], depth["fused"]).select(*place)
+    every = gated.select(*place, "id", (F.array_position(F.array(*map(F.lit, order)), F.col("route")) - 1).alias("_route"))
+    joint = retrieval.fuse(every, depth["fused"]).select(*place)
     hits = reduce(DataFrame.unionByName, [*early, fetched(joint)]).join(F.broadcast(flags), "query_id")
     hits = retrieval.rerank(hits)
     if low is not None:

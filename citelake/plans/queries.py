@@ -14,6 +14,7 @@ from citelake.functions.embedding import cosine
 from citelake.operators import evaluate, evidence, extract, filters, jobs, normalize, quality, registry, retrieval, stores, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
+from citelake.stages import stage_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,18 +167,13 @@ def status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a stream: a micro-batch replaces the state of the users it touches."""
-    import uuid
-
     from citelake.streaming import status
 
     source = f"{sf_dir.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(source).schema
     # a pattern, since a stream reads folders or patterns and the table may be one file
     stream = spark.readStream.schema(schema).parquet(f"{source[:-1]}[t]").select("user_id", "event_id", "event_type", "ts")
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = f"{root.rstrip('/')}/citelake/stream-{uuid.uuid4().hex}"
+    base = stage_path(spark, "stream")
     keys, order = ["user_id"], ["ts", "event_id"]
     status.run_latest(stream, f"{base}/state", f"{base}/checkpoint", keys, order).awaitTermination()
     return status.read_latest(spark, f"{base}/state", stream.schema.toDDL(), keys, order).select("user_id", "event_id", "event_type")
