@@ -14,11 +14,7 @@ from citelake.functions.embedding import cosine
 from citelake.operators import evaluate, evidence, extract, filters, jobs, normalize, quality, registry, retrieval, stores, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
-from citelake.stages import stage_path
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+from citelake.stages import stage_path, table
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:

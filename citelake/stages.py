@@ -24,6 +24,18 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/citelake/{label}-{uuid.uuid4().hex}"
 
 
+#: A table in one file of at most this size is dealt out to all cores as it is read: its one row group would be one task.
+ONE_FILE_BYTES = 256 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table of a folder."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df, found = spark.read.parquet(path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(found)
+    return df.repartition(spark.sparkContext.defaultParallelism) if status.isFile() and status.getLen() <= ONE_FILE_BYTES else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table of its own: written once, read by all that follows."""
     path = stage_path(df.sparkSession, label)

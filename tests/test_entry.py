@@ -8,7 +8,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = Path("/root/testdata/sf0.001")
-QUICK = ("quality_grade", "noisy_chunk", "page_excerpt", "filter_range", "filter_any", "eval_trends", "registry_latest", "orphan_anti_join", "status_latest", "constraint_group_best", "citation_context", "redact_prompt", "offset_to_page", "entity_ids", "clause_algebra", "text_pages", "like_fallback_rank", "dense_topk")
+QUICK = ("quality_grade", "noisy_chunk", "page_excerpt", "filter_range", "filter_any", "eval_trends", "registry_latest", "orphan_anti_join", "status_latest", "constraint_group_best", "citation_context", "redact_prompt", "offset_to_page", "entity_ids", "clause_algebra", "text_pages", "like_fallback_rank", "dense_topk", "fts_rank", "sidecar_excerpts", "reranked_hits", "explanation_pairs", "entity_dictionary", "result_appends", "sentence_chunks")
 
 needs_data = pytest.mark.skipif(not SF.is_dir(), reason="the driver's tables are not here")
 
