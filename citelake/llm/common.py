@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelake import stages
 from citelake.stages import stage_path
 
 #: White space that separates words and is stripped from line ends (fixed by the contracts).
@@ -48,7 +49,7 @@ def bounded_batches(spark: SparkSession):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return stages.table(spark, sf_dir, name)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
