@@ -516,16 +516,25 @@ def without_low_quality(hits: DataFrame, low: DataFrame) -> DataFrame:
     return marked.where(F.col("doc_scoped") | (F.col("_low").isNull() & F.col("_lowv").isNull())).drop("_low", "_lowv")
 
 
-def rerank(hits: DataFrame, question: str = "question") -> DataFrame:
-    """Overlap rerank: 100 for each distinct token of the question found in the hit's text with its metadata, plus its
-    score; stable."""
+def rerank_value(hits: DataFrame, question: str = "question") -> Column:
+    """100 for each distinct token of the question found in the hit's text with its metadata, plus its score; null for
+    questions without tokens."""
     meta = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in ("doc_name", "standard_no", "doc_type", "version_id", "source_type", "route", "clause_id") if c in hits.columns]
     line = F.concat_ws(" | ", *meta)
     body = F.coalesce(F.nullif(F.col("chunk_text"), F.lit("")), F.col("excerpt"), F.lit(""))
     seen = F.lower(F.when(line == "", body).when(body == "", F.concat(F.lit("["), line, F.lit("]"))).otherwise(F.concat(F.lit("["), line, F.lit("]\n"), body)))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(question)), F.lit("[A-Za-z0-9一-龥]+"), F.lit(0)))
-    value = held_tokens(seen, tokens) * 100.0 + F.coalesce("score", F.lit(0.0))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.when(F.size(tokens) > 0, value)), "rank")))
+    return F.when(F.size(tokens) > 0, held_tokens(seen, tokens) * 100.0 + F.coalesce("score", F.lit(0.0)))
+
+
+def by_value(hits: DataFrame, value: Column) -> DataFrame:
+    """Hits in the order of a value, ties as they come."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(value), "rank")))
+
+
+def rerank(hits: DataFrame, question: str = "question") -> DataFrame:
+    """Overlap rerank by rerank_value(); stable."""
+    return by_value(hits.withColumn("_value", rerank_value(hits, question)), F.col("_value")).drop("_value")
 
 
 def ranked_indices(answer: str | None, size: int) -> list[int]:
@@ -587,9 +596,9 @@ def with_ranking(hits: DataFrame, answers: DataFrame, parse: Callable[[str | Non
     return placed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("place").asc_nulls_last(), "nth"))).drop("nth", "order", "place")
 
 
-def boost(hits: DataFrame, k: int | None = None) -> DataFrame:
-    """Final order: 5 * keyword score + exact rules + 0.03 * score - 0.0001 * place. hits carry question, terms,
-    standards, clauses, table_query, listing_query, query_doc_type and low_quality; single hits keep their place."""
+def boost_value(measure: Column) -> Column:
+    """5 * keyword score + exact rules + 0.03 * score, from columns of boost() and keyword_measure() of the hit; null where
+    a question has nothing to look for."""
     body = search_text("chunk_text", "excerpt", "doc_name", "chapter_id")
     asked, bare = F.lower(text.without_space(F.col("question"))), text.without_space(body)
     own = F.coalesce("clause_id", F.lit(""))
@@ -609,15 +618,26 @@ def boost(hits: DataFrame, k: int | None = None) -> DataFrame:
         (F.col("listing_query") & (kind == "section_summary"), -1.2),
     ]
     exact = reduce(Column.__add__, [F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0) for c, v in rules])
-    exact = exact + F.col("_measure.long_terms") * 0.3 + by_standard + by_clause
-    final = 5.0 * F.col("_measure.score") + exact + 0.03 * F.coalesce("score", F.lit(0.0)) - 1e-4 * (F.col("rank") - 1)
-    nothing = (F.size("terms") == 0) & (F.size("standards") == 0) & (F.size("clauses") == 0)
-    measured = hits.withColumn("_measure", keyword_measure(body, F.col("terms")))
-    scored = measured.withColumn("boost", F.when(nothing, -F.col("rank").cast("double")).otherwise(F.round(final, 9))).drop("_measure")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("boost"), "rank")))
+    exact = exact + measure["long_terms"] * 0.3 + by_standard + by_clause
+    value = 5.0 * measure["score"] + exact + 0.03 * F.coalesce("score", F.lit(0.0))
+    return F.when((F.size("terms") > 0) | (F.size("standards") > 0) | (F.size("clauses") > 0), value)
+
+
+def by_boost(hits: DataFrame, value: Column, k: int | None = None) -> DataFrame:
+    """Hits by boost_value() - 0.0001 * place; without a value they keep their place."""
+    scored = hits.withColumn("boost", F.coalesce(F.round(value - 1e-4 * (F.col("rank") - 1), 9), -F.col("rank").cast("double")))
+    ranked = by_value(scored, F.col("boost"))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def boost(hits: DataFrame, k: int | None = None) -> DataFrame:
+    """Final order by boost_value(). hits carry question, terms, standards, clauses, table_query, listing_query,
+    query_doc_type and low_quality; single hits keep their place."""
+    measured = hits.withColumn("_measure", keyword_measure(search_text("chunk_text", "excerpt", "doc_name", "chapter_id"), F.col("terms")))
+    valued = measured.withColumn("_value", boost_value(F.col("_measure")))
+    return by_boost(valued, F.col("_value"), k).drop("_measure", "_value")
+
+
 CITATION = ("doc_name", "doc_id", "page_start", "page_end", "excerpt", "chunk_text", "route", "source_type", "page_type", "table_id", "row_index", "clause_id", "table_repr")
 
 

@@ -23,7 +23,8 @@ def document_pages(documents: DataFrame) -> DataFrame:
 
 def ingest(pages: DataFrame, assets: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
     """Index rows of parsed pages: text, table, summary and explanation chunks that pass the gate."""
-    blocks, found = normalize.normalize(pages)
+    blocks = normalize.without_repeated_edges(written(normalize.blocks(pages), "blocks"))  # counted, voted on and read
+    found = normalize.merged_across_pages(normalize.tables(pages))
     parts = written(chapters.chapters(blocks), "chapters")  # three kinds of chunks are made from them
     chunks = written(chunking.chunk_chapters(parts, 260, 520, 80), "chunks")
     kind = lambda df: df.withColumns({k: F.lit(None).cast(t) for k, t in payload.OPTIONAL.items() if k not in df.columns})
@@ -100,7 +101,7 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     depth = {"listing": max(depth["keyword"], 64)} | depth  # keyword hits of questions that ask for a list
     rows, asked = with_filters(rows, _local(prepared(questions, entities, search_filter=search_filter)))
     asked = _local(asked)
-    named = asked.agg(*[F.coalesce(F.max(c), F.lit(0)) for c in (F.size("prefixes"), F.size("clauses"), F.col("doc_scoped").cast("int"), F.col("question").rlike("[一-鿿]").cast("int"))]).first()
+    named = asked.agg(*[F.coalesce(F.max(c), F.lit(0)) for c in (F.size("prefixes"), F.size("clauses"), F.col("doc_scoped").cast("int"), F.col("question").rlike("[一-鿿]").cast("int"), F.size("standards") + F.size("clauses"))]).first()
     body = retrieval.search_text("chunk_text", "excerpt", "doc_name", "chapter_id")
     flags = asked.select("query_id", *FLAGS)
     place = ["query_id", "rank", "score", "route", "ordinal"]
@@ -158,21 +159,36 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     if named[2]:
         lost = open_.where("doc_scoped").join(dense.select("query_id").distinct(), "query_id", "left_anti")
         found["filter_keyword"] = by_keyword(lost, k).withColumn("score", F.col("score") * 5.0)
-    # gates read the texts, but only their verdicts go on; texts are fetched again for what is fused
-    judged = fetched(reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])).join(F.broadcast(flags), "query_id")
-    judged = judged.withColumns({"_fits": retrieval.matches_precision(F.col("standards"), F.col("clauses")), "_says": retrieval.keyword_measure(body, F.col("terms"))["score"]})
+    # what gates ask of texts is known of keyword hits and not asked of dense ones; where no question bears identifiers,
+    # only sparse hits are read. Texts are fetched for what is fused, measured, left behind, and fetched for the last k
+    every = reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])
+    known = {"keyword": F.col("score"), "filter_keyword": F.col("score") / 5.0, "dense": F.lit(0.0)}
+    flagged = lambda df: df.join(F.broadcast(flags), "query_id")
+    says, fits = retrieval.keyword_measure(body, F.col("terms"))["score"], retrieval.matches_precision(F.col("standards"), F.col("clauses"))
+    slim = ["id", "doc_id", "version_id", "_fits", "_says"]
+    if named[4]:
+        judged = flagged(fetched(every)).withColumns({"_fits": fits, "_says": says}).select(*place, *slim)
+    else:
+        read = flagged(fetched(every.where("route = 'sparse'"))).withColumns({"_fits": F.lit(True), "_says": says}).select(*place, *slim)
+        worth = reduce(lambda c, x: c.when(F.col("route") == x[0], x[1]), known.items(), F.when(F.lit(False), F.lit(0.0)))
+        rest = rows.select("ordinal", "id", "doc_id", "version_id").join(F.broadcast(every.where("route <> 'sparse'")), "ordinal")
+        judged = read.unionByName(rest.withColumns({"_fits": F.lit(True), "_says": worth}).select(*place, *slim))
+    judged = flagged(judged)
     dense_hit = F.col("route") == "dense"  # passes every gate, and only sparse hits of unfit documents go
-    met = judged.select(*place, "id", "doc_id", "version_id", "_fits", "_says", F.when(~dense_hit, F.col("terms")).alias("terms"), (F.col("precision") & ~dense_hit).alias("precision"), (F.col("doc_scoped") | (F.col("route") != "sparse")).alias("doc_scoped"))
+    met = judged.select(*place, *slim, F.when(~dense_hit, F.col("terms")).alias("terms"), (F.col("precision") & ~dense_hit).alias("precision"), (F.col("doc_scoped") | (F.col("route") != "sparse")).alias("doc_scoped"))
     met = met if low is None else retrieval.without_low_quality(met, low)
     gated = retrieval.route_gate(met, body, F.col("_fits"), F.col("_says"), ("query_id", "route"))
     order = [r for r in ("dense", "filter_keyword", "keyword", "sparse") if r in found]
-    every = gated.select(*place, "id", (F.array_position(F.array(*map(F.lit, order)), F.col("route")) - 1).alias("_route"))
-    joint = retrieval.fuse(every, depth["fused"]).select(*place)
-    hits = reduce(DataFrame.unionByName, [*early, fetched(joint)]).join(F.broadcast(flags), "query_id")
-    hits = retrieval.rerank(hits)
+    placed = gated.select(*place, "id", (F.array_position(F.array(*map(F.lit, order)), F.col("route")) - 1).alias("_route"))
+    joint = retrieval.fuse(placed, depth["fused"]).select(*place)
+    hits = flagged(reduce(DataFrame.unionByName, [*early, fetched(joint)]))
     if low is not None:
         bad = low.select("doc_id").distinct().withColumn("low_quality", F.lit(True))
         hits = hits.join(bad, "doc_id", "left").withColumn("low_quality", F.coalesce("low_quality", F.lit(False)))
     else:
         hits = hits.withColumn("low_quality", F.lit(False))
-    return retrieval.boost(hits, k), rows, asked
+    measured = hits.withColumns({"_overlap": retrieval.rerank_value(hits), "_measure": retrieval.keyword_measure(body, F.col("terms"))})
+    valued = measured.select(*place, "low_quality", "_overlap", retrieval.boost_value(F.col("_measure")).alias("_boost"))
+    best = retrieval.by_boost(retrieval.by_value(valued, F.col("_overlap")), F.col("_boost"), k)
+    shown = whole.join(F.broadcast(best.select(*place, "low_quality", "boost")), "ordinal").select(*fields, "low_quality", "boost")
+    return flagged(shown), rows, asked
