@@ -186,8 +186,8 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _features(lacks: list[bytes], adds: list[bytes], size: int) -> Iterator[np.ndarray]:
-    """0/1 matrices of bounded width, side by side: what each member lacks of the leader's set (columns that no two
-    members lack tell nothing of two different ones but are kept where one does), then what at least two members add."""
+    """0/1 matrices of bounded width, side by side: what each member lacks of the leader's set (where any does), then what
+    at least two members add."""
     packed = np.frombuffer(b"".join(lacks), np.uint8).reshape(len(lacks), -1)
     some = np.flatnonzero(np.bitwise_or.reduce(packed, axis=0))
     for at in range(0, len(some), COLUMNS // 8):
