@@ -129,11 +129,21 @@ def filter_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is relevant for a benchmark item if it holds the item's text; the keyword route answers."""
+    """A document is relevant for a benchmark item if it holds the item's text; the keyword route answers and is measured by
+    the evaluation's own metrics."""
+    spec, none = "struct<" + ",".join(f"{f}:string" for f in evaluate.SPEC_TEXT) + ",is_mandatory:boolean,page:int>", lambda t: F.lit(None).cast(t)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    hits = _keyword(spark, sf_dir).select("query_id", "rank", "text")
-    ranks = items.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(F.contains("text", "passage"), F.col("rank"))).alias("rank"))
-    return ranks.agg(F.count("*").alias("query_count"), F.round(F.count_if(F.col("rank") <= 5) / F.count("*"), 6).alias("hit_at_5"), F.round(F.count_if(F.col("rank") <= 10) / F.count("*"), 6).alias("hit_at_10"), F.round(F.coalesce(F.sum(1.0 / F.col("rank")), F.lit(0.0)) / F.count("*"), 6).alias("mrr"))
+    hits = _keyword(spark, sf_dir).select("query_id", "rank", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("chunk_text"))
+    empty = {"version_id": "string", "doc_name": "string", "chapter_id": "string", "clause_id": "string", "clause_no": "string", "article_no": "string", "constraint_type": "string", "excerpt": "string", "is_mandatory": "boolean"}
+    hits = hits.withColumns({c: none(t) for c, t in empty.items()} | {"page_start": F.lit(1), "page_end": F.lit(1)})
+    holds = hits.join(items, "query_id").where(F.contains("chunk_text", "passage"))
+    wanted = F.from_json(F.to_json(F.struct("doc_id")), spec)
+    samples = items.join(holds.groupBy("query_id").agg(F.collect_list(wanted).alias("relevant_any")), "query_id", "left")
+    expected = {"doc_id": "string", "version_id": "string", "doc_name": "string", "pages": "array<int>", "clause_id": "string", "clause_ids": "array<string>", "is_mandatory": "boolean", "constraint_type": "string"}
+    samples = samples.withColumns({f"expected_{c}": none(t) for c, t in expected.items()} | {"constraint_specs": none(f"array<{spec}>")}).drop("passage")
+    got = evaluate.metrics(evaluate.per_sample(samples, hits, 10))
+    rates = [F.round(c, 6).alias(c) for c in ("hit_at_5", "hit_at_10", "mrr", "evidence_hit_rate_at_10", "citation_completeness")]
+    return got.select("query_count", "relevant_hits", *rates, "passed")
 
 
 def eval_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,8 +442,10 @@ ORACLE = {
     "filter_range": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity::double), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 25 AND l_discount > 0.02 AND l_discount <= 0.06 AND l_returnflag IN ('A', 'R') GROUP BY 1",
     "filter_any": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 23) AND p_brand = 'Brand#7'",
     "retrieval_metrics": f"""WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
-        h AS (SELECT b.item_id, min(r.rank) FILTER (WHERE contains(d.text, b.text)) AS rank FROM benchmark b LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1)
-        SELECT count(*) AS query_count, round(count(*) FILTER (WHERE rank <= 5) / count(*), 6) AS hit_at_5, round(count(*) FILTER (WHERE rank <= 10) / count(*), 6) AS hit_at_10, round(coalesce(sum(1.0 / rank), 0)::double / count(*), 6) AS mrr FROM h""",
+        h AS (SELECT b.item_id, min(r.rank) FILTER (WHERE contains(d.text, b.text)) AS rank, count(*) FILTER (WHERE contains(d.text, b.text)) AS n FROM benchmark b LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1),
+        m AS (SELECT count(*) AS query_count, sum(n)::bigint AS relevant_hits, count(*) FILTER (WHERE rank <= 5) / count(*) AS at5, count(*) FILTER (WHERE rank <= 10) / count(*) AS at10, coalesce(sum(1.0 / rank), 0)::double / count(*) AS mrr FROM h)
+        SELECT query_count, relevant_hits, round(at5, 6) AS hit_at_5, round(at10, 6) AS hit_at_10, round(mrr, 6) AS mrr, round(at10, 6) AS evidence_hit_rate_at_10, CASE WHEN relevant_hits > 0 THEN 1.0 ELSE 0.0 END::double AS citation_completeness,
+               query_count >= 30 AND at10 >= 0.75 AND mrr >= 0.45 AND at10 >= 0.8 AS passed FROM m""",
     "eval_trends": """
         SELECT o_orderstatus, count(*) AS count, count(*) FILTER (WHERE o_orderkey % 101 < 60) AS failed, round(avg((o_orderkey % 101)::double), 6) AS avg_score, round(count(*) FILTER (WHERE o_orderkey % 101 < 60) / count(*), 6) AS failure_rate
         FROM orders GROUP BY 1""",
