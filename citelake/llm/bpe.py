@@ -73,13 +73,14 @@ class Vocabulary:
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
         self.shorter: dict[int, int | None] = {}
+        self.split_of: dict[int, tuple[int, int] | None] = {}
         self.fits, self.pieces = Recent(pairs), Recent(pieces)
 
-    def merge(self, data: bytes) -> list[int]:
-        """BPE by its definition; used on the bytes of two tokens only."""
+    def merge(self, data: bytes, stop: int = 1) -> list[int]:
+        """BPE by its definition, until `stop` parts are left; used on the bytes of one or two tokens only."""
         parts = [data[i : i + 1] for i in range(len(data))]
         rank = self.rank
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = rank.get(parts[i] + parts[i + 1])
@@ -90,15 +91,39 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [rank[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token last; None for single bytes."""
+        if token not in self.split_of:
+            found = self.merge(self.token[token], 2) if self.length[token] > 1 else []
+            self.split_of[token] = (found[0], found[1]) if len(found) == 2 else None
+        return self.split_of[token]
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' joined bytes gives just these two."""
         key = left << 32 | right
         known = self.fits.recall(key)
         if known is None:
-            known = self.merge(self.token[left] + self.token[right]) == [left, right]
+            known = self._stay_apart(left, right)
             self.fits.keep(key, known)
         return known
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Merges are taken back, the latest first, on either side of the border: while both sides are as they were before a
+        merge of rank `limit`, their neighbours at the border must not make a token that would have come before it."""
+        rank, token, limit = self.rank, self.token, float("inf")
+        while True:
+            joint = rank.get(token[left] + token[right])
+            if joint is not None and joint < limit:
+                return False
+            on_left, on_right = self.halves(left), self.halves(right)
+            if on_left is None and on_right is None:
+                return True
+            # of equal ranks the one further left comes first, so a merge on the right may tie with one at the border
+            if on_right is None or (on_left is not None and left > right):
+                limit, left = left, on_left[1]
+            else:
+                limit, right = right + 1, on_right[0]
+
     def prefix(self, token: int) -> int | None:
         """The longest token that is a proper prefix of this one."""
         if token not in self.shorter:
@@ -143,17 +168,20 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces, out = self.pieces, []
-        known, add = pieces.get, out.append
-        for piece in self.split(text):
-            got = known(piece) or pieces.recall(piece)
-            if got is None:
-                ids = self.encode_piece(piece.encode("utf-8"))
-                got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(piece) <= 64:
-                    pieces.keep(piece, got)
-            add(got)
-        return b"".join(out)
+        pieces, found = self.pieces, self.split(text)
+        got = list(map(pieces.get, found))
+        if None in got:
+            for i, known in enumerate(got):
+                if known is None:
+                    got[i] = pieces.recall(found[i]) or self._learn(found[i])
+        return b"".join(got)
+
+    def _learn(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode("utf-8"))
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            self.pieces.keep(piece, got)
+        return got
 
 
 class Tokens:
