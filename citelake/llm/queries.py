@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, ego, licenses, lines, minhash, sharding, substrings, toxicity
+from . import bpe, chat, decontaminate, ego, licenses, lines, minhash, sharding, substrings, tokenfiles, toxicity, trie, vafile
 from .common import table
 
 LINE_MIN_DOCS = 10
@@ -95,6 +95,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vafile.fit(vectors)
+    coded = vafile.with_label_error(vafile.encode(vectors, books, keep=("label",)))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).alias("codebooks_sha256"))
+
+
+END_ID = 2
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenfiles.read(tokenfiles.write(docs, vocabulary or public_tokenizers.path("word_bpe_49k.json"), END_ID))
+
+
+HEADS, EVERY = 6, 100
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    turns = trie.turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    rebuilt = trie.grafted(turns, conv - conv % EVERY, F.crc32(conv.cast("string")) % HEADS, HEADS - 1)
+    return trie.prefix_trie(rebuilt).drop("digest")
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -106,6 +133,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_files": op12_token_files,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 LINE_DEDUP_SQL = rf"""
@@ -171,10 +201,54 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id =
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.n = d.doc_id
 """
 
+_CODE_ROUND = """
+d{i} AS MATERIALIZED (SELECT p.r, p.part, min(struct_pack(d := list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), e := b.e)) AS n
+    FROM p JOIN b{i} b ON b.part = p.part GROUP BY ALL),
+b{j} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+    SELECT part, e, list(floor(s / c) ORDER BY k) AS x FROM (
+        SELECT part, e, k, sum(x) AS s, count(*) AS c FROM (SELECT p.part, d.n.e AS e, unnest(p.x) AS x, generate_subscripts(p.x, 1) AS k FROM p JOIN d{i} d ON d.r = p.r AND d.part = p.part) GROUP BY ALL) GROUP BY ALL) m ON m.part = b.part AND m.e = b.e),"""
+
+VECTOR_CODES_SQL = rf"""
+WITH ok AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+w AS (SELECT cast(ceil(max(len(embedding)) / 4) AS bigint) AS w FROM ok),
+v AS (SELECT r, vec_id, label, list_resize(list_transform(embedding, lambda e: greatest(-{vafile.LARGEST}, least({vafile.LARGEST}, floor(1024 * cast(e AS double))))), 4 * w, 0) AS x, w FROM ok, w),
+p AS MATERIALIZED (SELECT r, part, x[part * w + 1:part * w + w] AS x FROM v, range(4) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, x FROM p WHERE r <= 256),{"".join(_CODE_ROUND.format(i=i, j=i + 1) for i in range(4))}
+d4 AS MATERIALIZED (SELECT p.r, p.part, min(struct_pack(d := list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), e := b.e)) AS n
+    FROM p JOIN b4 b ON b.part = p.part GROUP BY ALL),
+c AS (SELECT r, string_agg(printf('%02x', n.e), '' ORDER BY part) AS code, cast(sum(n.d) AS bigint) AS error FROM d4 GROUP BY r),
+h AS (SELECT sha256(string_agg(cast(cast(y AS bigint) AS varchar), ',' ORDER BY part, e, k)) AS h FROM (SELECT part, e, unnest(x) AS y, generate_subscripts(x, 1) AS k FROM b4))
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, h AS codebooks_sha256 FROM v JOIN c ON c.r = v.r, h
+"""
+
+PREFIX_TRIE_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, length(coalesce(text, '')) AS n, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % {EVERY} AS b,
+         xor(list_reduce(flatten(list_transform(range(1, length(cast(conv_id AS varchar)) + 1), lambda k: [ord(cast(conv_id AS varchar)[k]), -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295), 4294967295) % {HEADS} AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+own AS (
+  SELECT conv_id, 0 AS o, t.i, m, n FROM ids JOIN t USING (conv_id) WHERE t.i > h
+  UNION ALL SELECT ids.conv_id, -1, t.i, m, n FROM ids JOIN t ON t.conv_id = ids.b WHERE t.i <= h),
+s AS (SELECT ids.conv_id, coalesce(list(m ORDER BY o, i) FILTER (WHERE m IS NOT NULL), []) AS ms, coalesce(list(n ORDER BY o, i) FILTER (WHERE m IS NOT NULL), []) AS ns FROM ids LEFT JOIN own USING (conv_id) GROUP BY ids.conv_id),
+x AS (SELECT conv_id, d AS depth, ms[1:d] AS k, CASE WHEN d > 0 THEN ms[1:d - 1] END AS up, CASE WHEN d = 0 THEN 0 ELSE ns[d] END AS n, d = len(ms) AS ends FROM (SELECT *, unnest(range(len(ms) + 1)) AS d FROM s)),
+v AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (WHERE ends) AS e FROM x GROUP BY k, depth),
+c AS (SELECT v.*, coalesce(z.n_children, 0) AS n_children FROM v LEFT JOIN (SELECT up, count(*) AS n_children FROM v WHERE up IS NOT NULL GROUP BY up) z ON z.up = v.k),
+a AS (SELECT k[1:g] AS k, n_children, n_convs, n FROM (SELECT *, unnest(range(depth + 1)) AS g FROM c)),
+f AS (SELECT k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, cast(sum((n_convs - 1) * n) AS bigint) AS saved_tokens FROM a GROUP BY k)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, sha256(coalesce(c.e, '')) AS ends_sha256
+FROM c JOIN f ON f.k = c.k LEFT JOIN v p ON p.k = c.up
+"""
+
 ORACLE = {
     "op1_embedding_dedup": EMBEDDING_SQL,
     "op2_substring_dedup": SUBSTRING_SQL,
     "op9_minhash": MINHASH_SQL,
     "op4_line_dedup": LINE_DEDUP_SQL,
     "op5_chat_format": CHAT_SQL,
+    "op11_vector_codes": VECTOR_CODES_SQL,
+    "op13_prefix_trie": PREFIX_TRIE_SQL,
 }
