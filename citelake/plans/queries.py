@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import clauses, text
 from citelake.functions.embedding import cosine
-from citelake.operators import evaluate, evidence, extract, filters, jobs, normalize, quality, registry, retrieval, stores, tables
+from citelake.operators import evaluate, evidence, extract, filters, fulltext, jobs, normalize, quality, registry, retrieval, stores, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
 from citelake.stages import stage_path, table
@@ -274,6 +274,33 @@ def fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fts_best(pages, asked, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _fts_index(spark: SparkSession, sf_dir: str) -> fulltext.FullTextIndex:
+    """Documents in two batches; the second replaces some pages of the first, which held other texts there."""
+    docs = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
+    index = fulltext.FullTextIndex(spark, stage_path(spark, "full-text-index"))
+    index.add(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.reverse("text")).otherwise(F.col("text"))).where("doc_id % 2 = 0"))
+    index.add(docs.where("doc_id % 2 = 1 or doc_id % 3 = 0"))
+    return index
+
+
+def _word_questions(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The first distinct words of each item, each in quotation marks (so that none is taken for an operator)."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{Nd}_]+"), F.lit(0))), 1, most)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ").alias("query"))
+
+
+def fts_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items asked of the kept index: the ten best documents that hold all their words."""
+    hits = _fts_index(spark, sf_dir).search(_word_questions(spark, sf_dir, 100_000), 10)
+    return hits.select("query_id", F.col("doc_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def fts_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words of each item, which many documents hold, asked of the kept index: the five best."""
+    hits = _fts_index(spark, sf_dir).search(_word_questions(spark, sf_dir, 2), 5)
+    return hits.select("query_id", F.col("doc_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def sidecar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
     asked = questions(spark, sf_dir).select("query_id", "query", F.col("terms").alias("tokens"))
@@ -380,7 +407,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, rrf_fusion, lexical_gate, filter_range, filter_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
 
@@ -405,6 +432,26 @@ e AS (SELECT doc_id, CASE WHEN kept = 0 AND o <= 8 THEN 'keep' ELSE gate END AS
 SELECT doc_id, count(*) FILTER (WHERE gate = 'keep') AS kept, count(*) FILTER (WHERE gate = 'dup') AS dropped_dup, count(*) FILTER (WHERE gate = 'noise') AS dropped_noise, count(*) FILTER (WHERE gate = 'short') AS dropped_short FROM e GROUP BY doc_id
 """
 
+WORDS_SQL = r"q AS (SELECT item_id AS query_id, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, {most}) AS terms FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}_]+') AS w FROM benchmark))"
+
+
+def _fts_rank_sql(questions: str, k: int, order: str) -> str:
+    """Cover density of all documents that hold all terms, and the k best of each question."""
+    return rf"""
+        WITH {questions}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}_]+') AS w FROM documents),
+        m AS (SELECT query_id, doc_id, terms, w FROM q JOIN d ON len(terms) > 0 AND list_has_all(w, terms)),
+        e AS (SELECT * FROM (SELECT query_id, doc_id, terms, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM m) WHERE list_contains(terms, word)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS n FROM e),
+        t AS (SELECT query_id, doc_id, pos, n, unnest(terms) AS term, word FROM o),
+        l AS (SELECT query_id, doc_id, pos, n, max(CASE WHEN term = word THEN pos END) OVER (PARTITION BY query_id, doc_id, term ORDER BY pos) AS last FROM t),
+        c AS (SELECT query_id, doc_id, pos, n, CASE WHEN count(last) = count(*) THEN min(last) END AS start FROM l GROUP BY 1, 2, 3, 4),
+        v AS (SELECT *, lag(start) OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS before FROM c),
+        x AS (SELECT v.query_id, v.doc_id, (v.pos - v.start) - (v.n - s.n) AS noise FROM v JOIN c s ON s.query_id = v.query_id AND s.doc_id = v.doc_id AND s.pos = v.start WHERE v.start IS NOT NULL AND (before IS NULL OR v.start > before)),
+        r AS (SELECT query_id, doc_id, sum(0.1::double / (1 + noise)) AS score FROM x GROUP BY 1, 2),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {order}) AS rank FROM r)
+        SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM k WHERE rank <= {k}"""
+
+
 ORACLE = {
     "doc_dedupe_sha256": "SELECT d.doc_id, sha256(text) AS content_hash, coalesce(e.id, -1) AS existing_version_id FROM documents d LEFT JOIN (SELECT sha256(text) AS h, min(doc_id) AS id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) e ON e.h = sha256(text) WHERE doc_id % 2 = 1",
     "quality_grade": """
@@ -481,19 +528,9 @@ ORACLE = {
     "fts_match": rf"""
         WITH {QUESTIONS_SQL}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}_]+') AS w FROM documents)
         SELECT query_id, doc_id FROM q JOIN d ON len(terms) > 0 AND list_has_all(w, terms)""",
-    "fts_rank": rf"""
-        WITH {QUESTIONS_SQL}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}_]+') AS w FROM documents),
-        m AS (SELECT query_id, doc_id, terms, w FROM q JOIN d ON len(terms) > 0 AND list_has_all(w, terms)),
-        e AS (SELECT * FROM (SELECT query_id, doc_id, terms, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM m) WHERE list_contains(terms, word)),
-        o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS n FROM e),
-        t AS (SELECT query_id, doc_id, pos, n, unnest(terms) AS term, word FROM o),
-        l AS (SELECT query_id, doc_id, pos, n, max(CASE WHEN term = word THEN pos END) OVER (PARTITION BY query_id, doc_id, term ORDER BY pos) AS last FROM t),
-        c AS (SELECT query_id, doc_id, pos, n, CASE WHEN count(last) = count(*) THEN min(last) END AS start FROM l GROUP BY 1, 2, 3, 4),
-        v AS (SELECT *, lag(start) OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS before FROM c),
-        x AS (SELECT v.query_id, v.doc_id, (v.pos - v.start) - (v.n - s.n) AS noise FROM v JOIN c s ON s.query_id = v.query_id AND s.doc_id = v.doc_id AND s.pos = v.start WHERE v.start IS NOT NULL AND (before IS NULL OR v.start > before)),
-        r AS (SELECT query_id, doc_id, sum(0.1::double / (1 + noise)) AS score FROM x GROUP BY 1, 2),
-        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
-        SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM k WHERE rank <= 10""",
+    "fts_rank": _fts_rank_sql(QUESTIONS_SQL, 10, "doc_id"),
+    "fts_index_topk": _fts_rank_sql(WORDS_SQL.format(most=100_000), 10, "doc_id::varchar"),
+    "fts_index_pairs": _fts_rank_sql(WORDS_SQL.format(most=2), 5, "doc_id::varchar"),
     "sidecar_topk": rf"""
         WITH {QUESTIONS_SQL}, d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS b, lower(regexp_replace(text, '\s+', '', 'g')) AS c FROM documents),
         p AS (SELECT query_id, terms AS t, lower(trim(regexp_replace(query, '\s+', ' ', 'g'))) AS one, lower(regexp_replace(query, '\s+', '', 'g')) AS two FROM q),
