@@ -1,13 +1,14 @@
 """Line dedup (operator 4): drop lines whose key occurs in many documents and put the rest together again.
 
-Every row is one document. Keys are compared by two independent 64-bit hashes. The count of documents per key is
-pre-aggregated on the map side, so a line that all documents share sends one row a task; the join that finds the places of
+Rows of one id are one document; a row without id is a document of its own. Keys are compared by two independent 64-bit
+hashes. Documents per key are counted as distinct (key, document), pre-aggregated on the map side and dealt by both, so a
+line that all documents share is spread over all tasks and then sends one count a task; the join that finds the places of
 each document's lines to drop is a plain equi-join whose hot keys Spark may split (or broadcast, by its own size check,
 when the table of common keys is small). Documents are met again by (id, hash of the text), null ids included, and the
 places that stay are read from the split text, so work is linear in a text's lines.
 
-Defined results: a null or empty text is one empty line, which has no key and stays; repeated rows each count as a
-document and get the same result; an empty table gives no rows; other columns pass through, whatever their names, unless
+Defined results: a null or empty text is one empty line, which has no key and stays; repeated rows count as one
+document and get the same result each, and several texts of one id are told apart; an empty table gives no rows; other columns pass through, whatever their names, unless
 these are the names of results.
 """
 
@@ -38,7 +39,9 @@ def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # keys are made once per text and then hashed; a lambda's repeated parts would be evaluated again and again
     keys = F.transform(split_lines(common.lower_ascii(F.col("text"))), lambda x: F.btrim(x, F.lit(common.BLANKS)))
     hashes = F.transform(keys, lambda x: F.when(F.length(x) >= min_chars, _hash(x)))
-    common_keys = rows.select(F.explode(F.array_distinct(hashes)).alias("h")).select("h.a", "h.b").where("a is not null").groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b")
+    doc = F.when(F.col("id").isNotNull(), F.struct(F.col("id"), F.lit(-1).cast("long").alias("n"))).otherwise(F.struct(F.col("id"), F.monotonically_increasing_id().alias("n")))
+    each = rows.select(doc.alias("doc"), F.explode(F.array_distinct(hashes)).alias("h")).select("doc", "h.a", "h.b").where("a is not null")
+    common_keys = each.groupBy("a", "b").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     common_keys = common.written(common_keys, "common-lines")
     places = rows.select("id", "t1", "t2", F.posexplode(hashes).alias("at", "h")).select("id", "t1", "t2", "at", "h.a", "h.b").where("a is not null")
     drops = places.join(common_keys, ["a", "b"], "left_semi").groupBy("id", "t1", "t2").agg(F.collect_set("at").alias("gone"))

@@ -17,7 +17,8 @@
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^42 = 6e-8; more similar pairs far less.
 
 Defined results: null and empty texts have an empty set, link with nothing and stay; rows with a null id link with
-nothing and stay (component null); repeated rows get the same result; ties do not matter, as the smallest id stays;
+nothing and stay (component null); repeated rows get the same result, and each text of an id that stands on several gets its
+own; ties do not matter, as the smallest id stays;
 an empty table gives no rows; the result has columns of its own and names no other column. Shingles are compared by
 64-bit hashes (of word hashes that are injective or xxh3, see common.Words): two sets of a million shingles show a wrong
 common one with probability 5e-8.
@@ -78,7 +79,7 @@ def _signed(values) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(id, n, s1, s2, bands, bits); s1 and s2 stand for the whole set."""
+    """(id, t1, t2, n, s1, s2, bands, bits); t1 and t2 stand for the text, s1 and s2 for the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
@@ -104,15 +105,16 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
         for big in batches:
             for start in range(0, big.num_rows, 1000):
                 b = big.slice(start, 1000)
-                got = [one(t) for t in b.column(1).to_pylist()]
+                got = [one(t) for t in b.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array([g[i] for g in got], pa.int64()) for i in range(3)), *(pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in (3, 4))],
-                    names=["id", "n", "s1", "s2", "bands", "bits"],
+                    [*b.columns[:3], *(pa.array([g[i] for g in got], pa.int64()) for i in range(3)), *(pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in (3, 4))],
+                    names=["id", "t1", "t2", "n", "s1", "s2", "bands", "bits"],
                 )
         known.clear()
         common.give_back()
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>")
+    one_, two = common.text_key(F.col(text))
+    return docs.select(F.col(doc_id).cast("long").alias("id"), one_.alias("t1"), two.alias("t2"), F.col(text).alias("t")).mapInArrow(run, "id long, t1 long, t2 long, n long, s1 long, s2 long, bands array<long>, bits array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -291,7 +293,7 @@ def _linked_pairs(measured: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
+    """Per row: id, n_shingles, component_id, kept, and t1 and t2 (common.text_key()), since an id may stand on several texts."""
     sig = common.written(signatures(docs, width, doc_id, text), "signatures")
     some = sig.where("n > 0 and id is not null")
     cls = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
@@ -339,6 +341,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     final = graph.components(joined)
 
     place = cls.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(place, ["s1", "s2"], "left")
+    out = sig.select("id", "t1", "t2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(place, ["s1", "s2"], "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id"))
-    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), "t1", "t2")

@@ -139,13 +139,13 @@ QUERIES = {
 }
 
 LINE_DEDUP_SQL = rf"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-k AS (SELECT doc_id, ls, list_transform(ls, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM d),
-u AS (SELECT doc_id, unnest(ls) AS l, unnest(ks) AS k, generate_subscripts(ls, 1) AS i FROM k),
-c AS (SELECT k FROM u WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= {LINE_MIN_DOCS})
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT r, doc_id, ls, list_transform(ls, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM d),
+u AS (SELECT r, doc_id, unnest(ls) AS l, unnest(ks) AS k, generate_subscripts(ls, 1) AS i FROM k),
+c AS (SELECT k FROM u WHERE k <> '' GROUP BY k HAVING count(DISTINCT CASE WHEN doc_id IS NULL THEN 'row ' || r ELSE cast(doc_id AS varchar) END) >= {LINE_MIN_DOCS})
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
-FROM u LEFT JOIN c ON u.k = c.k GROUP BY doc_id
+FROM u LEFT JOIN c ON u.k = c.k GROUP BY r, doc_id
 """
 
 CHAT_SQL = r"""

@@ -100,3 +100,12 @@ def test_stages_keep_the_columns(spark, data):
         assert out.schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).where(F.col("doc_id") == 900).count() == 1
+
+
+def test_ids_with_several_texts_lose_only_copies(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(f"w{rng.randrange(400)}" for _ in range(40)) for _ in range(2))
+    rows = [(1, b), (5, a), (5, b), (5, None), (None, b), (7, b + " tail"), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, b), (5, a), (5, None), (None, b), (8, "")], key=str)

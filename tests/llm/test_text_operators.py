@@ -20,7 +20,9 @@ def test_lines_equal_brute_force(spark):
     pool = ["Common Line", " common line\t", "COMMON LINE", "Été", "été", "", "  ", "rare"] + [f"l{i}" for i in range(30)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(100, None), (101, ""), (None, "common line\nx"), (102, "\n\n"), (7, "common line")]
     key = lambda x: x.strip(BLANKS).translate(LOWER)
-    count = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    rows += [(200, "of one\nmine")] * 12 + [(201, f"other\n{i}") for i in range(12)] + [(None, "nobody's")] * 10 + [(300 + i, "nine") for i in range(9)] + [(300, "nine\nagain")]
+    docs = {(i if i is not None else f"row {n}", key(x)) for n, (i, t) in enumerate(rows) for x in (t or "").split("\n")}
+    count = Counter(k for _, k in docs if k)
     want = []
     for i, t in rows:
         all_ = (t or "").split("\n")
