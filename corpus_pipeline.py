@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelake.llm import bpe, decontaminate, lines, minhash, toxicity
-from citelake.llm.common import table, written
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from citelake.llm.common import table, text_key, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +26,11 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (five-word shingles, similarity 0.8)."""
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("id").alias("doc_id"))
-    return docs.join(written(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays (five-word shingles, similarity 0.8). An id that stands on several texts loses only
+    those that belong to another document's group."""
+    gone = written(minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("id", "t1", "t2").distinct(), "near-duplicates")
+    one, two = text_key(docs["text"])
+    return docs.join(gone, (docs["doc_id"] == gone["id"]) & (one == gone["t1"]) & (two == gone["t2"]), "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
