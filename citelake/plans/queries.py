@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import clauses, text
 from citelake.functions.embedding import cosine
-from citelake.operators import evaluate, evidence, extract, filters, fulltext, jobs, normalize, quality, registry, retrieval, stores, tables
+from citelake.operators import dense_index, evaluate, evidence, extract, filters, fulltext, jobs, merge_store, normalize, quality, registry, retrieval, stores, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
 from citelake.stages import stage_path, table
@@ -102,6 +102,17 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the kept index: odd vectors are its second run."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector"))
+    longest = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    index = dense_index.DenseIndex(spark, stage_path(spark, "dense-index"))
+    index.create(vectors.where("ordinal % 2 = 0"), longest)
+    index.add(vectors.where("ordinal % 2 = 1"))
+    asked = vectors.where("ordinal % 100 = 0").select(F.col("ordinal").alias("query_id"), F.col("vector").alias("query_vector"))
+    return index.search(asked, 10).select("query_id", F.col("ordinal").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and containment routes fused."""
     pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
@@ -362,6 +373,19 @@ def key_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.upsert(base, new, "o_orderkey")
 
 
+def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in four batches, kept as runs: all of them; each tenth replaced and as many new ones; each fifteenth deleted;
+    each thirtieth written again."""
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    store = merge_store.MergeStore(spark, stage_path(spark, "orders-store"), "o_orderkey long, o_custkey long, o_orderstatus string", ("o_orderkey",), 8)
+    tenth = base.where("o_orderkey % 10 = 0")
+    store.upsert(base)
+    store.upsert(tenth.withColumn("o_orderstatus", F.lit("X")).unionByName(tenth.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"))))
+    store.delete(base.where("o_orderkey % 15 = 0"))
+    store.upsert(base.where("o_orderkey % 30 = 0").withColumn("o_orderstatus", F.lit("again")))
+    return store.read()
+
+
 def question_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions made of orders, compiled to filters: the voltage bound and the clause."""
     kv, op = (F.col("o_orderkey") % 900 + 10).cast("string"), F.element_at(F.array(F.lit("不低于"), F.lit("不超过"), F.lit("高于"), F.lit("低于"), F.lit("电压为")), (F.col("o_orderkey") % 5 + 1).cast("int"))
@@ -406,8 +430,8 @@ def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, rrf_fusion, lexical_gate, filter_range, filter_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
+        doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
 
@@ -432,6 +456,9 @@ e AS (SELECT doc_id, CASE WHEN kept = 0 AND o <= 8 THEN 'keep' ELSE gate END AS
 SELECT doc_id, count(*) FILTER (WHERE gate = 'keep') AS kept, count(*) FILTER (WHERE gate = 'dup') AS dropped_dup, count(*) FILTER (WHERE gate = 'noise') AS dropped_noise, count(*) FILTER (WHERE gate = 'short') AS dropped_short FROM e GROUP BY doc_id
 """
 
+DENSE_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank::int AS rank FROM r WHERE rank <= 10"""
 WORDS_SQL = r"q AS (SELECT item_id AS query_id, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, {most}) AS terms FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}_]+') AS w FROM benchmark))"
 
 
@@ -472,9 +499,8 @@ ORACLE = {
     "like_fallback_rank": f"""WITH {LIKE_SQL},
         s AS (SELECT query_id, doc_id, part + CASE WHEN length(phrase) BETWEEN 1 AND 40 AND contains(body, phrase) THEN 6.0 ELSE 0.0 END AS score FROM l),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6)::double AS score, rank::int AS rank FROM r WHERE rank <= 10""",
-    "dense_topk": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank::int AS rank FROM r WHERE rank <= 10""",
+    "dense_topk": DENSE_SQL,
+    "dense_index_topk": DENSE_SQL,
     "rrf_fusion": f"""WITH {SCORED_SQL},
         a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
         {LIKE_SQL.split("FROM benchmark),", 1)[-1].strip()},
@@ -570,6 +596,9 @@ ORACLE = {
         WITH m AS (SELECT l_orderkey, l_linenumber, (l_partkey % 10) / 10.0::double AS a, (l_suppkey % 7) / 7.0::double AS b, (l_orderkey % 9) / 9.0::double AS c, (l_linenumber * 3)::double AS d FROM lineitem)
         SELECT l_orderkey, l_linenumber, round(greatest(0, least(100, 40 * a + 20 * b + 20 * c + 10 * a)), 6)::double AS ie, round(greatest(0, least(100, 25 * a + 25 * b + 35 * c + 15 * d)), 6)::double AS tab,
                round(greatest(0, least(100, 20 * a + 30 * b + 30 * c + 20 * d)), 6)::double AS qa, round(greatest(0, least(100, 40 * a + 30 * b + 20 * c + 10 * d)), 6)::double AS retr, CASE WHEN b = 0 THEN a = 0 ELSE abs(a - b) <= abs(b) * 0.05 END AS close FROM m""",
+    "merge_upsert": """
+        SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 30 = 0 THEN 'again' WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 15 <> 0 OR o_orderkey % 30 = 0
+        UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N' FROM orders WHERE o_orderkey % 10 = 0""",
     "key_upsert": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey - 1, 'N' FROM orders WHERE o_orderkey % 10 = 0""",
     "question_bounds": """
