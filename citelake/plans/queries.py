@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import clauses, text
 from citelake.functions.embedding import cosine
-from citelake.operators import dense_index, evaluate, evidence, extract, filters, fulltext, jobs, merge_store, normalize, quality, registry, retrieval, stores, tables
+from citelake.operators import dense_index, evaluate, evidence, extract, filters, fulltext, jobs, merge_store, normalize, payload_index, quality, registry, retrieval, stores, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
 from citelake.stages import stage_path, table
@@ -139,6 +139,22 @@ def filter_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.apply_filter(table(spark, sf_dir, "part"), spec).select("p_partkey", "p_size")
 
 
+def payload_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filter_range over rows that are laid out for it."""
+    index = payload_index.PayloadIndex(spark, stage_path(spark, "payload-index"))
+    index.write(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_returnflag"], files=32)
+    spec = {"must": [{"key": "l_quantity", "range": {"gte": 10, "lt": 25}}, {"key": "l_discount", "range": {"gt": 0.02, "lte": 0.06}}, {"key": "l_returnflag", "match": {"any": ["A", "R"]}}]}
+    return index.read(spec).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity").cast("double")), 2).alias("quantity"))
+
+
+def payload_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filter_any over two runs laid out for it."""
+    index, parts = payload_index.PayloadIndex(spark, stage_path(spark, "payload-index")), table(spark, sf_dir, "part")
+    for half in (0, 1):
+        index.write(parts.where(F.col("p_partkey") % 2 == half), ["p_size", "p_brand"], bloom=("p_brand",), files=8)
+    return index.read({"must": [{"key": "p_size", "match": {"any": [1, 7, 23]}}, {"key": "p_brand", "match": {"value": "Brand#7"}}]}).select("p_partkey", "p_size")
+
+
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is relevant for a benchmark item if it holds the item's text; the keyword route answers and is measured by
     the evaluation's own metrics."""
@@ -196,6 +212,27 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.read_latest(spark, f"{base}/state", stream.schema.toDDL(), keys, order).select("user_id", "event_id", "event_type")
 
 
+#: A job's silence that fails it, and how late events may come, in hours.
+SILENCE, LATE = 24, 1
+
+
+def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as events of versions' jobs (a signup queues, an error fails an attempt, a purchase is done), taken in by
+    a stateful stream that is stopped and started again twice from one checkpoint."""
+    from citelake.streaming import consumer
+
+    names = F.create_map(*[F.lit(x) for x in ("signup", consumer.QUEUED, "error", consumer.FAILED, "purchase", consumer.DONE)])
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("version_id"), "event_id", F.coalesce(names[F.col("event_type")], "event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    base, third = stage_path(spark, "job-stream"), F.ntile(3).over(Window.orderBy(F.col("day")))
+    days = events.select(F.to_date("ts").alias("day")).distinct().withColumn("part", third)  # a row a day
+    parts = events.join(days, F.to_date("ts") == F.col("day")).drop("day")
+    for part in (1, 2, 3):
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        consumer.run(stream, f"{base}/results", f"{base}/checkpoint", SILENCE * 3_600_000, f"{LATE} hours").awaitTermination()
+    return spark.read.schema(consumer.RESULT).parquet(f"{base}/results").withColumn("at", F.unix_millis("at"))
+
+
 def constraint_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best row of each group, then the first sixteen groups of each supplier."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("score"))
@@ -430,8 +467,8 @@ def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
+        doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any, payload_range, payload_any,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
 
@@ -514,6 +551,8 @@ ORACLE = {
         SELECT query_id, doc_id, rank::int AS rank FROM g WHERE score >= greatest(0.3, 0.9 * top)""",
     "filter_range": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity::double), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 25 AND l_discount > 0.02 AND l_discount <= 0.06 AND l_returnflag IN ('A', 'R') GROUP BY 1",
     "filter_any": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 23) AND p_brand = 'Brand#7'",
+    "payload_range": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity::double), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 25 AND l_discount > 0.02 AND l_discount <= 0.06 AND l_returnflag IN ('A', 'R') GROUP BY 1",
+    "payload_any": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 23) AND p_brand = 'Brand#7'",
     "retrieval_metrics": f"""WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
         h AS (SELECT b.item_id, min(r.rank) FILTER (WHERE contains(d.text, b.text)) AS rank, count(*) FILTER (WHERE contains(d.text, b.text)) AS n FROM benchmark b LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1),
         m AS (SELECT count(*) AS query_count, sum(n)::bigint AS relevant_hits, count(*) FILTER (WHERE rank <= 5) / count(*) AS at5, count(*) FILTER (WHERE rank <= 10) / count(*) AS at10, coalesce(sum(1.0 / rank), 0)::double / count(*) AS mrr FROM h)
@@ -596,6 +635,17 @@ ORACLE = {
         WITH m AS (SELECT l_orderkey, l_linenumber, (l_partkey % 10) / 10.0::double AS a, (l_suppkey % 7) / 7.0::double AS b, (l_orderkey % 9) / 9.0::double AS c, (l_linenumber * 3)::double AS d FROM lineitem)
         SELECT l_orderkey, l_linenumber, round(greatest(0, least(100, 40 * a + 20 * b + 20 * c + 10 * a)), 6)::double AS ie, round(greatest(0, least(100, 25 * a + 25 * b + 35 * c + 15 * d)), 6)::double AS tab,
                round(greatest(0, least(100, 20 * a + 30 * b + 30 * c + 20 * d)), 6)::double AS qa, round(greatest(0, least(100, 40 * a + 30 * b + 20 * c + 10 * d)), 6)::double AS retr, CASE WHEN b = 0 THEN a = 0 ELSE abs(a - b) <= abs(b) * 0.05 END AS close FROM m""",
+    "job_results": f"""
+        WITH e AS (SELECT user_id, event_type AS kind, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        s AS (SELECT user_id, min(n) AS first FROM e WHERE kind = 'signup' GROUP BY 1),
+        a AS (SELECT e.user_id, kind, t, n, n = first AS starts, lag(t) OVER w AS before, count(*) FILTER (WHERE kind = 'error') OVER w AS failures FROM e JOIN s ON s.user_id = e.user_id AND n >= first WINDOW w AS (PARTITION BY e.user_id ORDER BY n)),
+        o AS (SELECT *, t > before + {SILENCE} * 3600000 AS late FROM a),
+        f AS (SELECT * FROM o WHERE NOT starts AND (late OR kind = 'purchase' OR (kind = 'error' AND failures = 3)) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n) = 1),
+        l AS (SELECT user_id, max(t) AS t, max(failures) AS failures FROM o GROUP BY 1)
+        SELECT user_id::varchar AS version_id, CASE WHEN NOT late AND kind = 'purchase' THEN 'processed' ELSE 'failed' END AS status, CASE WHEN late THEN 'timeout' WHEN kind = 'purchase' THEN '' ELSE 'attempts' END AS reason,
+               (CASE WHEN late AND kind = 'error' THEN failures - 1 WHEN NOT late AND kind = 'purchase' THEN failures + 1 ELSE failures END)::int AS attempts, CASE WHEN late THEN before + {SILENCE} * 3600000 ELSE t END AS at FROM f
+        UNION ALL SELECT user_id::varchar, 'failed', 'timeout', failures::int, t + {SILENCE} * 3600000 FROM l
+        WHERE user_id NOT IN (SELECT user_id FROM f) AND t + {SILENCE} * 3600000 < (SELECT max(epoch_us(ts) // 1000) FROM events) - {LATE} * 3600000""",
     "merge_upsert": """
         SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 30 = 0 THEN 'again' WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 15 <> 0 OR o_orderkey % 30 = 0
         UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N' FROM orders WHERE o_orderkey % 10 = 0""",
