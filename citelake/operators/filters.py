@@ -158,11 +158,34 @@ def of_type(doc_type: Column) -> Column:
     return F.array(_condition("doc_type", value=doc_type)).cast(SPEC)
 
 
+#: Code points by which names are met first.
+ANCHOR = 4
+
+
+def names_in(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, question) and (name, ...) -> (query_id, name), once each: the names that a question holds.
+
+    The dictionary is a trie of two levels, each an equi-join that needs neither side in memory. Every place of a question
+    meets the distinct first code points of names (ANCHOR, or all of a shorter name) and learns how long the names are that
+    begin so; the text of each such length at that place then meets the names themselves. So names that all begin alike
+    give one row to the first join, and only whole names to the second. query_id must name a question."""
+    known = names.where("name <> ''").select("name").distinct()
+    first = known.select(F.substring("name", 1, ANCHOR).alias("anchor"), F.length("name").alias("size"))
+    anchors = first.groupBy("anchor").agg(F.collect_set("size").alias("sizes"))  # as many as there are lengths of names
+    q = questions.where(F.col("question").isNotNull()).select("query_id", "question")
+    short = [r[0] for r in known.where(F.length("name") < ANCHOR).select(F.length("name")).distinct().collect()]  # three at most
+    # overlapping matches of a look-ahead, but none within a pair of surrogates: one pass over the text for each length
+    spots = [q.select("query_id", F.posexplode(F.regexp_extract_all("question", F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))).alias("place", "anchor")) for n in [*short, ANCHOR]]
+    places = reduce(DataFrame.unionByName, spots).join(anchors, "anchor").groupBy("query_id").agg(F.collect_list(F.struct("place", "sizes")).alias("places"))
+    each = q.join(places, "query_id").select("query_id", "question", F.explode("places").alias("p")).select("query_id", "question", "p.place", F.explode("p.sizes").alias("size"))
+    texts = each.select("query_id", F.expr("substring(question, place + 1, size)").alias("name"), "size").where(F.length("name") == F.col("size")).select("query_id", "name").distinct()
+    return texts.join(known, "name").select("query_id", "name")
+
+
 def parse_questions(questions: DataFrame, entities: DataFrame | None = None, strict_standard: bool = True) -> DataFrame:
     """(query_id, question) with must (SPEC), sparse_query and dense_text.
 
-    entities: (kind, name, id); persons named in a question add their id, and with a role word their role. Entities are
-    met by a containment test against the few questions, which Spark broadcasts by its own size check."""
+    entities: (kind, name, id); persons named in a question add their id, and with a role word their role (names_in())."""
     q = text.strip(F.col("question"))
     kv = F.regexp_extract(q, fixed.VOLTAGE, 1).try_cast("int")
     amount = F.regexp_extract(q, fixed.AMOUNT, 1).try_cast("double") * F.when(F.regexp_extract(q, fixed.AMOUNT, 2) == "亿", 10000.0).otherwise(1.0)
@@ -176,7 +199,7 @@ def parse_questions(questions: DataFrame, entities: DataFrame | None = None, str
         named = questions.select("query_id", F.lit(None).cast("array<struct<name:string,id:string>>").alias("_persons"))
     else:
         persons = entities.where("kind = 'person' and name <> ''").select("name", "id")
-        named = questions.select("query_id", "question").join(persons, F.contains(F.col("question"), F.col("name"))).groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("name", "id"))).alias("_persons"))
+        named = names_in(questions, persons).join(persons, "name").groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("name", "id"))).alias("_persons"))
     rows = questions.join(named, "query_id", "left")
     people = F.coalesce("_persons", F.array().cast("array<struct<name:string,id:string>>"))
     by_person = F.flatten(F.transform(people, lambda p: F.filter(F.array(_condition("entity_person_ids", any_of=F.array(p["id"])), F.when(role.isNotNull(), _condition("rel_person_role", any_of=F.array(F.concat_ws("|", p["id"], role))))), lambda x: x.isNotNull())))

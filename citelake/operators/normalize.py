@@ -1,13 +1,14 @@
 """Pages to clean blocks and tables.
 
 Pages: (doc_id, version_id, page_no, blocks array<struct<type,text>>, tables array<struct<raw_text,...>>), a row a page.
-Everything is a projection, a window inside a page or a count per document; only the merge of tables across pages is a
-fold, since a table is compared with the merged table before it.
+Everything is a projection, a window or a count per document; only the merge of tables across pages reads in order, run by
+run, since a table is compared with the merged table before it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -75,30 +76,65 @@ def continues(above: list[str], rows: list[str], least: float) -> tuple[bool, bo
     return marked or same or header_similarity(header_signature(above), header_signature(rows)) >= least, same
 
 
+MERGED = "doc_id string, version_id string, table_id string, page_no int, page_start int, page_end int, order_in_page int, raw_text string"
+
+
+def table_runs(rows: DataFrame) -> DataFrame:
+    """Tables with text, and the run each is in: tables each on the page after the one before. A table never goes on from one
+    run to the next, whatever its header."""
+    order = Window.partitionBy(*DOC).orderBy("page_no", "order_in_page")
+    there = rows.where((F.col("page_no") > 0) & (text.strip(F.col("raw_text")) != ""))
+    after = F.coalesce(F.col("page_no") == F.lag("page_no").over(order) + 1, F.lit(False))
+    marked = there.withColumn("_new", F.when(after, 0).otherwise(1))
+    return marked.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+class _Merged:
+    """A table that later ones may go on from."""
+
+    def __init__(self, r, lines: list[str]):
+        self.run, self.lines, self.page_end = (r.doc_id, r.version_id, r.run), lines, r.page_no
+        self.fixed = (r.doc_id, r.version_id, r.table_id, r.page_no, r.page_no)
+        self.order_in_page = r.order_in_page
+
+    def takes(self, r, lines: list[str], least: float) -> bool:
+        """Adds the lines of the next table if it goes on with this one, its repeated header and last line left out."""
+        goes_on, same = continues(self.lines, lines, least) if r.page_no == self.page_end + 1 else (False, False)
+        if goes_on:
+            rest = [bare_first_line(lines[0]), *lines[1:]]
+            rest = rest[1:] if same and len(rest) > 1 else rest
+            self.lines += rest[1:] if rest and rest[0] == self.lines[-1] else rest
+            self.page_end = r.page_no
+        return goes_on
+
+    def row(self) -> tuple:
+        return (*self.fixed, self.page_end, self.order_in_page, "\n".join(self.lines).strip())
+
+
 def merged_across_pages(rows: DataFrame, least_similarity: float = 0.78) -> DataFrame:
-    """Tables that go on over the next page become one; a fold over each document's tables in order."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in group.sort_values(["page_no", "order_in_page"]).itertuples():
-            lines = [x.strip() for x in (r.raw_text or "").splitlines() if x.strip()]
-            if r.page_no <= 0 or not lines:
-                continue
-            joined = False
-            if out and r.page_no == out[-1]["page_end"] + 1:
-                joined, same = continues(out[-1]["lines"], lines, least_similarity)
-            if joined:
-                rest = [bare_first_line(lines[0]), *lines[1:]]
-                rest = rest[1:] if same and len(rest) > 1 else rest
-                if rest and rest[0] == out[-1]["lines"][-1]:
-                    rest = rest[1:]
-                out[-1]["lines"] += rest
-                out[-1]["page_end"] = r.page_no
-            else:
-                out.append({"doc_id": r.doc_id, "version_id": r.version_id, "table_id": r.table_id, "page_no": r.page_no, "page_start": r.page_no, "page_end": r.page_no, "order_in_page": r.order_in_page, "lines": lines})
-        return pd.DataFrame([{**{k: v for k, v in x.items() if k != "lines"}, "raw_text": "\n".join(x["lines"]).strip()} for x in out], columns=["doc_id", "version_id", "table_id", "page_no", "page_start", "page_end", "order_in_page", "raw_text"])
-
-    return rows.groupBy(*DOC).applyInPandas(fold, "doc_id string, version_id string, table_id string, page_no int, page_start int, page_end int, order_in_page int, raw_text string")
+    """Tables that go on over the next page become one. Runs are found by lag and a running sum and dealt out by themselves, so
+    a document's runs are many tasks'. Inside a run a table is compared with the first header of the merged table before it,
+    so a run is read in order, one merged table in memory at a time."""
+    names = [f.split()[0] for f in MERGED.split(", ")]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: _Merged | None = None
+        for batch in batches:
+            done = []
+            for r in batch.itertuples():
+                lines = [x.strip() for x in (r.raw_text or "").splitlines() if x.strip()]
+                if not lines:
+                    continue
+                if open_ and open_.run == (r.doc_id, r.version_id, r.run) and open_.takes(r, lines, least_similarity):
+                    continue
+                done += [open_.row()] if open_ else []
+                open_ = _Merged(r, lines)
+            yield pd.DataFrame(done, columns=names)
+        if open_:
+            yield pd.DataFrame([open_.row()], columns=names)
+
+    dealt = table_runs(rows).repartition(*DOC, "run").sortWithinPartitions(*DOC, "run", "page_no", "order_in_page")
+    return dealt.select(*DOC, "run", "table_id", "page_no", "order_in_page", "raw_text").mapInPandas(fold, MERGED)
 
 
 def normalize(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

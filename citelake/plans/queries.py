@@ -263,6 +263,23 @@ def offset_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.page_of_offset(offsets, spans).select(F.col("doc_id").alias("conv_id"), "offset", F.col("page_no").alias("turn"))
 
 
+def names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names of a dictionary (customers, and the benchmark's longer words) each document holds: how many, and the first
+    and last."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s]{5,}"), F.lit(0))).alias("name"))
+    names = words.unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))
+    found = filters.names_in(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), names)
+    return found.groupBy(F.col("query_id").alias("doc_id")).agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+
+
+def tables_across_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, their turns as pages with a table each: a table goes on where its first line is that of the
+    table before (likeness of headers is left out here: SQL has no such measure)."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.lit("v").alias("version_id"), F.concat(F.lit("t"), "turn").alias("table_id"), (F.col("turn") + 1 + F.floor(F.col("turn") / 3)).cast("int").alias("page_no"), F.lit(1).alias("order_in_page"), F.concat(F.col("turn").cast("int").bitwiseAND(2).cast("string"), F.lit(" head\n"), F.col("role"), F.lit(" "), F.length("text").cast("string")).alias("raw_text"))
+    got = normalize.merged_across_pages(turns, least_similarity=1.1)
+    return got.select("doc_id", "table_id", "page_start", "page_end", "raw_text")
+
+
 def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "customer").select("c_custkey", text.name_id(F.lit("person"), F.col("c_name")).alias("entity_id"))
     return names
@@ -468,7 +485,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any, payload_range, payload_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, names_in_documents, tables_across_pages, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
 
@@ -646,6 +663,15 @@ ORACLE = {
                (CASE WHEN late AND kind = 'error' THEN failures - 1 WHEN NOT late AND kind = 'purchase' THEN failures + 1 ELSE failures END)::int AS attempts, CASE WHEN late THEN before + {SILENCE} * 3600000 ELSE t END AS at FROM f
         UNION ALL SELECT user_id::varchar, 'failed', 'timeout', failures::int, t + {SILENCE} * 3600000 FROM l
         WHERE user_id NOT IN (SELECT user_id FROM f) AND t + {SILENCE} * 3600000 < (SELECT max(epoch_us(ts) // 1000) FROM events) - {LATE} * 3600000""",
+    "names_in_documents": r"""
+        WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s]{5,}')) AS name FROM benchmark UNION SELECT c_name FROM customer)
+        SELECT doc_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM documents JOIN n ON contains(text, name) GROUP BY doc_id""",
+    "tables_across_pages": """
+        WITH t AS (SELECT conv_id, turn, turn + 1 + turn // 3 AS page, (turn & 2) || ' head' AS head, role || ' ' || length(text) AS line FROM conversations),
+        g AS (SELECT *, CASE WHEN page = lag(page) OVER w + 1 AND head = lag(head) OVER w THEN 0 ELSE 1 END AS fresh, lag(line) OVER w AS above FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY page)),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY page) AS run FROM g)
+        SELECT conv_id::varchar AS doc_id, 't' || min(turn) AS table_id, min(page)::int AS page_start, max(page)::int AS page_end,
+               any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY page) FILTER (WHERE fresh = 1 OR line <> above) AS raw_text FROM r GROUP BY conv_id, run""",
     "merge_upsert": """
         SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 30 = 0 THEN 'again' WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 15 <> 0 OR o_orderkey % 30 = 0
         UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N' FROM orders WHERE o_orderkey % 10 = 0""",
