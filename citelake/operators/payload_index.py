@@ -71,17 +71,20 @@ def needed(c: filters.Condition, kind: T.DataType, strict: bool = False) -> list
     return out
 
 
-def pushable(spec: dict | None, schema: T.StructType, strict: bool = False) -> Column | None:
-    """A predicate over bare fields that a scan can push down and that the whole filter implies. Conditions on fields with a
-    stand-in, on arrays and on texts as numbers are left to the exact filter."""
+def plain_tests(spec: dict | None, schema: T.StructType, strict: bool = False) -> list[tuple[str, str, Any]]:
+    """(field, in | >= | <=, edge) for every plain test that the whole filter implies. Conditions on fields with a stand-in,
+    on arrays and on texts as numbers are left to the exact filter."""
     kinds = {f.name: f.dataType for f in schema}
+    plain = [c for c in filters.conditions(spec) if c.key in kinds and (strict or filters.STAND_IN.get(c.key) not in kinds)]
+    return [(c.key, op, edge) for c in plain for op, edge in needed(c, kinds[c.key], strict)]
+
+
+def pushable(spec: dict | None, schema: T.StructType, strict: bool = False) -> Column | None:
+    """A predicate over bare fields that a scan can push down and that the filter implies."""
     tests = []
-    for c in filters.conditions(spec):
-        if c.key in kinds and (strict or filters.STAND_IN.get(c.key) not in kinds):
-            field = F.col(f"`{c.key}`")
-            for op, edge in needed(c, kinds[c.key], strict):
-                lit = (lambda v, kind=kinds[c.key]: F.lit(v).cast(kind))
-                tests.append(field.isin(*edge) if op == "in" else field >= lit(edge) if op == ">=" else field <= lit(edge))
+    for name, op, edge in plain_tests(spec, schema, strict):
+        field, lit = F.col(f"`{name}`"), (lambda v, kind=schema[name].dataType: F.lit(v).cast(kind))
+        tests.append(field.isin(*edge) if op == "in" else field >= lit(edge) if op == ">=" else field <= lit(edge))
     return reduce(Column.__and__, tests) if tests else None
 
 
@@ -130,15 +133,12 @@ class PayloadIndex:
         files_ = written_.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), bounds.alias("bounds"))
         files_.select(F.concat(F.lit(f"{name}/"), F.element_at(F.split("f", "/"), -1)).alias("file"), "n", "bounds").coalesce(1).write.parquet(f"{self.path}/manifest/{name}")
 
-    def _may_hold(self, bounds: dict, spec: dict | None, schema: T.StructType, strict: bool) -> bool:
-        kinds = {f.name: f.dataType for f in schema}
-        for c in filters.conditions(spec):
-            if c.key in bounds and (strict or filters.STAND_IN.get(c.key) not in kinds):
-                kind, tests = kinds[c.key], needed(c, kinds[c.key], strict)
-                if not tests:
-                    continue
-                least, most = (_read(bounds[c.key][side], kind) for side in ("least", "most"))
-                if least is None or any(not any(least <= v <= most for v in edge) if op == "in" else most < edge if op == ">=" else least > edge for op, edge in tests):
+    @staticmethod
+    def _may_hold(bounds: dict, spec: dict | None, schema: T.StructType, strict: bool) -> bool:
+        for name, op, edge in plain_tests(spec, schema, strict):
+            if name in bounds:
+                least, most = (_read(bounds[name][side], schema[name].dataType) for side in ("least", "most"))
+                if least is None or (not any(least <= v <= most for v in edge) if op == "in" else most < edge if op == ">=" else least > edge):
                     return False
         return True
 

@@ -14,6 +14,7 @@ from citelake.functions.embedding import cosine
 from citelake.operators import dense_index, evaluate, evidence, extract, filters, fulltext, jobs, merge_store, normalize, payload_index, quality, registry, retrieval, stores, tables
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
+from citelake.sources import scroll
 from citelake.stages import stage_path, table
 
 
@@ -233,6 +234,30 @@ def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(consumer.RESULT).parquet(f"{base}/results").withColumn("at", F.unix_millis("at"))
 
 
+def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two batches joined with a dictionary of their types; between the batches it changes (a name, and one type is
+    left out)."""
+    from citelake.streaming import snapshots
+
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
+    types, base = events.select("event_type").distinct(), stage_path(spark, "snapshot-stream")
+    known = snapshots.Snapshots(spark, f"{base}/types")
+    versions = (types.select("event_type", F.upper("event_type").alias("name")), types.where("event_type <> 'error'").select("event_type", F.concat("event_type", F.lit("!")).alias("name")))
+    for half, version in enumerate(versions):
+        known.publish(version)
+        events.where((F.dayofmonth("day") > 15) == bool(half)).write.mode("append").parquet(f"{base}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        snapshots.run_joined(stream, known, lambda batch, names: batch.join(names, "event_type"), f"{base}/joined").awaitTermination()
+    return snapshots.results(spark, f"{base}/joined").select("event_id", "name")
+
+
+def scroll_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of some sizes, scrolled by key from a payload folder."""
+    path = stage_path(spark, "payload")
+    table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand").write.parquet(path)
+    return scroll.scrolled(spark, path, "p_partkey", {"must": [{"key": "p_size", "range": {"gte": 10, "lt": 20}}, {"key": "p_brand", "match": {"any": ["Brand#7", "Brand#12", "Brand#3"]}}]}).select("p_partkey", "p_size")
+
+
 def constraint_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best row of each group, then the first sixteen groups of each supplier."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("score"))
@@ -485,7 +510,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any, payload_range, payload_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, names_in_documents, tables_across_pages, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, snapshot_events, scroll_parts, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, names_in_documents, tables_across_pages, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
 
@@ -663,6 +688,8 @@ ORACLE = {
                (CASE WHEN late AND kind = 'error' THEN failures - 1 WHEN NOT late AND kind = 'purchase' THEN failures + 1 ELSE failures END)::int AS attempts, CASE WHEN late THEN before + {SILENCE} * 3600000 ELSE t END AS at FROM f
         UNION ALL SELECT user_id::varchar, 'failed', 'timeout', failures::int, t + {SILENCE} * 3600000 FROM l
         WHERE user_id NOT IN (SELECT user_id FROM f) AND t + {SILENCE} * 3600000 < (SELECT max(epoch_us(ts) // 1000) FROM events) - {LATE} * 3600000""",
+    "snapshot_events": "SELECT event_id, CASE WHEN day(ts) > 15 THEN event_type || '!' ELSE upper(event_type) END AS name FROM events WHERE day(ts) <= 15 OR event_type <> 'error'",
+    "scroll_parts": "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20 AND p_brand IN ('Brand#7', 'Brand#12', 'Brand#3')",
     "names_in_documents": r"""
         WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s]{5,}')) AS name FROM benchmark UNION SELECT c_name FROM customer)
         SELECT doc_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM documents JOIN n ON contains(text, name) GROUP BY doc_id""",
