@@ -96,3 +96,8 @@ MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVE
 DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
 SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org/""",
 }
+
+#: Words that tell one license from another where it is named (notices and headers); numbers do too.
+DECIDING = frozenset(
+    "mit apache bsd isc zlib gnu gpl agpl lgpl affero lesser library mozilla mpl eclipse epl creative commons cc by nc sa nd zero cc0 attribution noncommercial sharealike noderivatives noderivs artistic boost unlicense wtfpl cddl eupl postgresql".split()
+)

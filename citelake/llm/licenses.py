@@ -7,7 +7,12 @@ are anchors, the longest increasing subsequence of anchors is kept, and the gaps
 same way, down to gaps without anchors, where equal words at both ends are matched. Coverage is the share of the
 template's words that are matched.
 
-Defined results: null and empty texts hold no license; repeated rows each report; ties go to the first stretch; an
+Notices and headers differ in few words, so coverage alone would take one license for another: of the words that decide
+(names, and numbers for versions) every one of the template must be matched somewhere, and none of another license may
+stand between matched words. Of stretches that overlap, the one is kept whose matched words exceed its missing and its
+foreign ones by most, so a longer license that holds a shorter one's wording is reported alone.
+
+Defined results: null and empty texts hold no license; repeated rows each report; ties go to the first name and stretch; an
 empty table gives no rows; other columns pass through unless they bear the name of the result.
 """
 
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .license_texts import TEMPLATES
+from .license_texts import DECIDING, TEMPLATES
 from .seeds import SeedIndex, terms
 
 GRAM, SLACK = 3, 0.5
@@ -75,6 +80,32 @@ def patience(template: list[int], text: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def deciding(name: str, words: list[str]) -> set[str]:
+    """Words of a template that must be matched; whole texts are told by their wording."""
+    return set() if name.endswith("/text") else {w for w in words if w in DECIDING or w.isdigit()}
+
+
+def decided(needed: set[str], template: list[str], words: list[str], matched: list[tuple[int, int]]) -> bool:
+    """Whether all deciding words are matched, and none of other licenses stand between matched words."""
+    if not needed:
+        return True
+    own, there = set(template), {j for _, j in matched}
+    foreign = (words[j] for j in range(matched[0][1], matched[-1][1]) if j not in there)
+    return needed <= {template[i] for i, _ in matched} and not any(w in DECIDING and w not in own for w in foreign)
+
+
+def best_apart(found: list[tuple]) -> list[tuple]:
+    """Of (worth, name, coverage, matched, first, last): the best of each overlapping company, then each name's best."""
+    kept: list[tuple] = []
+    for hit in sorted(found, key=lambda h: (-h[0], h[1], h[4])):
+        if all(hit[5] < other[4] or other[5] < hit[4] for other in kept):
+            kept.append(hit)
+    first: dict[str, tuple] = {}
+    for hit in kept:
+        first.setdefault(hit[1], hit)
+    return [first[name] for name in sorted(first)]
+
+
 def with_licenses(docs: DataFrame, least: float = 0.8, text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """docs with licenses: array of (license_id, coverage, matched_words, first_word, last_word)."""
     docs = docs.drop("licenses")
@@ -83,25 +114,28 @@ def with_licenses(docs: DataFrame, least: float = 0.8, text: str = "text", templ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(chosen)
-        index = SeedIndex([terms(chosen[x]) for x in names], GRAM, least)
+        words_of = [terms(chosen[x]) for x in names]
+        needed = [deciding(x, w) for x, w in zip(names, words_of, strict=True)]
+        index = SeedIndex(words_of, GRAM, least)
         for big in batches:
             for start in range(0, big.num_rows, 500):
                 b = big.slice(start, 500)
                 found = []
                 for t in b.column(at).to_pylist():
-                    ids, got = index.ids(terms(t)), []
-                    for item, parts in sorted(index.windows(ids, index.codes, SLACK).items()):
-                        template, best = index.coded[item].tolist(), None
+                    words = terms(t)
+                    ids, got = index.ids(words), []
+                    for item, parts in index.windows(ids, index.codes, SLACK).items():
+                        template = index.coded[item].tolist()
                         for lo, hi in parts:
                             part = ids[lo:hi]
                             if index.shared(item, part) < least * len(template):
                                 continue
                             m = patience(template, part.tolist())
-                            if len(m) >= least * len(template) - 1e-9 and (best is None or len(m) > best[0]):
-                                best = (len(m), lo + m[0][1], lo + m[-1][1])
-                        if best:
-                            got.append({"license_id": names[item], "coverage": best[0] / len(template), "matched_words": best[0], "first_word": best[1], "last_word": best[2]})
-                    found.append(got)
+                            if len(m) >= least * len(template) - 1e-9 and decided(needed[item], words_of[item], words[lo:hi], m):
+                                first, last = lo + m[0][1], lo + m[-1][1]
+                                worth = len(m) - (len(template) - len(m)) - (last - first + 1 - len(m))
+                                got.append((worth, names[item], len(m) / len(template), len(m), first, last))
+                    found.append([{"license_id": h[1], "coverage": h[2], "matched_words": h[3], "first_word": h[4], "last_word": h[5]} for h in best_apart(got)])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, HIT_ARROW)], names=[*b.schema.names, "licenses"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("licenses", T.ArrayType(HIT))]))
