@@ -2,9 +2,8 @@
 
 A forest is a table of messages (tree, node, parent, role, text, score). Unbranched runs of replies are first joined
 into segments: each message points at its parent, and iterative self-joins double the pointers until all reach the
-head of their run, so a run of n replies takes log2(n) joins. (Trees in which every message answers the one with the next
-smaller id are one run as they stand and skip this.) A second loop of self-joins walks the much smaller tree
-of segments from the roots down and so enumerates every root-to-leaf path. Paths are ranked in their tree by mean
+head of their run, so a run of n replies takes log2(n) joins of narrow rows. A second loop of self-joins walks the much
+smaller tree of segments from the roots down and so enumerates every root-to-leaf path. Paths are ranked in their tree by mean
 score, and each chosen one is formatted as one conversation.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. In texts and roles every `<`, backslashes, `|` gets one
@@ -43,19 +42,8 @@ def unescape_role(role: Column) -> Column:
 
 
 def segments(nodes: DataFrame) -> DataFrame:
-    """(tree, node, parent) with distinct nodes -> (tree, node, head, depth): the head of each message's unbranched
-    run and its distance from it. Messages on a cycle of parents, which no root reaches, are left out."""
-    order, tree = Window.partitionBy("tree").orderBy("node"), Window.partitionBy("tree")
-    placed = nodes.select("tree", "node", "parent", F.lag("node").over(order).alias("before"), (F.row_number().over(order) - 1).cast("long").alias("depth"), F.min("node").over(tree).alias("head"))
-    follows = F.when(F.col("before").isNull(), F.col("parent").isNull() | (F.col("parent") < F.col("node"))).otherwise(F.coalesce(F.col("parent") == F.col("before"), F.lit(False)))
-    marked = common.written(placed.select("tree", "node", "parent", "head", "depth", F.min(follows).over(tree).alias("straight")), "reply-order")
-    straight = marked.where("straight").select("tree", "node", "head", "depth")
-    rest = marked.where("not straight").select("tree", "node", "parent")
-    return straight if rest.isEmpty() else straight.unionByName(_doubled(rest))
-
-
-def _doubled(nodes: DataFrame) -> DataFrame:
-    """segments() by pointers that double."""
+    """(tree, node, parent) with distinct nodes -> (tree, node, head, depth): the head of each message's unbranched run and
+    its distance from it, by pointers that double. Messages on a cycle of parents, which no root reaches, are left out."""
     kids = nodes.groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
     known = nodes.select("tree", F.col("node").alias("parent")).join(kids.withColumnRenamed("node", "parent"), ["tree", "parent"])
     up = nodes.join(known, ["tree", "parent"], "left")

@@ -7,8 +7,8 @@ repeats inside its own text) can be repeated; no other window needs a look.
 
 Each batch of documents becomes immutable runs, hash-bucketed and sorted: minimizer rows and the new texts, each once. A
 new batch is merge-joined with itself and with every older run (sort-merge joins over the buckets, no exchange). What
-matches is verified: the windows in question are taken from the texts and fingerprinted by 128 bits (two polynomials over
-two independent word hashes, each an injective or xxh3 hash of the word's bytes); in each fingerprint the first place by
+matches is verified: the windows in question are taken from the texts and fingerprinted by 128 bits (two hashes of doubled blocks
+over two independent word hashes, each an injective or xxh3 hash of the word's bytes); in each fingerprint the first place by
 (batch, doc_id, start) wins and every other place is a repeat. More than `max_runs` runs of a kind are merged into one
 (compaction). A manifest in the index's folder names the runs, so `FingerprintIndex.open` goes on in another session; a
 batch that fails leaves the manifest, and so the index, as it was. Runs that a compaction has replaced stay until
@@ -64,6 +64,25 @@ def rolled(w: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
         power, length = power * power, length * 2
 
 
+def blocks_hashed(w: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
+    """Hash of every n consecutive words by doubled blocks: each joint of two blocks goes through an invertible mix, with a
+    factor of its own, so words that stand in another order give another hash however regular they are (a polynomial modulo
+    2^64 takes some long sequences of two words for each other)."""
+    part, length, out, done = w, 1, None, 0
+    joint = lambda a, b, k: common.mix(a * (base + np.uint64(2 * k)) + b)
+    while True:
+        if n & length:
+            if out is None:
+                out = part
+            else:
+                tail = part[done : done + max(0, len(w) - done - length + 1)]
+                out = joint(out[: len(tail)], tail, n + length)
+            done += length
+        if done == n:
+            return out
+        part, length = joint(part[: max(0, len(part) - length)], part[length:], length), length * 2
+
+
 def with_owner(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Values that also depend on the text they are from."""
     with np.errstate(over="ignore"):
@@ -106,7 +125,7 @@ class Windows:
             return np.empty(0, np.uint64)
         with np.errstate(over="ignore"):
             w, base = (self.found.hashes(1), _Q) if second else (self.words, _P)
-            return common.mix(rolled(w, self.size, base))[self.at]
+            return common.mix(blocks_hashed(w, self.size, base))[self.at]
 
 
 def _some_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -303,3 +303,22 @@ def test_components_of_long_chains_and_stars(spark):
 
 def test_hash_of_kept_text_is_stable():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_regular_windows_of_any_size_are_told_apart(spark):
+    """Sequences of two words that polynomials modulo 2^64 take for each other."""
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - b for b in bits]
+    one, two = (" ".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, two), (3, "x " + two)], "doc_id long, text string")
+    _, results = substrings.remove_repeats(df, 2048)
+    assert sorted(r.n_removed for r in results.collect()) == [0, 0, 2048]
+    w = np.random.default_rng(1).integers(0, 4, 300).astype(np.uint64)
+    for n in (1, 2, 3, 8, 13, 20, 64, 299, 300):
+        with np.errstate(over="ignore"):
+            got = substrings.blocks_hashed(common.mix(w + np.uint64(1)), n, np.uint64(7))
+        by = {}
+        for i, h in enumerate(got.tolist()):
+            by.setdefault(h, set()).add(tuple(w[i : i + n].tolist()))
+        assert len(got) == 300 - n + 1 and len(by) == len({tuple(w[i : i + n].tolist()) for i in range(len(got))}) and all(len(x) == 1 for x in by.values())

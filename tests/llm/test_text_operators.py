@@ -44,6 +44,24 @@ def test_escapes_are_undone(spark):
 MESSAGES = "tree long, node long, parent long, role string, text string, score double"
 
 
+def test_a_deep_comb_and_a_very_long_text(spark):
+    """One side reply a message: as many paths as messages, enumerated by self-joins."""
+    n = 24
+    rows = [(1, i, i - 1 if i else None, "user", f"m{i}", 0.0) for i in range(n)] + [(1, 100 + i, i, "assistant", "y" * 2_000_000 if i == 3 else f"s{i}", float(i)) for i in range(n)]
+    got = chat.paths(spark.createDataFrame(rows, MESSAGES)).select("path", "place", "text").collect()
+    want = {(100 + i, k, f"m{k}") for i in range(n) for k in range(i + 1)} | {(100 + i, i + 1, "y" * 2_000_000 if i == 3 else f"s{i}") for i in range(n)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_the_query_enumerates_paths_by_self_joins(spark, monkeypatch):
+    joined = []
+    written = chat.common.written
+    monkeypatch.setattr(chat.common, "written", lambda df, label: joined.append(label) or written(df, label))
+    rows = spark.createDataFrame([(c, t, "user", f"t{t}") for c in range(3) for t in range(9)], "conv_id long, turn long, role string, text string")
+    assert chat.paths(chat.conversation_messages(rows)).count() == 27
+    assert joined.count("reply-runs") >= 5  # pointers over nine turns double four times
+
+
 def test_reply_trees(spark):
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "good", 0.9), (1, 3, 1, "assistant", "bad", 0.1), (1, 4, 2, "user", "thanks", 0.9), (1, 5, 4, "assistant", None, 0.9), (2, 9, 77, "user", "lone", 0.0), (None, 1, None, "user", "no id", 0.0)]
     got = chat.format_paths(chat.paths(spark.createDataFrame(rows, MESSAGES))).collect()
