@@ -153,6 +153,17 @@ def denoised_lines(pages: DataFrame, reject: list[str], share: float = 0.2, long
     return each.join(common, [*keys, "line"], "left_anti").select(*keys, "page_no", "line_no", "line")
 
 
+def denoised_blocks(pages: DataFrame, reject: list[str], share: float = 0.2, longest: int = 50, keys: tuple[str, ...] = ("doc_id", "version_id")) -> DataFrame:
+    """Pages (keys, page_no, blocks, ...; a row a page) whose blocks' texts are lines that denoised_lines() keeps; blocks without
+    text stay, blocks of several lines go."""
+    said = F.filter(F.transform("blocks", lambda b: text.strip(b["text"])), lambda t: t != "")
+    lines = denoised_lines(pages.select(*keys, "page_no", F.array_join(said, "\n").alias("text")), reject, share, longest, keys)
+    kept = lines.groupBy(*keys, "page_no").agg(F.collect_set(text.strip(F.col("line"))).alias("_kept"))
+    joined = pages.join(kept, [*keys, "page_no"], "left")
+    fine = F.filter("blocks", lambda b: (text.strip(b["text"]) == "") | F.coalesce(F.array_contains("_kept", text.strip(b["text"])), F.lit(False)))
+    return joined.withColumn("blocks", fine).drop("_kept")
+
+
 def in_bands(page_height: Column, top: Column, bottom: Column, header: float = 0.08, footer: float = 0.08) -> Column:
     """Whether a box lies inside the header or footer band; unknown boxes do not."""
     return F.coalesce((bottom <= page_height * header) | (top >= page_height * (1 - footer)), F.lit(False))

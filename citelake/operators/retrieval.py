@@ -2,7 +2,8 @@
 
 Questions are few and stated; each route takes them all against all rows. A route scores in the tasks that read the rows:
 a task keeps its k best of every question, so that only those leave it. Questions go out in blocks of a bounded size
-(BLOCK_BYTES, MAX_QUERIES), each against one reading of the rows, so that no plan multiplies two large tables."""
+(BLOCK_BYTES, MAX_QUERIES), each against one reading of the rows, so that no plan multiplies two large tables and nothing
+that is collected or sent grows with their number."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ import json
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import reduce, wraps
 
 import ahocorasick
 import numpy as np
@@ -26,8 +27,10 @@ from citelake.functions import clauses, fixed, text
 from citelake.functions.embedding import Hasher
 
 MAX_QUERIES = 1024
-#: Bytes of question vectors, and terms, that are sent out at a time.
-BLOCK_BYTES, MAX_TERMS = 64 << 20, 100_000
+#: Bytes of question vectors that are sent out at a time.
+BLOCK_BYTES = 64 << 20
+#: Files from which on what tasks have found is merged in two steps, and groups of the first.
+MANY_FILES, FIRST_STEP = 1000, 256
 
 
 def query_blocks(queries: DataFrame, size: int = MAX_QUERIES) -> list[DataFrame]:
@@ -79,9 +82,9 @@ class Terms:
 
     def __init__(self, terms: Iterable[str]):
         self.names = sorted({t for t in terms if t})
-        self.place = {t: i for i, t in enumerate(self.names)}
+        self.places = {t: i for i, t in enumerate(self.names)}
         self.automaton = ahocorasick.Automaton()
-        for t, i in self.place.items():
+        for t, i in self.places.items():
             self.automaton.add_word(t, (i, len(t)))
         if self.names:
             self.automaton.make_automaton()
@@ -95,44 +98,39 @@ class Terms:
                 found[i] = found.get(i, 0) + 1
         return found
 
-    def matrix(self, bodies: list) -> np.ndarray:
-        """Counts, a row a text and a column a term."""
-        out = np.zeros((len(bodies), len(self.names)))
-        for n, body in enumerate(bodies):
-            got = self.counts(body)
-            out[n, list(got)] = list(got.values())
-        return out
 
-    def weights(self, wanted: list[list[tuple[str, float]]]) -> np.ndarray:
-        """Each question's weights of its terms, a row a term and a column a question."""
-        out = np.zeros((len(self.names), len(wanted)))
-        for j, question in enumerate(wanted):
-            for term, w in question:
-                if term:
-                    out[self.place[term], j] += w
+class Weights:
+    """Questions' weights of their terms, kept by term: scores() adds them up for texts, without a matrix of terms."""
+
+    def __init__(self, terms: Terms, wanted: list[list[tuple[str, float]]]):
+        found = [(terms.places[t], j, w) for j, question in enumerate(wanted) for t, w in question if t]
+        found.sort(key=lambda x: x[0])
+        self.questions, self.weight = np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.float64)
+        self.start = np.searchsorted([x[0] for x in found], np.arange(len(terms.names) + 1))
+        self.width = len(wanted)
+
+    def scores(self, counts: list[dict[int, int]], worth: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """A row a text (its terms' counts) and a column a question: weights times what a count is worth, summed."""
+        out = np.zeros((len(counts), self.width))
+        for row, found in zip(out, counts, strict=True):
+            if found:
+                at = np.fromiter(found, np.int64, len(found))
+                size = self.start[at + 1] - self.start[at]
+                value = np.repeat(worth(np.fromiter(found.values(), np.float64, len(found))), size)
+                some = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                row += np.bincount(self.questions[some], weights=self.weight[some] * value, minlength=self.width)
         return out
 
 
-def term_hits(rows: DataFrame, keys: list[str], body: Column, wanted: DataFrame) -> DataFrame:
-    """(keys, term, n): non-overlapping occurrences in each row's body of every term of wanted (query_id, term, ...), by
-    one automaton over all terms (MAX_TERMS at a time), so that a row is read once however many questions there are."""
-    distinct = wanted.select("term").where("term <> ''").distinct()
-    parts = max(1, -(-distinct.count() // MAX_TERMS))
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    slim, found = rows.select(*keys, body.alias("_body")), []
-    for part in range(parts):
-        some = distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
-        sent = rows.sparkSession.sparkContext.broadcast([r[0] for r in some.collect()])
+def in_blocks(route: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A route (rows, queries, ...) for any number of questions: each block of MAX_QUERIES against one reading of the rows, so
+    that what is collected and sent out does not grow with their number."""
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            terms = Terms(sent.value)
-            for b in batches:
-                each = [terms.counts(t) for t in b.column(len(keys)).to_pylist()]
-                kept = b.take(pa.array([k for k, x in enumerate(each) for _ in x], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns[: len(keys)], pa.array([terms.names[i] for x in each for i in x], pa.string()), pa.array([n for x in each for n in x.values()], pa.int64())], names=[*keys, "term", "n"])
+    @wraps(route)
+    def run(rows: DataFrame, queries: DataFrame, *args, **options) -> DataFrame:
+        return reduce(DataFrame.unionByName, [route(rows, some, *args, **options) for some in query_blocks(queries)])
 
-        found.append(slim.mapInArrow(run, f"{kinds}, term string, n long"))
-    return reduce(DataFrame.unionByName, found)
+    return run
 
 
 def _passed(queries: DataFrame) -> tuple[list[str], list[str], Column]:
@@ -143,6 +141,7 @@ def _passed(queries: DataFrame) -> tuple[list[str], list[str], Column]:
     return ["spec"], ["_pass"], F.col("spec").isNull() | F.get("_pass", F.col("spec"))
 
 
+@in_blocks
 def keyword_best(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
     """(query_id, ordinal, score, rank) of keyword_search()."""
     asked = queries.select("query_id", *_passed(queries)[0], "terms").collect()
@@ -151,8 +150,8 @@ def keyword_best(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordi
     def scorer() -> Scorer:
         wanted = [[(t, 1 + min(len(t), 12) / 12.0) for t in q] for q in sent.value]
         terms = Terms(t for q in wanted for t, _ in q)
-        weights = terms.weights(wanted)
-        return lambda bodies: positive(np.log1p(terms.matrix(bodies.to_pylist())) @ weights)
+        weights = Weights(terms, wanted)
+        return lambda bodies: positive(weights.scores([terms.counts(t) for t in bodies.to_pylist()], np.log1p))
 
     return best_in_tasks(rows, queries, asked, k, F.coalesce(body, F.lit("")), [ordinal], scorer)
 
@@ -169,6 +168,7 @@ def filter_keyword_search(rows: DataFrame, queries: DataFrame, k: int, body: Col
     return hits.withColumns({"score": F.col("score") * 5.0, "route": F.lit("filter_keyword")})
 
 
+@in_blocks
 def like_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, page_no, score, rank) of like_search()."""
     spec = _passed(queries)[0]
@@ -179,8 +179,8 @@ def like_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def scorer() -> Scorer:
         wanted = [[(phrase, 6.0)] * (1 <= len(phrase) <= 40) + [(t, round(1 + min(len(t), 8) / 8.0, 3)) for t in q] for phrase, q in sent.value]
         terms = Terms(t for q in wanted for t, _ in q)
-        weights = terms.weights(wanted)
-        return lambda bodies: positive((terms.matrix(bodies.to_pylist()) > 0) @ weights)
+        weights = Weights(terms, wanted)
+        return lambda bodies: positive(weights.scores([terms.counts(t) for t in bodies.to_pylist()], np.ones_like))
 
     return best_in_tasks(pages, queries, asked, k, F.lower(text.without_space(F.coalesce("text", F.lit("")))), ["page_no", "doc_id"], scorer)
 
@@ -250,6 +250,7 @@ def cover_density(alternatives: list[list[tuple[str, ...]]], places: dict[str, n
     return score
 
 
+@in_blocks
 def fts_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Full-text search of queries (query_id, query: see websearch()) in pages (doc_id, page_no, text) by cover_density(),
     without an index of every word: one reading of the pages."""
@@ -303,6 +304,7 @@ def fts_search(index: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ..
     return top_k(page.select("query_id", *keys, cover("_p").alias("score")), k, F.desc(F.round("score", 9)), *[F.col(c) for c in keys]).withColumn("route", F.lit("sparse"))
 
 
+@in_blocks
 def sidecar_search(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Phrase and token counts: 20 for the phrase, 28 for it without spaces, each token (plain and without spaces) by
     occurrences times 1 + min(length, 10) / 10. queries: (query_id, query, tokens); pages: (doc_id, page_no, text)."""
@@ -315,12 +317,12 @@ def sidecar_search(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         tokens = [[(t, 1 + min(len(t), 10) / 10.0) for t in q] for *_, q in sent.value]
         phrases = [[[(x[side], worth)] for x in sent.value] for side, worth in ((0, 20.0), (1, 28.0))]
         terms = Terms(t for group in (tokens, *phrases) for q in group for t, _ in q)
-        each, whole = terms.weights(tokens), [terms.weights(p) for p in phrases]
+        each, whole = Weights(terms, tokens), [Weights(terms, p) for p in phrases]
 
         def score(bodies: pa.Array) -> np.ndarray:
             halves = zip(*(b.split("\0", 1) for b in bodies.to_pylist()), strict=True)
-            counts = [terms.matrix(list(h)) for h in halves]
-            return positive(sum(c @ each + (c > 0) @ w for c, w in zip(counts, whole, strict=True)))
+            counts = [[terms.counts(t) for t in h] for h in halves]
+            return positive(sum(each.scores(c, lambda n: n) + w.scores(c, np.ones_like) for c, w in zip(counts, whole, strict=True)))
 
         return score
 
@@ -384,7 +386,11 @@ def best_in_tasks(rows: DataFrame, queries: DataFrame, asked: list, k: int, body
 
     found = rows.select(*keys, *has, body.alias("_body")).mapInArrow(run, f"_q int, {kinds}, score double")
     named = rows.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], f"_q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return top_k(found.join(F.broadcast(named), "_q").drop("_q"), k, F.desc(F.round("score", 9)), *[F.col(c) for c in keys])
+    best = [F.desc(F.round("score", 9)), *[F.col(c) for c in keys]]
+    if len(rows.inputFiles()) > MANY_FILES:  # many tasks' finds of one question meet in groups first
+        found = found.withColumn("_g", F.struct("_q", F.pmod(F.xxhash64(*keys), F.lit(FIRST_STEP)).alias("g")))
+        found = top_k(found, k, *best, group="_g").drop("_g", "rank")
+    return top_k(found.join(F.broadcast(named), "_q").drop("_q"), k, *best)
 
 
 def dense_best(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ordinal: str = "ordinal") -> DataFrame:
@@ -442,6 +448,7 @@ def first_rows(rows: DataFrame, queries: DataFrame, k: int, ordinal: str = "ordi
     return top_k(met, k, F.col(ordinal)).withColumn("route", F.lit("dense"))
 
 
+@in_blocks
 def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal", dim: int = 1024) -> DataFrame:
     """dense_search() over hash vectors of rows' bodies and queries (query_id, query), as (query_id, ordinal, score, rank)."""
     asked = queries.select("query_id", *_passed(queries)[0], F.lower(F.coalesce("query", F.lit(""))).alias("query")).collect()

@@ -70,13 +70,17 @@ FLAGS = ["question", "terms", "standards", "clauses", "precision", "table_query"
 
 
 def search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFrame | None = None, low: DataFrame | None = None, routes: dict[str, int] | None = None, search_filter: dict | None = None) -> DataFrame:
-    """The hits of _search()."""
-    return _search(rows, questions, k, entities, low, routes, search_filter)[0]
+    """The hits of _search(), for questions in blocks of a bounded number."""
+    return reduce(DataFrame.unionByName, [_search(rows, some, k, entities, low, routes, search_filter)[0] for some in retrieval.query_blocks(questions)])
 
 
 def cited(rows: DataFrame, questions: DataFrame, k: int = 16, explanations: int = 1, **how) -> DataFrame:
     """Citations of the hits with up to `explanations` explanation siblings of each clause cited (0: none, which is the
-    reference's default)."""
+    reference's default), for questions in blocks of a bounded number."""
+    return reduce(DataFrame.unionByName, [_cited(rows, some, k, explanations, **how) for some in retrieval.query_blocks(questions)])
+
+
+def _cited(rows: DataFrame, questions: DataFrame, k: int, explanations: int, **how) -> DataFrame:
     hits, rows, asked = _search(rows, questions, k, **how)
     shown = retrieval.citations(hits)
     if not explanations:
@@ -87,7 +91,7 @@ def cited(rows: DataFrame, questions: DataFrame, k: int = 16, explanations: int
 
 
 def _local(questions: DataFrame) -> DataFrame:
-    """Questions, which are few and stated, as rows of the plan itself: every route reads them, none makes them again."""
+    """A block of questions as rows of the plan itself: every route reads them, none makes them again."""
     return questions.sparkSession.createDataFrame(questions.collect(), questions.schema)
 
 
@@ -126,14 +130,14 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
         both = found[0].unionByName(found[1]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_pass_no", "rank")))
         both = both.groupBy("query_id", "ordinal").agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias("rank"))
         chapter = retrieval.clause_prefix_hits(fetched(routed(both, "chapter_prefix")).join(asked.select("query_id", "prefixes"), "query_id"))
-        early.append(chapter.select(*fields).persist())
+        early.append(written(chapter.select(*fields), "chapter-hits"))
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
     if named[1]:
         wanted = wanting(open_.where(F.size("clauses") > 0), "spec_all", F.explode("clauses").alias("clause_id"))
         exact = rows.join(wanted, "clause_id").where(F.col("spec").isNull() | F.get("_pass", F.col("spec"))).withColumn("score", F.lit(0.0))
         told = F.coalesce("source_type", F.lit("")) != "explanation"
         exact = exact.withColumn("_told", F.max(told).over(Window.partitionBy("query_id"))).where(~F.col("_told") | told)
-        early.append(retrieval.top_k(exact, depth["clause"], F.col("ordinal")).withColumn("route", F.lit("clause_exact")).select(*fields).persist())
+        early.append(written(retrieval.top_k(exact, depth["clause"], F.col("ordinal")).withColumn("route", F.lit("clause_exact")).select(*fields), "clause-hits"))
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
     open_ = _local(open_)
 

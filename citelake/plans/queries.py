@@ -1,7 +1,7 @@
 """Registered queries of the engine's own operators over the driver's tables, with their SQL.
 
 The tables hold Latin-script prose, so question terms are words. Questions are the whole texts of the whole `benchmark`
-table; their terms are their distinct words of four letters or more.
+table; their terms are their distinct words of four characters or more, whatever their letters.
 """
 
 from __future__ import annotations
@@ -22,12 +22,15 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+WORD4 = r"[\p{L}\p{M}\p{Nd}_]{4,}"
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD4), F.lit(0))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(words).alias("terms"))
 
 
-QUESTIONS_SQL = "q AS (SELECT item_id AS query_id, text AS query, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS terms FROM benchmark)"
+QUESTIONS_SQL = f"q AS (SELECT item_id AS query_id, text AS query, list_distinct(regexp_extract_all(lower(text), '{WORD4}')) AS terms FROM benchmark)"
 SCORED_SQL = f"""{QUESTIONS_SQL},
 t AS (SELECT query_id, unnest(terms) AS term FROM q),
 s AS (SELECT query_id, doc_id, sum((1 + least(length(term), 12) / 12.0) * ln(1 + (length(body) - length(replace(body, term, ''))) / length(term))) AS score
@@ -78,6 +81,14 @@ def repeat_line_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy(F.col("page_no").alias("doc_id")).agg(F.count("*").alias("kept"), F.sum(F.length("line").cast("long")).alias("kept_chars"))
 
 
+def denoised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks: each line of a document is a block of its page."""
+    block = lambda x: F.struct(F.lit("paragraph").alias("type"), x.alias("text"))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.transform(F.split("text", r"\r\n|[\n\r]", -1), block).alias("blocks"))
+    kept = normalize.denoised_blocks(pages, ["licen[sc]e"], keys=("doc_id",))
+    return kept.select(F.col("page_no").alias("doc_id"), F.size("blocks").alias("blocks"), F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + F.length(b["text"])).alias("chars"))
+
+
 def page_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of web pages and documents."""
     pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("body"))
@@ -351,7 +362,7 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold all of an item's words (four letters or more), by the inverted index."""
+    """Documents that hold all of an item's words (four characters or more), by the inverted index."""
     pages = docs_of(spark, sf_dir).withColumn("page_no", F.lit(1))
     asked = questions(spark, sf_dir).select("query_id", "terms")
     return retrieval.fts_search(retrieval.inverted_index(pages), asked, 1_000_000_000).select("query_id", "doc_id")
@@ -509,7 +520,7 @@ def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any, payload_range, payload_any,
+        doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, denoised_blocks, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any, payload_range, payload_any,
         retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, snapshot_events, scroll_parts, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, names_in_documents, tables_across_pages, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
     )
 }
@@ -690,6 +701,13 @@ ORACLE = {
         WHERE user_id NOT IN (SELECT user_id FROM f) AND t + {SILENCE} * 3600000 < (SELECT max(epoch_us(ts) // 1000) FROM events) - {LATE} * 3600000""",
     "snapshot_events": "SELECT event_id, CASE WHEN day(ts) > 15 THEN event_type || '!' ELSE upper(event_type) END AS name FROM events WHERE day(ts) <= 15 OR event_type <> 'error'",
     "scroll_parts": "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20 AND p_brand IN ('Brand#7', 'Brand#12', 'Brand#3')",
+    "denoised_blocks": r"""
+        WITH b AS (SELECT source, doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) AS raw FROM documents), l AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12)) AS line FROM b),
+        p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1),
+        c AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' AND NOT regexp_matches(line, '(?i)licen[sc]e') AND length(line) <= 50 GROUP BY 1, 2),
+        d AS (SELECT c.source, line FROM c JOIN p ON p.source = c.source WHERE n >= greatest(1, floor(pages * 0.2)))
+        SELECT doc_id, count(raw)::int AS blocks, coalesce(sum(length(raw)), 0)::bigint AS chars FROM documents LEFT JOIN (SELECT l.doc_id, raw FROM l LEFT JOIN d ON d.source = l.source AND d.line = l.line
+          WHERE l.line = '' OR (d.line IS NULL AND NOT regexp_matches(l.line, '(?i)licen[sc]e'))) USING (doc_id) GROUP BY doc_id""",
     "names_in_documents": r"""
         WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s]{5,}')) AS name FROM benchmark UNION SELECT c_name FROM customer)
         SELECT doc_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM documents JOIN n ON contains(text, name) GROUP BY doc_id""",

@@ -272,3 +272,30 @@ def test_the_loose_chapter_pass_finds_continuations(spark):
     q = spark.createDataFrame([(1, "4.3 章电容器安装有哪些规定")], "query_id int, question string")
     got = {r.doc_id for r in hybrid.search(hybrid.plain_rows(rows), q, 5, routes={"chapter": 1}).collect()}
     assert "b" in got and len(got) == 2  # one by each pass
+
+
+def test_routes_take_questions_in_blocks_and_merge_in_two_steps(spark, tmp_path, monkeypatch):
+    """Any number of questions, many files: the same hits as in one block."""
+    docs = spark.createDataFrame([(i, 1, f"alpha beta w{i % 7} w{i % 11} été{i % 3}") for i in range(120)], "doc_id long, page_no int, text string")
+    docs.repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    asked = spark.createDataFrame([(i, f"w{i % 7} été{i % 3}", [f"w{i % 7}", f"été{i % 3}"]) for i in range(23)] + [(90, None, None), (91, "", [])], "query_id long, query string, terms array<string>")
+    tokens = asked.withColumn("tokens", F.coalesce("terms", F.array().cast("array<string>")))
+    routes = {
+        "keyword": lambda: retrieval.keyword_best(docs, asked, 4, F.lower("text"), "doc_id"), "like": lambda: retrieval.like_best(docs, asked, 4), "fts": lambda: retrieval.fts_best(docs, asked, 4),
+        "sidecar": lambda: retrieval.sidecar_search(docs, tokens, 4), "hash": lambda: retrieval.hash_search(docs, asked, 4, F.col("text"), "doc_id"),
+    }
+    got = lambda f: sorted(map(str, f().select("query_id", "doc_id", F.round("score", 6), "rank").collect()))
+    one = {name: got(f) for name, f in routes.items()}
+    assert all(one.values())
+    blocks = retrieval.query_blocks
+    monkeypatch.setattr(retrieval, "query_blocks", lambda q, size=5: blocks(q, size))
+    monkeypatch.setattr(retrieval, "MANY_FILES", 1)
+    assert {name: got(f) for name, f in routes.items()} == one
+
+
+def test_weights_add_up_like_a_matrix():
+    terms = retrieval.Terms(["a", "b", "cc"])
+    wanted = [[("a", 1.0), ("cc", 2.0), ("", 9.0)], [], [("b", 0.5), ("b", 0.5)]]
+    got = retrieval.Weights(terms, wanted).scores([terms.counts(t) for t in ("aacc", "b", "", None)], lambda n: n)
+    assert got.tolist() == [[4.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
