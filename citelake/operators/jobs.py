@@ -83,6 +83,21 @@ def scored(samples: DataFrame) -> DataFrame:
     return samples.withColumn("score_total", score.otherwise(formula(*map(value, names))))
 
 
+def executed(samples: DataFrame, answers: DataFrame) -> DataFrame:
+    """An evaluation run over stored answers: samples (sample_id, task_type, question, answer: the truth) with answers
+    (sample_id, pred, provider, model; one a sample) -> sample_id, task_type, provider, model, score_total, breakdown, and
+    the two documents of a sample's outcome, pred_json and diff_json. A sample without an answer counts as an empty one."""
+    rows = samples.join(answers, "sample_id", "left")
+    pred, truth = strip(F.col("pred")), strip(F.col("answer"))
+    cited, hit = F.contains(pred, F.lit("引用")) | F.contains(pred, F.lit("证据")), (truth != "") & F.contains(pred, truth)
+    kind = F.upper(F.coalesce(F.nullif("task_type", F.lit("")), F.lit("QA")))
+    made = rows.select("sample_id", kind.alias("task_type"), F.coalesce("provider", F.lit("stub")).alias("provider"), F.coalesce("model", F.lit("stub-mvp")).alias("model"), F.coalesce("pred", F.lit("")).alias("pred"), F.coalesce("answer", F.lit("")).alias("truth"), F.struct(F.when(cited, 1.0).otherwise(0.5).alias("cite_presence"), F.when(hit, 1.0).otherwise(0.0).alias("exact_hit")).alias("breakdown"), evaluate.score_answer(cited, hit).alias("score_total"))
+    none, match = F.create_map().cast("map<string,string>"), F.col("score_total") >= 80
+    diff = F.struct(F.struct("truth", "pred", match.alias("match")).alias("qa"), none.alias("ie"), none.alias("table"), none.alias("retrieval"))
+    said = F.to_json(F.struct("sample_id", "task_type", "provider", "model", "pred", "truth"))
+    return made.select("sample_id", "task_type", "provider", "model", "score_total", "breakdown", said.alias("pred_json"), F.to_json(F.struct("sample_id", "task_type", "score_total", "breakdown", diff.alias("diff"))).alias("diff_json"))
+
+
 def diff_reports(results: DataFrame) -> DataFrame:
     """Reports of scored samples (run_id, sample_id, task_type, provider, model, score_total, metrics)."""
     advice = F.when(F.col("score_total") < 60, "consider_tier_upgrade").otherwise("keep_current_tier")

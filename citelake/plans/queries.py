@@ -517,11 +517,22 @@ def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.scored(rows).select("sample_id", F.round("score_total", 6).alias("score_total"))
 
 
+def executed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the benchmark: an item asks for itself, and the stored answer is the text of its best keyword hit."""
+    items, asked = table(spark, sf_dir, "benchmark"), questions(spark, sf_dir)
+    docs = docs_of(spark, sf_dir)
+    best = retrieval.keyword_best(docs, asked, 1, F.lower("text"), "doc_id").join(docs, "doc_id")
+    answers = best.select(F.col("query_id").alias("sample_id"), F.col("text").alias("pred"), F.lit("stored").alias("provider"), F.lit("keyword").alias("model"))
+    samples = items.select(F.col("item_id").alias("sample_id"), F.lit("qa").alias("task_type"), F.col("text").alias("question"), F.col("text").alias("answer"))
+    got = jobs.executed(samples, answers)
+    return got.select("sample_id", "task_type", "provider", F.round("score_total", 6).alias("score_total"), F.col("breakdown.exact_hit").alias("exact_hit"), F.get_json_object("diff_json", "$.diff.qa.match").alias("matched"), F.length(F.get_json_object("pred_json", "$.pred")).alias("pred_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_dedupe_sha256, quality_grade, readable_ratio, noisy_chunk, chunk_gate_stats, repeat_line_denoise, denoised_blocks, page_excerpt, keyword_topk, like_fallback_rank, dense_topk, dense_index_topk, rrf_fusion, lexical_gate, filter_range, filter_any, payload_range, payload_any,
-        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, snapshot_events, scroll_parts, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, names_in_documents, tables_across_pages, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs,
+        retrieval_metrics, eval_trends, registry_latest, orphan_anti_join, status_latest, stream_status, job_results, snapshot_events, scroll_parts, constraint_group_best, citation_context, redact_prompt, offset_to_page, entity_ids, names_in_documents, tables_across_pages, clause_algebra, sentence_chunks, ingest_chunks, hybrid_search, text_pages, cited_answers, fts_match, fts_rank, fts_index_topk, fts_index_pairs, sidecar_topk, sidecar_excerpts, reranked_hits, explanation_pairs, entity_dictionary, result_appends, eval_scores, key_upsert, merge_upsert, question_bounds, table_row_chunks, stable_hit_ids, low_quality_versions, eval_dataset_join, scored_runs, executed_run,
     )
 }
 
@@ -708,6 +719,11 @@ ORACLE = {
         d AS (SELECT c.source, line FROM c JOIN p ON p.source = c.source WHERE n >= greatest(1, floor(pages * 0.2)))
         SELECT doc_id, count(raw)::int AS blocks, coalesce(sum(length(raw)), 0)::bigint AS chars FROM documents LEFT JOIN (SELECT l.doc_id, raw FROM l LEFT JOIN d ON d.source = l.source AND d.line = l.line
           WHERE l.line = '' OR (d.line IS NULL AND NOT regexp_matches(l.line, '(?i)licen[sc]e'))) USING (doc_id) GROUP BY doc_id""",
+    "executed_run": f"""
+        WITH {SCORED_SQL}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+        a AS (SELECT b.item_id AS sample_id, b.text AS truth, coalesce(d.text, '') AS pred, d.doc_id IS NOT NULL AS told FROM benchmark b LEFT JOIN (SELECT * FROM r WHERE rank = 1) r ON r.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = r.doc_id),
+        h AS (SELECT *, CASE WHEN trim(truth) <> '' AND contains(pred, trim(truth)) THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN contains(pred, '引用') OR contains(pred, '证据') THEN 1.0 ELSE 0.5 END AS cited FROM a)
+        SELECT sample_id, 'QA' AS task_type, CASE WHEN told THEN 'stored' ELSE 'stub' END AS provider, (20 * cited + 80 * hit)::double AS score_total, hit::double AS exact_hit, CASE WHEN 20 * cited + 80 * hit >= 80 THEN 'true' ELSE 'false' END AS matched, length(pred)::int AS pred_chars FROM h""",
     "names_in_documents": r"""
         WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s]{5,}')) AS name FROM benchmark UNION SELECT c_name FROM customer)
         SELECT doc_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM documents JOIN n ON contains(text, name) GROUP BY doc_id""",

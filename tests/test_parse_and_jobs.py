@@ -128,3 +128,13 @@ def test_files(spark, tmp_path):
     assert [r.q for r in pages.read_json_lines(spark, str(tmp_path / "a.jsonl"), "q string").collect()] == ["x", "y"]
     with pytest.raises(Exception, match="FAILFAST|MALFORMED|malformed"):
         pages.read_json_lines(spark, str(tmp_path / "a.jsonl"), "q string", strict=True).collect()
+
+
+def test_a_run_over_stored_answers(spark):
+    samples = spark.createDataFrame([(1, "qa", "q", " 42 "), (2, None, "q", "no"), (3, "", "q", ""), (4, "ie", "q", "x")], "sample_id long, task_type string, question string, answer string")
+    answers = spark.createDataFrame([(1, "it is 42, 引用 [1]", "p", "m"), (2, "yes", None, None), (3, "证据", "p", "m"), (9, "lone", "p", "m")], "sample_id long, pred string, provider string, model string")
+    got = {r.sample_id: r for r in jobs.executed(samples, answers).collect()}
+    assert {i: (r.task_type, r.provider, r.model, r.score_total) for i, r in got.items()} == {1: ("QA", "p", "m", 100.0), 2: ("QA", "stub", "stub-mvp", 10.0), 3: ("QA", "p", "m", 20.0), 4: ("IE", "stub", "stub-mvp", 10.0)}
+    diff, pred = json.loads(got[1].diff_json), json.loads(got[4].pred_json)
+    assert diff["diff"]["qa"] == {"truth": " 42 ", "pred": "it is 42, 引用 [1]", "match": True} and diff["diff"]["ie"] == {} and pred["pred"] == "" and pred["truth"] == "x"
+    assert jobs.executed(samples.limit(0), answers).count() == 0
