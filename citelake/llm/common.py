@@ -72,26 +72,22 @@ def discard(*tables: DataFrame) -> None:
             remove(df.sparkSession, parent)
 
 
-def run_table(df: DataFrame, label: str, keys: tuple[str, ...], buckets: int) -> tuple[str, str, DataFrame]:
+def run_table(df: DataFrame, path: str, keys: tuple[str, ...], buckets: int) -> None:
     """Write df as an immutable run: hash-bucketed by keys and sorted in each bucket, so that later joins and aggregations
-    on them need no exchange. Returns the table's name, its folder and its rows."""
-    spark = df.sparkSession
-    name, path = f"citelake_{label}_{uuid.uuid4().hex}", stage_path(spark, label)
+    on them need no exchange. The catalog's name for it is dropped again; the files stay."""
+    spark, name = df.sparkSession, f"citelake_{uuid.uuid4().hex}"
     with bounded_batches(spark):
         df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return name, path, spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
 
 
-def open_run(spark: SparkSession, label: str, path: str, columns: str, keys: tuple[str, ...], buckets: int) -> tuple[str, str, DataFrame]:
-    """A run that another session wrote, known to this session's catalog again."""
-    name, by = f"citelake_{label}_{uuid.uuid4().hex}", ", ".join(keys)
+def open_run(spark: SparkSession, path: str, columns: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """A run's rows, with its buckets known. The catalog is told for a moment only: the plan keeps what it said."""
+    name, by = f"citelake_{uuid.uuid4().hex}", ", ".join(keys)
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return name, path, spark.table(name)
-
-
-def drop_run(spark: SparkSession, name: str, path: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    remove(spark, path)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 def give_back() -> None:

@@ -10,9 +10,9 @@ new batch is merge-joined with itself and with every older run (sort-merge joins
 matches is verified: the windows in question are taken from the texts and fingerprinted by 128 bits (two hashes of doubled blocks
 over two independent word hashes, each an injective or xxh3 hash of the word's bytes); in each fingerprint the first place by
 (batch, doc_id, start) wins and every other place is a repeat. More than `max_runs` runs of a kind are merged into one
-(compaction). A manifest in the index's folder names the runs, so `FingerprintIndex.open` goes on in another session; a
-batch that fails leaves the manifest, and so the index, as it was. Runs that a compaction has replaced stay until
-`vacuum`, since results of earlier batches may not have been read yet.
+(compaction), with more buckets once the texts have outgrown theirs. Runs lie in the index's folder and a manifest names
+them, so `FingerprintIndex.open` goes on in another session; a batch that fails leaves the manifest, and so the index, as it
+was. Runs that a compaction has replaced stay until `vacuum`, since results of earlier batches may not have been read yet.
 
 Groups of exact copies are one text, known by 128 bits (t, u): a later copy's windows all start earlier in the first, so a
 copy of at least `size` words loses all of them.
@@ -25,6 +25,7 @@ their hashes; an empty batch adds nothing; the results have columns of their own
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -40,8 +41,8 @@ from .common import WORD
 
 GRAM = 8
 NO_ID = -(1 << 63)
-#: Text bytes a bucket of the index is made for.
-BUCKET_BYTES = 64 << 20
+#: Text bytes a bucket of the index is made for, and about how many of them a byte of its files holds.
+BUCKET_BYTES, PACKED = 64 << 20, 3
 #: Texts that a task remembers on the way to their buckets; beyond them it starts anew.
 REMEMBERED = 1_000_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -233,10 +234,9 @@ def _cut(size: int):
 
 @dataclass
 class Run:
-    """An immutable run: a bucketed table and its folder."""
+    """An immutable run: its folder, under the index's, and its rows."""
 
     name: str
-    path: str
     rows: DataFrame
 
 
@@ -260,7 +260,6 @@ class FingerprintIndex:
         self.path = path or common.stage_path(spark, "fingerprint-index")
         self.batches = self.version = 0
         self.runs: dict[str, list[Run]] = {kind: [] for kind in KINDS}
-        self.replaced: list[Run] = []
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
@@ -273,21 +272,27 @@ class FingerprintIndex:
         state = json.loads(spark.read.text(max(found)).first()["value"])
         index = cls(spark, state["size"], state["max_runs"], state["buckets"], path)
         index.batches, index.version = state["batches"], state["version"]
-        for kind, paths in state["runs"].items():
-            columns, keys = KINDS[kind]
-            index.runs[kind] = [Run(*common.open_run(spark, kind, p, columns, keys, index.buckets)) for p in paths]
+        for kind, names in state["runs"].items():
+            index.runs[kind] = [index._open(kind, name) for name in names]
         return index
 
     def _save(self) -> None:
         self.version += 1
-        state = {"size": self.size, "max_runs": self.max_runs, "buckets": self.buckets, "batches": self.batches, "version": self.version, "runs": {k: [r.path for r in v] for k, v in self.runs.items()}}
+        state = {"size": self.size, "max_runs": self.max_runs, "buckets": self.buckets, "batches": self.batches, "version": self.version, "runs": {k: [r.name for r in v] for k, v in self.runs.items()}}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:08d}")
 
+    def _open(self, kind: str, name: str) -> Run:
+        return Run(name, common.open_run(self.spark, f"{self.path}/runs/{name}", *KINDS[kind], self.buckets))
+
     def _write(self, kind: str, rows: DataFrame) -> Run:
-        return Run(*common.run_table(rows, kind, KINDS[kind][1], self.buckets))
+        name = f"{kind}-{uuid.uuid4().hex}"
+        common.run_table(rows, f"{self.path}/runs/{name}", KINDS[kind][1], self.buckets)
+        return self._open(kind, name)
 
     def _known(self, kind: str) -> list[DataFrame]:
-        return [run.rows for run in self.runs[kind]]
+        """Rows of all runs of a kind. Keys are never null; the filter makes rows of the scans' column batches, since Spark 4.1's
+        union of column batches claims that buckets coincide but sets them one after the other."""
+        return [run.rows.where(f"{KINDS[kind][1][0]} is not null") for run in self.runs[kind]]
 
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
         """(members, results): members has a row per row of docs (id, t, u, copy: whether the text was there before);
@@ -345,19 +350,36 @@ class FingerprintIndex:
         marks.append(grams.join(all_hits, "m", "left_semi").select(*TEXT, "m"))
         return reduce(DataFrame.unionByName, marks).groupBy(*TEXT).agg(F.collect_list("m").alias("marks"))
 
+    def _path(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs/{name}")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def compact(self) -> None:
-        """Merge all runs of each kind into one and write the manifest that names them."""
-        for kind, (_, keys) in KINDS.items():
-            merged = reduce(DataFrame.unionByName, self._known(kind)).repartition(self.buckets, *keys)
-            self.replaced += self.runs[kind]
-            self.runs[kind] = [self._write(kind, merged)]
+        """Merge all runs of each kind into one and write the manifest that names them. As many more buckets are made as the
+        texts' files have outgrown theirs."""
+        old, held = self.buckets, 0
+        for run in self.runs["texts"]:
+            where, system = self._path(run.name)
+            held += system.getContentSummary(where).getLength()
+        while self.buckets * BUCKET_BYTES < held * PACKED:
+            self.buckets *= 2
+        merged = {kind: reduce(DataFrame.unionByName, self._known(kind)).repartition(self.buckets, *keys) for kind, (_, keys) in KINDS.items()}
+        try:
+            self.runs = {kind: [self._write(kind, rows)] for kind, rows in merged.items()}
+        except BaseException:
+            self.buckets = old
+            raise
         self._save()
 
-    def vacuum(self) -> None:
-        """Remove the runs that compactions have replaced; results of earlier batches must have been read."""
-        for run in self.replaced:
-            common.drop_run(self.spark, run.name, run.path)
-        self.replaced = []
+    def vacuum(self) -> list[str]:
+        """Remove the runs that no manifest names any more: those that compactions have replaced, in whatever session, and
+        those of batches that failed. Results of earlier batches must have been read. Names what went."""
+        kept = {run.name for runs in self.runs.values() for run in runs}
+        where, system = self._path("*")
+        gone = sorted(name for x in system.globStatus(where) or [] if (name := x.getPath().getName()) not in kept)
+        for name in gone:
+            common.remove(self.spark, f"{self.path}/runs/{name}")
+        return gone
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -189,14 +189,33 @@ def test_index_goes_on_after_being_opened_again(spark):
         batch = spark.createDataFrame(docs[k * 30 : k * 30 + 30], "doc_id long, text string")
         index = substrings.FingerprintIndex.open(spark, first.path) if k else first
         got |= dict(rebuilt(*index.add(batch), 10, by))
-        gone = [run.name for run in index.replaced]
-        index.vacuum()
-        assert not any(spark.catalog.tableExists(n) for n in gone)
+        gone = index.vacuum()
+        assert bool(gone) == (k == 2) and spark.catalog.listTables() == []
     assert got == removed(docs, 10) and substrings.FingerprintIndex.open(spark, first.path).batches == 3
     with pytest.raises(FileNotFoundError):
         substrings.FingerprintIndex.open(spark, first.path + "-none")
 
 
+def test_failed_batches_leave_nothing_and_buckets_grow(spark, tmp_path, monkeypatch):
+    docs, by = corpus(18)[:120], {}
+    path = str(tmp_path / "index")
+    batch = lambda k: spark.createDataFrame(docs[k * 30 : k * 30 + 30], "doc_id long, text string")
+    index = substrings.FingerprintIndex(spark, 10, max_runs=3, buckets=2, path=path)
+    got = dict(rebuilt(*index.add(batch(0)), 10, by))
+    with monkeypatch.context() as m:
+        m.setattr(substrings.FingerprintIndex, "_matches", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            substrings.FingerprintIndex.open(spark, path).add(batch(1))
+    again = substrings.FingerprintIndex.open(spark, path)
+    assert again.batches == 1 and len(again.vacuum()) == 3  # the failed batch's runs lie in the index's folder
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
+    for k in (1, 2, 3):
+        again = substrings.FingerprintIndex.open(spark, path)
+        got |= dict(rebuilt(*again.add(batch(k)), 10, by))
+    assert again.buckets > 2 and len(again.runs["grams"]) == 1 and got == removed(docs, 10)
+    assert len(again.vacuum()) == 12 and len(list((tmp_path / "index/runs").iterdir())) == 3
+
+
 def test_a_text_of_half_a_million_words(spark):
     rng = random.Random(21)
     words = [f"w{rng.randrange(10**6)}" for _ in range(500_000)]
