@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from citelake.stages import remove
+
 #: Batches after which what is known is written as one table.
 COMPACT_EVERY = 16
 
@@ -18,21 +20,26 @@ def _newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
-def _parts(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
-    """Folders that hold the state: the last whole table and the batches after it (before: up to that batch only)."""
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, bool, str]]:
+    """(batch, whether a whole table, folder) of what is written out."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     pattern = fs.Path(f"{path}/*=*/_SUCCESS")
     found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
     names = [x.getPath().getParent().toString() for x in found]
-    numbered = [(int(n.rpartition("=")[2]), n.rpartition("/")[2].startswith("whole"), n) for n in names]
-    numbered = [x for x in numbered if before is None or x[0] < before]
+    return [(int(n.rpartition("=")[2]), n.rpartition("/")[2].startswith("whole"), n) for n in names]
+
+
+def _parts(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """Folders that hold the state: the last whole table and the batches after it (before: up to that batch only)."""
+    numbered = [x for x in _folders(spark, path) if before is None or x[0] < before]
     base = max((n for n, whole, _ in numbered if whole), default=-1)
     return [path for n, whole, path in sorted(numbered) if (whole and n == base) or (not whole and n > base)]
 
 
 def fold_latest(spark: SparkSession, path: str, keys: list[str], order: list[str], every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps, under path, the newest row of each key. A batch writes only its own newest rows, to a
-    folder of its own that a repeated batch writes again; each `every` batches what is known is written as one table."""
+    folder of its own that a repeated batch writes again; each `every` batches what is known is written as one table, and what
+    came before the last such table, which no repeated batch can ask for, is removed."""
 
     def sink(batch: DataFrame, number: int) -> None:
         if (number + 1) % every:
@@ -40,6 +47,10 @@ def fold_latest(spark: SparkSession, path: str, keys: list[str], order: list[str
             return
         known = [spark.read.schema(batch.schema).parquet(p) for p in _parts(spark, path, number)]
         _newest(reduce(DataFrame.unionByName, [*known, batch]), keys, order).write.mode("overwrite").parquet(f"{path}/whole={number}")
+        last = max((n for n, whole, _ in _folders(spark, path) if whole and n < number), default=-1)
+        for n, _, folder in _folders(spark, path):
+            if n < last:
+                remove(spark, folder)
 
     return sink
 

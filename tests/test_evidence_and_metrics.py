@@ -132,6 +132,10 @@ def test_state_is_compacted_and_batches_can_be_repeated(spark, tmp_path):
     for number in (0, 1, 1, 2, 2, 3):
         sink(spark.createDataFrame([(1, number), (10 + number, number)], schema), number)
     assert {tuple(r) for r in status.read_latest(spark, state, schema, ["k"], ["ts"]).collect()} == {(1, 3), (10, 0), (11, 1), (12, 2), (13, 3)}
+    for number in (4, 5, 6, 7, 8, 8):  # the last is repeated once older folders are gone
+        sink(spark.createDataFrame([(1, number), (10 + number, number)], schema), number)
+    assert {tuple(r) for r in status.read_latest(spark, state, schema, ["k"], ["ts"]).collect()} == {(1, 8), *((10 + n, n) for n in range(9))}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch=6", "batch=7", "whole=5", "whole=8"]
 
 
 def test_breaker(spark):
