@@ -39,11 +39,6 @@ def query_blocks(queries: DataFrame, size: int = MAX_QUERIES) -> list[DataFrame]
     return [queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
-def against_all(queries: DataFrame, rows: DataFrame, on: Column | None = None) -> DataFrame:
-    joined = [rows.join(F.broadcast(q), on) if on is not None else rows.crossJoin(F.broadcast(q)) for q in query_blocks(queries)]
-    return reduce(DataFrame.unionByName, joined)
-
-
 def top_k(hits: DataFrame, k: int, *order: Column, group: str = "query_id") -> DataFrame:
     """The first k rows of each query by an order, with rank."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
@@ -330,12 +325,26 @@ def sidecar_search(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def structured_search(assets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Assets whose data hold the query's identifiers: 10 a token. assets: (doc_id, page_no, data_json string, ...)."""
-    q = queries.select("query_id", "tokens").where(F.size("tokens") > 0)
-    held = assets.where("doc_id is not null and page_no > 0").withColumn("_d", F.upper(F.col("data_json")))
-    hits = against_all(q, held, F.exists("tokens", lambda t: F.contains(F.col("_d"), F.upper(t))))
-    scored = hits.withColumn("score", F.size(F.filter("tokens", lambda t: F.contains(F.col("_d"), F.upper(t)))) * 10.0).drop("_d", "tokens")
-    return top_k(scored, k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no")).withColumn("route", F.lit("structured"))
+    """Assets whose data hold the query's identifiers: 10 a token. assets: (doc_id, page_no, data_json string, ...). Rows are
+    named by a hash of all their columns; rows that are equal in all of them are hits side by side."""
+    held = assets.where("doc_id is not null and page_no > 0").withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in assets.columns]))
+    keys = ["doc_id", "page_no", "_row"]
+
+    @in_blocks
+    def best(rows: DataFrame, some: DataFrame) -> DataFrame:
+        asked = some.where(F.size("tokens") > 0).select("query_id", F.transform("tokens", F.upper).alias("tokens")).collect()
+        sent = rows.sparkSession.sparkContext.broadcast([list(r["tokens"]) for r in asked])
+
+        def scorer() -> Scorer:
+            terms = Terms(t for q in sent.value for t in q)
+            weights = Weights(terms, [[(t, 10.0) for t in q] for q in sent.value])
+            return lambda bodies: positive(weights.scores([terms.counts(t) for t in bodies.to_pylist()], np.ones_like))
+
+        return best_in_tasks(rows, some.select("query_id"), asked, k, F.upper(F.coalesce("data_json", F.lit(""))), keys, scorer)
+
+    found = best(held, queries.select("query_id", "tokens")).select("query_id", *keys, "score").distinct()
+    hits = held.drop("query_id", "score", "rank").join(found, keys).drop("_row")
+    return top_k(hits, k, F.desc(F.round("score", 9)), F.col("doc_id"), F.col("page_no")).withColumn("route", F.lit("structured"))
 
 
 Scorer = Callable[[pa.Array], np.ndarray]
@@ -443,9 +452,14 @@ def dense_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec
 
 def first_rows(rows: DataFrame, queries: DataFrame, k: int, ordinal: str = "ordinal") -> DataFrame:
     """What a store without vectors answers to dense search: the first k rows in order that pass a query's filter."""
-    spec, _, ok = _passed(queries)
-    met = against_all(queries.select("query_id", *spec), rows).where(ok).drop(*spec).withColumn("score", F.lit(0.0))
-    return top_k(met, k, F.col(ordinal)).withColumn("route", F.lit("dense"))
+
+    @in_blocks
+    def best(rows: DataFrame, some: DataFrame) -> DataFrame:
+        asked = some.select("query_id", *_passed(some)[0]).collect()
+        return best_in_tasks(rows, some, asked, k, F.lit(0), [ordinal], lambda n=len(asked): lambda bodies: np.zeros((len(bodies), n)))
+
+    found = best(rows, queries.select("query_id", *_passed(queries)[0]))
+    return rows.drop("query_id", "score", "rank").join(found, ordinal).withColumn("route", F.lit("dense"))
 
 
 @in_blocks

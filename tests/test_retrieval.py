@@ -299,3 +299,19 @@ def test_weights_add_up_like_a_matrix():
     wanted = [[("a", 1.0), ("cc", 2.0), ("", 9.0)], [], [("b", 0.5), ("b", 0.5)]]
     got = retrieval.Weights(terms, wanted).scores([terms.counts(t) for t in ("aacc", "b", "", None)], lambda n: n)
     assert got.tolist() == [[4.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+
+
+def test_first_rows_and_structured_rows_equal_all_pairs(spark):
+    """Both against every row and question, filters, equal rows and null fields included."""
+    rows = spark.createDataFrame([(i, f"t{i % 4}", [i % 2 == 0, i % 3 == 0]) for i in range(60)], "ordinal long, text string, _pass array<boolean>")
+    asked = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "query_id long, spec int")
+    got = {(r.query_id, r["rank"]): r.ordinal for r in retrieval.first_rows(rows, asked, 4).collect()}
+    assert got == {(q, n + 1): o for q, step in ((1, 2), (2, 3), (3, 1)) for n, o in enumerate(range(0, 4 * step, step))}
+    data = [("d1", 1, '{"no": "gb-1 x9"}'), ("d1", 1, '{"no": "gb-1 x9"}'), ("d2", 2, '{"no": "GB-1"}'), ("d3", 1, None), (None, 1, "gb-1"), ("d4", 0, "gb-1"), ("d5", 3, "zz")]
+    assets = spark.createDataFrame([(*d, "x") for d in data], "doc_id string, page_no int, data_json string, kind string")
+    tokens = spark.createDataFrame([(1, ["GB-1", "x9"]), (2, ["zz"]), (3, []), (4, ["none"])], "query_id long, tokens array<string>")
+    hits = retrieval.structured_search(assets, tokens, 3)
+    assert [(r.query_id, r["rank"], r.doc_id, r.score, r.kind) for r in hits.orderBy("query_id", "rank").collect()] == [(1, 1, "d1", 20.0, "x"), (1, 2, "d1", 20.0, "x"), (1, 3, "d2", 10.0, "x"), (2, 1, "d5", 10.0, "x")]
+    for df in (hits, retrieval.first_rows(rows, asked, 4)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
