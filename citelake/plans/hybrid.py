@@ -152,7 +152,7 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     sparse = wanting(open_.where("use_sparse"), "spec_scope", F.regexp_replace("sparse_query", r"[/\-&|!():*<>]+", " ").alias("query"), "terms")
     words = retrieval.fts_best(pages, sparse, depth["sparse"]).select("query_id", "doc_id", "score", "rank")
     if named[3]:
-        rest = sparse.where(F.col("query").rlike("[一-鿿]")).join(words.select("query_id").distinct(), "query_id", "left_anti")
+        rest = _local(sparse.where(F.col("query").rlike("[一-鿿]")).join(words.select("query_id").distinct(), "query_id", "left_anti"))
         words = words.unionByName(retrieval.like_best(pages, rest, depth["sparse"]).select("query_id", "doc_id", "score", "rank"))
     found["sparse"] = words.withColumnRenamed("doc_id", "ordinal")
     if "vector" in rows.columns and "query_vector" in questions.columns:
@@ -161,7 +161,7 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
         dense = retrieval.hash_search(rows, wanting(open_, "spec_all", F.col("dense_text").alias("query")), depth["dense"], F.col("chunk_text"))
     found = {"dense": dense, **found}
     if named[2]:
-        lost = open_.where("doc_scoped").join(dense.select("query_id").distinct(), "query_id", "left_anti")
+        lost = _local(open_.where("doc_scoped").join(dense.select("query_id").distinct(), "query_id", "left_anti"))
         found["filter_keyword"] = by_keyword(lost, k).withColumn("score", F.col("score") * 5.0)
     # what gates ask of texts is known of keyword hits and not asked of dense ones; where no question bears identifiers,
     # only sparse hits are read. Texts are fetched for what is fused, measured, left behind, and fetched for the last k
