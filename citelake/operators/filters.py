@@ -4,10 +4,14 @@ compiled to filters."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,28 +162,51 @@ def of_type(doc_type: Column) -> Column:
     return F.array(_condition("doc_type", value=doc_type)).cast(SPEC)
 
 
-#: Code points by which names are met first.
-ANCHOR = 4
+#: Lengths that names may be cut to, to be looked for in one automaton, and how many such cut names a task may hold.
+CUTS, MOST_CUT = (16, 12, 8, 6, 4, 3, 2, 1), 50_000
 
 
 def names_in(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, question) and (name, ...) -> (query_id, name), once each: the names that a question holds.
 
-    The dictionary is a trie of two levels, each an equi-join that needs neither side in memory. Every place of a question
-    meets the distinct first code points of names (ANCHOR, or all of a shorter name) and learns how long the names are that
-    begin so; the text of each such length at that place then meets the names themselves. So names that all begin alike
-    give one row to the first join, and only whole names to the second. query_id must name a question."""
+    Names are cut to the greatest length of CUTS that leaves about MOST_CUT distinct beginnings, so that one automaton of
+    bounded size, in the tasks that read the questions, finds them however many names there are. A name that was not cut is
+    found as it is. Where a cut one begins, the text of each length of the names that begin so meets the names themselves by
+    an equi-join. query_id must name a question."""
     known = names.where("name <> ''").select("name").distinct()
-    first = known.select(F.substring("name", 1, ANCHOR).alias("anchor"), F.length("name").alias("size"))
-    anchors = first.groupBy("anchor").agg(F.collect_set("size").alias("sizes"))  # as many as there are lengths of names
     q = questions.where(F.col("question").isNotNull()).select("query_id", "question")
-    short = [r[0] for r in known.where(F.length("name") < ANCHOR).select(F.length("name")).distinct().collect()]  # three at most
-    # overlapping matches of a look-ahead, but none within a pair of surrogates: one pass over the text for each length
-    spots = [q.select("query_id", F.posexplode(F.regexp_extract_all("question", F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))).alias("place", "anchor")) for n in [*short, ANCHOR]]
-    places = reduce(DataFrame.unionByName, spots).join(anchors, "anchor").groupBy("query_id").agg(F.collect_list(F.struct("place", "sizes")).alias("places"))
-    each = q.join(places, "query_id").select("query_id", "question", F.explode("places").alias("p")).select("query_id", "question", "p.place", F.explode("p.sizes").alias("size"))
-    texts = each.select("query_id", F.expr("substring(question, place + 1, size)").alias("name"), "size").where(F.length("name") == F.col("size")).select("query_id", "name").distinct()
-    return texts.join(known, "name").select("query_id", "name")
+    distinct = known.agg(*[F.approx_count_distinct(F.substring("name", 1, n)) for n in CUTS]).first()
+    cut = next((n for n, found in zip(CUTS, distinct, strict=True) if found <= MOST_CUT), CUTS[-1])
+    whole = q.sparkSession.sparkContext.broadcast([r[0] for r in known.where(F.length("name") <= cut).collect()])
+    begun = known.where(F.length("name") > cut).groupBy(F.substring("name", 1, cut).alias("head")).agg(F.collect_set(F.length("name")).alias("sizes")).collect()
+    heads = q.sparkSession.sparkContext.broadcast([(r["head"], sorted(r["sizes"])) for r in begun])
+
+    def held(automaton: ahocorasick.Automaton, body: str) -> set[str]:
+        return {name for _, name in automaton.iter(body)}
+
+    def may_hold(automaton: ahocorasick.Automaton, body: str) -> set[str]:
+        starts = ((end + 1 - cut, sizes) for end, sizes in automaton.iter(body))
+        return {body[at : at + n] for at, sizes in starts for n in sizes if at + n <= len(body)}
+
+    def found(sent: Broadcast, read: Callable[[ahocorasick.Automaton, str], set[str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for x in sent.value:
+                automaton.add_word(*((x, x) if isinstance(x, str) else x))
+            if not sent.value:
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                for first in range(0, batch.num_rows, 64):
+                    some = batch.slice(first, 64)
+                    got = [(i, name) for i, body in enumerate(some.column(1).to_pylist()) for name in read(automaton, body)]
+                    places = pa.array([i for i, _ in got], pa.int64())
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(places), pa.array([n for _, n in got], pa.string())], names=["query_id", "name"])
+
+        return q.mapInArrow(run, f"query_id {q.schema['query_id'].dataType.simpleString()}, name string")
+
+    out = found(whole, held)
+    return out.unionByName(found(heads, may_hold).join(known, "name").select("query_id", "name")) if begun else out
 
 
 def parse_questions(questions: DataFrame, entities: DataFrame | None = None, strict_standard: bool = True) -> DataFrame:

@@ -65,3 +65,16 @@ def test_tables_equal_a_fold_over_whole_documents(spark):
 def test_header_likeness_is_between_0_and_1(a, b):
     x, y = normalize.header_signature(["".join(a)]), normalize.header_signature(["".join(b)])
     assert 0 <= normalize.header_similarity(x, y) <= 1 and (not x or normalize.header_similarity(x, x) == 1)
+
+
+def test_cut_names_equal_containment_and_no_place_becomes_a_row(spark, monkeypatch):
+    rng = random.Random(3)
+    names = {"Person#" + "".join(rng.choice("01") for _ in range(rng.randrange(1, 14))) for _ in range(200)} | {"Per", "on#0", "é😀", "x" * 40}
+    questions = [(i, "".join(rng.choice(["Person#", "0", "1", "0110", "é😀", " ", "x" * 39]) for _ in range(30))) for i in range(60)]
+    asked, known = spark.createDataFrame(questions, "query_id long, question string"), spark.createDataFrame([(n,) for n in names], "name string")
+    want = sorted((i, n) for i, q in questions for n in names if n in q)
+    for most in (3, 20, 50_000):
+        monkeypatch.setattr(filters, "MOST_CUT", most)
+        found = filters.names_in(asked, known)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        assert "posexplode" not in found._jdf.queryExecution().analyzed().toString()
