@@ -14,7 +14,7 @@ _ITEM = r"\A(.+\([0-9A-Za-z]+\))\.\d+\z"
 
 def first_clause(text: Column) -> Column:
     """The first clause id in a text, else null."""
-    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), fixed.CLAUSE, 1), F.lit(""))
+    return F.when(text.rlike(r"\d\.\d"), F.nullif(F.regexp_extract(text, fixed.CLAUSE, 1), F.lit("")))
 
 
 def all_clauses(text: Column) -> Column:

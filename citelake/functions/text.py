@@ -10,14 +10,25 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+#: What (?U)\s matches; runs of it that are not one plain space already. Patterns here leave ordinary text without a match, since
+#: each match costs far more than the characters between.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = r"(?U)[\s&&[^ ]]\s*| \s+"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITE))
+
+
+def single_spaced(c: Column) -> Column:
+    """Runs of white space become one space."""
+    return F.regexp_replace(c, _RUN, " ")
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; ends are stripped."""
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return strip(single_spaced(F.coalesce(c, F.lit(""))))
 
 
 def without_space(c: Column) -> Column:
@@ -54,7 +65,8 @@ def char_share(c: Column, body: str) -> Column:
 
 def readable_ratio(c: Column, marks: str = fixed.READABLE_MARKS) -> Column:
     """Share of letters, digits and ordinary marks."""
-    return char_share(c, r"\p{L}\p{N}" + quoted_class(marks))
+    t = F.coalesce(c, F.lit(""))  # the others are counted, being few
+    return F.when(F.length(t) > 0, (F.length(t) - F.regexp_count(t, F.lit(r"[^\p{L}\p{N}" + quoted_class(marks) + "]"))) / F.length(t)).otherwise(F.lit(0.0))
 
 
 def cjk_ratio(c: Column) -> Column:
@@ -85,8 +97,9 @@ def without_latex(c: Column) -> Column:
     for name, sign in fixed.LATEX_SYMBOLS.items():
         t = F.regexp_replace(t, rf"\\{name}\b", f" {sign} ")
     t = F.regexp_replace(t, r"\\[A-Za-z]+", " ")
-    t = F.translate(F.when(F.contains(plain, F.lit("\\")), t).otherwise(plain), "{}", "  ")
-    return F.regexp_replace(t, r"(?<=\d)(?=[A-Za-zμµΩ%°])", " ")
+    t = F.when(F.contains(plain, F.lit("\\")), t).otherwise(plain)
+    t = F.replace(F.replace(t, F.lit("{"), F.lit(" ")), F.lit("}"), F.lit(" "))
+    return F.regexp_replace(t, r"\d(?=[A-Za-zμµΩ%°])", "$0 ")
 
 
 def clean_block(c: Column) -> Column:
@@ -102,15 +115,17 @@ def repeat_signature(c: Column, cleaned: bool = False) -> Column:
     return F.regexp_replace(F.lower(c if cleaned else clean_block(c)), r"(?U)[\d\s\W_]+", "")
 
 
-def is_toc_like(c: Column) -> Column:
-    s = strip(c)
+def is_toc_like(c: Column, cleaned: bool = False) -> Column:
+    """cleaned: c is clean_block() of something. Patterns are asked where a sign is there that they cannot do without."""
+    s = c if cleaned else strip(c)
     refs = F.regexp_count(s, F.lit(r"[\(（]\s*\d{1,3}\s*[\)）]"))
+    bracket = contains_any(s, ("(", "（"))
     return (
         (s == "")
         | F.contains(F.lower(s), F.lit("contents"))
-        | ((F.regexp_count(s, F.lit(r"\d+\.\d+(?:\.\d+)?")) >= 2) & (refs >= 2))
-        | ((refs >= 1) & (F.length(s) <= 100) & s.rlike(r"^\d+(?:\s|[.、])"))
-        | s.rlike(r"[.…]{2,}\s*[\(（]?\s*\d{1,3}\s*[\)）]?\s*$")
+        | (bracket & (refs >= 2) & (F.regexp_count(s, F.lit(r"\d+\.\d+(?:\.\d+)?")) >= 2))
+        | ((F.length(s) <= 100) & bracket & (refs >= 1) & s.rlike(r"^\d+(?:\s|[.、])"))
+        | (contains_any(s, ("..", "…")) & s.rlike(r"[.…]{2,}\s*[\(（]?\s*\d{1,3}\s*[\)）]?\s*$"))
     )
 
 
@@ -125,7 +140,7 @@ def is_low_quality(c: Column, cleaned: bool = False) -> Column:
 def is_noisy(c: Column) -> Column:
     """Residue of files, dense formulas or unreadable long text."""
     s = strip(c)
-    commands = F.regexp_extract_all(s, F.lit(r"\\[A-Za-z]+"), F.lit(0))
+    commands = F.when(F.contains(s, F.lit("\\")), F.regexp_extract_all(s, F.lit(r"\\[A-Za-z]+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     density = F.aggregate(commands, F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.length(s), F.lit(1))
     bare = F.regexp_replace(s, r"\\[A-Za-z]+\s*(?:\{[^{}]{0,40}\})?", " ")
     formulas = (F.size(commands) >= 4) & (F.length(s) >= 80) & ((density >= 0.10) | (readable_ratio(bare) < 0.45))

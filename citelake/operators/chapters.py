@@ -18,7 +18,7 @@ def is_title(c: Column) -> Column:
     shape = reduce(Column.__or__, [t.rlike(p) for p in fixed.TITLE_PATTERNS])
     clause = t.rlike(r"^\d+\.\d+\.\d+") & (F.length(t) > 20)
     sentence = (F.length(t) > 60) & (F.contains(t, F.lit("。")) | F.contains(t, F.lit("；")))
-    return shape & ~clause & ~sentence & (F.length(t) <= 90)
+    return (F.length(t) <= 90) & shape & ~clause & ~sentence
 
 
 def chapters(blocks: DataFrame, least_chars: int = 1200) -> DataFrame:

@@ -26,7 +26,7 @@ def blocks(pages: DataFrame) -> DataFrame:
     # cleaned inside the array, so that the filters below read a finished column instead of repeating the cleaning
     clean = F.transform("blocks", lambda b: F.struct(F.coalesce(b["type"], F.lit("paragraph")).alias("block_type"), text.clean_block(b["text"]).alias("text")))
     each = pages.select(*DOC, "page_no", F.posexplode(clean).alias("pos", "b")).select(*DOC, "page_no", (F.col("pos") + 1).alias("order_in_page"), "b.block_type", "b.text")
-    kept = each.where(~text.is_toc_like(F.col("text")) & ~text.is_low_quality(F.col("text"), True))
+    kept = each.where(~text.is_toc_like(F.col("text"), True) & ~text.is_low_quality(F.col("text"), True))
     return kept.select(*DOC, F.format_string("b_%d_%d", "page_no", "order_in_page").alias("block_id"), "page_no", "block_type", "text", "order_in_page")
 
 

@@ -45,11 +45,11 @@ def relation_values(relations: DataFrame) -> DataFrame:
 
 
 def is_mandatory(c: Column) -> Column:
-    return c.rlike(fixed.MANDATORY_TEXT)
+    return text.contains_any(c, fixed.MANDATORY_TEXT.strip("()").split("|"))
 
 
 def constraint_type(c: Column, mandatory: Column) -> Column:
-    return F.when(mandatory | c.rlike("(强制性条文|不得|严禁|禁止)"), "mandatory").when(c.rlike("(应|应当|宜)"), "recommended").otherwise("informative")
+    return F.when(mandatory | text.contains_any(c, ("强制性条文", "不得", "严禁", "禁止")), "mandatory").when(text.contains_any(c, ("应", "宜")), "recommended").otherwise("informative")
 
 
 def page_types(structs: DataFrame) -> DataFrame:

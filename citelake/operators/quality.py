@@ -17,12 +17,12 @@ def chunk_gate(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "version_id
     characters). A repetition is called dup only after a kept chunk of the signature. Where a document would keep nothing,
     its first `fallback` chunks are kept. Columns used: text, source_type, chunk_id and the ordinal."""
     t = text.strip(F.col("text"))
-    flat = F.regexp_replace(t, r"(?U)\s+", " ")
+    flat = text.single_spaced(t)
     kind = text.strip(F.col("source_type"))
     row = kind.isin(*fixed.TABLE_ROW_TYPES) | F.startswith(F.coalesce("chunk_id", F.lit("")), F.lit("tbl_"))
     noise = F.when(row, text.is_noisy_row(t)).otherwise(text.is_noisy(t))
     short = ~row & (F.length(flat) < min_chars) & ~text.has_evidence(flat) & ~text.is_short_clause(flat)
-    judged = chunks.withColumns({"_sig": F.sha2(F.concat(kind, F.lit("|"), F.regexp_replace(F.lower(flat), r"(?U)[\s\W_]+", "")), 256), "_noise": noise, "_short": short})
+    judged = chunks.withColumns({"_sig": F.sha2(F.concat(kind, F.lit("|"), F.regexp_replace(F.lower(flat), r"(?U)[\W_]+", "")), 256), "_noise": noise, "_short": short})
     good = ~F.col("_noise") & ~F.col("_short")
     first = F.min(F.when(good, F.col(ordinal))).over(Window.partitionBy(*keys, "_sig"))
     judged = judged.withColumn("_first", first)

@@ -97,3 +97,21 @@ def test_window_around(spark):
 
 def test_redaction(spark):
     assert one(spark, text.redact(F.col("t")), t="电话13812345678 a.b@c.de 11010519491231002X") == "电话[PHONE] [EMAIL] [IDCARD]"
+
+
+def test_white_space_goes_without_a_match_for_every_space(spark):
+    from pyspark.sql import functions as F
+
+    from citelake.functions import clauses, text
+
+    marks = [chr(i) for i in [*range(1, 0x300), *range(0x1600, 0x3100), 0xFEFF, 0x1F600]]
+    rows = spark.createDataFrame([(f"{c}{c} a{c} b  c{c}(1.2) 3{c}",) for c in marks], "x string")
+    old = F.regexp_replace("x", r"(?U)\A\s+|\s+\z", "")
+    spaced = F.regexp_replace("x", r"(?U)\s+", " ")
+    clause = F.nullif(F.regexp_extract("x", text.fixed.CLAUSE, 1), F.lit(""))
+    body = r"\p{L}\p{N}" + text.quoted_class(text.fixed.READABLE_MARKS)
+    same = (text.strip(F.col("x")) == old) & (text.single_spaced(F.col("x")) == spaced) & clauses.first_clause(F.col("x")).eqNullSafe(clause) & (text.readable_ratio(F.col("x")) == text.char_share(F.col("x"), body))
+    assert rows.where(~same).count() == 0
+    plan = rows.select(text.strip(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "trim" in plan
+    assert rows.where(F.regexp_count(F.lit("an ordinary text, with single spaces"), F.lit(text._RUN)) > 0).count() == 0
