@@ -26,6 +26,8 @@ SAMPLE, BITS = 20_000, 6
 #: Fields of these kinds are ordered, kept in the manifest and pushed down.
 ORDERED = (T.StringType, T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType)
 NUMBER = (T.IntegralType, T.DoubleType, T.FloatType, T.DecimalType)
+#: Rows a task sorts and writes as one file at most, about.
+MOST_ROWS = 1 << 20
 #: Beyond this size whole numbers and doubles are no longer told apart one by one.
 EXACT = 1 << 53
 
@@ -118,10 +120,11 @@ class PayloadIndex:
     def write(self, rows: DataFrame, fields: list[str], bloom: tuple[str, ...] = (), files: int | None = None, row_group: int = 16 << 20) -> None:
         """A run of rows, to the others of this index. fields: up to ten that filters ask for most; bloom: fields of many
         values that are asked for by value. Rows of one place in the order are dealt on by their place in the
-        input, so that a value on a third of all rows is many tasks' and files'."""
+        input, so that a value on a third of all rows is many tasks' and files'. files is the least number of them: large runs are dealt into files of about MOST_ROWS rows, so
+        that what a task holds does not grow with the run."""
         name = f"run-{uuid.uuid4().hex}"
         ordered = [f for f in fields if _ordered(rows.schema[f].dataType)][:10]
-        parts = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(files or int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MOST_ROWS))
         placed = with_place(rows, ordered).withColumn("_row", F.monotonically_increasing_id())
         out = placed.repartitionByRange(parts, "_z", *ordered, "_row").sortWithinPartitions("_z", *ordered).drop("_z", "_row").write
         for field in bloom:
@@ -130,7 +133,8 @@ class PayloadIndex:
         written_ = self.spark.read.parquet(f"{self.path}/rows/{name}")
         known = [f for f in written_.schema.names if _ordered(written_.schema[f].dataType)]
         bounds = F.map_from_arrays(F.array(*[F.lit(f) for f in known]), F.array(*[F.struct(F.min(f"`{f}`").cast("string").alias("least"), F.max(f"`{f}`").cast("string").alias("most")) for f in known]))
-        files_ = written_.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), bounds.alias("bounds"))
+        # least and largest texts alone would have Spark sort all rows of a task by their file; a set among them has it hash
+        files_ = written_.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), bounds.alias("bounds"), F.collect_set(F.lit(0)).alias("_hashed")).where("size(_hashed) > 0")
         files_.select(F.concat(F.lit(f"{name}/"), F.element_at(F.split("f", "/"), -1)).alias("file"), "n", "bounds").coalesce(1).write.parquet(f"{self.path}/manifest/{name}")
 
     @staticmethod

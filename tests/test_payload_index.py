@@ -61,3 +61,17 @@ def test_nothing_written(spark, tmp_path):
     made = PayloadIndex(spark, str(tmp_path / "p"))
     made.write(spark.createDataFrame([], SCHEMA), ["kv"])
     assert made.read({"must": [{"key": "kv", "range": {"gte": 1}}]}).count() == 0 and made.read().count() == 0
+
+
+def test_a_large_run_is_more_files_and_no_task_sorts_it_for_the_manifest(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from citelake.operators import payload_index
+
+    monkeypatch.setattr(payload_index, "MOST_ROWS", 50, raising=False)
+    rows = spark.range(1000).select("id", (F.col("id") % 37).cast("string").alias("kind"))
+    store = PayloadIndex(spark, str(tmp_path / "many"))
+    store.write(rows, ["kind"], files=4)
+    got = store.read({"must": [{"key": "kind", "match": {"value": "5"}}]})
+    assert sorted(r["id"] for r in got.collect()) == [i for i in range(1000) if i % 37 == 5]
+    assert len(store.files) >= 15 and len(store.opened) < len(store.files)
