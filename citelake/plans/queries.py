@@ -15,7 +15,13 @@ from citelake.operators import dense_index, evaluate, evidence, extract, filters
 from citelake.plans import hybrid
 from citelake.sources import pages as source_pages
 from citelake.sources import scroll
-from citelake.stages import stage_path, table
+from citelake.stages import small_batches, stage_path
+from citelake.stages import table as plain_table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return plain_table(spark, sf_dir, name)
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:

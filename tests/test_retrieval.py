@@ -315,3 +315,21 @@ def test_first_rows_and_structured_rows_equal_all_pairs(spark):
     for df in (hits, retrieval.first_rows(rows, asked, 4)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_registered_queries_read_texts_in_bounded_batches(spark):
+    from citelake import stages
+    from citelake.plans import queries as own
+
+    before = {key: spark.conf.get(key, None) for key in stages.ARROW}
+    try:
+        for key in stages.ARROW:
+            spark.conf.unset(key)
+        own.docs_of(spark, "/root/testdata/sf0.001")
+        assert {key: spark.conf.get(key) for key in stages.ARROW} == stages.ARROW
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")  # the owner's own bound stays
+        own.docs_of(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
