@@ -31,6 +31,8 @@ from citelake.stages import remove, written
 
 #: Postings a block should hold; leading pages that are scored first, a hit wanted, to know what blocks must beat.
 BLOCK, PROBE = 128, 8
+#: Pages (and characters) whose postings are packed together; pages from which on a word's are cut.
+CHUNK, CHUNK_CHARS, CUT = 2048, 4_000_000, 64
 #: Files are opened for at most so many words by a filter that Parquet's statistics can use.
 FEW_WORDS = 500
 #: Level of a term with one block: no page number is left after the shift.
@@ -39,6 +41,8 @@ WHOLE = 62
 PAGES_APART = 1 << 18
 _WORD = re.compile(r"\w+")
 _PAGES, _POSTINGS = "page long, doc_id string, page_no int", "page long, term string, at array<int>"
+#: Rows of packed postings: the first page and the last, the word, its pages and its most places on one; keys of a page.
+_CHUNKS, _KEYS = "page long, last long, term string, n int, most int, packed binary", ", doc_id string, page_no int"
 
 
 def _page_name(page: int) -> str:
@@ -52,27 +56,167 @@ def most_covers(units: Column, count: Column) -> Column:
     return 0.1 * units * count
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text) -> (page, doc_id, page_no, words array<struct<term, at>>), page numbers from 0 without gaps."""
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0 as bytes, seven bits each, the least first, and how many bytes each takes."""
+    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    start, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        some = size > k
+        out[start[some] + k] = (values[some] >> 7 * k & 127) | np.where(size[some] > k + 1, 128, 0)
+    return out, size
+
+
+def _numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of _varints() and where each ends in the bytes."""
+    ends = np.flatnonzero(data < 128) + 1
+    start = np.concatenate([[0], ends[:-1]])
+    which = np.arange(len(data)) - np.repeat(start, ends - start)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * which, start) if len(ends) else np.empty(0, np.int64), ends
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of some stretches."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def pack(pages: np.ndarray, sizes: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Postings of some rows, n of each: the pages' steps, how many places each has, and the places' steps."""
+    first, one = np.cumsum(n) - n, np.cumsum(sizes) - sizes
+    steps, moves = np.diff(pages, prepend=0), np.diff(at, prepend=0)
+    steps[first], moves[one] = 0, at[one]
+    places = np.add.reduceat(sizes, first)
+    start = np.cumsum(2 * n + places) - (2 * n + places)
+    values = np.empty(2 * len(pages) + len(at), np.int64)
+    to = np.repeat(start, n) + _within(n)
+    values[to], values[to + np.repeat(n, n)], values[np.repeat(start + 2 * n, places) + _within(places)] = steps, sizes, moves
+    data, width = _varints(values)
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(width, start))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def unpack(packed: pa.Array, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pack()'s pages, sizes and places; first: each row's first page."""
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    values, stops = _numbers(np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    start = np.searchsorted(stops, ends[:-1] - ends[0], side="right")
+    to = np.repeat(start, n) + _within(n)
+    pages, sizes = np.cumsum(values[to]), values[to + np.repeat(n, n)]
+    pages += np.repeat(first - pages[np.cumsum(n) - n], n)
+    places = np.add.reduceat(sizes, np.cumsum(n) - n)
+    moves = values[np.repeat(start + 2 * n, places) + _within(places)]
+    at, one = np.cumsum(moves), np.cumsum(sizes) - sizes
+    return pages, sizes, at - np.repeat(at[one] - moves[one], sizes)
+
+
+def _rows(terms: pa.Array, pages: np.ndarray, sizes: np.ndarray, at: np.ndarray, n: np.ndarray) -> list:
+    """Columns of _CHUNKS; terms: one a row."""
+    first = np.cumsum(n) - n
+    return [pa.array(pages[first]), pa.array(pages[first + n - 1]), terms, pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(sizes, first), pa.int32()), pack(pages, sizes, at, n)]
+
+
+def _chunk(ids: list[int], words: list[pa.Array]) -> list:
+    """Columns of _CHUNKS of some pages: a row a word. A word of more than CUT pages has a row for each CUT of them, so that few
+    rows reach into two slices."""
+    count = np.array([len(w) for w in words], np.int64)
+    coded = pa.concat_arrays(words).dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    order = np.argsort(codes, kind="stable")
+    codes, page, at = codes[order], np.repeat(np.arange(len(ids)), count)[order], _within(count)[order]
+    post = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(page) != 0)]))
+    codes, page, sizes = codes[post], page[post], np.diff(post, append=len(at))
+    piece = np.where(np.bincount(codes)[codes] > CUT, page // CUT, 0)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(piece) != 0)]))
+    return _rows(coded.dictionary.take(pa.array(codes[first])), np.array(ids, np.int64)[page], sizes, at, np.diff(first, append=len(page)))
+
+
+def page_words(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, page_no, text) -> pages (page, doc_id, page_no), numbered from 0 without gaps, and their postings (_CHUNKS): a
+    task packs a word's postings of up to CHUNK pages into one row. Texts are split once; both are read from one table."""
     numbered = pages.select(F.monotonically_increasing_id().alias("page"), F.col("doc_id").cast("string").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in (_CHUNKS + _KEYS).split(", ")]
+        empty = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32()]
+        made = lambda n, columns: pa.RecordBatch.from_arrays([columns[i] if i in columns else pa.nulls(n, t) for i, t in enumerate(empty)], names=names)
+        ids, words, chars = [], [], 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                some, out = batch.slice(first, 64), []
-                for body in some.column(3).to_pylist():
-                    places: dict[str, list[int]] = {}
-                    for i, word in enumerate(_WORD.findall(body)):
-                        places.setdefault(word, []).append(i)
-                    out.append([{"term": t, "at": at} for t, at in places.items()])
-                words = pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))])))
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], words], names=["page", "doc_id", "page_no", "words"])
-
-    got = written(numbered.mapInArrow(split, "page long, doc_id string, page_no int, words array<struct<term:string,at:array<int>>>"), "page-words")
-    part, within = F.shiftrightunsigned("page", 33), F.col("page").bitwiseAND((1 << 33) - 1)
-    sizes = got.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row an input partition
-    return got.join(offsets, part == F.col("part")).select((F.col("offset") + within).alias("page"), "doc_id", "page_no", "words")
+            yield made(batch.num_rows, {0: batch.column(0), 6: batch.column(1), 7: batch.column(2)})
+            for start in range(0, batch.num_rows, 64):
+                some = batch.slice(start, 64)
+                for page, body in zip(some.column(0).to_pylist(), some.column(3).to_pylist(), strict=True):
+                    if found := _WORD.findall(body):
+                        ids.append(page)
+                        words.append(pa.array(found, pa.string()))
+                        chars += len(body)
+                    if len(ids) >= CHUNK or chars >= CHUNK_CHARS:
+                        columns = _chunk(ids, words)
+                        yield made(len(columns[0]), dict(enumerate(columns)))
+                        ids, words, chars = [], [], 0
+        if ids:
+            columns = _chunk(ids, words)
+            yield made(len(columns[0]), dict(enumerate(columns)))
+
+    got = written(numbered.mapInArrow(split, _CHUNKS + _KEYS), "page-words")
+    there, chunks = got.where("term is null"), got.where("term is not null")
+    part, within = F.shiftrightunsigned("page", 33), lambda c: F.col(c).bitwiseAND((1 << 33) - 1)
+    sizes = there.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(written(sizes.select("part", before.alias("offset")), "page-offsets"))  # a row an input partition
+    placed = lambda df: df.join(offsets, part == F.col("part"))
+    number = lambda c: (F.col("offset") + within(c)).alias(c)
+    return placed(there).select(number("page"), "doc_id", "page_no"), placed(chunks).select(number("page"), number("last"), "term", "n", "most", "packed")
+
+
+def packed_postings(postings: DataFrame) -> DataFrame:
+    """(page, term, at) -> _CHUNKS, a row each."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = batch.column(2).value_lengths().to_numpy().astype(np.int64)
+                columns = _rows(batch.column(1), batch.column(0).to_numpy(), sizes, batch.column(2).flatten().to_numpy().astype(np.int64), np.ones(batch.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _CHUNKS.split(", ")])
+
+    return postings.select("page", "term", "at").mapInArrow(each, _CHUNKS)
+
+
+def _blocks(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks of all the rows of some (term, slice), in order of these and of the pages."""
+    terms, slices, level, first, n, packed = rows.columns
+    starts = _starts(rows)
+    slices, level, n = slices.to_numpy(), level.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
+    pages, sizes, at = unpack(packed, n, first.to_numpy())
+    block = np.repeat(np.repeat(np.arange(len(starts)), np.diff(starts, append=len(n))), n)
+    here = pages >> np.repeat(level, n) == np.repeat(slices, n)
+    if not here.all():  # rows that reach into several slices stand in each
+        at = at[np.repeat(here, sizes)]
+        pages, sizes, block = pages[here], sizes[here], block[here]
+    held, heads = np.unique(block, return_index=True)
+    ends = np.append(heads, len(pages)).astype(np.int32)
+    nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(at.astype(np.int32)))
+    most = np.maximum.reduceat(sizes, heads) if len(heads) else sizes
+    columns = [terms.take(pa.array(starts[held])), pa.array(slices[starts[held]]), pa.array(np.diff(ends), pa.int32()), pa.array(most, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(pages)), pa.ListArray.from_arrays(pa.array(ends), nested)]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "slice", "n", "most", "pages", "at"])
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where another (term, slice) begins."""
+    codes, slices = rows.column(0).dictionary_encode().indices.to_numpy(), rows.column(1).to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(slices) != 0)]))
+
+
+def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (term, slice, level, page, n, packed) -> blocks; a block's rows may come in several batches."""
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            cut = int(_starts(rest)[-1])
+            if cut:
+                yield _blocks(rest.slice(0, cut))
+                rest = rest.slice(cut)
+    if rest is not None:
+        yield _blocks(rest)
 
 
 class Run:
@@ -90,7 +234,12 @@ class Run:
         if not files:
             return None
         rows = self.index.spark.read.parquet(*[f"{self.index.path}/{self.name}/{kind}/{r['file']}" for r in files])
-        return rows.where(F.col("term").isin(sorted(words))) if words is not None and len(words) <= FEW_WORDS else rows
+        if words is None:
+            return rows
+        if len(words) <= FEW_WORDS:
+            return rows.where(F.col("term").isin(sorted(words)))
+        # the words of one block of questions: other words' rows end here, before any exchange
+        return rows.join(F.broadcast(self.index.spark.createDataFrame([(w,) for w in sorted(words)], "term string")), "term", "left_semi")
 
     def keyed(self, hits: DataFrame, later: list[Run]) -> DataFrame:
         """Hits with doc_id and page_no, without pages that later runs hide. Only files that hold hits' pages are opened: one
@@ -127,23 +276,26 @@ class FullTextIndex:
     def runs(self) -> list[Run]:
         return [Run(self, name, rows) for name, rows in self._manifest().items()]
 
-    def _write(self, pages: DataFrame, postings: DataFrame, replaces: list[str], files: int | None) -> str:
-        """A run of pages (page, doc_id, page_no) and postings (page, term, at). It exists when its manifest does."""
+    def _write(self, pages: DataFrame, chunks: DataFrame, replaces: list[str], files: int | None) -> str:
+        """A run of pages (page, doc_id, page_no) and packed postings (_CHUNKS). It exists when its manifest does."""
         known = sorted(self._manifest())
         name = f"run-{int(known[-1][4:10]) + 1 if known else 0:06d}-{uuid.uuid4().hex[:8]}"
         base, parts = f"{self.path}/{name}", files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         pages.repartitionByRange(parts, "page").sortWithinPartitions("page").write.parquet(f"{base}/pages")
         n_pages = self.spark.read.parquet(f"{base}/pages").where("page is not null").count()
         rest = F.floor(F.log2(F.lit(float(BLOCK * max(n_pages, 1))) / F.col("df"))).cast("int")
-        terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.max(F.size("at")).alias("most"))
+        terms = chunks.groupBy("term").agg(F.sum(F.col("n").cast("long")).alias("df"), F.max("most").alias("most"))
         level = F.when(F.col("df") >= 2 * BLOCK, F.greatest(rest, F.lit(0))).otherwise(WHOLE)
         terms.withColumn("level", level).repartitionByRange(parts, "term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
-        frequent = self.spark.read.parquet(f"{base}/terms").where(F.col("level") < WHOLE).select("term", "level")
-        placed = postings.join(frequent, "term", "left").withColumn("slice", F.expr(f"shiftright(page, coalesce(level, {WHOLE}))"))
-        # ranges of the grouping keys: what is dealt out for the files is grouped where it lies
-        blocks = placed.repartitionByRange(parts, "term", "slice").groupBy("term", "slice").agg(F.array_sort(F.collect_list(F.struct("page", "at"))).alias("p"))
-        blocks = blocks.select("term", "slice", F.size("p").alias("n"), F.array_max(F.transform("p", lambda x: F.size(x["at"]))).alias("most"), F.col("p.page").alias("pages"), F.col("p.at").alias("at"))
-        blocks.sortWithinPartitions("term", "slice").write.option("compression", "zstd").parquet(f"{base}/blocks")
+        # a table of its own: its size tells Spark whether postings must move to meet it
+        frequent = written(self.spark.read.parquet(f"{base}/terms").where(F.col("level") < WHOLE).select("term", "level"), "frequent-terms")
+        placed = chunks.join(frequent, "term", "left").withColumn("level", F.coalesce("level", F.lit(WHOLE)))
+        slices = F.sequence(F.expr("shiftright(page, level)"), F.expr("shiftright(last, level)"))
+        placed = placed.select("term", F.explode(slices).alias("slice"), "level", "page", "n", "packed")
+        # ranges of the grouping keys: what is dealt out for the files is merged where it lies
+        sorted_ = placed.repartitionByRange(parts, "term", "slice").sortWithinPartitions("term", "slice", "page")
+        blocks = sorted_.mapInArrow(merge_rows, "term string, slice long, n int, most int, pages array<long>, at array<array<int>>")
+        blocks.write.option("compression", "zstd").parquet(f"{base}/blocks")
         found = [self._files(base, kind, key) for kind, key in (("terms", F.col("term")), ("blocks", F.col("term")), ("pages", F.lpad(F.col("page").cast("string"), 20, "0")))]
         notes = [("run", name, None, None, n_pages), *[("replaced", old, None, None, 0) for old in replaces]]
         found.append(self.spark.createDataFrame(notes, "kind string, file string, first string, last string, n long"))
@@ -158,13 +310,12 @@ class FullTextIndex:
     def add(self, pages: DataFrame, files: int | None = None) -> str:
         """A run of new pages (doc_id, page_no, text), which replace pages of the same key in earlier runs. A key should occur
         once in a batch; if it occurs more often, each of its pages can be found. Null texts hold no words."""
-        words = written(page_words(pages), "numbered-words")
-        return self._write(words.select("page", "doc_id", "page_no"), words.select("page", F.explode("words").alias("w")).select("page", "w.term", "w.at"), [], files)
+        return self._write(*page_words(pages), [], files)
 
     def delete(self, keys: DataFrame) -> str:
         """A run that hides the pages of some keys (doc_id, page_no)."""
         gone = keys.select(F.lit(None).cast("long").alias("page"), F.col("doc_id").cast("string").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"))
-        return self._write(gone, self.spark.createDataFrame([], _POSTINGS), [], 1)
+        return self._write(gone, self.spark.createDataFrame([], _CHUNKS), [], 1)
 
     def compact(self, files: int | None = None) -> str | None:
         """One run of all living pages in place of all runs; texts are not read. vacuum() removes the files of the old ones."""
@@ -180,7 +331,7 @@ class FullTextIndex:
         if not runs:
             return None
         none = self.spark.createDataFrame([], _POSTINGS)
-        return self._write(reduce(DataFrame.unionByName, pages), written(reduce(DataFrame.unionByName, postings, none), "postings"), [r.name for r in runs], files)
+        return self._write(reduce(DataFrame.unionByName, pages), written(packed_postings(reduce(DataFrame.unionByName, postings, none)), "postings"), [r.name for r in runs], files)
 
     def vacuum(self) -> None:
         """Removes the tables of replaced runs (their manifests stay, being a few rows)."""

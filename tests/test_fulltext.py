@@ -102,3 +102,38 @@ def test_covers_are_at_most_units_times_the_rarest_count():
             units.append((words[1], words[2]))
         score, rarest = retrieval.cover_density([units], places), min(len(p) for p in places.values())
         assert score <= fulltext.most_covers(len(units), rarest) + 1e-12
+
+
+def test_packed_postings_come_back_and_are_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "CUT", 16)
+    data = [(f"d{i}", 1, t) for i, (_, _, t) in enumerate(texts(7, 400))] + [("long", 1, "x " * 70_000 + "y"), ("none", 1, None)]
+    pages, chunks = fulltext.page_words(spark.createDataFrame(data, PAGES).coalesce(2))
+    by_page = {r.page: r.doc_id for r in pages.collect()}
+    assert sorted(by_page) == list(range(len(data)))
+    got = chunks.collect()
+    n = np.array([r.n for r in got])
+    where, sizes, at = fulltext.unpack(fulltext.pa.array([bytes(r.packed) for r in got], fulltext.pa.binary()), n, np.array([r.page for r in got]))
+    said = {d: t for d, _, t in data}
+    terms = np.repeat([r.term for r in got], n)
+    found = {(t, by_page[p]): a.tolist() for t, p, a in zip(terms, where.tolist(), np.split(at, np.cumsum(sizes)[:-1]), strict=True)}
+    want = {}
+    for doc, text in said.items():
+        for i, w in enumerate((text or "").split()):
+            want.setdefault((w, doc), []).append(i)
+    assert found == want and len(got) < len(want) / 3  # a row a posting before
+    for r, last, most in zip(got, where[np.cumsum(n) - 1], np.maximum.reduceat(sizes, np.cumsum(n) - n), strict=True):
+        assert (r.last, r.most) == (last, most)
+
+
+def test_rows_that_reach_into_several_slices_stand_once_in_each(spark):
+    chunk = fulltext._rows(fulltext.pa.array(["a", "b"]), np.array([3, 9, 17, 4]), np.array([1, 2, 1, 1]), np.array([5, 1, 8, 0, 2]), np.array([3, 1]))
+    rows = spark.createDataFrame([(t, s, 3, p, n, b) for t, s, p, n, b in [("a", s, 3, 3, chunk[5][0].as_py()) for s in (0, 1, 2)] + [("b", 0, 4, 1, chunk[5][1].as_py())]], "term string, slice long, level int, page long, n int, packed binary")
+    got = rows.coalesce(1).sortWithinPartitions("term", "slice", "page").mapInArrow(fulltext.merge_rows, "term string, slice long, n int, most int, pages array<long>, at array<array<int>>").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 1, 1, [3], [[5]]), ("a", 1, 1, 2, [9], [[1, 8]]), ("a", 2, 1, 1, [17], [[0]]), ("b", 0, 1, 1, [4], [[2]])]
+
+
+def test_blocks_of_other_words_are_left_out_for_many_words_too(spark, tmp_path):
+    index = FullTextIndex(spark, str(tmp_path / "fts"))
+    index.add(spark.createDataFrame([("d", 1, " ".join(f"w{i}" for i in range(2_000)))], PAGES), files=2)
+    wanted = {f"w{i}" for i in range(fulltext.FEW_WORDS + 50)}
+    assert {r.term for r in index.runs()[0].table("blocks", wanted).collect()} == wanted
