@@ -282,12 +282,20 @@ def fts_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best_in_tasks(pages, queries, asked, k, F.lower(F.coalesce("text", F.lit(""))), ["doc_id", "page_no"], scorer).withColumn("route", F.lit("sparse"))
 
 
+@in_blocks
 def fts_search(index: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
-    """Pages that hold all of a query's words by an inverted index: an equi-join on the word, scored by cover_density().
-    queries: (query_id, terms)."""
-    wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("_n"), F.explode(F.array_distinct("terms")).alias("term"))
-    met = index.join(wanted, "term").groupBy("query_id", "_n", *keys)
-    page = met.agg(F.collect_list(F.struct("term", "positions")).alias("_p")).where(F.size("_p") == F.col("_n"))
+    """Pages that hold all of a query's words by an inverted index, scored by cover_density(). queries: (query_id, terms).
+
+    The index keeps to the words that are asked (a semi-join that Spark carries below the index's own grouping), and a page's
+    postings meet once; a query meets only pages that hold its longest word, and is never dealt out over all words it shares."""
+    wanted = queries.select("query_id", F.array_distinct("terms").alias("_all")).withColumn("_lead", F.element_at(F.array_sort("_all", lambda a, b: F.coalesce(F.length(b), F.lit(-1)) - F.coalesce(F.length(a), F.lit(-1))), 1)).where("size(_all) > 0 and _lead is not null")
+    leads = [r[0] for r in wanted.select("_lead").distinct().collect()]  # one a query of a block at most
+    said = F.broadcast(wanted.select(F.explode("_all").alias("term")).distinct())
+    pages = index.join(said, "term", "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("term", "positions")).alias("_held"))
+    here = F.array_intersect(F.transform("_held", lambda w: w["term"]), F.lit(leads) if leads else F.array().cast("array<string>"))
+    met = pages.withColumn("_lead", F.explode(here)).join(F.broadcast(wanted), "_lead")
+    met = met.where(F.size(F.array_except("_all", F.transform("_held", lambda w: w["term"]))) == 0)
+    page = met.select("query_id", *keys, F.filter("_held", lambda w: F.array_contains("_all", w["term"])).alias("_p"))
 
     @F.pandas_udf("double")
     def cover(found: pd.Series) -> pd.Series:

@@ -333,3 +333,13 @@ def test_registered_queries_read_texts_in_bounded_batches(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_an_index_keeps_to_the_words_that_are_asked(spark):
+    pages = spark.createDataFrame([("a", 1, "fire door and wall"), ("b", 1, "door fire"), ("c", 1, "door"), ("d", 1, None)], "doc_id string, page_no int, text string")
+    asked = spark.createDataFrame([(1, ["fire", "door", "fire"]), (2, ["door", None]), (3, []), (4, None), (5, ["wall"]), (6, ["gate", "door"]), (7, ["and", "door"])], "query_id int, terms array<string>")
+    got = retrieval.fts_search(retrieval.inverted_index(pages), asked, 5)
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == [(1, "a"), (1, "b"), (5, "a"), (7, "a")]
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi, grouped = (next(i for i, x in enumerate(lines) if what in x) for what in ("LeftSemi", "collect_list(pos"))
+    assert semi > grouped  # other words' postings end below the index's own grouping, before its exchange
