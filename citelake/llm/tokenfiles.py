@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -103,15 +104,30 @@ class Vocabulary:
         words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.place) > self.words or self.used > 8 * self.words:
             self._clear()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        known = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        known = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(known < 0)):
+            new_words = [words[i] for i in new.tolist()]
+            self._learn(new_words)
+            known[new] = np.fromiter(map(self.place.__getitem__, new_words), np.int64, len(new))
         size, start = self.size[known][which], self.start[known][which]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])])
 
 
+_KEPT: dict[tuple, Vocabulary] = {}
+
+
+def kept(path: str) -> Vocabulary:
+    """The file's vocabulary with the words it has met: a worker keeps the last one for its next task."""
+    told = os.stat(path)
+    key = path, told.st_mtime_ns, told.st_size
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Vocabulary(path)
+    return _KEPT[key]
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a
@@ -212,7 +228,7 @@ def write(docs: DataFrame, vocabulary: str, end: int, doc_id: str = "doc_id", te
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, known, out, done = TaskContext.get().partitionId(), Vocabulary(vocabulary), None, []
+        part, known, out, done = TaskContext.get().partitionId(), kept(vocabulary), None, []
         for batch in batches:
             ids, sizes = known.encode(batch.column(1))
             with_ends = np.insert(ids, np.cumsum(sizes), end)
@@ -222,7 +238,6 @@ def write(docs: DataFrame, vocabulary: str, end: int, doc_id: str = "doc_id", te
                 done, out = [*done, out.close()], None
         if out:
             done.append(out.close())
-        del known
         give_back()
         if done:
             paths, n_docs, n_ids = zip(*done, strict=True)

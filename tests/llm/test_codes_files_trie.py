@@ -241,3 +241,23 @@ def test_a_very_long_text_and_role_borders(spark):
     rows = [(1, 0, "a", "b" * 3_000_000), (2, 0, "ab", "b" * 2_999_999), (3, 0, "a", "b" * 3_000_000)]
     got = trie.prefix_trie(trie.turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     assert sorted((r.conv_id, r.depth, r.n_convs, r.saved_tokens) for r in got.collect()) == [(1, 0, 3, 3_000_000), (1, 1, 2, 3_000_000), (2, 1, 1, 0)]
+
+
+def test_a_worker_keeps_the_vocabulary_for_its_next_task():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from citelake.llm import tokenfiles
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = tokenfiles.kept(path)
+    texts = pa.array(["New words, met here. new | words", None, "met again"])
+    first = [x.tolist() for x in known.encode(texts)]
+    learned = []
+    learn, known._learn = known._learn, lambda words: learned.extend(words)
+    try:
+        again = tokenfiles.kept(path)
+        assert again is known and [x.tolist() for x in again.encode(texts)] == first and not learned
+    finally:
+        known._learn = learn
+    assert [x.tolist() for x in tokenfiles.Vocabulary(path).encode(texts)] == first
