@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citelake.functions.runs import Held, runs
+
 
 def tokens(text: Column) -> Column:
     """Dotted numbers, Latin words and single Chinese characters; a lone marker for empty text."""
@@ -48,6 +50,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 _FOUND = [re.compile(p) for p in (r"\d+(?:\.\d+)+", r"[a-z0-9]+", "[一-鿿]")]
+_DOTTED = re.compile(r"\.\d")  # found fast, and wherever a dotted number is
 _WEIGHTS = np.array([s * (1 + n / 8.0) for s in (1.0, -1.0) for n in range(1, 9)])
 
 
@@ -56,7 +59,7 @@ class Hasher(dict):
 
     def __init__(self, dim: int = 1024, most: int = 200_000) -> None:
         super().__init__()
-        self.dim, self.most = dim, most
+        self.dim, self.most, self.held = dim, most, Held(self.codes)
 
     def __missing__(self, token: str) -> int:
         digest = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
@@ -65,11 +68,18 @@ class Hasher(dict):
             self[token] = code
         return code
 
-    def vectors(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, t in enumerate(texts):
-            found = [x for p in _FOUND for x in p.findall(t or "")] or ["__empty__"]
-            codes, counts = np.unique(np.fromiter(map(self.__getitem__, found), np.int64, len(found)), return_counts=True)
-            np.add.at(out[i], codes >> 4, _WEIGHTS[codes & 15] * counts)
+    def codes(self, word: str) -> list[int]:
+        """What one of a text's runs() holds: its tokens but for dotted numbers, which reach over several."""
+        return [self[word]] if _FOUND[1].fullmatch(word) else [self[x] for p in _FOUND[1:] for x in p.findall(word)]
+
+    def vectors(self, texts: list[str | None], held: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """held: (place of the text, code) of all its words, where they are at hand. Sums of eighths are exact, whatever their
+        order."""
+        row, code = self.held.of([runs(t) for t in texts]) if held is None else held
+        dotted = [(i, self[x]) for i, t in enumerate(texts) if t and _DOTTED.search(t) for x in _FOUND[0].findall(t)]
+        bare = np.flatnonzero(np.bincount(np.append(row, [i for i, _ in dotted]).astype(np.int64), minlength=len(texts)) == 0)
+        row = np.concatenate([row, np.array([i for i, _ in dotted], np.int64), bare])
+        code = np.concatenate([code, np.array([c for _, c in dotted], np.int64), np.full(len(bare), self["__empty__"])])
+        out = np.bincount(row * self.dim + (code >> 4), weights=_WEIGHTS[code & 15], minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norm, out=out, where=norm > 0)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from citelake.functions import clauses, fixed, text
 from citelake.functions.embedding import Hasher
+from citelake.functions.runs import Held, is_run, runs
 
 MAX_QUERIES = 1024
 #: Bytes of question vectors that are sent out at a time.
@@ -106,15 +107,49 @@ class Weights:
 
     def scores(self, counts: list[dict[int, int]], worth: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """A row a text (its terms' counts) and a column a question: weights times what a count is worth, summed."""
-        out = np.zeros((len(counts), self.width))
-        for row, found in zip(out, counts, strict=True):
-            if found:
-                at = np.fromiter(found, np.int64, len(found))
-                size = self.start[at + 1] - self.start[at]
-                value = np.repeat(worth(np.fromiter(found.values(), np.float64, len(found))), size)
-                some = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                row += np.bincount(self.questions[some], weights=self.weight[some] * value, minlength=self.width)
-        return out
+        sizes = [len(x) for x in counts]
+        flat = lambda parts: np.fromiter((x for p in parts for x in p), np.int64, sum(sizes))
+        return self.sums(len(counts), np.repeat(np.arange(len(counts)), sizes), flat(counts), flat(x.values() for x in counts), worth)
+
+    def sums(self, rows: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, worth: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """scores() of entries (row, term, count)."""
+        size = self.start[term + 1] - self.start[term]
+        value = np.repeat(worth(count.astype(np.float64)), size)
+        some = np.repeat(self.start[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.bincount(np.repeat(row, size) * self.width + self.questions[some], weights=self.weight[some] * value, minlength=rows * self.width).reshape(rows, self.width)
+
+
+class WordTerms:
+    """Terms.counts() of many texts at once. A term of word characters alone never reaches beyond one word of a text, so its
+    counts are sums over the text's words, which are looked through once; other terms are counted in the whole text."""
+
+    MOST_CELLS = 1 << 21
+
+    def __init__(self, terms: Terms, most: int = 400_000):
+        self.inside, self.across, self.terms = Terms(t for t in terms.names if is_run(t)), Terms(t for t in terms.names if not is_run(t)), terms
+        self.places, self.held = [terms.places[t] for t in self.inside.names], Held(self.find, most)
+
+    def find(self, word: str) -> list[int]:
+        """The terms of a word, each as often as it stands there."""
+        met = [i for _, (i, _) in self.inside.automaton.iter(word)] if self.places else []
+        if len(set(met)) < len(met):  # some stand there again, perhaps over themselves
+            met = [i for i, n in self.inside.counts(word).items() for _ in range(n)]
+        return [self.places[i] for i in met]
+
+    def entries(self, bodies: list[str | None], held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the text, term, count). held: (place of the text, term) of all its words, where they are at hand."""
+        row, term = self.held.of([runs(b) for b in bodies]) if held is None else held
+        width = max(1, len(self.terms.names))
+        step, parts = max(1, self.MOST_CELLS // width), []
+        for first in range(0, len(bodies), step):
+            start, stop = np.searchsorted(row, [first, first + step])
+            n = np.bincount((row[start:stop] - first) * width + term[start:stop])
+            at = np.flatnonzero(n)
+            parts.append((at // width + first, at % width, n[at]))
+        if self.across.names:
+            found = [(i, self.terms.places[self.across.names[t]], n) for i, b in enumerate(bodies) for t, n in self.across.counts(b).items()]
+            parts.append(tuple(np.array(found, np.int64).reshape(-1, 3).T))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
 
 
 def in_blocks(route: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -136,6 +171,18 @@ def _passed(queries: DataFrame) -> tuple[list[str], list[str], Column]:
     return ["spec"], ["_pass"], F.col("spec").isNull() | F.get("_pass", F.col("spec"))
 
 
+class Keywords:
+    """keyword_score() of texts for questions' terms."""
+
+    def __init__(self, asked: list[list[str]]):
+        wanted = [[(t, 1 + min(len(t), 12) / 12.0) for t in q] for q in asked]
+        terms = Terms(t for q in wanted for t, _ in q)
+        self.weights, self.words = Weights(terms, wanted), WordTerms(terms)
+
+    def scores(self, bodies: list[str], held: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        return positive(self.weights.sums(len(bodies), *self.words.entries(bodies, held), np.log1p))
+
+
 @in_blocks
 def keyword_best(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordinal: str = "ordinal") -> DataFrame:
     """(query_id, ordinal, score, rank) of keyword_search()."""
@@ -143,10 +190,8 @@ def keyword_best(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordi
     sent = rows.sparkSession.sparkContext.broadcast([list(r["terms"] or []) for r in asked])
 
     def scorer() -> Scorer:
-        wanted = [[(t, 1 + min(len(t), 12) / 12.0) for t in q] for q in sent.value]
-        terms = Terms(t for q in wanted for t, _ in q)
-        weights = Weights(terms, wanted)
-        return lambda bodies: positive(weights.scores([terms.counts(t) for t in bodies.to_pylist()], np.log1p))
+        keywords = Keywords(sent.value)
+        return lambda bodies: keywords.scores(bodies.to_pylist())
 
     return best_in_tasks(rows, queries, asked, k, F.coalesce(body, F.lit("")), [ordinal], scorer)
 
@@ -228,23 +273,60 @@ def cover_density(alternatives: list[list[tuple[str, ...]]], places: dict[str, n
             start = start[np.isin(start + k, places.get(word, none))]
         found += [(int(p) + len(unit) - 1, int(p), i) for p in start]
     found.sort()
-    wanted = [[units.index(u) for u in x] for x in alternatives]
+    place = {u: i for i, u in enumerate(units)}
+    wanted: list[list[int]] = [[] for _ in units]  # the alternatives that a unit is of, and how many units each still lacks
+    for n, x in enumerate(alternatives):
+        for u in x:
+            wanted[place[u]].append(n)
+    lacks = [len(x) for x in alternatives]
     every = np.unique(np.concatenate([places.get(w, none) for u in units for w in u])) if units else none
     inside, held, score = [0] * len(units), [], 0.0
-    satisfied = lambda: any(all(inside[u] for u in x) for x in wanted)
     for end, start, unit in found:
         inside[unit] += 1
+        if inside[unit] == 1:
+            for n in wanted[unit]:
+                lacks[n] -= 1
         heapq.heappush(held, (start, unit))
         left = None
-        while held and satisfied():
+        while held and 0 in lacks:
             left, first = heapq.heappop(held)
             inside[first] -= 1
+            if not inside[first]:
+                for n in wanted[first]:
+                    lacks[n] += 1
         if left is not None:
             words = int(np.searchsorted(every, end, side="right") - np.searchsorted(every, left))
             score += 0.1 / (1 + max(0, end - left - (words - 1)))
     return score
 
 
+def fts_scorer(asked: list[list[list[tuple[str, ...]]]]) -> Callable[[list[list[str]]], np.ndarray]:
+    """cover_density() of texts, given as their words, for questions as websearch() reads them."""
+    by_word: dict[str, list[tuple[int, set]]] = {}
+    for j, question in enumerate(asked):
+        for alternative in question:
+            words = {w for unit in alternative for w in unit}
+            by_word.setdefault(max(words, key=lambda w: (len(w), w)), []).append((j, words))
+    every = {w for x in by_word.values() for _, words in x for w in words}
+
+    def score(texts: list[list[str]]) -> np.ndarray:
+        out = np.zeros((len(texts), len(asked)))
+        for row, words in enumerate(texts):
+            held = every.intersection(words)
+            met = {j for w in by_word.keys() & held for j, wanted in by_word[w] if held >= wanted}
+            if met:
+                places: dict[str, list[int]] = {w: [] for j in met for x in asked[j] for u in x for w in u}
+                for pos, w in enumerate(words):
+                    if w in places:
+                        places[w].append(pos)
+                arrays = {w: np.array(p, np.int64) for w, p in places.items()}
+                for j in met:
+                    out[row, j] = cover_density(asked[j], arrays)
+        return positive(out)
+
+    return score
+
+
 @in_blocks
 def fts_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Full-text search of queries (query_id, query: see websearch()) in pages (doc_id, page_no, text) by cover_density(),
@@ -254,30 +336,8 @@ def fts_best(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast([websearch(r["query"]) for r in asked])
 
     def scorer() -> Scorer:
-        by_word: dict[str, list[tuple[int, set]]] = {}
-        for j, question in enumerate(sent.value):
-            for alternative in question:
-                words = {w for unit in alternative for w in unit}
-                by_word.setdefault(max(words, key=lambda w: (len(w), w)), []).append((j, words))
-        every = {w for x in by_word.values() for _, words in x for w in words}
-
-        def score(bodies: pa.Array) -> np.ndarray:
-            out = np.zeros((len(bodies), len(sent.value)))
-            for row, body in enumerate(bodies.to_pylist()):
-                words = _WORD.findall(body)
-                held = every.intersection(words)
-                met = {j for w in by_word.keys() & held for j, wanted in by_word[w] if held >= wanted}
-                if met:
-                    places: dict[str, list[int]] = {w: [] for j in met for x in sent.value[j] for u in x for w in u}
-                    for pos, w in enumerate(words):
-                        if w in places:
-                            places[w].append(pos)
-                    arrays = {w: np.array(p, np.int64) for w, p in places.items()}
-                    for j in met:
-                        out[row, j] = cover_density(sent.value[j], arrays)
-            return positive(out)
-
-        return score
+        score = fts_scorer(sent.value)
+        return lambda bodies: score([_WORD.findall(t) for t in bodies.to_pylist()])
 
     return best_in_tasks(pages, queries, asked, k, F.lower(F.coalesce("text", F.lit(""))), ["doc_id", "page_no"], scorer).withColumn("route", F.lit("sparse"))
 
@@ -390,6 +450,8 @@ def best_in_tasks(rows: DataFrame, queries: DataFrame, asked: list, k: int, body
                     for j, place in enumerate(places):
                         if place is not None:
                             scores[~passed[:, place], j] = -np.inf
+                if b.num_rows > k:  # what k rows of these very ones surpass is not among the best
+                    floor = np.maximum(floor, np.partition(scores, b.num_rows - k, axis=0)[b.num_rows - k])
                 may = np.isfinite(scores) & (scores >= floor)
                 names = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)) if may.any() else []
                 for j in np.flatnonzero(may.any(axis=0)).tolist():
@@ -484,6 +546,48 @@ def hash_search(rows: DataFrame, queries: DataFrame, k: int, body: Column, ordin
     return best_in_tasks(rows, queries, asked, k, F.lower(F.coalesce(body, F.lit(""))), [ordinal], scorer)
 
 
+def text_routes_best(rows: DataFrame, routes: dict[str, DataFrame], depth: dict[str, int], said: Column, rest: Column, ordinal: str = "ordinal", dim: int = 1024) -> DataFrame:
+    """(route, query_id, ordinal, score, rank) by one reading of the rows, whose words are made once for all routes: keyword
+    (query_id, terms) by keyword_score() of the text and the rest, sparse (query_id, query) as by fts_best() and, where it is
+    asked, dense (query_id, query) as by hash_search() of the text, each to its depth. said, rest: text and rest in lower case;
+    the questions are those of one block, and may bear a column spec."""
+    asked, sent, frames = [], {}, []
+    for route, queries in routes.items():
+        spec = _passed(queries)[0]
+        body = {"keyword": F.col("terms"), "dense": F.lower(F.coalesce("query", F.lit(""))), "sparse": F.col("query")}[route]
+        frames.append(queries.select(F.struct(F.lit(route).alias("route"), "query_id").alias("query_id"), *spec, body.alias("_asked")))
+        found = frames[-1].collect()
+        if route == "sparse":
+            found = [r for r in found if websearch(r["_asked"])]
+        sent[route] = [list(r["_asked"] or []) if route == "keyword" else websearch(r["_asked"]) if route == "sparse" else r["_asked"] for r in found]
+        asked += found
+    sent = rows.sparkSession.sparkContext.broadcast(sent)
+
+    def scorer() -> Scorer:
+        keywords, hasher, wanted = Keywords(sent.value["keyword"]), Hasher(dim), sent.value
+        terms = len(keywords.words.terms.names)
+        asked_of, dense = fts_scorer(wanted["sparse"]), hasher.vectors(wanted["dense"]).T if "dense" in wanted else None
+        both = lambda word: keywords.words.find(word) + [terms + c for c in hasher.codes(word)]
+        held = Held(keywords.words.find if dense is None else both)
+
+        def score(bodies: pa.Array) -> np.ndarray:
+            texts, more = (pc.struct_field(bodies, i).to_pylist() for i in (0, 1))
+            words = [runs(t) for t in texts]
+            place, found = held.of([w for pair in zip(words, map(runs, more), strict=True) for w in pair])  # a text, its rest
+            term, own = found < terms, place % 2 == 0
+            got = {"keyword": keywords.scores([f"{t} {m}" for t, m in zip(texts, more, strict=True)], (place[term] // 2, found[term])), "sparse": asked_of(words)}
+            if dense is not None:
+                code = own & ~term
+                got["dense"] = hasher.vectors(texts, (place[code] // 2, found[code] - terms)) @ dense
+            return np.concatenate([got[route] for route in wanted], axis=1)
+
+        return score
+
+    best = best_in_tasks(rows, frames[0], asked, max(depth[r] for r in routes), F.struct(said.alias("said"), rest.alias("rest")), [ordinal], scorer)
+    most = reduce(lambda c, r: c.when(F.col("query_id.route") == r, depth[r]), routes, F.when(F.lit(False), 0))
+    return best.where(F.col("rank") <= most).select("query_id.route", F.col("query_id.query_id").alias("query_id"), ordinal, "score", "rank")
+
+
 def fuse_rrf(routes: list[DataFrame], k: int, constant: int = 60, key: str = "id") -> DataFrame:
     """Reciprocal rank fusion: each hit's sum of 1 / (constant + rank); the row (and its own score) of the first route
     that has it; order by the sum, then by first appearance."""

@@ -99,8 +99,9 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     """Questions against rows: chapter prefix, else exact clause, else fused dense (by the rows' and questions' vectors, or
     by hash vectors where they bear none), keyword and sparse routes (full text; for Chinese questions without full-text
     hits, containment); then overlap rerank and boost. (hits, rows with their filters, questions). Each route keeps to its questions' filters, before its top-k.
-    One plan for all questions; a question answered by an earlier way is left out of the later ones by an anti-join on
-    its id. Routes name rows by ordinal; their text is fetched for the hits alone."""
+    A question answered by an earlier way is left out of the later ones by an anti-join on its id. The text routes share one
+    reading of the rows and name them by ordinal; the hits' rows, a bounded number, are then fetched once, and all that
+    follows reads these alone."""
     depth = {"dense": max(k, 48), "keyword": 24, "sparse": max(k, 24), "fused": max(3 * k, 80), "clause": max(4 * k, 48), "chapter": max(8 * k, 96)} | (routes or {})
     depth = {"listing": max(depth["keyword"], 64)} | depth  # keyword hits of questions that ask for a list
     rows, asked = with_filters(rows, _local(prepared(questions, entities, search_filter=search_filter)))
@@ -115,8 +116,13 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     def routed(hits: DataFrame, route: str) -> DataFrame:
         return hits.withColumn("route", F.lit(route)).select(*place)
 
-    def fetched(hits: DataFrame) -> DataFrame:
-        """Hits (a bounded number for each question) with their rows."""
+    def hit_rows(*hits: DataFrame) -> DataFrame:
+        """The rows of hits, a bounded number for each question; no other row leaves the tasks that read them."""
+        named = reduce(DataFrame.union, [h.select("ordinal") for h in hits]).distinct()
+        return whole.join(F.broadcast(named), "ordinal", "left_semi")
+
+    def fetched(hits: DataFrame, whole: DataFrame) -> DataFrame:
+        """Hits with their rows."""
         return whole.join(F.broadcast(hits), "ordinal").select(*fields)
 
     def wanting(df: DataFrame, spec: str, *columns) -> DataFrame:
@@ -129,7 +135,8 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
         found = [retrieval.keyword_best(rows, wanting(asked_of, "spec_chapter", t.alias("terms")), depth["chapter"], body).withColumn("_pass_no", F.lit(i)) for i, t in enumerate(passes)]
         both = found[0].unionByName(found[1]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_pass_no", "rank")))
         both = both.groupBy("query_id", "ordinal").agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias("rank"))
-        chapter = retrieval.clause_prefix_hits(fetched(routed(both, "chapter_prefix")).join(asked.select("query_id", "prefixes"), "query_id"))
+        both = written(routed(both, "chapter_prefix"), "chapter-found")
+        chapter = retrieval.clause_prefix_hits(fetched(both, hit_rows(both)).join(asked.select("query_id", "prefixes"), "query_id"))
         early.append(written(chapter.select(*fields), "chapter-hits"))
         open_ = open_.join(early[-1].select("query_id").distinct(), "query_id", "left_anti")
     if named[1]:
@@ -147,35 +154,44 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
         hits = retrieval.keyword_best(rows, wanting(df, "spec_all", "terms"), max(depth["listing"], depth["keyword"], least), body)
         return hits.join(F.broadcast(df.select("query_id", listed)), "query_id").where(F.col("rank") <= F.greatest("_most", F.lit(least))).drop("_most")
 
-    found = {"keyword": by_keyword(open_)}
-    pages = rows.select(F.col("ordinal").alias("doc_id"), F.coalesce("page_start", F.lit(0)).alias("page_no"), F.col("chunk_text").alias("text"), "_pass")
-    sparse = wanting(open_.where("use_sparse"), "spec_scope", F.regexp_replace("sparse_query", r"[/\-&|!():*<>]+", " ").alias("query"), "terms")
-    words = retrieval.fts_best(pages, sparse, depth["sparse"]).select("query_id", "doc_id", "score", "rank")
-    if named[3]:
-        rest = _local(sparse.where(F.col("query").rlike("[一-鿿]")).join(words.select("query_id").distinct(), "query_id", "left_anti"))
-        words = words.unionByName(retrieval.like_best(pages, rest, depth["sparse"]).select("query_id", "doc_id", "score", "rank"))
-    found["sparse"] = words.withColumnRenamed("doc_id", "ordinal")
-    if "vector" in rows.columns and "query_vector" in questions.columns:
+    asked_of = {"keyword": wanting(open_, "spec_all", "terms"), "sparse": wanting(open_.where("use_sparse"), "spec_scope", F.regexp_replace("sparse_query", r"[/\-&|!():*<>]+", " ").alias("query"), "terms")}
+    vectors = "vector" in rows.columns and "query_vector" in questions.columns
+    if not vectors:
+        asked_of["dense"] = wanting(open_, "spec_all", F.col("dense_text").alias("query"))
+    said, rest = F.lower(F.coalesce("chunk_text", F.lit(""))), retrieval.search_text("excerpt", "doc_name", "chapter_id")
+    joint = retrieval.text_routes_best(rows, asked_of, depth | {"keyword": max(depth["listing"], depth["keyword"])}, said, rest)
+    if vectors:
         dense = retrieval.dense_best(rows, wanting(open_, "spec_all", "query_vector"), depth["dense"])
-    else:
-        dense = retrieval.hash_search(rows, wanting(open_, "spec_all", F.col("dense_text").alias("query")), depth["dense"], F.col("chunk_text"))
-    found = {"dense": dense, **found}
+        joint = joint.unionByName(dense.select(F.lit("dense").alias("route"), "query_id", "ordinal", "score", "rank"))
+    joint = written(joint, "route-hits")  # the one reading of the rows' texts; read by what follows
+    of = lambda route: joint.where(F.col("route") == route).drop("route")
+    short = of("keyword").join(F.broadcast(open_.select("query_id", listed)), "query_id").where(F.col("rank") <= F.col("_most")).drop("_most")
+    found, words, dense = {"dense": of("dense"), "keyword": short}, of("sparse"), of("dense")
+    if named[3]:
+        pages = rows.select(F.col("ordinal").alias("doc_id"), F.coalesce("page_start", F.lit(0)).alias("page_no"), F.col("chunk_text").alias("text"), "_pass")
+        left = _local(asked_of["sparse"].where(F.col("query").rlike("[一-鿿]")).join(words.select("query_id").distinct(), "query_id", "left_anti"))
+        like = retrieval.like_best(pages, left, depth["sparse"]).withColumnRenamed("doc_id", "ordinal")
+        words = words.unionByName(like.select(*words.columns))
+    found["sparse"] = words
     if named[2]:
         lost = _local(open_.where("doc_scoped").join(dense.select("query_id").distinct(), "query_id", "left_anti"))
         found["filter_keyword"] = by_keyword(lost, k).withColumn("score", F.col("score") * 5.0)
     # what gates ask of texts is known of keyword hits and not asked of dense ones; where no question bears identifiers,
     # only sparse hits are read. Texts are fetched for what is fused, measured, left behind, and fetched for the last k
     every = reduce(DataFrame.unionByName, [routed(h, r) for r, h in found.items()])
+    if named[2] or named[3]:
+        every = written(every, "all-hits")
+    near = written(hit_rows(every, *early), "hit-rows")
     known = {"keyword": F.col("score"), "filter_keyword": F.col("score") / 5.0, "dense": F.lit(0.0)}
     flagged = lambda df: df.join(F.broadcast(flags), "query_id")
     says, fits = retrieval.keyword_measure(body, F.col("terms"))["score"], retrieval.matches_precision(F.col("standards"), F.col("clauses"))
     slim = ["id", "doc_id", "version_id", "_fits", "_says"]
     if named[4]:
-        judged = flagged(fetched(every)).withColumns({"_fits": fits, "_says": says}).select(*place, *slim)
+        judged = flagged(fetched(every, near)).withColumns({"_fits": fits, "_says": says}).select(*place, *slim)
     else:
-        read = flagged(fetched(every.where("route = 'sparse'"))).withColumns({"_fits": F.lit(True), "_says": says}).select(*place, *slim)
+        read = flagged(fetched(every.where("route = 'sparse'"), near)).withColumns({"_fits": F.lit(True), "_says": says}).select(*place, *slim)
         worth = reduce(lambda c, x: c.when(F.col("route") == x[0], x[1]), known.items(), F.when(F.lit(False), F.lit(0.0)))
-        rest = rows.select("ordinal", "id", "doc_id", "version_id").join(F.broadcast(every.where("route <> 'sparse'")), "ordinal")
+        rest = near.select("ordinal", "id", "doc_id", "version_id").join(F.broadcast(every.where("route <> 'sparse'")), "ordinal")
         judged = read.unionByName(rest.withColumns({"_fits": F.lit(True), "_says": worth}).select(*place, *slim))
     judged = flagged(judged)
     dense_hit = F.col("route") == "dense"  # passes every gate, and only sparse hits of unfit documents go
@@ -184,8 +200,8 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     gated = retrieval.route_gate(met, body, F.col("_fits"), F.col("_says"), ("query_id", "route"))
     order = [r for r in ("dense", "filter_keyword", "keyword", "sparse") if r in found]
     placed = gated.select(*place, "id", (F.array_position(F.array(*map(F.lit, order)), F.col("route")) - 1).alias("_route"))
-    joint = retrieval.fuse(placed, depth["fused"]).select(*place)
-    hits = flagged(reduce(DataFrame.unionByName, [*early, fetched(joint)]))
+    fused = retrieval.fuse(placed, depth["fused"]).select(*place)
+    hits = flagged(reduce(DataFrame.unionByName, [*early, fetched(fused, near)]))
     if low is not None:
         bad = low.select("doc_id").distinct().withColumn("low_quality", F.lit(True))
         hits = hits.join(bad, "doc_id", "left").withColumn("low_quality", F.coalesce("low_quality", F.lit(False)))
@@ -194,5 +210,5 @@ def _search(rows: DataFrame, questions: DataFrame, k: int = 16, entities: DataFr
     measured = hits.withColumns({"_overlap": retrieval.rerank_value(hits), "_measure": retrieval.keyword_measure(body, F.col("terms"))})
     valued = measured.select(*place, "low_quality", "_overlap", retrieval.boost_value(F.col("_measure")).alias("_boost"))
     best = retrieval.by_boost(retrieval.by_value(valued, F.col("_overlap")), F.col("_boost"), k)
-    shown = whole.join(F.broadcast(best.select(*place, "low_quality", "boost")), "ordinal").select(*fields, "low_quality", "boost")
+    shown = near.join(F.broadcast(best.select(*place, "low_quality", "boost")), "ordinal").select(*fields, "low_quality", "boost")
     return flagged(shown), rows, asked

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from citelake.plans import hybrid
 
@@ -95,6 +96,24 @@ def test_hybrid_search_equals_brute_force(spark, seed):
         assert got[q] == brute_search(docs, asked, 10), asked
 
 
+def test_texts_are_read_for_all_routes_at_once_and_once_more_for_their_hits(spark):
+    """Each reading of the rows makes their excerpts anew."""
+    rng = random.Random(3)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(said):
+        made.add(1)
+        return said[:200]
+
+    docs = [(str(i), " ".join(rng.choice(WORDS) for _ in range(9)), i) for i in range(400)]
+    rows = spark.createDataFrame(docs, "doc_id string, chunk_text string, ordinal long").withColumn("excerpt", counted("chunk_text"))
+    routes = {"dense": 3, "keyword": 3, "sparse": 3, "listing": 3}
+    asked = spark.createDataFrame([(1, "kaban lodor")], "query_id long, question string")
+    assert hybrid.search(hybrid.plain_rows(rows), asked, 3, routes=routes).count() == 3
+    assert made.value <= 2 * 400
+
+
 def brute_chunks(said, least=260, most=520, overlap=80):
     """Pages of 120 lines, blocks, chapters run together up to 1,200 characters, sentences packed, short ends joined, for
     plain lines without clause numbers, contents or titles but the patterns' own."""

@@ -1,9 +1,11 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citelake.functions import text
+from citelake.functions import embedding, text
 from citelake.operators import filters, retrieval
 from citelake.plans import hybrid
 
@@ -301,6 +303,43 @@ def test_weights_add_up_like_a_matrix():
     assert got.tolist() == [[4.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
 
 
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_counts_by_words_equal_counts_in_whole_texts(most):
+    """Terms that stand over themselves, share words or reach over several words; words kept and words looked through anew."""
+    rng = random.Random(most)
+    terms = retrieval.Terms(["aa", "aab", "b", "1.2", "中文", "a_b", "b a", "é", ""])
+    texts = [None, "", "..."] + ["".join(rng.choice("aaab_ .12中文é") for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    found = retrieval.WordTerms(terms, most)
+    found.MOST_CELLS = 40  # a few texts at a time
+    for some in (texts, texts[::-1], []):
+        got = [{} for _ in some]
+        for row, term, n in zip(*(x.tolist() for x in found.entries(some)), strict=True):
+            got[row][term] = n
+        assert got == [terms.counts(t) for t in some]
+    assert len(found.held) <= most
+
+
+def test_hash_vectors_of_texts_by_words_equal_the_expression(spark):
+    texts = ["ab1 x.5 1.2.3", "中文ab_c é9 ß", "", "...", None, "10.25", "ab " * 40]
+    want = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(embedding.hash_vector(F.col("t"))).collect()]
+    hasher = embedding.Hasher(1024)
+    for _ in range(2):
+        assert hasher.vectors(texts).tolist() == [pytest.approx(w) for w in want]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cover_density_equals_a_count_of_smallest_stretches(seed):
+    """A stretch counts where it satisfies the question and neither of its ends can be left out."""
+    rng = random.Random(seed)
+    words = [rng.choice("abcx") for _ in range(24)]
+    asked = [[("a",), ("b",)], [("c",), ("a",)]][: rng.randint(1, 2)]
+    places = {w: np.array([i for i, x in enumerate(words) if x == w], np.int64) for w in "abc"}
+    fits = lambda i, j: any(all(u[0] in words[i : j + 1] for u in x) for x in asked)
+    every = {u[0] for x in asked for u in x}
+    want = sum(0.1 / (1 + sum(w not in every for w in words[i : j + 1])) for i in range(24) for j in range(i, 24) if fits(i, j) and not fits(i + 1, j) and not fits(i, j - 1))
+    assert retrieval.cover_density(asked, places) == pytest.approx(want)
+
+
 def test_first_rows_and_structured_rows_equal_all_pairs(spark):
     """Both against every row and question, filters, equal rows and null fields included."""
     rows = spark.createDataFrame([(i, f"t{i % 4}", [i % 2 == 0, i % 3 == 0]) for i in range(60)], "ordinal long, text string, _pass array<boolean>")
