@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from citelake.streaming import consumer
@@ -72,3 +73,47 @@ def test_a_run_without_new_events_changes_nothing(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "events"))
         consumer.run(stream, str(tmp_path / "out"), str(tmp_path / "state"), 9 * HOUR).awaitTermination()
         assert got(spark, str(tmp_path / "out")) == {"a": ("processed", "", 1, int(START.timestamp() * 1000))}
+
+
+class State:
+    """A version's state as Spark hands it in, and what is asked of it."""
+
+    def __init__(self, now, value=None, timed_out=False):
+        self.now, self.get, self.exists, self.hasTimedOut, self.due = now, value, value is not None, timed_out, None
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def setTimeoutTimestamp(self, due):
+        assert due > self.now  # Spark refuses others
+        self.due = due
+
+    def update(self, value):
+        self.get = value
+
+
+def test_a_step_needs_its_events_and_state_alone():
+    """Timers that are due as they are set, at the watermark and later; then the timer itself; finished versions stay."""
+    step = consumer.consumer(10, 3)
+
+    def run(state, *rows):
+        out = list(step(("v",), iter([pd.DataFrame(rows, columns=["ms", "event_id", "kind"])] if rows else []), state))
+        return [tuple(x.itertuples(index=False, name=None))[0][1:] for x in out]
+
+    for now, due, want in ((20, None, [("failed", "timeout", 0, 15)]), (15, 16, []), (3, 15, []), (0, 15, [])):
+        state = State(now)
+        assert run(state, (5, 1, "queued")) == want and state.due == due and state.get == (bool(want), 0, 5)
+    late = State(40, (False, 1, 5), timed_out=True)
+    assert run(late) == [("failed", "timeout", 1, 15)] and late.get == (True, 1, 5)
+    over = State(0, (True, 1, 5))
+    assert run(over, (6, 2, "done")) == [] and over.get == (True, 1, 5) and over.due is None
+    assert run(State(0), (7, 3, "done"), (6, 2, "failed"), (5, 1, "queued")) == [("processed", "", 2, 7)]
+    assert run(State(0), (5, 1, "done"), (6, 2, None)) == []
+
+
+def test_events_without_a_time_are_left_out(spark, tmp_path):
+    rows = [("a", 1, "queued", START), ("a", 2, "done", None), ("a", 3, "failed", START), ("b", 4, "queued", START + timedelta(hours=30))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "events"))
+    consumer.run(stream, str(tmp_path / "out"), str(tmp_path / "state"), 9 * HOUR).awaitTermination()
+    assert got(spark, str(tmp_path / "out")) == {"a": ("failed", "timeout", 1, int(START.timestamp() * 1000) + 9 * HOUR)}
