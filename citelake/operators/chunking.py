@@ -1,4 +1,4 @@
-"""Chapters to clause-aware chunks: a fold over each chapter's lines (order decides, so it runs in pandas groups).
+"""Chapters to clause-aware chunks: a fold over each chapter's lines (order decides, so it runs in Python, chapter by chapter).
 
 A chapter is read line by line. A `Cursor` knows the clause and sub-clause in force; lines that open a node start a new
 segment, other lines go on with the open one. Segments are then packed into chunks of one node each.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from citelake.functions import fixed
@@ -22,10 +22,11 @@ _BARE_ITEM = re.compile(fixed.ITEM_SPACE_START)
 _TAIL = re.compile(r"\([0-9A-Za-z]+\)$")
 _ITEM_NODE = re.compile(r"^(.+\([0-9A-Za-z]+\))\.\d+$")
 _ENDS = re.compile(r"(?<=[。！？；;!?\n])")
+_DOTTED = re.compile(r"\d\.\d")  # no clause is without it, and it is found faster
 
 
 def find_clause(text: str) -> str | None:
-    m = _CLAUSE.search(text)
+    m = _DOTTED.search(text) and _CLAUSE.search(text)
     return m.group(1) if m else None
 
 
@@ -67,6 +68,11 @@ class Node:
         return level_of(self.node)
 
 
+def _may_open(line: str) -> bool:
+    """Whether a stripped line begins as numbers of nodes do."""
+    return line[:1].isdecimal() or line[:1] in ("(", "（")
+
+
 @dataclass
 class Cursor:
     """The clause in force while reading lines."""
@@ -77,14 +83,15 @@ class Cursor:
     def read(self, line: str) -> tuple[Node, bool]:
         """The line's place, and whether it opens it."""
         above = self.sub or self.root
-        if m := _TOP.match(line):
-            return self._enter(m.group(1)), True
-        if (m := _SUB.match(line)) and self.root:
-            self.sub = f"{self.root}({m.group(1)})"
-            return Node(self.root, self.sub), True
-        if (m := _ITEM.match(line) or _BARE_ITEM.match(line)) and above:
-            self.root = base_of(above)
-            return Node(above, f"{above}.{m.group(1)}"), True
+        if _may_open(line):
+            if m := _TOP.match(line):
+                return self._enter(m.group(1)), True
+            if (m := _SUB.match(line)) and self.root:
+                self.sub = f"{self.root}({m.group(1)})"
+                return Node(self.root, self.sub), True
+            if (m := _ITEM.match(line) or _BARE_ITEM.match(line)) and above:
+                self.root = base_of(above)
+                return Node(above, f"{above}.{m.group(1)}"), True
         if not above and (loose := find_clause(line)):
             return self._enter(loose), True
         if above:
@@ -141,7 +148,7 @@ def pieces(blocks: list[dict], start_page: int, most: int, overlap: int) -> list
         page, block = int(b.get("page_no") or start_page or 0), str(b.get("block_id") or "").strip()
         for place, text in segments(str(b.get("text") or "")):
             if held.clause and place.clause != held.clause:
-                numbered = _ITEM.match(text) or _BARE_ITEM.match(text) or _SUB.match(text)
+                numbered = _may_open(text) and (_ITEM.match(text) or _BARE_ITEM.match(text) or _SUB.match(text))
                 below = place.clause and place.clause.startswith((f"{held.clause}.", f"{held.clause}("))
                 if not place.clause or (not below and not _TOP.match(text) and numbered):
                     place = replace(held)
@@ -167,10 +174,11 @@ def chunks(chapter: dict, least: int, most: int, overlap: int) -> list[Piece]:
         last = out[-1] if out else None
         if last and _agree(last.place.clause, p.place.clause) and _agree(last.place.node, p.place.node) and len(last.text) + 1 + len(p.text) <= most:
             last.text = f"{last.text}\n{p.text}"
-            last.pages, last.blocks = last.pages + p.pages, last.blocks + p.blocks
+            last.pages += p.pages
+            last.blocks += p.blocks
             last.place = Node(last.place.clause or p.place.clause, last.place.node or p.place.node)
         else:
-            out.append(replace(p, pages=list(p.pages), blocks=list(p.blocks)))
+            out.append(p)
     for p in out:
         clause = p.place.clause or find_clause(p.text)
         p.place = Node(clause, p.place.node or clause)
@@ -182,21 +190,23 @@ def chunks(chapter: dict, least: int, most: int, overlap: int) -> list[Piece]:
     return out
 
 
+_KIND = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 SCHEMA = "doc_id string, version_id string, chapter_id string, chunk_id string, chunk_no int, page_start int, page_end int, text string, block_ids array<string>, clause_id string, clause_node_id string, clause_parent_id string, clause_level int"
+_ARROW = pa.schema([(f.split()[0], _KIND[f.split()[1]]) for f in SCHEMA.split(", ")])
 
 
 def chunk_chapters(chapters: DataFrame, least: int = 220, most: int = 420, overlap: int = 80) -> DataFrame:
-    """Chunks of all chapters; each chapter is folded on its own, wherever it lies (no shuffle)."""
-    wanted = ["doc_id", "version_id", "chapter_id", "start_page", "block_ids", "blocks", "text"]
+    """Chunks of all chapters; each chapter is folded on its own, wherever it lies (no shuffle). A chapter's text counts only
+    where its blocks hold none; chapters without a column of texts have theirs in blocks."""
+    wanted = [c for c in ("doc_id", "version_id", "chapter_id", "start_page", "block_ids", "blocks", "text") if c in chapters.columns]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for ch in batch.to_dict("records"):
-                blocks = [dict(b) for b in ch["blocks"]] if ch["blocks"] is not None else []
-                ids = list(ch["block_ids"]) if ch["block_ids"] is not None else []
-                for i, p in enumerate(chunks({**ch, "blocks": blocks, "block_ids": ids}, least, most, overlap), start=1):
+            for ch in batch.to_pylist():
+                for i, p in enumerate(chunks(ch, least, most, overlap), start=1):
                     rows.append((ch["doc_id"], ch["version_id"], ch["chapter_id"], f"{ch['chapter_id']}_ck_{i}", i, min(p.pages), max(p.pages), p.text.strip(), list(dict.fromkeys(p.blocks)), p.place.clause, p.place.node, p.place.parent, p.place.level))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            cols = zip(*rows, strict=True) if rows else [()] * len(_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
-    return chapters.select(*wanted).mapInPandas(run, SCHEMA)
+    return chapters.select(*wanted).mapInArrow(run, SCHEMA)

@@ -26,25 +26,41 @@ def blocks(pages: DataFrame) -> DataFrame:
     # cleaned inside the array, so that the filters below read a finished column instead of repeating the cleaning
     clean = F.transform("blocks", lambda b: F.struct(F.coalesce(b["type"], F.lit("paragraph")).alias("block_type"), text.clean_block(b["text"]).alias("text")))
     each = pages.select(*DOC, "page_no", F.posexplode(clean).alias("pos", "b")).select(*DOC, "page_no", (F.col("pos") + 1).alias("order_in_page"), "b.block_type", "b.text")
+    return _fit(each)
+
+
+def blocks_of_texts(docs: DataFrame, lines_per_page: int = 120, body: str = "text") -> DataFrame:
+    """The blocks() of text_to_pages() of plain texts (doc_id, version_id, text), whose ids are distinct: a line's number tells its
+    page and place, so lines need not move to meet their page."""
+    kind = lambda x, i: F.when((i == 0) & (F.length(x) <= 70), "title").otherwise("paragraph")
+    clean = F.transform(text.lines(F.col(body)), lambda x, i: F.struct(kind(x, i).alias("block_type"), text.clean_block(x).alias("text")))
+    each = docs.select(*DOC, F.posexplode(clean).alias("pos", "b"))
+    return _fit(each.select(*DOC, (F.floor(F.col("pos") / lines_per_page) + 1).cast("int").alias("page_no"), (F.col("pos") % lines_per_page + 1).alias("order_in_page"), "b.block_type", "b.text"))
+
+
+def _fit(each: DataFrame) -> DataFrame:
     kept = each.where(~text.is_toc_like(F.col("text"), True) & ~text.is_low_quality(F.col("text"), True))
-    return kept.select(*DOC, F.format_string("b_%d_%d", "page_no", "order_in_page").alias("block_id"), "page_no", "block_type", "text", "order_in_page")
+    return kept.select(*DOC, F.concat(F.lit("b_"), "page_no", F.lit("_"), "order_in_page").alias("block_id"), "page_no", "block_type", "text", "order_in_page")
 
 
 def without_repeated_edges(rows: DataFrame, share: float = 0.35, least: int = 3) -> DataFrame:
     """Headers and footers out: lines whose signature stands at the edge of many pages of the document.
 
     The first and last two blocks of a page are counted (twice where a short page makes them overlap); a signature of 6 to
-    80 characters counted max(least, share of pages) times is dropped wherever it stands at an edge."""
+    80 characters counted max(least, share of pages) times is dropped wherever it stands at an edge. The blocks meet their
+    document once, by its id alone (a version that is the same in all rows would be no key), and all is counted where they lie."""
     page = Window.partitionBy(*DOC, "page_no")
     order = page.orderBy("order_in_page")
-    rows = rows.withColumns({"_sig": text.repeat_signature(F.col("text"), True), "_up": F.row_number().over(order), "_n": F.count("*").over(page)})
+    rows = rows.repartition("doc_id").withColumns({"_up": F.row_number().over(order), "_n": F.count("*").over(page)})
     top, bottom = F.col("_up") <= EDGE, F.col("_up") > F.col("_n") - EDGE
-    votes = rows.where((top | bottom) & F.length("_sig").between(6, 80)).groupBy(*DOC, "_sig").agg(F.sum(top.cast("int") + bottom.cast("int")).alias("_votes"))
-    pages = rows.groupBy(*DOC).agg(F.count_distinct("page_no").alias("_pages")).where(F.col("_pages") >= 3)
-    repeated = votes.join(pages, DOC).where(F.col("_votes") >= F.greatest(F.lit(least), F.floor(F.col("_pages") * share))).select(*DOC, "_sig", F.lit(True).alias("_repeated"))
     at_edge = (F.col("order_in_page") <= EDGE) | (F.col("order_in_page") >= F.greatest(F.lit(1), F.col("_n") - 1))
-    marked = rows.join(repeated, [*DOC, "_sig"], "left")
-    return marked.where(~(F.coalesce("_repeated", F.lit(False)) & at_edge)).drop("_sig", "_up", "_n", "_repeated")
+    rows = rows.withColumns({"_pages": F.sum((F.col("_up") == 1).cast("int")).over(Window.partitionBy(*DOC)), "_edge": top.cast("int") + bottom.cast("int"), "_at_edge": at_edge})
+    asked = (F.col("_pages") >= 3) & ((F.col("_edge") > 0) | F.col("_at_edge"))  # all others are neither counted nor dropped
+    rows = rows.withColumn("_sig", F.when(asked, text.repeat_signature(F.col("text"), True)))
+    rows = rows.withColumn("_sig", F.when(F.length("_sig").between(6, 80), F.col("_sig")))
+    rows = rows.withColumn("_votes", F.sum("_edge").over(Window.partitionBy(*DOC, "_sig")))
+    repeated = F.col("_sig").isNotNull() & (F.col("_votes") >= F.greatest(F.lit(least), F.floor(F.col("_pages") * share)))
+    return rows.where(~(repeated & F.col("_at_edge"))).drop("_sig", "_up", "_n", "_pages", "_edge", "_at_edge", "_votes")
 
 
 def tables(pages: DataFrame) -> DataFrame:

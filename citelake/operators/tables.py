@@ -124,12 +124,26 @@ def section_summaries(chapters: DataFrame, most: int = 420) -> DataFrame:
     return shown.select(*DOC, F.concat("chapter_id", F.lit("_summary")).alias("chunk_id"), "chapter_id", F.col("start_page").alias("page_start"), F.col("end_page").alias("page_end"), said.alias("text"), "block_ids", F.lit("section_summary").alias("source_type"), F.lit("section_summary").alias("page_type")).where("text <> '' and chapter_id <> ''")
 
 
-def explanation_chunks(chunks: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Text chunks that explain a clause."""
+def with_explanations(chunks: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Text chunks, and after each that explains a clause its explanation chunk, with nulls for what that has no value for.
+    Both come of one reading, so that what makes the chunks runs once."""
     t = text.strip(F.col("text"))
     clause = F.coalesce(F.nullif(text.strip(F.col("clause_id")), F.lit("")), clauses.first_clause(t))
-    hits = chunks.where(text.contains_any(t, ("条文说明", "说明:", "说明："))).withColumn("clause_id", clause).where("clause_id is not null")
-    return hits.select(*DOC, F.concat_ws("_", F.lit("exp"), "chapter_id", F.col(ordinal).cast("string")).alias("chunk_id"), "chapter_id", "page_start", "page_end", t.alias("text"), "block_ids", F.lit("explanation").alias("source_type"), F.lit("explanation").alias("doc_type"), "clause_id")
+    kinds = {c: k for c, k in chunks.dtypes if c != ordinal} | {"source_type": "string", "doc_type": "string"}
+    none = {c: F.lit(None).cast(k) for c, k in kinds.items()}
+    same = {c: F.col(c) for c in kinds if c in chunks.columns}
+    own = none | same | {"source_type": F.lit("text")}
+    more = none | {c: same[c] for c in (*DOC, "chapter_id", "page_start", "page_end", "block_ids")}
+    more |= {"chunk_id": F.concat_ws("_", F.lit("exp"), "chapter_id", F.col(ordinal).cast("string")), "text": t, "source_type": F.lit("explanation"), "doc_type": F.lit("explanation"), "clause_id": clause}
+    explains = text.contains_any(t, ("条文说明", "说明:", "说明：")) & clause.isNotNull()
+    row = lambda of: F.struct(*[v.alias(c) for c, v in of.items()])
+    return chunks.select(F.explode(F.array_compact(F.array(row(own), F.when(explains, row(more))))).alias("_c")).select("_c.*")
+
+
+def explanation_chunks(chunks: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Text chunks that explain a clause."""
+    found = with_explanations(chunks, ordinal).where("source_type = 'explanation'")
+    return found.select(*DOC, "chunk_id", "chapter_id", "page_start", "page_end", "text", "block_ids", "source_type", "doc_type", "clause_id")
 
 
 def explanations(pages: DataFrame, start: list[str], clause_pattern: str) -> DataFrame:

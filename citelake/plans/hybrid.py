@@ -23,16 +23,25 @@ def document_pages(documents: DataFrame) -> DataFrame:
 
 def ingest(pages: DataFrame, assets: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
     """Index rows of parsed pages: text, table, summary and explanation chunks that pass the gate."""
-    blocks = normalize.without_repeated_edges(written(normalize.blocks(pages), "blocks"))  # counted, voted on and read
-    found = normalize.merged_across_pages(normalize.tables(pages))
-    parts = written(chapters.chapters(blocks), "chapters")  # three kinds of chunks are made from them
-    chunks = written(chunking.chunk_chapters(parts, 260, 520, 80), "chunks")
+    return _index_rows(normalize.blocks(pages), normalize.merged_across_pages(normalize.tables(pages)), assets, relations)
+
+
+def ingest_texts(documents: DataFrame, assets: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """Index rows of plain texts (doc_id, text), whose ids are distinct: ingest() of document_pages(), which hold no tables."""
+    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("v1").alias("version_id"), "text")
+    return _index_rows(normalize.blocks_of_texts(docs), None, assets, relations)
+
+
+def _index_rows(blocks: DataFrame, found: DataFrame | None, assets: DataFrame | None, relations: DataFrame | None) -> DataFrame:
+    """Texts move twice, and are written once between: blocks meet their document, and chunks do."""
+    parts = written(chapters.chapters(normalize.without_repeated_edges(blocks)).drop("text"), "chapters")  # two kinds of chunks are made from them; blocks hold the text
     kind = lambda df: df.withColumns({k: F.lit(None).cast(t) for k, t in payload.OPTIONAL.items() if k not in df.columns})
-    every = kind(chunks.drop("chunk_no").withColumn("source_type", F.lit("text")))
-    for more in (tables.row_chunks(found), tables.section_summaries(parts), tables.explanation_chunks(chunks, "chunk_no")):
+    every = kind(tables.with_explanations(chunking.chunk_chapters(parts, 260, 520, 80), "chunk_no"))
+    opening = parts.withColumn("text", chapters.joined(F.slice("blocks", 1, 4)))  # clean blocks are lines, and a summary takes four
+    for more in (tables.section_summaries(opening), *([tables.row_chunks(found)] if found is not None else [])):
         every = every.unionByName(kind(more), allowMissingColumns=True)
     order = F.row_number().over(Window.partitionBy("doc_id", "version_id").orderBy("page_start", "chapter_id", "source_type", "chunk_id"))
-    gated = quality.chunk_gate(every.withColumn("ordinal", order)).where("gate = 'keep'").drop("gate")
+    gated = quality.chunk_gate(every.repartition("doc_id").withColumn("ordinal", order)).where("gate = 'keep'").drop("gate")
     return payload.build(gated, assets, relations)
 
 

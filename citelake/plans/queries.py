@@ -343,7 +343,7 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through the whole ingest: pages, blocks, chapters, chunks, gate, index rows."""
-    return hybrid.ingest(hybrid.document_pages(table(spark, sf_dir, "documents"))).select("id", "doc_id", "chunk_id", "page_start", "page_end", "chunk_text", "clause_id", "constraint_type")
+    return hybrid.ingest_texts(table(spark, sf_dir, "documents")).select("id", "doc_id", "chunk_id", "page_start", "page_end", "chunk_text", "clause_id", "constraint_type")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
