@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from . import fixed
 #: What (?U)\s matches; runs of it that are not one plain space already. Patterns here leave ordinary text without a match, since
 #: each match costs far more than the characters between.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUN = r"(?U)[\s&&[^ ]]\s*| \s+"
+_RUN = r"(?U)\s(?:(?<! )\s*|\s+)"
 
 
 def strip(c: Column) -> Column:
@@ -57,6 +58,10 @@ def contains_any(c: Column, words) -> Column:
     return reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words])
 
 
+#: Letters and digits of ASCII one by one: in a class they are one table, which is asked before ranges and properties are.
+PLAIN = string.ascii_letters + string.digits
+
+
 def char_share(c: Column, body: str) -> Column:
     """Share of characters in a regex class; 0 for empty text."""
     t = F.coalesce(c, F.lit(""))
@@ -66,7 +71,13 @@ def char_share(c: Column, body: str) -> Column:
 def readable_ratio(c: Column, marks: str = fixed.READABLE_MARKS) -> Column:
     """Share of letters, digits and ordinary marks."""
     t = F.coalesce(c, F.lit(""))  # the others are counted, being few
-    return F.when(F.length(t) > 0, (F.length(t) - F.regexp_count(t, F.lit(r"[^\p{L}\p{N}" + quoted_class(marks) + "]"))) / F.length(t)).otherwise(F.lit(0.0))
+    return F.when(F.length(t) > 0, (F.length(t) - F.regexp_count(t, F.lit(f"[{unreadable(marks)}]"))) / F.length(t)).otherwise(F.lit(0.0))
+
+
+def unreadable(marks: str = fixed.READABLE_MARKS) -> str:
+    """A regex class body for all but letters, digits and marks, which settles the commonest of these first."""
+    common = PLAIN + "".join(c for c in " .," if c in marks)
+    return f"[^{common}]&&" + r"[^\p{L}\p{N}" + quoted_class(marks) + "]"
 
 
 def cjk_ratio(c: Column) -> Column:
@@ -80,7 +91,7 @@ def printable(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Stripped non-empty lines."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), strip), lambda x: x != "")
 
 
 def without_latex(c: Column) -> Column:
@@ -129,11 +140,15 @@ def is_toc_like(c: Column, cleaned: bool = False) -> Column:
     )
 
 
+#: A regex class body: neither letters, digits nor white space.
+SYMBOLS = f"[^{PLAIN} ]&&" + r"[^\p{L}\p{N}\s\x85\xa0\u2000-\u200a\u3000]"
+
+
 def is_low_quality(c: Column, cleaned: bool = False) -> Column:
     """Nothing, file residue, or mostly symbols; rows of tables are spared. cleaned: c is clean_block() of something."""
     s = c if cleaned else clean_block(c)
     low = F.lower(s)
-    bad = contains_any(low, ("%pdf-", "endstream")) | ((F.length(s) > 80) & (char_share(s, r"^\p{L}\p{N}\s\x85\xa0\u2000-\u200a\u3000") > 0.45))
+    bad = contains_any(low, ("%pdf-", "endstream")) | ((F.length(s) > 80) & (char_share(s, SYMBOLS) > 0.45))
     return (s == "") | (~(F.contains(s, F.lit("|")) & s.rlike("[A-Za-z0-9一-鿿]")) & bad)
 
 

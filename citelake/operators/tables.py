@@ -117,11 +117,15 @@ def three_pack(tables: DataFrame) -> DataFrame:
 
 def section_summaries(chapters: DataFrame, most: int = 420) -> DataFrame:
     """Title and first four lines of each chapter."""
-    shown = chapters.withColumns({"_body": F.array_join(F.slice(text.lines(F.col("text")), 1, 4), "；"), "_title": text.strip(F.col("title"))})  # columns, since they are read more than once
-    body, title = F.col("_body"), F.col("_title")
-    body = F.when(F.length(body) > most, F.regexp_replace(F.substring(body, 1, most), "[；。]+$", "")).otherwise(body)
-    said = F.array_join(F.filter(F.array(F.when(title != "", F.concat(F.lit("章节："), title)), F.when(body != "", F.concat(F.lit("摘要："), body))), lambda x: x.isNotNull()), "\n")
-    return shown.select(*DOC, F.concat("chapter_id", F.lit("_summary")).alias("chunk_id"), "chapter_id", F.col("start_page").alias("page_start"), F.col("end_page").alias("page_end"), said.alias("text"), "block_ids", F.lit("section_summary").alias("source_type"), F.lit("section_summary").alias("page_type")).where("text <> '' and chapter_id <> ''")
+    lead, title = F.array_join(F.slice(text.lines(F.col("text")), 1, 4), "；"), text.strip(F.col("title"))
+
+    def said(lead: Column) -> Column:
+        body = F.when(F.length(lead) > most, F.regexp_replace(F.substring(lead, 1, most), "[；。]+$", "")).otherwise(lead)
+        parts = F.array(F.when(title != "", F.concat(F.lit("章节："), title)), F.when(body != "", F.concat(F.lit("摘要："), body)))
+        return F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n")
+
+    each = F.explode(F.filter(F.transform(F.array(lead), said), lambda x: x != ""))  # a row or none: so the text is split once, and not for each that reads it
+    return chapters.where("chapter_id <> ''").select(*DOC, F.concat("chapter_id", F.lit("_summary")).alias("chunk_id"), "chapter_id", F.col("start_page").alias("page_start"), F.col("end_page").alias("page_end"), each.alias("text"), "block_ids", F.lit("section_summary").alias("source_type"), F.lit("section_summary").alias("page_type"))
 
 
 def with_explanations(chunks: DataFrame, ordinal: str = "ordinal") -> DataFrame:

@@ -1,12 +1,13 @@
 import hashlib
 import math
+import random
 import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from citelake.functions import clauses, embedding, terms, text
+from citelake.functions import clauses, embedding, fixed, terms, text
 
 
 def one(spark, column, **values):
@@ -26,6 +27,22 @@ def test_readable_ratio(spark):
     assert one(spark, text.readable_ratio(F.col("t")), t="") == 0.0
 
 
+def test_quick_patterns_match_what_plain_ones_match(spark):
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000), *range(0x1F300, 0x1F700), *range(0x20000, 0x20100)]))
+    rng = random.Random(2)
+    mixed = "".join(rng.choices(" \t\n\r\x0b\x85\xa0\u2028\u3000ab接", k=5000))
+    marks = text.quoted_class(fixed.READABLE_MARKS)
+    plain = {
+        f"[{text.unreadable()}]": r"[^\p{L}\p{N}" + marks + "]",
+        f"[{text.unreadable('#')}]": r"[^\p{L}\p{N}#]",
+        f"[{text.SYMBOLS}]": r"[^\p{L}\p{N}\s\x85\xa0\u2000-\u200a\u3000]",
+    }
+    for quick, slow in plain.items():
+        assert one(spark, F.regexp_replace("t", quick, ""), t=every) == one(spark, F.regexp_replace("t", slow, ""), t=every)
+    assert one(spark, text.single_spaced(F.col("t")), t=mixed) == one(spark, F.regexp_replace("t", r"(?U)[\s&&[^ ]]\s*| \s+", " "), t=mixed)
+    assert one(spark, text.lines(F.col("t")), t="a\r\n\r\nb\rc\n\rd\u2028 \x85e") == list("abcde")
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [(r"30\mathrm{min}", "30 min"), (r"$220 \mathrm{k V}$", "220 kV"), (r"a\leq b", "a <= b"), (r"\times{}", "x"), (r"plain 3.0.6", "plain 3.0.6"), (r"\foo{两 字}", "两 字")],
